@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "relaylake.plans.q_intake",
     "relaylake.plans.q_stages",
+    "relaylake.plans.q_approvals",
 ]
 
 

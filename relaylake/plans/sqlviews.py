@@ -95,7 +95,8 @@ SELECT CAST(user_id AS VARCHAR) || ':' || CAST(day(ts) AS VARCHAR) AS request_id
   {STAGES_SQL}[CAST(user_id % 4 AS INTEGER) + 1] AS stage,
   CASE event_type WHEN 'signup' THEN 'requested' WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'comment' END AS event,
   CASE WHEN event_id % 50 = 0 THEN 'x' ELSE 'approver-' || CAST(event_id % 9 AS VARCHAR) END AS actor,
-  props AS comment, ts, event_id AS seq
+  props AS comment, ts, event_id AS seq, user_id AS work_item_id,
+  'Approve deployment for work item ' || CAST(user_id AS VARCHAR) AS summary
 FROM events
 """
 

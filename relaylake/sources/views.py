@@ -103,6 +103,8 @@ def approval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("comment"),
         F.col("ts"),
         F.col("event_id").alias("seq"),
+        F.col("user_id").alias("work_item_id"),
+        F.concat(F.lit("Approve deployment for work item "), F.col("user_id").cast("string")).alias("summary"),
     )
 
 
