@@ -8,6 +8,7 @@ _MODULES = [
     "relaylake.plans.q_intake",
     "relaylake.plans.q_stages",
     "relaylake.plans.q_approvals",
+    "relaylake.plans.q_clarify",
 ]
 
 
