@@ -9,6 +9,7 @@ _MODULES = [
     "relaylake.plans.q_stages",
     "relaylake.plans.q_approvals",
     "relaylake.plans.q_clarify",
+    "relaylake.plans.q_quality",
 ]
 
 
