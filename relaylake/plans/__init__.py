@@ -10,6 +10,7 @@ _MODULES = [
     "relaylake.plans.q_approvals",
     "relaylake.plans.q_clarify",
     "relaylake.plans.q_quality",
+    "relaylake.plans.q_ingest",
 ]
 
 
