@@ -11,6 +11,7 @@ _MODULES = [
     "relaylake.plans.q_clarify",
     "relaylake.plans.q_quality",
     "relaylake.plans.q_ingest",
+    "relaylake.plans.q_endpoints",
 ]
 
 

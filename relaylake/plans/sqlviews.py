@@ -134,6 +134,27 @@ SELECT event_id AS line_no,
 FROM events
 """
 
+VIEWS["pipeline_configs"] = """
+SELECT c_custkey AS config_id,
+  CASE WHEN c_custkey % 5 = 0 THEN ['dev', 'qe', 'prod'] ELSE ['dev', 'qe', 'stg', 'prod'] END AS stage_sequence,
+  CASE WHEN c_custkey % 7 = 0 THEN ['dev', 'uat'] ELSE ['dev'] END AS apply_stages,
+  ['qe', 'stg', 'prod'] AS approval_stages,
+  CAST(c_custkey % 4 AS INTEGER) AS retry_attempts, c_acctbal / 1000 AS retry_initial, 8.0 AS retry_max,
+  CASE WHEN c_custkey % 11 = 0 THEN 0.5 ELSE 2.0 END AS backoff,
+  CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE 2 END AS max_remediation,
+  CASE WHEN c_custkey % 3 = 0 THEN 'simulate' ELSE 'connected' END AS mode,
+  c_custkey % 2 = 0 AS strict, c_custkey % 3 = 1 AS llm_enabled,
+  CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'http://llm.internal:8080/v1' WHEN 2 THEN 'https://api.example.com/v1'
+       ELSE 'http://10.1.2.3/v1' END AS llm_url,
+  CASE WHEN c_custkey % 9 = 0 THEN ['  ', ''] ELSE ['databricks_notebook', 'sql', 'python_etl'] END AS plugins,
+  CASE WHEN c_custkey % 8 = 0 THEN [] ELSE ['https://adb-' || CAST(c_custkey AS VARCHAR) || '.azuredatabricks.net'] END AS workspace_urls,
+  CASE WHEN c_custkey % 8 = 0 THEN [] ELSE ['dev'] END AS workspace_stages,
+  CASE WHEN c_custkey % 6 = 0 THEN ['https://mcp-' || CAST(c_custkey AS VARCHAR) || '.example.org/api'] ELSE [] END AS mcp_urls,
+  'https://dev.azure.com/org' AS devops_url, 'https://dev.azure.com/org' AS pipelines_url,
+  CASE WHEN c_custkey % 10 = 0 THEN 'git.corp.example.com:7999/scm' ELSE 'https://dev.azure.com/org' END AS repos_url
+FROM customer
+"""
+
 # dependencies between the views above (a CTE list must be ordered)
 DEPENDS = {
     "tickets": ["work_items"],

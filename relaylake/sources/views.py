@@ -227,3 +227,39 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("line_no"),
         F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), level, logger, msg).alias("value"),
     )
+
+
+def pipeline_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delivery configuration per customer (rule checks, endpoints)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    ks = k.cast("string")
+    llm_url = (F.when(k % 4 == 0, F.lit(""))
+               .when(k % 4 == 1, F.lit("http://llm.internal:8080/v1"))
+               .when(k % 4 == 2, F.lit("https://api.example.com/v1"))
+               .otherwise(F.lit("http://10.1.2.3/v1")))
+    ws = F.when(k % 8 == 0, F.create_map().cast("map<string,string>")).otherwise(
+        F.create_map(F.lit("dev"), F.concat(F.lit("https://adb-"), ks, F.lit(".azuredatabricks.net"))))
+    mcp = F.when(k % 6 == 0, F.create_map(F.lit("devops_mcp"), F.concat(F.lit("https://mcp-"), ks, F.lit(".example.org/api"))))\
+        .otherwise(F.create_map().cast("map<string,string>"))
+    return c.select(
+        k.alias("config_id"),
+        F.when(k % 5 == 0, T.str_array(["dev", "qe", "prod"])).otherwise(T.str_array(K.STAGE_SEQUENCE)).alias("stage_sequence"),
+        F.when(k % 7 == 0, T.str_array(["dev", "uat"])).otherwise(T.str_array(K.APPLY_STAGES)).alias("apply_stages"),
+        T.str_array(K.APPROVAL_STAGES).alias("approval_stages"),
+        (k % 4).cast("int").alias("retry_attempts"),
+        (F.col("c_acctbal") / 1000).alias("retry_initial"),
+        F.lit(8.0).alias("retry_max"),
+        F.when(k % 11 == 0, F.lit(0.5)).otherwise(F.lit(2.0)).alias("backoff"),
+        F.when(k % 13 == 0, F.lit(-1)).otherwise(F.lit(2)).alias("max_remediation"),
+        F.when(k % 3 == 0, F.lit("simulate")).otherwise(F.lit("connected")).alias("mode"),
+        (k % 2 == 0).alias("strict"),
+        (k % 3 == 1).alias("llm_enabled"),
+        llm_url.alias("llm_url"),
+        F.when(k % 9 == 0, T.str_array(["  ", ""])).otherwise(T.str_array(K.PLUGIN_ORDER)).alias("plugins"),
+        ws.alias("workspaces"),
+        mcp.alias("mcp_servers"),
+        F.lit("https://dev.azure.com/org").alias("devops_url"),
+        F.lit("https://dev.azure.com/org").alias("pipelines_url"),
+        F.when(k % 10 == 0, F.lit("git.corp.example.com:7999/scm")).otherwise(F.lit("https://dev.azure.com/org")).alias("repos_url"),
+    )
