@@ -1,0 +1,24 @@
+"""Grouping helpers that stay safe when one group holds a large share of rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
+                    salt_col: str | None = None, salt_buckets: int = 32, rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group by ``order``, with a 1-based rank.
+
+    Two rounds: first within (group, salt bucket), keeping at most ``k`` rows
+    per bucket, then within the group over at most ``k * salt_buckets``
+    survivors. A group holding a third of all rows is therefore ranked by
+    ``salt_buckets`` tasks instead of one. ``order`` must be a total order
+    within the group for deterministic results.
+    """
+    salt = F.pmod(F.xxhash64(F.col(salt_col) if salt_col else F.struct(*[F.col(c) for c in df.columns])),
+                  F.lit(salt_buckets))
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    first = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return first.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k).drop("_salt", "_r1")

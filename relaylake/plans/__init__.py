@@ -12,6 +12,7 @@ _MODULES = [
     "relaylake.plans.q_quality",
     "relaylake.plans.q_ingest",
     "relaylake.plans.q_endpoints",
+    "relaylake.plans.q_remediation",
 ]
 
 

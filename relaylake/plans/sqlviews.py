@@ -155,6 +155,30 @@ SELECT c_custkey AS config_id,
 FROM customer
 """
 
+VIEWS["source_files"] = f"""
+SELECT 'repo-' || CAST(p_partkey % 7 AS VARCHAR) AS repo,
+  CASE p_partkey % 4 WHEN 0 THEN 'etl/load_' || CAST(p_partkey AS VARCHAR) || '.py'
+       WHEN 1 THEN 'sql/create_' || CAST(p_partkey AS VARCHAR) || '.sql'
+       WHEN 2 THEN 'notebooks/nb_' || CAST(p_partkey AS VARCHAR) || '.py'
+       ELSE 'tests/test_' || CAST(p_partkey AS VARCHAR) || '.py' END AS path,
+  CASE p_partkey % 4
+    WHEN 0 THEN 'import pyspark' || chr(10) || chr(10) || 'df = spark.read.table("raw.' || p_brand || '")' || chr(10)
+      || CASE WHEN p_size % 3 = 0 THEN 'df.write.mode("overwrite")' || chr(10) || '    .option("mergeSchema", "true").saveAsTable("main.bronze.part_'
+              || CAST(p_partkey AS VARCHAR) || '")' || chr(10) ELSE '' END
+      || 'df.write.mode("append").saveAsTable("main.bronze.part_' || CAST(p_partkey AS VARCHAR) || '")' || chr(10)
+      || CASE WHEN p_size % 2 = 0 THEN 'df.write.mode( "overwrite" ) .saveAsTable("main.bronze.part_' || CAST(p_partkey AS VARCHAR)
+              || '_copy")' || chr(10) ELSE '' END
+    WHEN 1 THEN CASE WHEN p_size % 5 = 0 THEN 'CREATE SCHEMA IF NOT EXISTS main.bronze;' || chr(10) ELSE '' END
+      || 'CREATE TABLE IF NOT EXISTS main.bronze.part_' || CAST(p_partkey AS VARCHAR) || ' AS SELECT ' || chr(39) || p_name || chr(39)
+      || ' AS name;' || chr(10)
+    WHEN 2 THEN CASE WHEN p_size % 4 = 0 THEN '#!/usr/bin/env python' || chr(10) || '# -*- coding: utf-8 -*-' || chr(10) ELSE '' END
+      || 'import os' || chr(10) || chr(10) || 'from pyspark.sql import functions as F' || chr(10)
+      || CASE WHEN p_size % 6 = 0 THEN '{K.NOTEBOOK_CONF_LINE}' || chr(10) ELSE '' END
+      || '# transform ' || p_name || chr(10) || 'df = spark.table("main.bronze.part_' || CAST(p_partkey AS VARCHAR) || '")' || chr(10)
+    ELSE 'def test_part_' || CAST(p_partkey AS VARCHAR) || '():' || chr(10) || '    assert "' || p_name || '"' || chr(10) END AS content
+FROM part
+"""
+
 # dependencies between the views above (a CTE list must be ordered)
 DEPENDS = {
     "tickets": ["work_items"],
