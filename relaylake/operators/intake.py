@@ -32,7 +32,7 @@ def normalize_tickets(df: DataFrame, strict_types: bool = True) -> DataFrame:
         item_type = F.when(valid, item_type).otherwise(F.lit(K.DEFAULT_ITEM_TYPE))
     tags = opt("tags", T.empty_str_array())
     explicit_repo = F.nullif(T.strip(opt("repo_name", F.lit(""))), F.lit(""))
-    extra = [c for c in ("project", "changed_date") if c in cols]
+    extra = [c for c in ("project", "changed_date", "ingested_at") if c in cols]
     return df.select(
         F.col("id").cast("bigint").alias("id"),
         F.col("title").cast("string").alias("title"),

@@ -13,6 +13,7 @@ _MODULES = [
     "relaylake.plans.q_ingest",
     "relaylake.plans.q_endpoints",
     "relaylake.plans.q_remediation",
+    "relaylake.plans.q_streaming",
 ]
 
 
