@@ -14,6 +14,7 @@ _MODULES = [
     "relaylake.plans.q_endpoints",
     "relaylake.plans.q_remediation",
     "relaylake.plans.q_streaming",
+    "relaylake.plans.q_runlog",
 ]
 
 
