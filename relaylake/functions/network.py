@@ -12,6 +12,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # FIXED VALUES: IPv4 networks Python's ipaddress (3.13) reports as private;
 # loopback (127/8), link-local (169.254/16) and reserved (240/4) fall inside
@@ -90,7 +91,7 @@ def ipv4_internal(host: Column) -> Column:
     return F.when(v.isNotNull(), in_ranges(v, PRIVATE_V4) & ~in_ranges(v, PRIVATE_V4_EXCEPTIONS))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _ipv6_internal(hosts: pd.Series) -> pd.Series:
     def one(h):
         if h is None:

@@ -19,11 +19,12 @@ DELTA_THRESHOLD = 0.5
 PERF_BASELINE = [("dev", 2800.0), ("qe", 2900.0), ("stg", 3000.0), ("prod", 2880.0)]
 TARGET = "main.bronze.lineitem"
 
-LINEITEM_RULES = [
-    Q.not_null("l_orderkey"), Q.not_null("l_partkey"), Q.not_null("l_suppkey"), Q.not_null("l_shipdate"),
-    Q.in_range("l_quantity", 1, 50), Q.in_range("l_discount", 0.0, 0.1), Q.in_range("l_tax", 0.0, 0.08),
-    Q.accepted("l_returnflag", ["A", "N", "R"]), Q.accepted("l_linestatus", ["O", "F"]),
-]
+def lineitem_rules() -> list[Q.Rule]:
+    return [
+        Q.not_null("l_orderkey"), Q.not_null("l_partkey"), Q.not_null("l_suppkey"), Q.not_null("l_shipdate"),
+        Q.in_range("l_quantity", 1, 50), Q.in_range("l_discount", 0.0, 0.1), Q.in_range("l_tax", 0.0, 0.08),
+        Q.accepted("l_returnflag", ["A", "N", "R"]), Q.accepted("l_linestatus", ["O", "F"]),
+    ]
 
 RULES_SQL = """
 SELECT "check", 'lineitem' AS subject, failed, failed = 0 AS passed, severity FROM (
@@ -54,7 +55,7 @@ SELECT 'fk:o_custkey->c_custkey', 'orders', count(*), count(*) = 0, 'critical'
 
 def dq_rule_rows(spark: SparkSession, sf: str) -> DataFrame:
     li, o, c = table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "customer")
-    return (Q.row_rules(li, "lineitem", LINEITEM_RULES)
+    return (Q.row_rules(li, "lineitem", lineitem_rules())
             .unionByName(Q.unique(o, "orders", ["o_orderkey"]))
             .unionByName(Q.unique(li, "lineitem", ["l_orderkey", "l_linenumber"], "major"))
             .unionByName(Q.foreign_key(li, "l_orderkey", o, "o_orderkey", "lineitem"))
