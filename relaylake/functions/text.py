@@ -80,20 +80,23 @@ def ingestion_explicit(blob_lower: Column) -> Column:
     return blob_lower.contains("overwrite") | blob_lower.contains("append")
 
 
-def table_part(text: Column, group: int) -> Column:
-    """Group ``group`` of the first catalog.schema.table match, lower-cased, or
-    the default part when the text has no match."""
-    default = {1: F.lit(K.DEFAULT_CATALOG), 2: F.lit(K.DEFAULT_SCHEMA)}.get(group)
-    return F.when(table_explicit(text), F.lower(F.regexp_extract(text, K.TABLE_PATTERN, group))).otherwise(default)
-
-
-def table_explicit(text: Column) -> Column:
-    return text.rlike(K.TABLE_PATTERN)
-
-
-def target_table(text: Column, item_id: Column) -> Column:
-    return F.when(table_explicit(text), F.lower(F.regexp_extract(text, K.TABLE_PATTERN, 3))) \
-        .otherwise(F.concat(F.lit("wi_"), item_id.cast("string"), F.lit("_table")))
+def table_match(text: Column) -> Column:
+    """The first catalog.schema.table in the text ('' when there is none).
+    One regex evaluation per row; the parts are split from the match."""
+    return F.regexp_extract(text, K.TABLE_PATTERN, 0)
+
+
+def table_parts(match: Column, item_id: Column) -> tuple[Column, Column, Column, Column]:
+    """(catalog, schema, table, explicit) from ``table_match``: lower-cased
+    parts, or main / bronze / wi_<id>_table when the text names no table.
+    The three groups contain no '.', so splitting the match recovers them."""
+    parts = F.split(match, r"\.")
+    explicit = match != ""
+    return (F.when(explicit, F.lower(F.get(parts, 0))).otherwise(F.lit(K.DEFAULT_CATALOG)),
+            F.when(explicit, F.lower(F.get(parts, 1))).otherwise(F.lit(K.DEFAULT_SCHEMA)),
+            F.when(explicit, F.lower(F.get(parts, 2)))
+             .otherwise(F.concat(F.lit("wi_"), item_id.cast("string"), F.lit("_table"))),
+            explicit)
 
 
 def slug(title: Column) -> Column:

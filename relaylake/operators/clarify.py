@@ -106,21 +106,23 @@ def apply_answers(plans_with_answers: DataFrame) -> DataFrame:
     blob = F.lower(F.array_join(F.transform("_n", lambda e: e["a"]), " "))
     df = df.withColumn("_b", blob)
     b = F.col("_b")
-    hit = b.rlike(K.TABLE_PATTERN)
+    df = df.withColumn("_m", T.table_match(b))
+    parts = F.split(F.col("_m"), r"\.")
+    hit = F.col("_m") != ""
     jd, ff = T.has_jdbc(b), T.has_flat_file(b)
     new_sources = F.array_sort(F.array_compact(F.array(F.when(jd, F.lit("jdbc")), F.when(ff, F.lit("flat_file")))))
     repo = repo_from_answers(F.col("_n"))
     df = df.withColumns({
-        "target_catalog": F.when(hit, F.regexp_extract(b, K.TABLE_PATTERN, 1)).otherwise(F.col("target_catalog")),
-        "target_schema": F.when(hit, F.regexp_extract(b, K.TABLE_PATTERN, 2)).otherwise(F.col("target_schema")),
-        "target_table": F.when(hit, F.regexp_extract(b, K.TABLE_PATTERN, 3)).otherwise(F.col("target_table")),
+        "target_catalog": F.when(hit, F.get(parts, 0)).otherwise(F.col("target_catalog")),
+        "target_schema": F.when(hit, F.get(parts, 1)).otherwise(F.col("target_schema")),
+        "target_table": F.when(hit, F.get(parts, 2)).otherwise(F.col("target_table")),
         "ingestion_mode": F.when(b.contains("overwrite"), F.lit("overwrite"))
                            .when(b.contains("append"), F.lit("append")).otherwise(F.col("ingestion_mode")),
         "source_types": F.when(jd | ff, new_sources).otherwise(F.col("source_types")),
         "target_repo": F.coalesce(repo, F.col("target_repo")),
         "clarification_questions": F.filter("clarification_questions", lambda q: ~answered(q, F.col("_n"))),
     })
-    return df.withColumn("needs_clarification", F.size("clarification_questions") > 0).drop("_b") \
+    return df.withColumn("needs_clarification", F.size("clarification_questions") > 0).drop("_b", "_m") \
         .withColumnRenamed("_n", "applied_answers")
 
 

@@ -92,15 +92,39 @@ def with_run_key(df: DataFrame) -> DataFrame:
     return df.withColumn("run_key", T.run_key(F.col("id"), F.col("title"), F.col("description")))
 
 
+# FIXED VALUES: the run ledger's status domain (written by the run loop only).
+LEDGER_STATUSES = ["in_progress", "succeeded", "failed"]
+
+
+def _status_code(status: Column) -> Column:
+    expr = None
+    for i, s in enumerate(LEDGER_STATUSES):
+        expr = F.when(status == s, F.lit(i)) if expr is None else expr.when(status == s, F.lit(i))
+    return expr.otherwise(F.lit(None).cast("int"))
+
+
 def latest_run_status(ledger: DataFrame) -> DataFrame:
-    """Last write wins per run key (partial aggregate, skew-safe)."""
-    return ledger.groupBy("run_key").agg(F.max_by("status", "seq").alias("status"),
-                                         F.max("seq").alias("seq"))
+    """Last write wins per run key.
+
+    The status is aggregated as a small integer code: ``max_by`` over a
+    fixed-width buffer runs as a hash aggregate with map-side partial
+    aggregation (a string buffer would force a sort-based aggregate)."""
+    agg = ledger.groupBy("run_key").agg(F.max_by(_status_code(F.col("status")), F.col("seq")).alias("_code"),
+                                        F.max("seq").alias("seq"))
+    return agg.select("run_key", F.get(F.array(*[F.lit(s) for s in LEDGER_STATUSES]), F.col("_code")).alias("status"),
+                      "seq")
+
+
+def succeeded_keys(ledger: DataFrame) -> DataFrame:
+    """Run keys whose latest ledger entry is ``succeeded`` (boolean buffer,
+    hash aggregate)."""
+    latest = ledger.groupBy("run_key").agg(F.max_by(F.col("status") == "succeeded", F.col("seq")).alias("done"))
+    return latest.where(F.col("done")).select("run_key")
 
 
 def skip_completed(tickets: DataFrame, ledger: DataFrame) -> DataFrame:
     """Drop tickets whose key already succeeded; in_progress and failed keys
     do not block. Left anti join on run_key."""
-    done = latest_run_status(ledger).where(F.col("status") == "succeeded").select("run_key")
+    done = succeeded_keys(ledger)
     keyed = tickets if "run_key" in tickets.columns else with_run_key(tickets)
     return keyed.join(done, "run_key", "left_anti")

@@ -26,17 +26,19 @@ def with_plan(tickets: DataFrame, default_repo: str = K.DEFAULT_REPO,
     blob = F.lower(text)
     tickets = tickets.withColumns({"_text": text, "_blob": blob})
     t, b = F.col("_text"), F.col("_blob")
+    tickets = tickets.withColumn("_tm", T.table_match(t))
+    catalog, schema, table, explicit = T.table_parts(F.col("_tm"), F.col("id"))
     out = tickets.withColumns({
         "work_item_id": F.col("id"),
         "source_types": T.source_types(b),
         "_sources_explicit": T.has_jdbc(b) | T.has_flat_file(b),
         "ingestion_mode": T.ingestion_mode(b),
         "_mode_explicit": T.ingestion_explicit(b),
-        "_table_explicit": T.table_explicit(t),
+        "_table_explicit": explicit,
         "target_layer": F.lit(K.TARGET_LAYER),
-        "target_catalog": T.table_part(t, 1),
-        "target_schema": T.table_part(t, 2),
-        "target_table": T.target_table(t, F.col("id")),
+        "target_catalog": catalog,
+        "target_schema": schema,
+        "target_table": table,
         "target_repo": F.coalesce(F.col("repo_name"), F.lit(default_repo)),
         "branch_name": T.branch_name(F.col("id"), F.col("title"), branch_prefix),
         "notebook_tasks": T.str_array(K.NOTEBOOK_TASKS),
@@ -48,7 +50,7 @@ def with_plan(tickets: DataFrame, default_repo: str = K.DEFAULT_REPO,
             F.col("repo_name"), F.col("acceptance_criteria")),
     })
     out = out.withColumn("needs_clarification", F.size("clarification_questions") > 0)
-    return out.drop("_text", "_blob", "_sources_explicit", "_mode_explicit", "_table_explicit")
+    return out.drop("_text", "_blob", "_tm", "_sources_explicit", "_mode_explicit", "_table_explicit")
 
 
 def rank_sources(plans: DataFrame, source_rank: DataFrame) -> DataFrame:
