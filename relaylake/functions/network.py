@@ -2,7 +2,7 @@
 
 Everything for hostnames and IPv4 is a Column expression. Only IPv6
 literals go through a vectorised pandas UDF (Python's ``ipaddress``), and
-only rows whose host contains ':' are sent non-null.
+only rows whose host is such a literal are sent to Python.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,14 +29,6 @@ OCTET = r"(0|[1-9][0-9]{0,2})"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 
 
-def _ranges(cidrs: list[str]) -> Column:
-    out = []
-    for c in cidrs:
-        n = ipaddress.ip_network(c)
-        out.append(F.struct(F.lit(int(n.network_address)).alias("lo"), F.lit(int(n.broadcast_address)).alias("hi")))
-    return F.array(*out)
-
-
 def _host_of(url: Column) -> Column:
     netloc = F.regexp_extract(url, NETLOC, 1)
     hostinfo = F.regexp_extract(netloc, r"([^@]*)$", 1)
@@ -61,7 +53,8 @@ def strict_hostname(url: Column) -> Column:
 
 def matches_suffixes(host: Column, suffixes: list[str]) -> Column:
     """A suffix with a leading '.' matches by ``endswith``; any other
-    entry must equal the host (".x.org" does not match "x.org")."""
+    entry must equal the host (".x.org" does not match "x.org").
+    Pass a column reference: ``host`` is used once per suffix."""
     clean = [s.strip().lower() for s in suffixes if s.strip()]
     h = F.lower(F.trim(host))
     cond = F.lit(False)
@@ -83,7 +76,12 @@ def ipv4_value(host: Column) -> Column:
 
 
 def in_ranges(value: Column, cidrs: list[str]) -> Column:
-    return F.exists(_ranges(cidrs), lambda r: (value >= r["lo"]) & (value <= r["hi"]))
+    """An OR of range tests (stays in generated code, unlike a lambda)."""
+    cond = F.lit(False)
+    for c in cidrs:
+        n = ipaddress.ip_network(c)
+        cond = cond | value.between(int(n.network_address), int(n.broadcast_address))
+    return cond
 
 
 def ipv4_internal(host: Column) -> Column:
@@ -104,16 +102,50 @@ def _ipv6_internal(hosts: pd.Series) -> pd.Series:
     return hosts.map(one).astype("boolean")
 
 
-def is_internal(url: Column, internal_suffixes: list[str], allow_private_ips: bool = True) -> Column:
-    """Internal by host suffix, or (when allowed) by a private /
-    loopback / link-local / reserved IP literal; no host → false."""
-    h = strict_hostname(url)
-    by_name = matches_suffixes(h, internal_suffixes)
+def internal_from_parts(host: Column, v4: Column, internal_suffixes: list[str],
+                        allow_private_ips: bool = True) -> Column:
+    """C26 from a staged host column and its staged IPv4 value (both plain
+    column references, so the range tests do not re-parse the host)."""
+    by_name = matches_suffixes(host, internal_suffixes)
     if not allow_private_ips:
-        return by_name
-    v6 = _ipv6_internal(F.when(h.contains(":"), h))
-    by_ip = F.coalesce(ipv4_internal(h), v6, F.lit(False))
-    return F.coalesce(h.isNotNull() & (by_name | by_ip), F.lit(False))
+        return F.coalesce(host.isNotNull() & by_name, F.lit(False))
+    by_ip = F.coalesce(F.when(v4.isNotNull(), in_ranges(v4, PRIVATE_V4) & ~in_ranges(v4, PRIVATE_V4_EXCEPTIONS)),
+                       F.lit(False))
+    return F.coalesce(host.isNotNull() & (by_name | by_ip), F.lit(False))
+
+
+def is_internal(url: Column, internal_suffixes: list[str], allow_private_ips: bool = True) -> Column:
+    """C26 for host names and IPv4 literals as one Column (an IPv6 literal
+    is false here; ``with_internal_flag`` classifies those too). The host
+    and its IPv4 value are bound once through a one-element array."""
+    parsed = F.array(F.struct(strict_hostname(url).alias("h")))
+    return F.get(F.transform(parsed, lambda p: internal_from_parts(
+        p["h"], ipv4_value(p["h"]), internal_suffixes, allow_private_ips)), 0)
+
+
+def is_ipv6_host(host: Column) -> Column:
+    return F.coalesce(host.contains(":"), F.lit(False))
+
+
+def with_internal_flag(df: DataFrame, url: str, out: str, internal_suffixes: list[str],
+                       allow_private_ips: bool = True) -> DataFrame:
+    """C26 as a column ``out``, IPv6 literals included.
+
+    The host and its IPv4 value are staged as columns, then tested. Rows
+    whose host is an IPv6 literal (rare) are split off and classified by a
+    pandas UDF with Python's ``ipaddress``; all other rows stay in generated
+    JVM code. No shuffle: the two branches are unioned back."""
+    staged = df.withColumn("_h", strict_hostname(F.col(url))).withColumn("_v4", ipv4_value(F.col("_h")))
+    h, v4 = F.col("_h"), F.col("_v4")
+    v6 = is_ipv6_host(h)
+    plain = staged.where(~v6).withColumn(out, internal_from_parts(h, v4, internal_suffixes, allow_private_ips))
+    if allow_private_ips:
+        six_flag = F.coalesce(matches_suffixes(h, internal_suffixes) | F.coalesce(_ipv6_internal(h), F.lit(False)),
+                              F.lit(False))
+    else:
+        six_flag = internal_from_parts(h, v4, internal_suffixes, False)
+    six = staged.where(v6).withColumn(out, six_flag)
+    return plain.unionByName(six).drop("_h", "_v4")
 
 
 def host_suffixes(host: Column) -> Column:

@@ -36,8 +36,8 @@ def suffix_anti_join(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
 def egress_violations(endpoints: DataFrame, allowed: list[str], url: str = "url") -> DataFrame:
     """hosts outside the allow-list; an endpoint without a parseable host
     is itself the violation (fail closed). Blank endpoints are skipped."""
-    e = endpoints.where(F.coalesce(F.col(url), F.lit("")) != "")
-    h = N.hostname(F.col(url))
+    e = endpoints.where(F.coalesce(F.col(url), F.lit("")) != "").withColumn("_h", N.hostname(F.col(url)))
+    h = F.col("_h")
     v = F.when(h.isNull(), F.col(url)).when(~N.matches_suffixes(h, allowed), h)
     return e.select(v.alias("violation")).where(F.col("violation").isNotNull()).distinct()
 
@@ -102,9 +102,9 @@ def readiness(cfg: DataFrame, allowed: list[str] | None = None,
     allowed = K.ALLOWED_EGRESS_SUFFIXES if allowed is None else allowed
     internal = K.INTERNAL_HOST_SUFFIXES if internal is None else internal
     simulate = F.col("mode") == "simulate"
+    cfg = N.with_internal_flag(cfg, "llm_url", "_llm_internal", internal, True)
     cfg = cfg.withColumns({
         "_missing_ws": F.filter("apply_stages", lambda s: ~F.map_contains_key(F.col("workspaces"), s)),
-        "_llm_internal": N.is_internal(F.col("llm_url"), internal, True),
         "_blocked": config_egress(config_endpoints(cfg), allowed),
     })
     missing_ws, llm_ok_internal, blocked = F.col("_missing_ws"), F.col("_llm_internal"), F.col("_blocked")

@@ -105,7 +105,7 @@ CFG_EPS_SQL = ("SELECT config_id, unnest(list_concat([devops_url, pipelines_url,
 def q_endpoint_internal(spark, sf):
     """C26 over every distinct endpoint of pages and configurations."""
     urls = views.endpoints(spark, sf).select("url").unionByName(config_endpoint_rows(spark, sf).select("url")).distinct()
-    return urls.select("url", N.is_internal(F.col("url"), K.INTERNAL_HOST_SUFFIXES, True).alias("internal"))
+    return N.with_internal_flag(urls, "url", "internal", K.INTERNAL_HOST_SUFFIXES, True)
 
 
 QUERIES["endpoint_internal"] = q_endpoint_internal

@@ -54,9 +54,10 @@ def test_internal_ips(spark, ip, expected):
 
 
 def test_internal_ipv6_and_names(spark):
-    df = spark.createDataFrame([("http://[::1]/",), ("http://svc.internal/",), ("svc.internal",), ("http://[2001:4860::8888]/",)], "url string")
-    got = [r.i for r in df.select(N.is_internal(F.col("url"), K.INTERNAL_HOST_SUFFIXES, True).alias("i")).collect()]
-    assert got == [True, True, False, False]
+    urls = ["http://[::1]/", "http://svc.internal/", "svc.internal", "http://[2001:4860::8888]/", "http://[fd00::1]:80/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r.i for r in N.with_internal_flag(df, "url", "i", K.INTERNAL_HOST_SUFFIXES, True).collect()}
+    assert [got[u] for u in urls] == [True, True, False, False, True]
 
 
 def test_egress_fail_closed(spark):
