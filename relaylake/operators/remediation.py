@@ -169,27 +169,25 @@ def _identifier_substrings(df: DataFrame) -> DataFrame:
 def sql_candidates(sql_files: DataFrame, keys: DataFrame, cap: int = K.SQL_CANDIDATE_CAP) -> DataFrame:
     """E9 + W5: per (repo, schema, table) key, the first ``cap`` SQL files (by
     path) containing the table or schema name; when none does, the first
-    ``cap`` SQL files of the repository."""
-    needles = keys.select("repo", F.explode(F.array(F.lower("target_table"), F.lower("target_schema"))).alias("needle")) \
-        .where(F.col("needle") != "").distinct()
-    hits = _identifier_substrings(sql_files).join(needles, ["repo", "needle"], "left_semi")
-    top_by_needle = top_k_per_group(hits, ["repo", "needle"], [F.col("path")], cap, salt_col="path")
+    ``cap`` SQL files of the repository.
+
+    Each needle keeps at most ``cap`` files (salted top-k), so a key sees at
+    most ``2 * cap`` candidates and the per-key list is bounded."""
     k = keys.select("repo", "target_schema", "target_table").distinct()
-    by_table = k.join(top_by_needle.select("repo", F.col("needle").alias("_n"), "path"),
-                      (k["repo"] == top_by_needle["repo"]) & (F.lower(k["target_table"]) == F.col("_n")), "inner") \
-        .select(k["repo"], "target_schema", "target_table", "path")
-    by_schema = k.join(top_by_needle.select("repo", F.col("needle").alias("_n"), "path"),
-                       (k["repo"] == top_by_needle["repo"]) & (F.lower(k["target_schema"]) == F.col("_n")), "inner") \
-        .select(k["repo"], "target_schema", "target_table", "path")
-    preferred = by_table.unionByName(by_schema).distinct()
-    preferred = top_k_per_group(preferred, ["repo", "target_schema", "target_table"], [F.col("path")], cap, salt_col="path")
-    fallback_keys = k.join(preferred.select("repo", "target_schema", "target_table").distinct(),
-                           ["repo", "target_schema", "target_table"], "left_anti")
-    first_files = top_k_per_group(sql_files.select("repo", "path"), ["repo"], [F.col("path")], cap, salt_col="path")
-    fallback = fallback_keys.join(first_files.drop("rank"), "repo")
-    fallback = fallback.withColumn("rank", F.lit(None).cast("int"))
-    out = preferred.unionByName(fallback.select(*preferred.columns))
-    return out.drop("rank")
+    key_needles = k.select("repo", "target_schema", "target_table",
+                           F.explode(F.array_distinct(F.array(F.lower("target_table"), F.lower("target_schema"))))
+                           .alias("needle")).where(F.col("needle") != "")
+    hits = _identifier_substrings(sql_files).join(
+        key_needles.select("repo", "needle").distinct(), ["repo", "needle"], "left_semi")
+    top_by_needle = top_k_per_group(hits, ["repo", "needle"], [F.col("path")], cap, salt_col="path").drop("rank")
+    pref = key_needles.join(top_by_needle, ["repo", "needle"]).groupBy("repo", "target_schema", "target_table") \
+        .agg(F.slice(F.array_sort(F.collect_set("path")), 1, cap).alias("paths"))
+    first_files = top_k_per_group(sql_files.select("repo", "path"), ["repo"], [F.col("path")], cap, salt_col="path") \
+        .groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("repo_paths"))
+    chosen = k.join(pref, ["repo", "target_schema", "target_table"], "left").join(first_files, "repo", "left") \
+        .select("repo", "target_schema", "target_table",
+                F.coalesce(F.col("paths"), F.col("repo_paths"), F.array().cast("array<string>")).alias("paths"))
+    return chosen.select("repo", "target_schema", "target_table", F.explode("paths").alias("path"))
 
 
 def sql_block(catalog: Column, schema: Column) -> Column:
