@@ -15,6 +15,7 @@ _MODULES = [
     "relaylake.plans.q_remediation",
     "relaylake.plans.q_streaming",
     "relaylake.plans.q_runlog",
+    "relaylake.plans.q_lookup",
 ]
 
 
