@@ -111,14 +111,16 @@ MCP_STATUS = "disabled"
 
 
 def q_plan_summary(spark, sf):
-    """C11 summary / C20: every plan's summary rendered from the template
-    table (equi-join on the template name, broadcast)."""
-    p = planning.with_plan(tickets(spark, sf)).withColumn("template_name", F.lit("requirement_summary"))
-    out = TPL.render_by_name(p, TPL.template_table(spark), "template_name", {
+    """C11 summary / C20: every plan's summary rendered from the
+    ``requirement_summary`` template. The template is the same for every row,
+    so it is bound as a literal when the plan is built (no join); per-row
+    template choice goes through ``templates.render_by_name``."""
+    p = planning.with_plan(tickets(spark, sf))
+    summary = TPL.render(TPL.literal("requirement_summary"), {
         "title": F.col("title"), "description": F.col("description"), "acceptance_criteria": F.col("acceptance_criteria"),
         "target_repo": F.col("target_repo"), "priority": F.col("priority"), "mcp_status": F.lit(MCP_STATUS),
-    }, F.concat(F.lit("Implement "), F.col("title")), "summary")
-    return out.select("work_item_id", F.sha2("summary", 256).alias("summary_sha256"), F.length("summary").alias("summary_chars"))
+    }, F.concat(F.lit("Implement "), F.col("title")))
+    return p.select("work_item_id", F.sha2(summary, 256).alias("summary_sha256"), F.length(summary).alias("summary_chars"))
 
 
 def _render_sql(name: str, fields: list[tuple[str, str]]) -> str:
