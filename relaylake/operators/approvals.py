@@ -82,7 +82,8 @@ def python_list_text(arr: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(arr, "', '"), F.lit("']"))
 
 
-def timeout_outcomes(events: DataFrame, timeout_seconds: int, late_decision: str = "overwrite") -> DataFrame:
+def timeout_outcomes(events: DataFrame, timeout_seconds: int, late_decision: str = "overwrite",
+                     decisions: tuple[str, ...] = tuple(DECISIONS)) -> DataFrame:
     """X2/X4 batch twin: what the wait returned and what the store ends with.
 
     * outcome: the first decision in [created_at, created_at + timeout],
@@ -92,7 +93,7 @@ def timeout_outcomes(events: DataFrame, timeout_seconds: int, late_decision: str
       it is dropped.
     """
     reqs = requests(events)
-    dec = events.where(F.col("event").isin(*DECISIONS)).select("request_id", "event", "actor", "ts", "seq")
+    dec = events.where(F.col("event").isin(*decisions)).select("request_id", "event", "actor", "ts", "seq")
     # one row per request joins the decision rows; AQE splits a hot request
     j = dec.join(reqs.select("request_id", "created_at"), "request_id").where(F.col("ts") >= F.col("created_at"))
     deadline = F.col("created_at") + F.make_dt_interval(secs=F.lit(timeout_seconds))

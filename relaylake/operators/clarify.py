@@ -148,3 +148,33 @@ def clarification_status(plans: DataFrame, reqs: DataFrame, pairs: DataFrame) ->
               .when(F.col("needs_clarification"), F.lit("incomplete"))
               .otherwise(F.lit("answered")))
     return j.withColumn("clarification_status", status)
+
+
+CLARIFICATION_STEP_MINUTES = 10
+
+
+def clarification_events(conversations: DataFrame) -> DataFrame:
+    """X3 input: one request per conversation at its first user turn, and an
+    ``answered`` submission at its last turn when every question has an
+    answer. Turns are ``CLARIFICATION_STEP_MINUTES`` apart from a
+    per-conversation start (2024-01-01 plus ``conv_id`` hours)."""
+    pairs = qa_pairs(conversations)
+    per = conversations.groupBy("conv_id").agg(
+        F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("t0"), F.max("turn").alias("tmax"))
+    done = requests(pairs).select(F.col("work_item_id").alias("conv_id"), "status", "n_questions")
+    j = per.join(done, "conv_id").where(F.col("t0").isNotNull())
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("conv_id").cast("int"))
+
+    def at(turn):
+        return base + F.make_dt_interval(mins=(turn * CLARIFICATION_STEP_MINUTES).cast("int"))
+
+    rid = F.concat(F.lit("clr-"), F.col("conv_id").cast("string"))
+    common = [rid.alias("request_id"), F.lit("clarification").alias("stage"), F.col("conv_id").alias("work_item_id"),
+              F.concat(F.lit("questions="), F.col("n_questions").cast("string")).alias("summary"),
+              F.lit(None).cast("string").alias("comment")]
+    req = j.select(*common, F.lit("requested").alias("event"), F.lit("agent").alias("actor"), at(F.col("t0")).alias("ts"),
+                   (F.col("conv_id") * 2).alias("seq"))
+    ans = j.where(F.col("status") == "answered").select(
+        *common, F.lit("answered").alias("event"), F.lit("responder").alias("actor"), at(F.col("tmax")).alias("ts"),
+        (F.col("conv_id") * 2 + 1).alias("seq"))
+    return req.unionByName(ans)

@@ -171,3 +171,36 @@ SELECT work_item_id, len(clarification_questions) AS n_answers,
   array_to_string(list_sort(list_transform(clarification_questions,
     lambda q: q || '=' || coalesce(struct_extract(list_filter(n, lambda e: e.q = q)[1], 'a'), 'auto-default'))), '|') AS answers
 FROM src""", extra=ANS_CTES)
+
+
+# ---- X3: clarification wait with a deadline (batch twin and stream) --------
+CLARIFICATION_TIMEOUT_S = 25 * 60
+
+
+def clar_events(spark, sf):
+    return C.clarification_events(table(spark, sf, "conversations"))
+
+
+def q_clarification_timeout(spark, sf):
+    """X3 batch twin: answered before the deadline, else timed_out by
+    system-timeout with empty answers; a later answer overwrites."""
+    from relaylake.operators import approvals as A
+    t = A.timeout_outcomes(clar_events(spark, sf), CLARIFICATION_TIMEOUT_S, "overwrite", decisions=("answered",))
+    return t.select("request_id", "outcome", "outcome_actor", "final_status")
+
+
+CLAR_SQL = f"""
+WITH conv AS (SELECT conv_id, min(turn) FILTER (WHERE role = 'user') AS t0, max(turn) AS tmax FROM conversations GROUP BY conv_id),
+pairs AS ({PAIR_CTES[0][1]}),
+done AS (SELECT conv_id, bool_and(answer IS NOT NULL) AS answered FROM pairs GROUP BY conv_id),
+c AS (SELECT conv.*, done.answered,
+        TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv.conv_id AS INTEGER)) AS base FROM conv JOIN done USING (conv_id)
+      WHERE t0 IS NOT NULL)
+SELECT 'clr-' || CAST(conv_id AS VARCHAR) AS request_id,
+  CASE WHEN answered AND tmax * 10 <= t0 * 10 + 25 AND tmax >= t0 THEN 'answered' ELSE 'timed_out' END AS outcome,
+  CASE WHEN answered AND tmax * 10 <= t0 * 10 + 25 AND tmax >= t0 THEN 'responder' ELSE 'system-timeout' END AS outcome_actor,
+  CASE WHEN answered AND tmax >= t0 THEN 'answered' ELSE 'timed_out' END AS final_status
+FROM c"""
+
+QUERIES["clarification_timeout"] = q_clarification_timeout
+ORACLE["clarification_timeout"] = CLAR_SQL

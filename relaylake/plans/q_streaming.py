@@ -131,3 +131,32 @@ def q_stream_pipeline_status(spark, sf):
 QUERIES["stream_pipeline_status"] = q_stream_pipeline_status
 ORACLE["stream_pipeline_status"] = ("SELECT work_item_id, ord, attempt, status FROM ("
                                     + q_stages.with_views(["stage_runs"], "SELECT * FROM stage_runs") + ")")
+
+
+# ---- X3 ------------------------------------------------------------------------
+def q_stream_clarifications(spark, sf):
+    from relaylake.plans import q_clarify
+    base = _base(spark, "clarifications")
+    ev = q_clarify.clar_events(spark, sf).select("request_id", "stage", "event", "actor", "ts", "seq")
+    ev.write.parquet(f"{base}/in/events")
+    end = ev.agg(F.max("ts").alias("ts")).select(
+        F.lit(SA.SENTINEL).alias("request_id"), F.lit(None).cast("string").alias("stage"), F.lit("end").alias("event"),
+        F.lit(None).cast("string").alias("actor"), (F.col("ts") + F.make_dt_interval(days=F.lit(30))).alias("ts"),
+        F.lit(-1).cast("bigint").alias("seq"))
+    end.write.parquet(f"{base}/in/end")
+    out = SA.approval_outcomes(_source(spark, ev, f"{base}/in"), q_clarify.CLARIFICATION_TIMEOUT_S, "overwrite",
+                               lateness="1 hour", retention_seconds=10 * 86400, decisions=("answered",))
+    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
+    v = SA.current_view(spark.read.parquet(f"{base}/out").drop("batch"))
+    return v.select("request_id", "outcome", "outcome_actor", "final_status")
+
+
+QUERIES["stream_clarifications"] = q_stream_clarifications
+
+
+def _clar_oracle():
+    from relaylake.plans import q_clarify
+    return q_clarify.CLAR_SQL
+
+
+ORACLE["stream_clarifications"] = _clar_oracle()

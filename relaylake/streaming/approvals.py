@@ -1,4 +1,6 @@
-"""Approval wait with deadline as a stateful stream.
+"""Approval and clarification waits with a deadline as a stateful stream
+(X2, X3, X4, X7). Clarifications use the same processor with ``answered``
+as the terminal event.
 
 ``groupBy(request_id).applyInPandasWithState`` keeps a few scalars per
 request (creation time, first in-time decision, latest decision) and an
@@ -34,7 +36,8 @@ def _us(ts) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
-def make_processor(timeout_seconds: int, late_decision: str = "overwrite", retention_seconds: int | None = None):
+def make_processor(timeout_seconds: int, late_decision: str = "overwrite", retention_seconds: int | None = None,
+                   decisions: tuple[str, ...] = DECISIONS):
     if late_decision not in ("overwrite", "ignore"):
         raise ValueError("late_decision must be 'overwrite' or 'ignore'")
     timeout_us = timeout_seconds * 1_000_000
@@ -99,7 +102,7 @@ def make_processor(timeout_seconds: int, late_decision: str = "overwrite", reten
                         st["created_us"], st["stage"] = t, r.stage
                         changed = True
                     continue
-                if r.event not in DECISIONS or st["created_us"] is None or t < st["created_us"]:
+                if r.event not in decisions or st["created_us"] is None or t < st["created_us"]:
                     continue
                 if st["last_us"] is None or (t, r.seq) > (st["last_us"], st["last_seq"]):
                     st["last_event"], st["last_us"], st["last_seq"] = r.event, t, r.seq
@@ -124,13 +127,14 @@ def make_processor(timeout_seconds: int, late_decision: str = "overwrite", reten
 
 
 def approval_outcomes(events: DataFrame, timeout_seconds: int, late_decision: str = "overwrite",
-                      lateness: str = "1 hour", retention_seconds: int | None = None) -> DataFrame:
+                      lateness: str = "1 hour", retention_seconds: int | None = None,
+                      decisions: tuple[str, ...] = DECISIONS) -> DataFrame:
     """Streaming (or batch) approval events → versioned outcome rows.
 
     ``events`` needs request_id, stage, event, actor, ts (timestamp), seq."""
     ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return ev.groupBy("request_id").applyInPandasWithState(
-        make_processor(timeout_seconds, late_decision, retention_seconds),
+        make_processor(timeout_seconds, late_decision, retention_seconds, decisions),
         OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
