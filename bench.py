@@ -2,7 +2,7 @@
 
 Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]``: one warm-up run is discarded, then the median of
-``$BENCH_RUNS`` (default 3) timed runs is reported. Each run executes the
+``$BENCH_RUNS`` (default 5) timed runs is reported. Each run executes the
 whole plan into Spark's ``noop`` sink, so nothing is collected to the
 driver. Prints one JSON line.
 """
@@ -34,7 +34,7 @@ HEADLINE = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = build_session(f"local[{cpus}]", max(cpus, 8), app_name="relaylake-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     if not spark.conf.get("spark.checkpoint.dir", None):

@@ -27,7 +27,7 @@ def _case(col, mapping: list[tuple[object, str]], default: str):
 def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets: one per order (id, title, description, type, tags, criteria,
     priority, repo_name, state, project, changed_date)."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", spread=True)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     target = F.when(k % 4 != 0, F.concat(F.lit("main.bronze.cust_"), (c % 50).cast("string"))) \
         .otherwise(F.lit("customer data"))
@@ -143,7 +143,7 @@ def suffixes(spark: SparkSession, values: list[str] | None = None) -> DataFrame:
 # ---- source files: synthetic repository content from part ------------------
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repository files (repo, path, content) generated from part rows."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", spread=True)
     k = F.col("p_partkey")
     ks = k.cast("string")
     kind = k % 4
@@ -190,7 +190,7 @@ FAILURE_HINT_PHRASES = [
 
 def failure_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed pipeline runs with log bodies: document text plus a hint phrase."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     k = F.col("doc_id")
     hint = F.get(T.str_array(FAILURE_HINT_PHRASES), (k % 4).cast("int"))
     return d.select(
@@ -211,7 +211,7 @@ def _millis_text(ms):
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines in the `ts | level | logger | message k=v ...` format from events."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", spread=True)
     level = _case(F.col("event_type"), [("error", "ERROR"), ("click", "WARNING")], "INFO")
     logger = F.concat(F.lit("relay."), F.col("event_type"))
     op = F.concat(F.lit("op_"), (F.col("user_id") % 5).cast("string"))
@@ -231,7 +231,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One delivery configuration per customer (rule checks, endpoints)."""
-    c = table(spark, sf_dir, "customer")
+    c = table(spark, sf_dir, "customer", spread=True)
     k = F.col("c_custkey")
     ks = k.cast("string")
     llm_url = (F.when(k % 4 == 0, F.lit(""))
