@@ -307,3 +307,82 @@ SELECT u.work_item_id, so1.environment, u.j AS attempt,
       || '. Focus on schema mismatch, missing source credentials, and DQ rule failures.') AS note
 FROM used u JOIN so1 USING (work_item_id, ord) JOIN plans p ON p.work_item_id = u.work_item_id
 WHERE NOT u.denied""", more_views=["plans"])
+
+
+# ---- B5: run summary as JSON -------------------------------------------------
+def q_run_summary_json(spark, sf):
+    """One JSON document per run with the ordered, nested stage results."""
+    s = summaries(spark, sf)
+    doc = F.struct(
+        F.col("work_item_id"), F.col("overall_status"),
+        F.transform("stage_results", lambda x: F.struct(
+            x["environment"].alias("environment"), x["stage_status"].alias("status"), x["gate"].alias("gate"),
+            x["attempts_used"].alias("attempts"), x["trail"].alias("trail"))).alias("stage_results"))
+    return s.select("work_item_id", F.to_json(doc).alias("summary_json"))
+
+
+QUERIES["run_summary_json"] = q_run_summary_json
+ORACLE["run_summary_json"] = stage_sql("""
+SELECT work_item_id, CAST(to_json(struct_pack(work_item_id := work_item_id, overall_status := any_value(overall_status),
+  stage_results := list(struct_pack(environment := environment, status := stage_status, gate := gate,
+                                    attempts := attempts_used, trail := trail) ORDER BY ord))) AS VARCHAR) AS summary_json
+FROM kept GROUP BY work_item_id""")
+
+
+# ---- A10: template chosen per row from the template table -------------------
+def q_stage_messages(spark, sf):
+    """A10/C20: a message per stage that ran, from the template each row
+    names (failure remediation for failed stages, approval suggestion for
+    approved ones, none otherwise → fallback). The template table is a
+    handful of rows, joined by broadcast on the name."""
+    from relaylake.functions import templates as TPL
+    from relaylake.operators import approvals as A
+    p = planning.with_plan(tickets(spark, sf)).select("work_item_id", "target_catalog", "target_schema", "target_table",
+                                                      "target_repo", "ingestion_mode")
+    k = stages.kept_stages(summaries(spark, sf)).join(p, "work_item_id")
+    k = k.withColumn("template_name", F.when(F.col("stage_status") == "failed", F.lit("failure_remediation"))
+                     .when(F.col("gate") == "approved", F.lit("approval_suggestion")).otherwise(F.lit("stage_note")))
+    k = A.with_guidance(k.withColumn("stage", F.col("environment")), A.guidance_table(spark))
+    ctx = {
+        "environment": F.col("environment"), "attempt": F.col("attempts_used"),
+        "target_table": F.concat_ws(".", "target_catalog", "target_schema", "target_table"),
+        "repo": F.col("target_repo"), "ingestion_mode": F.col("ingestion_mode"), "failure_context": F.col("trail"),
+        "stage": F.col("environment"), "risk_level": F.col("risk_level"),
+        "summary": F.concat(F.lit("stage "), F.col("environment"), F.lit(" of work item "), F.col("work_item_id").cast("string")),
+        "checklist": TPL.python_list(F.col("checklist")),
+    }
+    out = TPL.render_by_name(k, TPL.template_table(spark), "template_name", ctx,
+                             F.concat(F.lit("No template for stage "), F.col("environment"), F.lit(".")), "message")
+    return out.select("work_item_id", "ord", "template_name", F.sha2("message", 256).alias("message_sha256"))
+
+
+def _render_sql(name: str, fields: list[tuple[str, str]]) -> str:
+    out = "'" + K.TEMPLATES[name].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for key, v in fields:
+        out = f"replace({out}, '{{{key}}}', {v})"
+    return out
+
+
+def _stage_messages_sql() -> str:
+    from relaylake.plans.q_approvals import CHECKLIST_PY_SQL, RISK_SQL
+    checklist = CHECKLIST_PY_SQL.replace("lower(trim(stage))", "environment")
+    risk = RISK_SQL.replace("lower(trim(stage))", "environment")
+    rem = _render_sql("failure_remediation", [
+        ("environment", "environment"), ("attempt", "CAST(attempts_used AS VARCHAR)"),
+        ("target_table", "target_catalog || '.' || target_schema || '.' || target_table"), ("repo", "target_repo"),
+        ("ingestion_mode", "ingestion_mode"), ("failure_context", "trail")])
+    sug = _render_sql("approval_suggestion", [
+        ("stage", "environment"), ("risk_level", risk),
+        ("summary", "'stage ' || environment || ' of work item ' || CAST(k.work_item_id AS VARCHAR)"),
+        ("checklist", checklist)])
+    return stage_sql(f"""
+SELECT work_item_id, ord, template_name, sha256(CASE template_name WHEN 'failure_remediation' THEN {rem}
+    WHEN 'approval_suggestion' THEN {sug} ELSE 'No template for stage ' || environment || '.' END) AS message_sha256
+FROM (SELECT k.*, p.target_catalog, p.target_schema, p.target_table, p.target_repo, p.ingestion_mode,
+        CASE WHEN k.stage_status = 'failed' THEN 'failure_remediation' WHEN k.gate = 'approved' THEN 'approval_suggestion'
+             ELSE 'stage_note' END AS template_name
+      FROM kept k JOIN plans p ON p.work_item_id = k.work_item_id) k""", more_views=["plans"])
+
+
+QUERIES["stage_messages"] = q_stage_messages
+ORACLE["stage_messages"] = _stage_messages_sql()
