@@ -96,9 +96,10 @@ def config_egress(endpoints: Column, allowed: list[str]) -> Column:
 
 
 def readiness(cfg: DataFrame, allowed: list[str] | None = None,
-              internal: list[str] | None = None) -> DataFrame:
+              internal: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The seven readiness checks per configuration as a name → status
-    map, plus the failed subset (status not starting with "ok")."""
+    map, plus the failed subset (status not starting with "ok"). ``keep``
+    carries further columns (or expressions) through the same projection."""
     allowed = K.ALLOWED_EGRESS_SUFFIXES if allowed is None else allowed
     internal = K.INTERNAL_HOST_SUFFIXES if internal is None else internal
     simulate = F.col("mode") == "simulate"
@@ -130,6 +131,7 @@ def readiness(cfg: DataFrame, allowed: list[str] | None = None,
         "config_id",
         F.map_from_entries(entries).alias("checks"),
         F.transform(F.filter(entries, lambda e: ~e["status"].startswith("ok")), lambda e: e["name"]).alias("failed"),
+        "_blocked", *(keep or []),
     )
 
 

@@ -227,7 +227,7 @@ SELECT config_id, array_to_string({BLOCKED_SQL}, ',') AS blocked FROM pipeline_c
 
 def q_readiness_rollup(spark, sf):
     """Readiness checks per configuration and the failed subset."""
-    r = EP.readiness(configs(spark, sf))
+    r = EP.readiness(configs(spark, sf)).drop("_blocked")
     ordered = F.array(*[F.concat(F.lit(n + "="), F.col("checks")[n]) for n in K.READINESS_CHECKS])
     return r.select("config_id", F.array_join(ordered, ";").alias("checks"), F.array_join("failed", ",").alias("failed"))
 
@@ -256,13 +256,10 @@ ORACLE["readiness_rollup"] = with_views(["pipeline_configs"], "SELECT config_id,
 def q_endpoint_audit(spark, sf):
     """S2 → C24 → C25/C26 → F9 → G5, one row per configuration."""
     c = configs(spark, sf)
-    eps = EP.config_endpoints(c)
-    r = EP.readiness(c)
-    blocked = EP.config_egress(eps, K.ALLOWED_EGRESS_SUFFIXES)
-    base = c.select("config_id", F.size(F.filter(eps, lambda e: e != "")).alias("n_endpoints"),
-                    F.array_join(blocked, ",").alias("blocked_hosts"))
-    return base.join(r.select("config_id", F.col("checks")["security"].alias("security"),
-                              F.array_join("failed", ",").alias("failed_checks")), "config_id")
+    n_eps = F.size(F.filter(EP.config_endpoints(c), lambda e: e != "")).alias("n_endpoints")
+    r = EP.readiness(c, keep=[n_eps])  # one projection per configuration, no self-join
+    return r.select("config_id", "n_endpoints", F.array_join("_blocked", ",").alias("blocked_hosts"),
+                    F.col("checks")["security"].alias("security"), F.array_join("failed", ",").alias("failed_checks"))
 
 
 QUERIES["endpoint_audit"] = q_endpoint_audit
