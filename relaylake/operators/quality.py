@@ -190,7 +190,10 @@ def stage_summary(spark: SparkSession, checks: DataFrame, target: str) -> DataFr
     """
     cfg_rows = [(stage, i, c) for stage, names in K.QA_CHECKS.items() for i, c in enumerate(names)]
     cfg = spark.createDataFrame(cfg_rows, "stage string, pos int, check string")
-    per_check = checks.groupBy(F.col("check").alias("check")).agg(F.bool_and("passed").alias("ok"))
+    names = sorted({c for _, _, c in cfg_rows})
+    # only configured check names can match, so the grouped side has at most
+    # len(names) rows: a proven bound for the broadcast
+    per_check = checks.where(F.col("check").isin(*names)).groupBy("check").agg(F.bool_and("passed").alias("ok"))
     j = cfg.join(F.broadcast(per_check), "check", "left")
     agg = j.groupBy("stage").agg(
         F.array_sort(F.collect_list(F.struct("pos", "check", F.coalesce(F.col("ok"), F.lit(False)).alias("ok")))).alias("l"))

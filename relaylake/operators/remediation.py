@@ -227,7 +227,8 @@ def sql_patches(runs: DataFrame, sql_files: DataFrame) -> DataFrame:
 
 # ---- G9 / U5 / P5 -----------------------------------------------------------
 def remediation_report(runs: DataFrame, files: DataFrame, plugins: list[str] | None = None,
-                       allow_fallback: bool = True, attempt: Column | None = None) -> DataFrame:
+                       allow_fallback: bool = True, attempt: Column | None = None,
+                       materialize: bool = False) -> DataFrame:
     """P5: per failed run — labels, the plugins that changed files, the report
     text and the remediation outcome.
 
@@ -238,6 +239,11 @@ def remediation_report(runs: DataFrame, files: DataFrame, plugins: list[str] | N
     r = runs.withColumn("failure_context", failure_context(F.col("status"), F.col("logs_url"), F.col("log_body"),
                                                            F.col("run_id")))
     r = with_labels(r).where(~F.lower(F.col("status")).isin(*K.PROMOTABLE_STATUSES))
+    if materialize:
+        # the failed runs feed the SQL patch branch and the final join: they
+        # are written once instead of being recomputed per branch
+        from relaylake.session import materialize as _materialize
+        r = _materialize(r.sparkSession, r)
     per_repo = repo_patches(files).groupBy("repo").agg(
         F.count_if(F.col("plugin") == "databricks_notebook").alias("nb_n"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("plugin") == "databricks_notebook",

@@ -67,14 +67,14 @@ def pipeline_catalog(spark, sf):
                     .alias("name"), F.col("s_suppkey").alias("pipeline_id"), F.col("s_suppkey").alias("ord"))
 
 
-def q_pipeline_resolve(spark, sf):
+def q_resolve_run_names(spark, sf):
     names = stages.run_ids(views.stage_runs(spark, sf)).select("pipeline_name").distinct()
     extra = spark.createDataFrame([("local-unknown",)], "pipeline_name string")
     return stages.resolve_pipelines(names.unionByName(extra), pipeline_catalog(spark, sf))
 
 
-QUERIES["pipeline_resolve"] = q_pipeline_resolve
-ORACLE["pipeline_resolve"] = with_views(["stage_runs"], """
+QUERIES["resolve_run_names"] = q_resolve_run_names
+ORACLE["resolve_run_names"] = with_views(["stage_runs"], """
 SELECT n.pipeline_name, c.pipeline_id, c.pipeline_id IS NOT NULL AS found
 FROM (SELECT DISTINCT 'local-' || environment AS pipeline_name FROM stage_runs UNION ALL SELECT 'local-unknown') n
 LEFT JOIN (SELECT name, arg_min(s_suppkey, s_suppkey) AS pipeline_id FROM (

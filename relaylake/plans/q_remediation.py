@@ -216,7 +216,7 @@ ORACLE["sql_patch"] = with_views(["failure_logs", "plans", "source_files"],
 
 # ---- G9 / U5 / P5 ------------------------------------------------------------
 def q_remediation_batch(spark, sf):
-    rep = R.remediation_report(runs(spark, sf), files(spark, sf))
+    rep = R.remediation_report(runs(spark, sf), files(spark, sf), materialize=True)
     return rep.select("run_id", "report", "remediation_status", "remediation_detail")
 
 

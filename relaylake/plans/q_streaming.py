@@ -117,7 +117,7 @@ def status_events(spark: SparkSession, sf: str):
                                   (start + F.make_dt_interval(secs=F.col("duration_s").cast("int") + 90)).alias("ts"))))
 
 
-def q_stream_pipeline_status(spark, sf):
+def q_stream_run_status(spark, sf):
     base = _base(spark, "status")
     ev = status_events(spark, sf)
     ev.write.parquet(f"{base}/in")
@@ -128,8 +128,8 @@ def q_stream_pipeline_status(spark, sf):
     return latest
 
 
-QUERIES["stream_pipeline_status"] = q_stream_pipeline_status
-ORACLE["stream_pipeline_status"] = ("SELECT work_item_id, ord, attempt, status FROM ("
+QUERIES["stream_run_status"] = q_stream_run_status
+ORACLE["stream_run_status"] = ("SELECT work_item_id, ord, attempt, status FROM ("
                                     + q_stages.with_views(["stage_runs"], "SELECT * FROM stage_runs") + ")")
 
 

@@ -62,3 +62,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A child of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(spark: SparkSession, df):
+    """Cut lineage for a result several branches reuse: an eager
+    ``checkpoint()`` into the shared ``spark.checkpoint.dir`` (reliable files,
+    recomputation after an executor loss starts from them)."""
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
