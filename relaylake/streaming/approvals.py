@@ -94,25 +94,31 @@ def make_processor(timeout_seconds: int, late_decision: str = "overwrite", reten
             return
         frames = [p for p in pdfs if len(p)]
         if frames:
-            rows = pd.concat(frames).sort_values(["ts", "seq"])
-            for r in rows.itertuples(index=False):
-                t = _us(r.ts)
-                if r.event == "requested":
-                    if st["created_us"] is None:
-                        st["created_us"], st["stage"] = t, r.stage
-                        changed = True
-                    continue
-                if r.event not in decisions or st["created_us"] is None or t < st["created_us"]:
-                    continue
-                if st["last_us"] is None or (t, r.seq) > (st["last_us"], st["last_seq"]):
-                    st["last_event"], st["last_us"], st["last_seq"] = r.event, t, r.seq
-                if st["phase"] == 0:
-                    if t <= st["created_us"] + timeout_us:
-                        st["outcome"], st["outcome_actor"] = r.event, r.actor
-                    else:  # the deadline passed before the watermark caught up
-                        st["outcome"], st["outcome_actor"] = "timed_out", "system-timeout"
-                    st["phase"] = 1
+            rows = pd.concat(frames, ignore_index=True)
+            t = rows["ts"].astype("datetime64[us]").astype("int64")
+            # vectorised per batch: the first request, then the decisions at
+            # or after it — earliest in time and latest overall
+            req = rows.index[rows["event"] == "requested"]
+            if st["created_us"] is None and len(req):
+                i = min(req, key=lambda j: (t[j], rows.at[j, "seq"]))
+                st["created_us"], st["stage"] = int(t[i]), rows.at[i, "stage"]
                 changed = True
+            if st["created_us"] is not None:
+                dec = rows.index[rows["event"].isin(list(decisions)) & (t >= st["created_us"])]
+                if len(dec):
+                    last = max(dec, key=lambda j: (t[j], rows.at[j, "seq"]))
+                    if st["last_us"] is None or (int(t[last]), int(rows.at[last, "seq"])) > (st["last_us"], st["last_seq"]):
+                        st["last_event"], st["last_us"], st["last_seq"] = (
+                            rows.at[last, "event"], int(t[last]), int(rows.at[last, "seq"]))
+                    if st["phase"] == 0:
+                        in_time = [j for j in dec if t[j] <= st["created_us"] + timeout_us]
+                        if in_time:
+                            first = min(in_time, key=lambda j: (t[j], rows.at[j, "seq"]))
+                            st["outcome"], st["outcome_actor"] = rows.at[first, "event"], rows.at[first, "actor"]
+                        else:  # the deadline passed before the watermark caught up
+                            st["outcome"], st["outcome_actor"] = "timed_out", "system-timeout"
+                        st["phase"] = 1
+                    changed = True
         if st["created_us"] is None:
             return  # decisions without a request are ignored
         if st["phase"] == 0 and st["created_us"] + timeout_us <= wm_us:
