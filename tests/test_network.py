@@ -71,3 +71,50 @@ def test_suffix_anti_join_equals_rule(spark):
     suf = spark.createDataFrame([(".x.org",), ("y.net",), ("",)], "suffix string")
     left = sorted(r.host for r in EP.suffix_anti_join(hosts, suf).collect())
     assert left == ["b.y.net", "x.org", "z.com"]
+
+
+CFG_SCHEMA = ("config_id long, stage_sequence array<string>, apply_stages array<string>, approval_stages array<string>, "
+              "retry_attempts int, retry_initial double, retry_max double, backoff double, max_remediation int, mode string, "
+              "strict boolean, llm_enabled boolean, llm_url string, plugins array<string>, workspaces map<string,string>, "
+              "mcp_servers map<string,string>, devops_url string, pipelines_url string, repos_url string")
+
+
+def cfg_rows(spark):
+    good = (1, ["dev", "qe"], ["dev"], ["qe"], 3, 1.0, 8.0, 2.0, 2, "connected", True, True, "http://llm.internal/v1",
+            ["sql"], {"dev": "https://a.azuredatabricks.net"}, {}, "https://dev.azure.com/o", "https://dev.azure.com/o",
+            "https://dev.azure.com/o")
+    bad = (2, ["dev"], ["dev", "uat", "uat"], ["qe", "prod"], 0, 0.0, 8.0, 0.5, -1, "simulate", True, True, "",
+           [" ", ""], {}, {}, "https://dev.azure.com/o", "https://evil.example.com", "host-only")
+    return spark.createDataFrame([good, bad], CFG_SCHEMA)
+
+
+def test_config_rules(spark):
+    c = cfg_rows(spark)
+    got = {r.config_id: r.e for r in c.select("config_id", EP.config_errors(c).alias("e")).collect()}
+    assert got[1] == []
+    assert got[2] == [
+        "At least one Databricks workspace URL must be configured.",
+        "transformers.enabled_plugins must include at least one plugin name.",
+        "workflow.databricks_apply_in_stages must be subset of workflow.stage_sequence. Invalid stages: ['uat']",
+        "workflow.hil_approval_stages must be subset of workflow.stage_sequence. Invalid stages: ['prod', 'qe']",
+        "runtime.retry_attempts must be at least 1.",
+        "runtime.retry_initial_delay_seconds must be greater than 0.",
+        "runtime.retry_backoff_multiplier must be >= 1.",
+        "runtime.max_failure_remediation_attempts must be >= 0.",
+        "security.strict_private_mode requires integration_mode='connected' so the agent runs with real enterprise integrations.",
+        "security.strict_private_mode with llm_enabled=true requires prompts.llm_endpoint_url.",
+    ]
+
+
+def test_readiness(spark):
+    c = cfg_rows(spark)
+    got = {r.config_id: (r.checks, r.failed) for r in EP.readiness(c).collect()}
+    checks1, failed1 = got[1]
+    assert failed1 == [] and checks1["security"] == "ok" and checks1["llm"] == "ok"
+    checks2, failed2 = got[2]
+    assert checks2["databricks"] == "error(missing_workspace_urls:dev,uat,uat)"
+    assert checks2["llm"] == "error(llm_endpoint_missing)"
+    assert checks2["security"] == "error(strict_private_requires_connected_mode)"
+    assert failed2 == ["databricks", "llm", "security"]
+    blocked = c.select("config_id", EP.config_egress(EP.config_endpoints(c), K.ALLOWED_EGRESS_SUFFIXES).alias("b")).collect()
+    assert {r.config_id: r.b for r in blocked} == {1: [], 2: ["evil.example.com", "host-only"]}
