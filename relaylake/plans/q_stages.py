@@ -386,3 +386,37 @@ FROM (SELECT k.*, p.target_catalog, p.target_schema, p.target_table, p.target_re
 
 QUERIES["stage_messages"] = q_stage_messages
 ORACLE["stage_messages"] = _stage_messages_sql()
+
+
+# ---- P3 full cycle: feedback → history (keep 500) → source rank -------------
+def q_learning_cycle(spark, sf):
+    """This cycle's learning rows are appended after the stored history
+    (in ticket order), the last 500 are kept, and the source-type rank is
+    recomputed from them. Retention is a top-k over (is_new, key): no global
+    row numbering is needed to continue the sequence."""
+    s = summaries(spark, sf).select("work_item_id", "overall_status")
+    p = reached_stage_loop(spark, sf).select("work_item_id", "source_types")
+    new = s.join(p, "work_item_id").select(F.lit(1).alias("grp"), F.col("work_item_id").alias("k"), "source_types")
+    old = views.learning_history(spark, sf).select(F.lit(0).alias("grp"), F.col("seq").alias("k"), "source_types")
+    kept = new.unionByName(old).orderBy(F.col("grp").desc(), F.col("k").desc()).limit(K.HISTORY_LIMIT)
+    ranked = kept.select((F.col("grp") * (1 << 40) + F.col("k")).alias("seq"), "source_types")
+    return learning.source_rank(ranked)
+
+
+QUERIES["learning_cycle"] = q_learning_cycle
+ORACLE["learning_cycle"] = stage_sql(f"""
+SELECT source_type, CAST(count(*) AS BIGINT) AS n,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, min(seq), min(pos)) AS INTEGER) AS rank
+FROM (SELECT grp * 1099511627776 + k AS seq, unnest(source_types) AS source_type,
+             unnest(generate_series(0, len(source_types) - 1)) AS pos
+      FROM (SELECT * FROM (
+              SELECT 1 AS grp, k.work_item_id AS k, any_value(p.source_types) AS source_types
+              FROM kept k JOIN plans p ON p.work_item_id = k.work_item_id
+              WHERE NOT list_contains(p.clarification_questions, '{K.Q_TABLE}')
+                AND p.run_key NOT IN (SELECT run_key FROM (SELECT run_key, arg_max(status, seq) AS s FROM run_ledger GROUP BY run_key)
+                                      WHERE s = 'succeeded')
+              GROUP BY k.work_item_id
+              UNION ALL
+              SELECT 0, seq, source_types FROM learning_history)
+            ORDER BY grp DESC, k DESC LIMIT {K.HISTORY_LIMIT}))
+GROUP BY source_type""", more_views=["plans", "run_ledger", "learning_history"])
