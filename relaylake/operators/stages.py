@@ -153,7 +153,9 @@ def stage_cross(plans: DataFrame, stages: list[str] | None = None) -> DataFrame:
 
 def run_ids(runs: DataFrame, prefix: str = K.PIPELINE_PREFIX) -> DataFrame:
     """Pipeline name, run id and URLs per run row."""
-    epoch = F.unix_timestamp(F.col("started_at").cast("timestamp")).cast("string")
+    # seconds since the epoch of a wall-clock (NTZ) value: no session time zone
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                             F.col("started_at").cast("timestamp_ntz")).cast("string")
     run_id = F.concat_ws("-", F.lit(prefix), F.col("environment"), F.col("work_item_id").cast("string"), epoch)
     return runs.select(
         "work_item_id", "ord", "attempt",
@@ -165,10 +167,10 @@ def run_ids(runs: DataFrame, prefix: str = K.PIPELINE_PREFIX) -> DataFrame:
 
 def stage_duration(runs: DataFrame) -> DataFrame:
     """Duration between start and finish (finish = start + duration_s)."""
-    start = F.col("started_at").cast("timestamp")
-    finish = F.timestamp_seconds(F.unix_seconds(start) + F.col("duration_s"))
+    start = F.col("started_at").cast("timestamp_ntz")
+    finish = start + F.make_dt_interval(secs=F.col("duration_s").cast("decimal(18,6)"))
     return runs.select("work_item_id", "ord", "attempt",
-                       ((F.unix_micros(finish) - F.unix_micros(start)) / 1_000_000).alias("duration_seconds"))
+                       (F.timestamp_diff("MICROSECOND", start, finish) / 1_000_000).alias("duration_seconds"))
 
 
 def resolve_pipelines(requests: DataFrame, catalog: DataFrame) -> DataFrame:
