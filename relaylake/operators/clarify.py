@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relaylake import constants as K
 from relaylake.functions import text as T
 
 MAX_QUESTIONS = 5  # a plan asks at most the five fixed questions

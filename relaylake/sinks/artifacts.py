@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylake import constants as K
 
 NL = "\n"
 
@@ -81,5 +80,3 @@ def write_text(df: DataFrame, text_col: str, out_dir: str, partition_by: list[st
     cols = (partition_by or []) + [text_col]
     df.select(*cols).write.mode(mode).partitionBy(*(partition_by or [])).text(out_dir)
 
-
-__all__ = ["job_specs", "change_notes", "remediation_notes", "write_text", "K"]

@@ -8,7 +8,6 @@ retried and only committed files become visible.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def bootstrap(spark: SparkSession, schema: str, table: str, ddl: str, location: str,
@@ -53,6 +52,3 @@ def union_evolving(a: DataFrame, b: DataFrame) -> DataFrame:
     """B3 in memory: union by name, columns missing on one side become NULL."""
     return a.unionByName(b, allowMissingColumns=True)
 
-
-__all__ = ["bootstrap", "write_bronze", "overwrite_partitions", "append_evolving", "read_evolving",
-           "union_evolving", "F"]
