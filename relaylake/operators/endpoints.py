@@ -48,6 +48,15 @@ def _py_list(arr: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "), F.lit("]"))
 
 
+def effective_mode(cfg: DataFrame) -> Column:
+    """The integration mode after the legacy alias: a ``local_mode`` column,
+    when present and set, means simulate (true) or connected (false)."""
+    if "local_mode" not in cfg.columns:
+        return F.col("mode")
+    lm = F.col("local_mode")
+    return F.when(lm.isNull(), F.col("mode")).when(lm, F.lit("simulate")).otherwise(F.lit("connected"))
+
+
 def config_errors(cfg: DataFrame) -> Column:
     """F11 + S1: every rule violation of a configuration row, in rule order."""
     seq = F.col("stage_sequence")
@@ -68,7 +77,7 @@ def config_errors(cfg: DataFrame) -> Column:
         F.when(F.col("retry_max") <= 0, F.lit("runtime.retry_max_delay_seconds must be greater than 0.")),
         F.when(F.col("backoff") < 1, F.lit("runtime.retry_backoff_multiplier must be >= 1.")),
         F.when(F.col("max_remediation") < 0, F.lit("runtime.max_failure_remediation_attempts must be >= 0.")),
-        F.when(F.col("strict") & (F.col("mode") != "connected"), F.lit(
+        F.when(F.col("strict") & (effective_mode(cfg) != "connected"), F.lit(
             "security.strict_private_mode requires integration_mode='connected' "
             "so the agent runs with real enterprise integrations.")),
         F.when(F.col("strict") & F.col("llm_enabled") & (F.coalesce(F.col("llm_url"), F.lit("")) == ""), F.lit(
@@ -102,7 +111,8 @@ def readiness(cfg: DataFrame, allowed: list[str] | None = None,
     carries further columns (or expressions) through the same projection."""
     allowed = K.ALLOWED_EGRESS_SUFFIXES if allowed is None else allowed
     internal = K.INTERNAL_HOST_SUFFIXES if internal is None else internal
-    simulate = F.col("mode") == "simulate"
+    cfg = cfg.withColumn("_mode", effective_mode(cfg))
+    simulate = F.col("_mode") == "simulate"
     cfg = N.with_internal_flag(cfg, "llm_url", "_llm_internal", internal, True)
     cfg = cfg.withColumns({
         "_missing_ws": F.filter("apply_stages", lambda s: ~F.map_contains_key(F.col("workspaces"), s)),
@@ -122,7 +132,7 @@ def readiness(cfg: DataFrame, allowed: list[str] | None = None,
          .otherwise(F.lit("ok"))),
         ("mcp", F.lit("ok(disabled)")),
         ("security", F.when(~F.col("strict"), F.lit("ok(disabled)"))
-         .when(F.col("mode") != "connected", F.lit("error(strict_private_requires_connected_mode)"))
+         .when(F.col("_mode") != "connected", F.lit("error(strict_private_requires_connected_mode)"))
          .when(F.size(blocked) > 0, F.concat(F.lit("error(disallowed_egress_hosts:"), F.array_join(blocked, ","), F.lit(")")))
          .otherwise(F.lit("ok"))),
     ]

@@ -118,3 +118,13 @@ def test_readiness(spark):
     assert failed2 == ["databricks", "llm", "security"]
     blocked = c.select("config_id", EP.config_egress(EP.config_endpoints(c), K.ALLOWED_EGRESS_SUFFIXES).alias("b")).collect()
     assert {r.config_id: r.b for r in blocked} == {1: [], 2: ["evil.example.com", "host-only"]}
+
+
+def test_local_mode_alias(spark):
+    c = cfg_rows(spark).withColumn("local_mode", F.when(F.col("config_id") == 1, F.lit(True)))
+    got = {r.config_id: r.checks for r in EP.readiness(c).collect()}
+    assert got[1]["azure_pipelines"] == "ok(simulate_mode)"          # alias wins over mode=connected
+    assert got[1]["security"] == "error(strict_private_requires_connected_mode)"
+    assert got[2]["azure_pipelines"] == "ok(simulate_mode)"          # no alias: mode column
+    errs = {r.config_id: r.e for r in c.select("config_id", EP.config_errors(c).alias("e")).collect()}
+    assert any(e.startswith("security.strict_private_mode requires") for e in errs[1])
