@@ -38,15 +38,15 @@ def latest_state(events: DataFrame) -> DataFrame:
     (last write wins, ordered by (ts, seq)); no decision → pending."""
     reqs = requests(events)
     dec = events.where(F.col("event").isin(*DECISIONS))
+    # only what the state needs travels through the aggregate (no comment text)
     latest = dec.groupBy("request_id").agg(
-        F.max_by(F.struct("event", "actor", "comment", "ts"), F.struct("ts", "seq")).alias("d"))
+        F.max_by(F.struct("event", "actor", "ts"), F.struct("ts", "seq")).alias("d"))
     j = reqs.join(latest, "request_id", "left")
     valid = F.col("d").isNotNull() & (F.col("d.ts") >= F.col("created_at"))
     return j.select(
         "request_id", "work_item_id", "stage", "summary", "created_at",
         F.when(valid, F.col("d.event")).otherwise(F.lit("pending")).alias("status"),
         F.when(valid, F.col("d.actor")).alias("approver"),
-        F.when(valid, F.col("d.comment")).alias("comment"),
         F.when(valid, F.col("d.ts")).otherwise(F.col("created_at")).alias("updated_at"),
     )
 
