@@ -247,3 +247,27 @@ UNION ALL SELECT 'unique:c_custkey', 'customer', count(*), count(*) = 0, 'critic
 UNION ALL SELECT 'fk:c_nationkey->n_nationkey', 'customer', count(*), count(*) = 0, 'critical'
   FROM landed WHERE c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation)
 UNION ALL SELECT 'quarantined_records', 'customer', count(*), true, 'info' FROM customer WHERE NOT ({GOOD_SQL})"""
+
+
+# ---- A6 ----------------------------------------------------------------------
+def q_file_corpus(spark, sf):
+    """Repository files read back through the binaryFile scan.
+
+    The files derived from ``part`` are written one per (repo, path)
+    partition folder; the scan reads every file recursively, keeps valid
+    UTF-8 only, and the repo and path are recovered from the folder names.
+    The text writer ends each record with a line break; exactly that one is
+    removed (``\\z`` anchors at the very end)."""
+    from relaylake.sources import views as V
+    base = _scratch(spark, "corpus")
+    src = V.source_files(spark, sf)
+    src.write.partitionBy("repo", "path").text(base)
+    got = files.read_source_files(spark, base, "*.txt")
+    repo = F.regexp_extract("path", r"/repo=([^/]+)/", 1)
+    path = F.url_decode(F.regexp_extract("path", r"/path=([^/]+)/", 1))
+    return got.select(repo.alias("repo"), path.alias("path"),
+                      F.regexp_replace("content", r"\n\z", "").alias("content"))
+
+
+QUERIES["file_corpus"] = q_file_corpus
+ORACLE["file_corpus"] = with_views(["source_files"], "SELECT repo, path, content FROM source_files")
