@@ -271,3 +271,61 @@ def q_file_corpus(spark, sf):
 
 QUERIES["file_corpus"] = q_file_corpus
 ORACLE["file_corpus"] = with_views(["source_files"], "SELECT repo, path, content FROM source_files")
+
+
+# ---- A5 / A3: state documents, bucketed so no document grows with the data --
+DOC_ENTRIES = 1000
+
+
+def _buckets(df) -> int:
+    """Number of documents so that each holds about DOC_ENTRIES entries
+    (one count aggregate; the number is a parameter of the layout)."""
+    n = df.count()
+    return max(1, -(-n // DOC_ENTRIES))
+
+
+def q_ledger_scan(spark, sf):
+    """A5: the run ledger's latest state written as ``{"runs": {key: {status}}}``
+    documents (hash-bucketed by run key) and read back."""
+    from relaylake.operators import intake as I
+    latest = I.latest_run_status(views.run_ledger(spark, sf))
+    nb = _buckets(latest)
+    docs = latest.groupBy(F.pmod(F.xxhash64("run_key"), F.lit(nb)).alias("b")).agg(
+        F.map_from_entries(F.collect_list(F.struct("run_key", F.struct("status").alias("v")))).alias("runs")).drop("b")
+    path = _scratch(spark, "ledger_docs")
+    docs.write.json(path)
+    return files.read_ledger_doc(spark, path, multiline=False)
+
+
+QUERIES["ledger_scan"] = q_ledger_scan
+ORACLE["ledger_scan"] = with_views(["run_ledger"], "SELECT run_key, arg_max(status, seq) AS status FROM run_ledger GROUP BY run_key")
+
+
+def q_state_doc_scan(spark, sf):
+    """A3: approval state written as ``{"requests": [...], "clarifications": []}``
+    documents (hash-bucketed by request id) and read back; the empty
+    clarification list exercises the tolerant read."""
+    from relaylake.operators import approvals as A
+    st = A.latest_state(views.approval_events(spark, sf))
+    nb = _buckets(st)
+    row = F.struct("request_id", "stage", "summary", "status", "approver", F.lit(None).cast("string").alias("comment"),
+                   F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+                   F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
+    docs = st.groupBy(F.pmod(F.xxhash64("request_id"), F.lit(nb)).alias("b")).agg(
+        F.collect_list(row).alias("requests")).drop("b")
+    path = _scratch(spark, "approval_docs")
+    docs.write.json(path)
+    reqs, _ = files.read_approvals_doc(spark, path, multiline=False)
+    return reqs.select("request_id", "stage", "status", "approver", "created_at")
+
+
+QUERIES["state_doc_scan"] = q_state_doc_scan
+
+
+def _state_doc_sql():
+    from relaylake.plans.q_approvals import STATE_CTES
+    return with_views(["approval_events"], """SELECT request_id, stage, status, approver,
+  strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM state""", extra=STATE_CTES)
+
+
+ORACLE["state_doc_scan"] = _state_doc_sql()

@@ -85,17 +85,17 @@ def read_history_doc(spark: SparkSession, path: str, multiline: bool = True) ->
         "source_types: array<string>, created_at: string>>"))))
 
 
-def read_ledger_doc(spark: SparkSession, path: str) -> DataFrame:
+def read_ledger_doc(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A5: run-ledger documents ``{"runs": {key: {"status": ...}}}`` → rows."""
-    doc = spark.read.schema(LEDGER_SCHEMA).option("multiLine", True).json(path)
+    doc = spark.read.schema(LEDGER_SCHEMA).option("multiLine", multiline).json(path)
     return doc.select(F.explode(F.coalesce("runs", F.create_map().cast("map<string,struct<status:string>>")))
                       .alias("run_key", "v")).select("run_key", F.col("v.status").alias("status"))
 
 
-def read_approvals_doc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_approvals_doc(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """A3: approval/clarification state documents, tolerant of missing keys
     (an absent list reads as empty)."""
-    doc = spark.read.schema(APPROVALS_DOC_SCHEMA).option("multiLine", True).json(path)
+    doc = spark.read.schema(APPROVALS_DOC_SCHEMA).option("multiLine", multiline).json(path)
     req_t = doc.schema["requests"].dataType.simpleString()
     clr_t = doc.schema["clarifications"].dataType.simpleString()
     reqs = doc.select(F.inline(F.coalesce("requests", F.array().cast(req_t))))
