@@ -167,7 +167,7 @@ def q_map_merge(spark, sf):
 
 QUERIES["map_merge"] = q_map_merge
 ORACLE["map_merge"] = with_views(["plans"], """
-SELECT work_item_id, len(clarification_questions) AS n_answers,
+SELECT work_item_id, CAST(len(clarification_questions) AS INTEGER) AS n_answers,
   array_to_string(list_sort(list_transform(clarification_questions,
     lambda q: q || '=' || coalesce(struct_extract(list_filter(n, lambda e: e.q = q)[1], 'a'), 'auto-default'))), '|') AS answers
 FROM src""", extra=ANS_CTES)

@@ -171,7 +171,7 @@ ERRORS_SQL = f"""list_filter([
 
 QUERIES["config_rules"] = q_config_rules
 ORACLE["config_rules"] = with_views(["pipeline_configs"], f"""
-SELECT config_id, len(e) AS n_errors, array_to_string(e, ' || ') AS errors FROM (SELECT config_id, {ERRORS_SQL} AS e FROM pipeline_configs)""")
+SELECT config_id, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, ' || ') AS errors FROM (SELECT config_id, {ERRORS_SQL} AS e FROM pipeline_configs)""")
 
 
 def q_stage_set_diff(spark, sf):
@@ -264,8 +264,8 @@ def q_endpoint_audit(spark, sf):
 
 QUERIES["endpoint_audit"] = q_endpoint_audit
 ORACLE["endpoint_audit"] = with_views(["pipeline_configs"], f"""
-SELECT config_id, len(list_filter(list_concat([devops_url, pipelines_url, repos_url, coalesce(llm_url, '')], workspace_urls, mcp_urls),
-  lambda e: e <> '')) AS n_endpoints, array_to_string({BLOCKED_SQL}, ',') AS blocked_hosts,
+SELECT config_id, CAST(len(list_filter(list_concat([devops_url, pipelines_url, repos_url, coalesce(llm_url, '')], workspace_urls, mcp_urls),
+  lambda e: e <> '')) AS INTEGER) AS n_endpoints, array_to_string({BLOCKED_SQL}, ',') AS blocked_hosts,
   {dict(CHECKS_SQL)['security']} AS security,
   array_to_string(list_filter([""" + ", ".join(f"CASE WHEN NOT starts_with({v}, 'ok') THEN '{n}' END" for n, v in CHECKS_SQL)
     + "], lambda x: x IS NOT NULL), ',') AS failed_checks FROM pipeline_configs")

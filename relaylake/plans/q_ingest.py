@@ -192,7 +192,7 @@ def q_overwrite_dedup(spark, sf):
 
 QUERIES["overwrite_dedup"] = q_overwrite_dedup
 ORACLE["overwrite_dedup"] = """SELECT o_orderstatus, count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys,
-  sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders GROUP BY o_orderstatus"""
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS total FROM orders GROUP BY o_orderstatus"""
 
 
 # ---- B3 ----------------------------------------------------------------------

@@ -136,7 +136,7 @@ SUMMARY_SQL = _render_sql("requirement_summary", [
 
 QUERIES["plan_summary"] = q_plan_summary
 ORACLE["plan_summary"] = with_views(["plans"], f"SELECT work_item_id, sha256({SUMMARY_SQL}) AS summary_sha256, "
-                                               f"length({SUMMARY_SQL}) AS summary_chars FROM plans")
+                                               f"CAST(length({SUMMARY_SQL}) AS INTEGER) AS summary_chars FROM plans")
 
 
 # ---- Q1 ----------------------------------------------------------------------

@@ -52,7 +52,7 @@ def q_failure_labels(spark, sf):
 
 
 QUERIES["failure_labels"] = q_failure_labels
-ORACLE["failure_labels"] = with_views(["failure_logs", "plans"], """SELECT run_id, length(failure_context) AS context_chars,
+ORACLE["failure_labels"] = with_views(["failure_logs", "plans"], """SELECT run_id, CAST(length(failure_context) AS INTEGER) AS context_chars,
   notebook_hint, sql_hint, etl_hint FROM lab""", extra=RUN_CTES)
 
 
@@ -83,7 +83,7 @@ REM_TEXT_SQL = _render_sql("failure_remediation", [
 
 QUERIES["render_remediation"] = q_render_remediation
 ORACLE["render_remediation"] = with_views(["failure_logs", "plans"], f"""SELECT run_id, sha256({REM_TEXT_SQL}) AS suggestion_sha256,
-  length({REM_TEXT_SQL}) AS suggestion_chars FROM failed""", extra=RUN_CTES)
+  CAST(length({REM_TEXT_SQL}) AS INTEGER) AS suggestion_chars FROM failed""", extra=RUN_CTES)
 
 
 # ---- file candidates -----------------------------------------------------------
@@ -154,7 +154,7 @@ FROM (
 
 QUERIES["notebook_patch"] = q_notebook_patch
 ORACLE["notebook_patch"] = with_views(["source_files"], f"""
-SELECT repo, path, sha256(patched) AS patched_sha256, length(patched) AS patched_chars FROM (
+SELECT repo, path, sha256(patched) AS patched_sha256, CAST(length(patched) AS INTEGER) AS patched_chars FROM (
   SELECT repo, path, array_to_string(list_concat(lines[1:insert_at], {SNIPPET_SQL},
       CASE WHEN n > 0 AND trim(lines[n]) <> '' THEN [''] ELSE [] END, lines[insert_at + 1:]), chr(10))
     || CASE WHEN ends_with(content, chr(10)) THEN chr(10) ELSE '' END AS patched

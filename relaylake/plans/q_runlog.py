@@ -35,7 +35,7 @@ def q_log_metrics(spark, sf):
 
 QUERIES["log_metrics"] = q_log_metrics
 ORACLE["log_metrics"] = with_views(["log_lines"], f"""
-SELECT name, count(*) AS runs, sum(d) AS total_seconds, max(d) AS max_seconds, max(rss) AS max_rss_kb FROM (
+SELECT name, count(*) AS runs, CAST(sum(d) AS DECIMAL(28, 3)) AS total_seconds, max(d) AS max_seconds, max(rss) AS max_rss_kb FROM (
   SELECT {_kv_sql('name')} AS name, CAST({_kv_sql('duration_seconds')} AS DECIMAL(18, 3)) AS d,
          CAST({_kv_sql('max_rss_kb')} AS BIGINT) AS rss
   FROM log_lines WHERE regexp_extract(value, '{LOG_RE}', 4) = 'operation_finished') GROUP BY name""")
