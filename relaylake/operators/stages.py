@@ -68,7 +68,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.col("qa_passed").alias("qa_passed"),
     )
     agg = r.groupBy("work_item_id", "ord").agg(
-        F.first("environment").alias("environment"),
+        F.min("environment").alias("environment"),  # one value per stage; min is deterministic
         F.bool_or(first & F.col("denied")).alias("_first_denied"),
         F.bool_or(first & F.col("_promote")).alias("promote1"),
         F.max(F.when(first, F.col("status"))).alias("status1"),

@@ -8,6 +8,7 @@ retried and only committed files become visible.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def bootstrap(spark: SparkSession, schema: str, table: str, ddl: str, location: str,
@@ -30,11 +31,23 @@ def write_bronze(df: DataFrame, path: str, mode: str, partition_by: list[str] |
     w.parquet(path)
 
 
+def dedupe_deterministic(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key; among duplicates the one with the greatest remaining
+    columns is kept. Unlike ``dropDuplicates`` (first arrival) the survivor
+    does not depend on shuffle order, so a recomputed partition after an
+    executor loss writes the same rows."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    kept = df.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, "_r.*")
+    return kept.select(*df.columns)
+
+
 def overwrite_partitions(df: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
     """B2: re-processing overwrite that leaves no duplicate rows: rows are
     de-duplicated on the business keys, and only the partitions present in
     ``df`` are replaced (dynamic partition overwrite)."""
-    (df.dropDuplicates(keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (dedupe_deterministic(df, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
 
 
