@@ -24,13 +24,11 @@ def requests(events: DataFrame) -> DataFrame:
     """One row per request that was actually requested: creation time, stage
     and summary of the first request event."""
     req = events.where(F.col("event") == "requested")
-    first = F.struct("ts", "seq")
-    return req.groupBy("request_id").agg(
-        F.min("ts").alias("created_at"),
-        F.min_by("stage", first).alias("stage"),
-        F.min_by("summary", first).alias("summary"),
-        F.min_by("work_item_id", first).alias("work_item_id"),
-    )
+    # one aggregate: the earliest request event by (ts, seq) carries the rest
+    first = req.groupBy("request_id").agg(
+        F.min(F.struct("ts", "seq", "stage", "summary", "work_item_id")).alias("f"))
+    return first.select("request_id", F.col("f.ts").alias("created_at"), F.col("f.stage").alias("stage"),
+                        F.col("f.summary").alias("summary"), F.col("f.work_item_id").alias("work_item_id"))
 
 
 def latest_state(events: DataFrame) -> DataFrame:
