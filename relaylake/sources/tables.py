@@ -27,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return spread_small_input(spark, df, path) if spread else df
 
 
-def expected_splits(spark: SparkSession, df: DataFrame, path: str) -> int:
+def expected_splits(spark: SparkSession, df: DataFrame, path: str, enough: int | None = None) -> int:
     """Scan splits estimated from the file index (file count and total bytes
-    over ``spark.sql.files.maxPartitionBytes``); no query planning."""
+    over ``spark.sql.files.maxPartitionBytes``); no query planning. When the
+    file count alone reaches ``enough`` the size is not looked up (listing
+    sizes of a large table on object storage is itself costly)."""
     n_files = len(df.inputFiles())
+    if enough is not None and n_files >= enough:
+        return n_files
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -41,6 +45,6 @@ def expected_splits(spark: SparkSession, df: DataFrame, path: str) -> int:
 
 def spread_small_input(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
-    if expected_splits(spark, df, path) < cores:
+    if expected_splits(spark, df, path, enough=cores) < cores:
         return df.repartition(cores)
     return df
