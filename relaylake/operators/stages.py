@@ -56,6 +56,8 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
     rerun. A HIL stage whose first row is denied fails at the gate.
     """
     hil = approval_stages if approval_stages is not None else K.APPROVAL_STAGES
+    if "started_at" not in runs.columns:
+        runs = runs.withColumn("started_at", F.lit(None).cast("timestamp_ntz"))
     r = runs.where(F.col("attempt") <= max_attempts + 1).withColumn(
         "_promote", promotable(F.col("status"), F.col("qa_passed")))
     first = F.col("attempt") == 1
@@ -66,6 +68,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         (~F.col("denied") & F.col("fix_ok") & F.col("_promote")).alias("promote"),
         F.col("status").alias("status"),
         F.col("qa_passed").alias("qa_passed"),
+        F.col("started_at").alias("started_at"),
     )
     agg = r.groupBy("work_item_id", "ord").agg(
         F.min("environment").alias("environment"),  # one value per stage; min is deterministic
@@ -73,6 +76,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.bool_or(first & F.col("_promote")).alias("promote1"),
         F.max(F.when(first, F.col("status"))).alias("status1"),
         F.bool_or(first & F.col("qa_passed")).alias("qa1"),
+        F.max(F.when(first, F.col("started_at"))).alias("start1"),
         F.collect_list(F.when(~first, rem)).alias("_rems"),
     )
     gate_denied = F.col("environment").isin(*hil) & F.col("_first_denied")
@@ -88,6 +92,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
     last_run = F.filter("_used", lambda x: ~x["denied"] & x["fix_ok"])
     final_status = F.coalesce(F.get(F.reverse(F.transform(last_run, lambda x: x["status"])), 0), F.col("status1"))
     final_qa = F.coalesce(F.get(F.reverse(F.transform(last_run, lambda x: x["qa_passed"])), 0), F.col("qa1"))
+    final_start = F.coalesce(F.get(F.reverse(F.transform(last_run, lambda x: x["started_at"])), 0), F.col("start1"))
     return out.select(
         "work_item_id", "ord", "environment",
         F.when(F.col("_gate_denied"), F.lit("denied"))
@@ -98,13 +103,14 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.array_join(F.transform("_used", trail_entry), " ; ").alias("trail"),
         final_status.alias("pipeline_status"),
         final_qa.alias("qa_passed"),
+        final_start.alias("pipeline_started_at"),
         F.col("_used").alias("remediations"),
     )
 
 
 def used_type() -> str:
     return ("array<struct<j:int,denied:boolean,fix_ok:boolean,promote:boolean,"
-            "status:string,qa_passed:boolean>>")
+            "status:string,qa_passed:boolean,started_at:timestamp_ntz>>")
 
 
 def trail_entry(x: Column) -> Column:
@@ -124,7 +130,7 @@ def run_summaries(outcomes: DataFrame) -> DataFrame:
     """W3 + G3 + G6: per run, the stages up to and including the first failed
     one, the overall status and the nested stage list (ordered by stage)."""
     st = F.struct("ord", "environment", "stage_status", "gate", "attempts_used", "trail",
-                  "pipeline_status", "qa_passed")
+                  "pipeline_status", "qa_passed", "pipeline_started_at")
     agg = outcomes.groupBy("work_item_id").agg(
         F.array_sort(F.collect_list(st)).alias("_all"),
         F.min(F.when(F.col("stage_status") == "failed", F.col("ord"))).alias("first_failed_ord"),
@@ -151,12 +157,17 @@ def stage_cross(plans: DataFrame, stages: list[str] | None = None) -> DataFrame:
         .withColumn("ord", F.col("stage_pos") + 1).drop("stage_pos")
 
 
+def run_id_of(environment: Column, work_item_id: Column, started_at: Column, prefix: str = K.PIPELINE_PREFIX) -> Column:
+    """C30 run id ``<prefix>-<env>-<ticket>-<epoch seconds>``; the epoch of a
+    wall-clock (NTZ) value is taken without the session time zone."""
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                             started_at.cast("timestamp_ntz")).cast("string")
+    return F.concat_ws("-", F.lit(prefix), environment, work_item_id.cast("string"), epoch)
+
+
 def run_ids(runs: DataFrame, prefix: str = K.PIPELINE_PREFIX) -> DataFrame:
     """Pipeline name, run id and URLs per run row."""
-    # seconds since the epoch of a wall-clock (NTZ) value: no session time zone
-    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                             F.col("started_at").cast("timestamp_ntz")).cast("string")
-    run_id = F.concat_ws("-", F.lit(prefix), F.col("environment"), F.col("work_item_id").cast("string"), epoch)
+    run_id = run_id_of(F.col("environment"), F.col("work_item_id"), F.col("started_at"), prefix)
     return runs.select(
         "work_item_id", "ord", "attempt",
         F.concat(F.lit(prefix + "-"), F.col("environment")).alias("pipeline_name"),
@@ -207,7 +218,9 @@ def stage_details(kept: DataFrame, plans: DataFrame, apply_stages: list[str] | N
     qa_text = F.concat(F.lit("QA checks "), F.when(F.col("qa_passed"), F.lit("passed")).otherwise(F.lit("failed")),
                        F.lit(" in "), env, F.lit(" for "), full_table, F.lit(": "), qa_check_list(env))
     trail = F.when(F.col("trail") != "", F.concat(F.lit("remediation="), F.col("trail"))).otherwise(F.lit(""))
-    ran = F.concat_ws(" | ", notes, approval, apply_text, F.concat(F.lit("stage_ord="), F.col("ord").cast("string")),
+    run_id = F.concat(F.lit("pipeline_run_id="),
+                      run_id_of(env, F.col("work_item_id"), F.col("pipeline_started_at")))
+    ran = F.concat_ws(" | ", notes, approval, apply_text, run_id,
                       qa_text, promotion_reason(env, F.col("pipeline_status"), F.col("qa_passed")), trail)
     denied = F.concat(F.lit("Promotion denied at "), env, F.lit(". "), approval)
     return j.select("work_item_id", "ord", "environment", "stage_status",

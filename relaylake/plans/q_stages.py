@@ -26,10 +26,11 @@ STAGE_CTES = [
         bool_or(attempt = 1 AND promote_raw) AS promote1,
         max(CASE WHEN attempt = 1 THEN status END) AS status1,
         bool_or(attempt = 1 AND qa_passed) AS qa1,
+        max(CASE WHEN attempt = 1 THEN started_at END) AS start1,
         min(CASE WHEN attempt >= 2 AND (denied OR (fix_ok AND promote_raw)) THEN attempt - 1 END) AS stop_j
       FROM sa GROUP BY work_item_id, ord"""),
     ("used", f"""SELECT s.work_item_id, s.ord, a.attempt - 1 AS j, a.denied, a.fix_ok,
-        (NOT a.denied AND a.fix_ok AND a.promote_raw) AS promote, a.status, a.qa_passed
+        (NOT a.denied AND a.fix_ok AND a.promote_raw) AS promote, a.status, a.qa_passed, a.started_at
       FROM so1 s JOIN sa a ON a.work_item_id = s.work_item_id AND a.ord = s.ord
       WHERE a.attempt >= 2 AND NOT s.gate_denied AND NOT s.promote1
         AND a.attempt - 1 <= coalesce(s.stop_j, {K.MAX_REMEDIATION_ATTEMPTS})"""),
@@ -40,7 +41,8 @@ STAGE_CTES = [
             || CASE WHEN promote THEN ' ; attempt=' || j || ': pipeline recovered and QA passed' ELSE '' END END,
           ' ; ' ORDER BY j) AS trail,
         arg_max(status, j) FILTER (WHERE NOT denied AND fix_ok) AS last_status,
-        arg_max(qa_passed, j) FILTER (WHERE NOT denied AND fix_ok) AS last_qa
+        arg_max(qa_passed, j) FILTER (WHERE NOT denied AND fix_ok) AS last_qa,
+        arg_max(started_at, j) FILTER (WHERE NOT denied AND fix_ok) AS last_start
       FROM used GROUP BY work_item_id, ord"""),
     ("stage_outcomes", f"""SELECT s.work_item_id, s.ord, s.environment,
         CASE WHEN s.gate_denied THEN 'denied' WHEN s.environment IN {HIL} THEN 'approved' ELSE 'not_required' END AS gate,
@@ -48,7 +50,8 @@ STAGE_CTES = [
         CAST(coalesce(a.n, 0) AS INTEGER) AS attempts_used,
         coalesce(a.trail, '') AS trail,
         coalesce(a.last_status, s.status1) AS pipeline_status,
-        coalesce(a.last_qa, s.qa1) AS qa_passed
+        coalesce(a.last_qa, s.qa1) AS qa_passed,
+        coalesce(a.last_start, s.start1) AS pipeline_started_at
       FROM so1 s LEFT JOIN used_agg a USING (work_item_id, ord)"""),
     ("rs", """SELECT work_item_id, min(CASE WHEN stage_status = 'failed' THEN ord END) AS first_failed_ord
       FROM stage_outcomes GROUP BY work_item_id"""),
@@ -222,7 +225,8 @@ SELECT k.work_item_id, k.ord, k.environment, k.stage_status,
     CASE WHEN environment IN ('dev') THEN 'Local Databricks simulation completed. Job spec written to jobs/' || environment
          || '_work_item_' || CAST(k.work_item_id AS VARCHAR) || '.yaml.'
          ELSE 'Databricks apply skipped for stage=' || environment || ' by workflow config.' END,
-    'stage_ord=' || CAST(k.ord AS VARCHAR),
+    'pipeline_run_id=local-' || environment || '-' || CAST(k.work_item_id AS VARCHAR) || '-'
+      || CAST(CAST(epoch(pipeline_started_at) AS BIGINT) AS VARCHAR),
     'QA checks ' || CASE WHEN qa_passed THEN 'passed' ELSE 'failed' END || ' in ' || environment || ' for '
       || target_catalog || '.' || target_schema || '.' || target_table || ': ' || {QA_LIST_SQL},
     {REASON_SQL},
