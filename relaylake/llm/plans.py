@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
+from relaylake.llm.quality_mcd import op6_quality_mcd
 
 QUERIES = {
     "op3_mixture_packing": op3_mixture_packing,
     "op4_overlap_counts": op4_overlap_counts,
+    "op6_quality_mcd": op6_quality_mcd,
 }
 
 ORACLE: dict[str, str] = {}
