@@ -5,11 +5,13 @@ from __future__ import annotations
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
 from relaylake.llm.quality_mcd import op6_quality_mcd
+from relaylake.llm.wu_manber import op8_wu_manber
 
 QUERIES = {
     "op3_mixture_packing": op3_mixture_packing,
     "op4_overlap_counts": op4_overlap_counts,
     "op6_quality_mcd": op6_quality_mcd,
+    "op8_wu_manber": op8_wu_manber,
 }
 
 ORACLE: dict[str, str] = {}
