@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
+from relaylake.llm.odd_sketch_dedup import op7_odd_sketch_dedup
 from relaylake.llm.quality_mcd import op6_quality_mcd
 from relaylake.llm.wu_manber import op8_wu_manber
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_mixture_packing": op3_mixture_packing,
     "op4_overlap_counts": op4_overlap_counts,
     "op6_quality_mcd": op6_quality_mcd,
+    "op7_odd_sketch_dedup": op7_odd_sketch_dedup,
     "op8_wu_manber": op8_wu_manber,
 }
 
