@@ -56,6 +56,12 @@ def base_columns(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_h"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` names
+    it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows with about ``max_bytes`` of
     ``column`` each (a longer row comes alone)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from relaylake.llm.line_runs import op10_line_runs
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
 from relaylake.llm.odd_sketch_dedup import op7_odd_sketch_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_quality_mcd": op6_quality_mcd,
     "op7_odd_sketch_dedup": op7_odd_sketch_dedup,
     "op8_wu_manber": op8_wu_manber,
+    "op10_line_runs": op10_line_runs,
 }
 
 ORACLE: dict[str, str] = {}

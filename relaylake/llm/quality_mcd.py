@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relaylake.llm.common import read_table, stored
+from relaylake.llm.common import let, read_table, stored
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -39,11 +39,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 P = len(FLOOR)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more."""
     def covered(starts: Column) -> Column:  # ascending places of repeated windows
