@@ -7,9 +7,11 @@ from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
 from relaylake.llm.odd_sketch_dedup import op7_odd_sketch_dedup
 from relaylake.llm.quality_mcd import op6_quality_mcd
+from relaylake.llm.url_filter import op2_url_filter
 from relaylake.llm.wu_manber import op8_wu_manber
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_mixture_packing": op3_mixture_packing,
     "op4_overlap_counts": op4_overlap_counts,
     "op6_quality_mcd": op6_quality_mcd,
