@@ -6,6 +6,7 @@ from relaylake.llm.line_runs import op10_line_runs
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
 from relaylake.llm.odd_sketch_dedup import op7_odd_sketch_dedup
+from relaylake.llm.pii_bootstrap import op9_pii_bootstrap
 from relaylake.llm.quality_mcd import op6_quality_mcd
 from relaylake.llm.url_filter import op2_url_filter
 from relaylake.llm.wu_manber import op8_wu_manber
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_quality_mcd": op6_quality_mcd,
     "op7_odd_sketch_dedup": op7_odd_sketch_dedup,
     "op8_wu_manber": op8_wu_manber,
+    "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_line_runs": op10_line_runs,
 }
 
