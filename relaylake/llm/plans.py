@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from relaylake.llm.bfd_packing import op1_bfd_packing
 from relaylake.llm.line_runs import op10_line_runs
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
@@ -12,6 +13,7 @@ from relaylake.llm.url_filter import op2_url_filter
 from relaylake.llm.wu_manber import op8_wu_manber
 
 QUERIES = {
+    "op1_bfd_packing": op1_bfd_packing,
     "op2_url_filter": op2_url_filter,
     "op3_mixture_packing": op3_mixture_packing,
     "op4_overlap_counts": op4_overlap_counts,
