@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from relaylake.llm.bfd_packing import op1_bfd_packing
+from relaylake.llm.bwt_repeats import op5_bwt_repeats
 from relaylake.llm.line_runs import op10_line_runs
 from relaylake.llm.mixture_packing import op3_mixture_packing
 from relaylake.llm.overlap_counts import op4_overlap_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_mixture_packing": op3_mixture_packing,
     "op4_overlap_counts": op4_overlap_counts,
+    "op5_bwt_repeats": op5_bwt_repeats,
     "op6_quality_mcd": op6_quality_mcd,
     "op7_odd_sketch_dedup": op7_odd_sketch_dedup,
     "op8_wu_manber": op8_wu_manber,
