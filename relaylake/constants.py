@@ -40,8 +40,6 @@ AUTO_APPROVE_STAGES = ["dev"]
 PROMOTABLE_STATUSES = ["succeeded", "success", "completed"]
 NON_TERMINAL_STATUSES = ["inprogress", "notstarted"]
 MAX_REMEDIATION_ATTEMPTS = 2
-HISTORY_LIMIT = 500
-FAILURE_CONTEXT_CHARS = 6000
 PIPELINE_PREFIX = "local"
 STAGE_CHECKLISTS = {
     "qe": [
@@ -90,10 +88,6 @@ NOTEBOOK_MARKER = "# Added by remediation plugin for Delta schema evolution comp
 SQL_MARKER = "-- Added by remediation plugin to prevent missing namespace failures."
 ETL_EXCLUDED_PARTS = ["tests", "generated_changes", "transformers"]
 ETL_INCLUDED_PARTS = ["etl", "pipelines", "jobs", "notebooks"]
-NOTEBOOK_FILE_CAP = 10
-SQL_CANDIDATE_CAP = 5
-ETL_CANDIDATE_CAP = 30
-ETL_CHANGE_CAP = 3
 NO_PLUGIN_TEXT = "no transformer plugin changed repository files"
 PLUGIN_SUMMARIES = {
     "databricks_notebook": "Enabled Delta auto-merge in Databricks notebook code paths.",

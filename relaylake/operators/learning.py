@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaylake import constants as K
 
-
-def retained_history(history: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:
-    """The latest ``limit`` records by seq (top-k, each partition keeps
-    at most ``limit`` rows before the merge)."""
-    return history.orderBy(F.col("seq").desc()).limit(limit)
-
-
-def retained_history_per_tenant(history: DataFrame, tenant: str, limit: int = K.HISTORY_LIMIT) -> DataFrame:
-    """W1 per tenant: keep the latest ``limit`` rows of each tenant."""
-    w = Window.partitionBy(tenant).orderBy(F.col("seq").desc())
-    return history.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+def retained_history(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """All records, or with ``limit`` the latest by seq (top-k, each
+    partition keeps at most ``limit`` rows before the merge)."""
+    return history if limit is None else history.orderBy(F.col("seq").desc()).limit(limit)
 
 
 def source_rank(history: DataFrame) -> DataFrame:
     """G1/T4: frequency of each source type over the history rows, ranked by
     count desc, ties by first appearance (seq, position in the list).
 
-    The count is a partial aggregate; the ranking window then runs over one
-    row per distinct source type (a handful), not over the history.
+    The count is a partial aggregate; what is ranked is one array of the
+    distinct source types, the few kinds that the plan's keyword rules give.
     """
     exploded = history.select("seq", F.posexplode("source_types").alias("pos", "source_type"))
     agg = exploded.groupBy("source_type").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first_seen"))
-    w = Window.orderBy(F.col("n").desc(), F.col("first_seen").asc())
-    return agg.select("source_type", "n", F.row_number().over(w).alias("rank"))
+    ranked = agg.agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("n")).alias("order"), "first_seen", "source_type", "n"))).alias("types"))
+    return ranked.select(F.posexplode("types").alias("pos", "t")).select(
+        "t.source_type", "t.n", (F.col("pos") + 1).alias("rank"))
 
 
-def append_history(history: DataFrame, new_records: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:
-    """Append records (carrying their own increasing ``seq``) and keep the
-    last ``limit``. The caller writes the result as a new table version."""
+def append_history(history: DataFrame, new_records: DataFrame, limit: int | None = None) -> DataFrame:
+    """Append records (carrying their own increasing ``seq``) and keep all,
+    or the last ``limit``. The caller writes the result as a new table version."""
     return retained_history(history.unionByName(new_records.select(*history.columns)), limit)
 
 

@@ -4,23 +4,26 @@ and the per-run report (C18-C21, E9, F6, F7, W5, W6, S3, S4, U1-U5, G9, P5).
 Batch semantics: every failed run is evaluated against the same snapshot
 of its repository (a proposal per run; runs do not see each other's edits).
 
-Scale: no step pairs every run with every file of its repository.
-Notebook and ETL patches depend only on file content, so they are computed
-once per file and reported per run through a one-row-per-repository join.
-SQL candidates depend on the run's target names; "file contains name" is
-answered by an equi-join of names against the substrings of the files'
-identifier tokens (exact for identifier names), and only the first five
-files per (repository, name) are kept, with a salted two-round top-k.
+Scale: no step pairs every run with every file of its repository, and none
+keeps only the first files. Notebook and ETL patches depend only on file
+content, so they are computed once per file and counted per repository. SQL
+candidates depend on the run's target names; "file contains name" is answered
+by an equi-join of the names' first three characters with the character
+trigrams of the repository's distinct identifier tokens, confirmed on the token
+(exact for identifier names, intermediate rows linear in the text). Paths are
+chosen first; contents are read once for each patched file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaylake import constants as K
 from relaylake.functions import text as T
-from relaylake.operators.groups import top_k_per_group
 
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 ENCODING_COOKIE = r"^[ \t]*#.*coding[:=][ \t]*[-\w.]+"
@@ -30,14 +33,15 @@ SQL_NAMESPACE_CHECK = "create schema if not exists"
 
 # ---- C18 / C19 ----------------------------------------------------------------
 def failure_context(status: Column, logs_url: Column, log_body: Column, run_id: Column,
-                    max_chars: int = K.FAILURE_CONTEXT_CHARS) -> Column:
+                    max_chars: int | None = None) -> Column:
     """C18: '' for a successful run; a note when there is no logs URL; else
-    the first ``max_chars`` characters of the log body."""
+    the log body, or with ``max_chars`` its first characters."""
+    body = F.coalesce(log_body, F.lit(""))
     ok = F.lower(status).isin(*K.PROMOTABLE_STATUSES)
     return (F.when(ok, F.lit(""))
             .when(F.coalesce(logs_url, F.lit("")) == "",
                   F.concat(F.lit("No logs URL available for failed run_id="), run_id.cast("string"), F.lit(".")))
-            .otherwise(F.left(F.coalesce(log_body, F.lit("")), F.lit(max_chars))))
+            .otherwise(body if max_chars is None else F.left(body, F.lit(max_chars))))
 
 
 def with_labels(runs: DataFrame, context: str = "failure_context") -> DataFrame:
@@ -79,15 +83,13 @@ def notebook_pattern_rank(path: Column) -> Column:
             .when(name.like("%notebook%.py"), F.lit(1)))
 
 
-def notebook_candidates(files: DataFrame, cap: int = K.NOTEBOOK_FILE_CAP) -> DataFrame:
-    """First ``cap`` notebook files per repository in (pattern, path) order."""
-    f = files.withColumn("pattern_rank", notebook_pattern_rank(F.col("path"))).where(F.col("pattern_rank").isNotNull())
-    return top_k_per_group(f, ["repo"], [F.col("pattern_rank"), F.col("path")], cap, salt_col="path")
+def notebook_candidates(files: DataFrame) -> DataFrame:
+    """Notebook files, each once, with the pattern that found it first."""
+    return files.withColumn("pattern_rank", notebook_pattern_rank(F.col("path"))).where(F.col("pattern_rank").isNotNull())
 
 
-def etl_candidates(files: DataFrame, cap: int = K.ETL_CANDIDATE_CAP) -> DataFrame:
-    f = files.where(etl_candidate(F.col("path")))
-    return top_k_per_group(f, ["repo"], [F.col("path")], cap, salt_col="path")
+def etl_candidates(files: DataFrame) -> DataFrame:
+    return files.where(etl_candidate(F.col("path")))
 
 
 # ---- U2: notebook patch --------------------------------------------------------
@@ -139,55 +141,79 @@ def etl_patch(content: Column) -> Column:
     return F.regexp_replace(content, first_only, r'$1$2.option("mergeSchema", "true")')
 
 
-def repo_patches(files: DataFrame) -> DataFrame:
-    """Notebook and ETL patches per repository (run-independent).
+@dataclass(frozen=True)
+class FilePlugin:
+    """A transformer that rewrites files one by one. ``hints``: lower-case
+    phrases of a failure it answers; ``candidates``: its files; ``patch``: the
+    new content (equal to the old one where there is nothing to do)."""
+
+    name: str
+    hints: tuple[str, ...]
+    candidates: Callable[[DataFrame], DataFrame]
+    patch: Callable[[Column], Column]
+
+
+FILE_PLUGINS = (FilePlugin("databricks_notebook", tuple(K.NOTEBOOK_HINTS), notebook_candidates, notebook_patch),
+                FilePlugin("python_etl", tuple(K.ETL_HINTS), etl_candidates, etl_patch))
+
 
-    Returns one row per changed file: repo, plugin, path, content.
-    ETL: among the first 30 candidates, the first three that change."""
-    nb = notebook_candidates(files).withColumn("patched", notebook_patch(F.col("content"))) \
-        .where(F.col("patched") != F.col("content")) \
-        .select("repo", F.lit("databricks_notebook").alias("plugin"), "rank", "path", F.col("patched").alias("content"))
-    etl = etl_candidates(files).withColumn("patched", etl_patch(F.col("content"))) \
-        .where(F.col("patched") != F.col("content"))
-    etl = top_k_per_group(etl.drop("rank"), ["repo"], [F.col("path")], K.ETL_CHANGE_CAP, salt_col="path") \
-        .select("repo", F.lit("python_etl").alias("plugin"), "rank", "path", F.col("patched").alias("content"))
-    return nb.unionByName(etl)
+def repo_patches(files: DataFrame, plugins: Sequence[FilePlugin] = FILE_PLUGINS) -> DataFrame:
+    """Patches by file plugins (run-independent), one row per changed file:
+    repo, plugin, path, content."""
+    out = None
+    for p in plugins:
+        patched = p.candidates(files).withColumn("patched", p.patch(F.col("content"))).where(F.col("patched") != F.col("content"))
+        patched = patched.select("repo", F.lit(p.name).alias("plugin"), "path", F.col("patched").alias("content"))
+        out = patched if out is None else out.unionByName(patched)
+    return out
 
 
 # ---- E9 / F7 / U4: SQL candidates and patch ----------------------------------
-def _identifier_substrings(df: DataFrame) -> DataFrame:
-    """(repo, path, needle) for every substring of every identifier token."""
-    toks = df.select("repo", "path", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(F.col("content")), F.lit(r"([a-z0-9_]+)"), 1))).alias("tok"))
-    n = F.length("tok")
-    starts = F.sequence(F.lit(1), n)
-    subs = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), n - s + 1), lambda ln: F.substring(F.col("tok"), s, ln))))
-    return toks.select("repo", "path", F.explode(F.array_distinct(subs)).alias("needle")).distinct()
-
-
-def sql_candidates(sql_files: DataFrame, keys: DataFrame, cap: int = K.SQL_CANDIDATE_CAP) -> DataFrame:
-    """E9 + W5: per (repo, schema, table) key, the first ``cap`` SQL files (by
-    path) containing the table or schema name; when none does, the first
-    ``cap`` SQL files of the repository.
-
-    Each needle keeps at most ``cap`` files (salted top-k), so a key sees at
-    most ``2 * cap`` candidates and the per-key list is bounded."""
-    k = keys.select("repo", "target_schema", "target_table").distinct()
-    key_needles = k.select("repo", "target_schema", "target_table",
-                           F.explode(F.array_distinct(F.array(F.lower("target_table"), F.lower("target_schema"))))
-                           .alias("needle")).where(F.col("needle") != "")
-    hits = _identifier_substrings(sql_files).join(
-        key_needles.select("repo", "needle").distinct(), ["repo", "needle"], "left_semi")
-    top_by_needle = top_k_per_group(hits, ["repo", "needle"], [F.col("path")], cap, salt_col="path").drop("rank")
-    pref = key_needles.join(top_by_needle, ["repo", "needle"]).groupBy("repo", "target_schema", "target_table") \
-        .agg(F.slice(F.array_sort(F.collect_set("path")), 1, cap).alias("paths"))
-    first_files = top_k_per_group(sql_files.select("repo", "path"), ["repo"], [F.col("path")], cap, salt_col="path") \
-        .groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("repo_paths"))
-    chosen = k.join(pref, ["repo", "target_schema", "target_table"], "left").join(first_files, "repo", "left") \
-        .select("repo", "target_schema", "target_table",
-                F.coalesce(F.col("paths"), F.col("repo_paths"), F.array().cast("array<string>")).alias("paths"))
-    return chosen.select("repo", "target_schema", "target_table", F.explode("paths").alias("path"))
+GRAM = 3  # characters of a name that find the tokens to look at
+
+
+def name_hits(sql_files: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, name, path) for every SQL file that contains the name
+    (identifier characters, lower case). ``names``: repo, name."""
+    tokens = sql_files.select("repo", "path", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower(F.col("content")), F.lit(r"([a-z0-9_]+)"), 1))).alias("token"))
+    places = F.sequence(F.lit(1), F.length("token"))
+    grams = F.flatten(F.transform(places, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("token") - i + 1)), lambda n: F.substring(F.col("token"), i, n))))
+    vocabulary = tokens.select("repo", "token").distinct().withColumn("gram", F.explode(F.array_distinct(grams)))
+    wanted = names.where(F.col("name") != "").distinct().withColumn("gram", F.left(F.col("name"), F.lit(GRAM)))
+    in_token = (vocabulary.join(wanted, ["repo", "gram"]).where(F.col("token").contains(F.col("name")))
+                .select("repo", "name", "token"))
+    return in_token.join(tokens, ["repo", "token"]).select("repo", "name", "path").distinct()
+
+
+def sql_targets(sql_files: DataFrame, keys: DataFrame) -> DataFrame:
+    """U4: for each (repo, target_schema, target_table) the file to patch: the
+    first by path, of those that contain the table or schema name (of all if
+    none does), that lacks the namespace bootstrap; null ``path`` if none lacks.
+
+    A file has the bootstrap if it creates a schema and names this one, so it
+    is settled by the same hits; contents take no part.
+    """
+    keys = keys.select("repo", "target_schema", "target_table").distinct().withColumns(
+        {"schema_name": F.lower("target_schema"), "table_name": F.lower("target_table")})
+    names = keys.select("repo", F.explode(F.array("schema_name", "table_name")).alias("name"))
+    files = sql_files.select("repo", "path", F.lower("content").contains(SQL_NAMESPACE_CHECK).alias("creates"))
+    hits = name_hits(sql_files, names).join(files, ["repo", "path"])
+    per_name = hits.groupBy("repo", "name").agg(F.min(F.when(~F.col("creates"), F.col("path"))).alias("bare"))
+    schema = per_name.select("repo", F.col("name").alias("schema_name"), F.lit(True).alias("schema_hit"), F.col("bare").alias("schema_bare"))
+    table = per_name.select("repo", F.col("name").alias("table_name"), F.lit(True).alias("table_hit"), F.col("bare").alias("table_bare"))
+    # files that create some schema, name the table but not this schema
+    creating = hits.where("creates").select("repo", F.col("name").alias("table_name"), "path")
+    naming = hits.where("creates").select("repo", F.col("name").alias("schema_name"), "path")
+    other = (keys.join(creating, ["repo", "table_name"]).join(naming, ["repo", "schema_name", "path"], "left_anti")
+             .groupBy("repo", "target_schema", "target_table").agg(F.min("path").alias("other_bare")))
+    first = files.groupBy("repo").agg(F.min("path").alias("first_path"))
+    joined = (keys.join(schema, ["repo", "schema_name"], "left").join(table, ["repo", "table_name"], "left")
+              .join(other, ["repo", "target_schema", "target_table"], "left").join(first, "repo", "left"))
+    hit = F.coalesce("schema_hit", F.lit(False)) | F.coalesce("table_hit", F.lit(False))
+    return joined.select("repo", "target_schema", "target_table",
+                         F.when(hit, F.least("schema_bare", "table_bare", "other_bare")).otherwise(F.col("first_path")).alias("path"))
 
 
 def sql_block(catalog: Column, schema: Column) -> Column:
@@ -203,82 +229,67 @@ def has_bootstrap(content: Column, schema: Column) -> Column:
 
 
 def sql_patches(runs: DataFrame, sql_files: DataFrame) -> DataFrame:
-    """U4 per run: the first candidate without the namespace bootstrap gets
-    the block prepended; when all candidates have it (or the repository has
-    no SQL file) a new file ``sql/remediation_bootstrap_wi_<id>.sql`` is
-    generated. One row per run."""
-    keys = runs.select("repo", "target_catalog", "target_schema", "target_table").distinct()
-    cands = sql_candidates(sql_files, keys)
-    c = cands.join(sql_files.select("repo", "path", "content"), ["repo", "path"])
-    k = keys.join(c, ["repo", "target_schema", "target_table"], "left")
-    lacking = k.where(F.col("path").isNotNull() & ~has_bootstrap(F.col("content"), F.col("target_schema")))
-    first = lacking.groupBy("repo", "target_catalog", "target_schema", "target_table").agg(
-        F.min_by(F.struct("path", "content"), F.col("path")).alias("f"))
-    j = runs.join(first, ["repo", "target_catalog", "target_schema", "target_table"], "left")
-    block = sql_block(F.col("target_catalog"), F.col("target_schema"))
+    """U4 per run: the path of the file that gets the namespace block, or of a
+    new file ``sql/remediation_bootstrap_wi_<id>.sql`` where no file lacks it."""
+    keys = ["repo", "target_schema", "target_table"]
+    j = runs.join(sql_targets(sql_files, runs.select(*keys)), keys, "left")
     generated = F.concat(F.lit("sql/remediation_bootstrap_wi_"), F.col("work_item_id").cast("string"), F.lit(".sql"))
-    return j.select(
-        "run_id",
-        F.coalesce(F.col("f.path"), generated).alias("sql_path"),
-        F.when(F.col("f.path").isNotNull(), F.concat(block, F.col("f.content"))).otherwise(block).alias("sql_content"),
-        F.col("f.path").isNull().alias("sql_generated"),
-    )
+    return j.select("run_id", "repo", "target_catalog", "target_schema", F.coalesce(F.col("path"), generated).alias("sql_path"),
+                    F.col("path").isNull().alias("sql_generated"))
+
+
+def sql_patched_files(patches: DataFrame, sql_files: DataFrame) -> DataFrame:
+    """U4: one row per written file (repo, target_catalog, target_schema,
+    sql_path, content): the block, before the file's content if it exists."""
+    wanted = patches.select("repo", "target_catalog", "target_schema", "sql_path", "sql_generated").distinct()
+    block = sql_block(F.col("target_catalog"), F.col("target_schema"))
+    body = F.when(F.col("sql_generated"), F.lit("")).otherwise(F.coalesce("content", F.lit("")))
+    return (wanted.join(sql_files.select("repo", F.col("path").alias("sql_path"), "content"), ["repo", "sql_path"], "left")
+            .select("repo", "target_catalog", "target_schema", "sql_path", F.concat(block, body).alias("content")))
 
 
 # ---- G9 / U5 / P5 -----------------------------------------------------------
 def remediation_report(runs: DataFrame, files: DataFrame, plugins: list[str] | None = None,
                        allow_fallback: bool = True, attempt: Column | None = None,
-                       materialize: bool = False) -> DataFrame:
+                       extra: Sequence[FilePlugin] = ()) -> DataFrame:
     """P5: per failed run — labels, the plugins that changed files, the report
-    text and the remediation outcome.
+    text and the remediation outcome. The files themselves are the rows of
+    ``repo_patches`` and ``sql_patched_files``; a run's detail has their number
+    (a repository may have any number of them).
 
     ``runs`` needs run_id, work_item_id, environment, status, logs_url,
-    log_body, repo, target_catalog, target_schema, target_table.
+    log_body, repo, target_catalog, target_schema, target_table. ``plugins``
+    names the built-in ones to use; ``extra`` are a user's own, after them.
     """
     active = enabled_plugins(plugins if plugins is not None else K.PLUGIN_ORDER)
+    by_name = {p.name: p for p in (*FILE_PLUGINS, *extra)}
+    used = [*active, *[p.name for p in extra]]
     r = runs.withColumn("failure_context", failure_context(F.col("status"), F.col("logs_url"), F.col("log_body"),
                                                            F.col("run_id")))
     r = with_labels(r).where(~F.lower(F.col("status")).isin(*K.PROMOTABLE_STATUSES))
-    if materialize:
-        # the failed runs feed the SQL patch branch and the final join: they
-        # are written once instead of being recomputed per branch
-        from relaylake.session import materialize as _materialize
-        r = _materialize(r.sparkSession, r)
-    per_repo = repo_patches(files).groupBy("repo").agg(
-        F.count_if(F.col("plugin") == "databricks_notebook").alias("nb_n"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("plugin") == "databricks_notebook",
-                                                        F.struct("rank", "path")))), lambda x: x["path"]).alias("nb_files"),
-        F.count_if(F.col("plugin") == "python_etl").alias("etl_n"),
-        F.array_sort(F.collect_list(F.when(F.col("plugin") == "python_etl", F.col("path")))).alias("etl_files"),
-    )  # at most 10 notebook and 3 ETL paths per repository
-    sql_files = files.where(F.col("path").endswith(".sql"))
-    sql = sql_patches(r.where(F.col("sql_hint")), sql_files) if "sql" in active else None
-    j = r.join(per_repo, "repo", "left")
-    if sql is not None:
-        j = j.join(sql, "run_id", "left")
-    else:
-        j = j.withColumn("sql_path", F.lit(None).cast("string"))
-    nb_on = F.col("notebook_hint") & (F.coalesce(F.col("nb_n"), F.lit(0)) > 0) if "databricks_notebook" in active else F.lit(False)
-    sql_on = F.col("sql_hint") & F.col("sql_path").isNotNull() if "sql" in active else F.lit(False)
-    etl_on = F.col("etl_hint") & (F.coalesce(F.col("etl_n"), F.lit(0)) > 0) if "python_etl" in active else F.lit(False)
-    entries = F.array_compact(F.array(
-        F.when(nb_on, F.concat(F.lit("databricks_notebook:"), F.col("nb_n").cast("string"), F.lit(" file(s)"))),
-        F.when(sql_on, F.lit("sql:1 file(s)")),
-        F.when(etl_on, F.concat(F.lit("python_etl:"), F.col("etl_n").cast("string"), F.lit(" file(s)"))),
-    ))
-    changed = F.flatten(F.array(
-        F.when(nb_on, F.col("nb_files")).otherwise(T.empty_str_array()),
-        F.when(sql_on, F.array(F.col("sql_path"))).otherwise(T.empty_str_array()),
-        F.when(etl_on, F.col("etl_files")).otherwise(T.empty_str_array()),
-    ))
+    on_files = [by_name[n] for n in used if n in by_name]
+    if on_files:
+        per_repo = repo_patches(files, on_files).groupBy("repo").pivot("plugin", [p.name for p in on_files]).count()
+        r = r.join(per_repo, "repo", "left")
+    if "sql" in active:
+        chosen = sql_patches(r.where(F.col("sql_hint")), files.where(F.col("path").endswith(".sql")))
+        r = r.join(chosen.select("run_id", F.lit(1).cast("long").alias("sql")), "run_id", "left")
+    context = F.lower(F.col("failure_context"))
+    counts = []
+    for name in used:
+        hinted = F.col("sql_hint") if name == "sql" else T.contains_any(context, list(by_name[name].hints))
+        counts.append((name, F.when(hinted, F.coalesce(F.col(f"`{name}`"), F.lit(0))).otherwise(F.lit(0)).cast("long")))
+    entries = F.array_compact(F.array(F.lit(None).cast("string"), *[
+        F.when(n > 0, F.concat(F.lit(f"{name}:"), n.cast("string"), F.lit(" file(s)"))) for name, n in counts]))
+    changed = sum((n for _, n in counts), F.lit(0))
     summary = F.when(F.size(entries) > 0, F.array_join(entries, ", ")).otherwise(F.lit(K.NO_PLUGIN_TEXT))
     att = attempt if attempt is not None else F.lit(1)
     artifact = F.concat(F.lit("generated_changes/remediation_"), F.col("work_item_id").cast("string"), F.lit("_"),
                         F.col("environment"), F.lit("_attempt_"), att.cast("string"), F.lit(".md"))
     changed_any = F.size(entries) > 0
     status = F.when(changed_any | F.lit(allow_fallback), F.lit("succeeded")).otherwise(F.lit("failed"))
-    detail = (F.when(changed_any, F.concat(F.lit("transformers="), summary, F.lit("; changed_files="), F.array_join(changed, ",")))
+    detail = (F.when(changed_any, F.concat(F.lit("transformers="), summary, F.lit("; changed_files="), changed.cast("string")))
               .when(F.lit(allow_fallback), F.concat(F.lit("remediation_artifact="), artifact))
               .otherwise(F.lit("No remediation transformers applied and fallback artifact is disabled.")))
-    return j.select("run_id", "work_item_id", "environment", "repo", "notebook_hint", "sql_hint", "etl_hint",
+    return r.select("run_id", "work_item_id", "environment", "repo", "notebook_hint", "sql_hint", "etl_hint",
                     summary.alias("report"), status.alias("remediation_status"), detail.alias("remediation_detail"))

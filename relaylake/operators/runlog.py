@@ -35,13 +35,12 @@ def retry_metrics(parsed: DataFrame) -> DataFrame:
                                  F.count_if(F.col("attempt") == F.col("max_attempts")).alias("exhausted"))
 
 
-def status_counts(pending_approvals: DataFrame, pending_clarifications: DataFrame, active: DataFrame,
-                  active_cap: int = 100) -> DataFrame:
+def status_counts(pending_approvals: DataFrame, pending_clarifications: DataFrame, active: DataFrame) -> DataFrame:
     """The three counts of the status reply in one aggregate (a tagged
-    union, no join); active tickets are capped as the listing is."""
+    union, no join)."""
     tagged = (pending_approvals.select(F.lit(1).alias("k"))
               .unionByName(pending_clarifications.select(F.lit(2).alias("k")))
-              .unionByName(active.limit(active_cap).select(F.lit(3).alias("k"))))
+              .unionByName(active.select(F.lit(3).alias("k"))))
     return tagged.agg(F.count_if(F.col("k") == 1).alias("pending_approvals"),
                       F.count_if(F.col("k") == 2).alias("pending_clarifications"),
                       F.count_if(F.col("k") == 3).alias("active_items"))

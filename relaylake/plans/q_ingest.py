@@ -22,6 +22,10 @@ from relaylake.sinks import bronze
 from relaylake.sources import files, views
 from relaylake.sources.tables import table
 
+# Documents that a state table is written as: set it to the table's entries over
+# the entries wanted in a document.
+DOC_BUCKETS = 64
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -97,11 +101,12 @@ FROM work_items""")
 
 # ---- A4 / B9 -----------------------------------------------------------------
 def q_history_scan(spark, sf):
-    kept = learning.retained_history(views.learning_history(spark, sf), K.HISTORY_LIMIT)
+    """A4: the whole history written as ``{"records": [...]}`` documents (dealt
+    by ticket id) and read back."""
     rec = F.struct("work_item_id", "title", "status", "target_table", "source_types",
                    F.lit(None).cast("string").alias("created_at"))
-    # the retained history is capped at 500 records, so it fits one document
-    doc = kept.agg(F.collect_list(rec).alias("records"))
+    doc = views.learning_history(spark, sf).groupBy(
+        F.pmod(F.xxhash64("work_item_id"), F.lit(DOC_BUCKETS)).alias("b")).agg(F.collect_list(rec).alias("records")).drop("b")
     path = _scratch(spark, "history")
     doc.write.json(path)
     h = files.read_history_doc(spark, path, multiline=False)
@@ -111,7 +116,7 @@ def q_history_scan(spark, sf):
 QUERIES["history_scan"] = q_history_scan
 ORACLE["history_scan"] = with_views(["learning_history"], """
 SELECT work_item_id, title, status, target_table, array_to_string(source_types, ',') AS source_types
-FROM learning_history ORDER BY seq DESC LIMIT 500""")
+FROM learning_history""")
 
 
 # ---- A11 + C27 ---------------------------------------------------------------
@@ -274,23 +279,12 @@ ORACLE["file_corpus"] = with_views(["source_files"], "SELECT repo, path, content
 
 
 # ---- A5 / A3: state documents, bucketed so no document grows with the data --
-DOC_ENTRIES = 1000
-
-
-def _buckets(df) -> int:
-    """Number of documents so that each holds about DOC_ENTRIES entries
-    (one count aggregate; the number is a parameter of the layout)."""
-    n = df.count()
-    return max(1, -(-n // DOC_ENTRIES))
-
-
 def q_ledger_scan(spark, sf):
     """A5: the run ledger's latest state written as ``{"runs": {key: {status}}}``
     documents (hash-bucketed by run key) and read back."""
     from relaylake.operators import intake as I
     latest = I.latest_run_status(views.run_ledger(spark, sf))
-    nb = _buckets(latest)
-    docs = latest.groupBy(F.pmod(F.xxhash64("run_key"), F.lit(nb)).alias("b")).agg(
+    docs = latest.groupBy(F.pmod(F.xxhash64("run_key"), F.lit(DOC_BUCKETS)).alias("b")).agg(
         F.map_from_entries(F.collect_list(F.struct("run_key", F.struct("status").alias("v")))).alias("runs")).drop("b")
     path = _scratch(spark, "ledger_docs")
     docs.write.json(path)
@@ -307,11 +301,10 @@ def q_state_doc_scan(spark, sf):
     clarification list exercises the tolerant read."""
     from relaylake.operators import approvals as A
     st = A.latest_state(views.approval_events(spark, sf))
-    nb = _buckets(st)
     row = F.struct("request_id", "stage", "summary", "status", "approver", F.lit(None).cast("string").alias("comment"),
                    F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
                    F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
-    docs = st.groupBy(F.pmod(F.xxhash64("request_id"), F.lit(nb)).alias("b")).agg(
+    docs = st.groupBy(F.pmod(F.xxhash64("request_id"), F.lit(DOC_BUCKETS)).alias("b")).agg(
         F.collect_list(row).alias("requests")).drop("b")
     path = _scratch(spark, "approval_docs")
     docs.write.json(path)

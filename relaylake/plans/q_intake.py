@@ -204,8 +204,11 @@ SOURCE_RANK_SQL = """SELECT source_type, CAST(count(*) AS BIGINT) AS n,
 ORACLE["source_rank"] = with_views(["learning_history"], SOURCE_RANK_SQL.format(src="learning_history"))
 
 
+RETAINED = 500  # the "latest records" view: a top-k
+
+
 def q_history_last_500(spark, sf):
-    return learning.retained_history(views.learning_history(spark, sf), K.HISTORY_LIMIT).select(
+    return learning.retained_history(views.learning_history(spark, sf), RETAINED).select(
         "work_item_id", "status", "target_table", F.array_join("source_types", ",").alias("source_types"), "seq")
 
 
@@ -217,8 +220,8 @@ ORACLE["history_last_500"] = with_views(
 
 
 def q_source_rank_retained(spark, sf):
-    """G1 exactly as the history store sees it: over the retained 500 rows."""
-    kept = learning.retained_history(views.learning_history(spark, sf), K.HISTORY_LIMIT)
+    """G1 over the latest records only."""
+    kept = learning.retained_history(views.learning_history(spark, sf), RETAINED)
     return learning.source_rank(kept)
 
 

@@ -37,7 +37,7 @@ RUN_CTES = [
       FROM failure_logs f JOIN plans p ON p.work_item_id = f.work_item_id"""),
     ("ctx", f"""SELECT *, CASE WHEN lower(status) IN {OK_SQL} THEN ''
         WHEN coalesce(logs_url, '') = '' THEN 'No logs URL available for failed run_id=' || CAST(run_id AS VARCHAR) || '.'
-        ELSE left(coalesce(log_body, ''), {K.FAILURE_CONTEXT_CHARS}) END AS failure_context FROM runs"""),
+        ELSE coalesce(log_body, '') END AS failure_context FROM runs"""),
     ("lab", f"""SELECT *, {_hint_sql('failure_context', K.NOTEBOOK_HINTS)} AS notebook_hint,
         {_hint_sql('failure_context', K.SQL_HINTS)} AS sql_hint, {_hint_sql('failure_context', K.ETL_HINTS)} AS etl_hint FROM ctx"""),
     ("failed", f"SELECT * FROM lab WHERE lower(status) NOT IN {OK_SQL}"),
@@ -116,18 +116,18 @@ ORACLE["patched_guard"] = with_views(["source_files"], f"""SELECT repo, path, co
 
 
 def q_file_union_dedupe(spark, sf):
-    """Notebook candidates per repository after the ordered union."""
+    """All notebook files, each with the pattern that found it first."""
     c = R.notebook_candidates(files(spark, sf))
-    return c.select("repo", "path", "pattern_rank", "rank")
+    return c.select("repo", "path", "pattern_rank")
 
 
-NB_CAND_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pattern_rank, path) AS rank FROM (
+NB_CAND_SQL = """SELECT * FROM (
     SELECT *, CASE WHEN starts_with(path, 'notebooks/') AND ends_with(path, '.py') THEN 0
                    WHEN string_split(path, '/')[-1] LIKE '%notebook%.py' THEN 1 END AS pattern_rank FROM source_files)
-    WHERE pattern_rank IS NOT NULL) WHERE rank <= 10"""
+    WHERE pattern_rank IS NOT NULL"""
 
 QUERIES["file_union_dedupe"] = q_file_union_dedupe
-ORACLE["file_union_dedupe"] = with_views(["source_files"], f"SELECT repo, path, pattern_rank, CAST(rank AS INTEGER) AS rank FROM ({NB_CAND_SQL})")
+ORACLE["file_union_dedupe"] = with_views(["source_files"], f"SELECT repo, path, pattern_rank FROM ({NB_CAND_SQL})")
 
 
 # ---- U2 ----------------------------------------------------------------------
@@ -161,7 +161,7 @@ SELECT repo, path, sha256(patched) AS patched_sha256, CAST(length(patched) AS IN
   FROM ({NB_PATCH_SQL}) WHERE NOT contains(content, '{K.NOTEBOOK_CONF_LINE}'))""")
 
 
-# ---- U3 (Java regex lookahead: rows-only, checked by a Python twin in tests) --
+# ---- U3 ----------------------------------------------------------------------
 def q_etl_patch(spark, sf):
     c = R.etl_candidates(files(spark, sf))
     p = c.withColumn("patched", R.etl_patch(F.col("content"))).where(F.col("patched") != F.col("content"))
@@ -169,6 +169,17 @@ def q_etl_patch(spark, sf):
 
 
 QUERIES["etl_patch"] = q_etl_patch
+# DuckDB's patterns have no lookahead: the text is cut at every ``.mode(...)``
+# call; the first part after one that doesn't start with the option gets it.
+MODE_CALL = r"""\.mode\(\s*"(?:append|overwrite)"\s*\)\s*"""
+ETL_SQL = f"""SELECT repo, path, content, parts, calls, list_position(list_transform(parts[2:], lambda p:
+      NOT regexp_matches(p, '^\.\s*option\(\s*"mergeSchema"')), true) AS k
+  FROM (SELECT *, regexp_split_to_array(content, '{MODE_CALL}') AS parts, regexp_extract_all(content, '{MODE_CALL}') AS calls
+        FROM source_files WHERE {ETL_CAND_SQL})"""
+ORACLE["etl_patch"] = with_views(["source_files"], f"""
+SELECT repo, path, sha256(array_to_string(list_transform(generate_series(1, len(parts)), lambda i: parts[i]
+    || coalesce(calls[i], '') || CASE WHEN i = k THEN '.option("mergeSchema", "true")' ELSE '' END), '')) AS patched_sha256
+FROM ({ETL_SQL}) WHERE k IS NOT NULL AND k > 0""")
 
 
 # ---- U4 / E9 -----------------------------------------------------------------
@@ -182,7 +193,9 @@ def q_sql_patch(spark, sf):
     r = failed_runs(spark, sf).where(F.col("sql_hint"))
     sql_files = files(spark, sf).where(F.col("path").endswith(".sql"))
     p = R.sql_patches(r, sql_files)
-    return p.select("run_id", "sql_path", "sql_generated", F.sha2("sql_content", 256).alias("sql_sha256"))
+    keys = ["repo", "target_catalog", "target_schema", "sql_path"]
+    written = R.sql_patched_files(p, sql_files).select(*keys, F.sha2("content", 256).alias("sql_sha256"))
+    return p.join(written, keys).select("run_id", "sql_path", "sql_generated", "sql_sha256")
 
 
 SQL_CTES = [
@@ -191,12 +204,11 @@ SQL_CTES = [
     ("pref", """SELECT k.*, f.path, f.content FROM keys k JOIN sqlf f ON f.repo = k.repo
         AND (contains(lower(f.content), lower(k.target_table)) OR contains(lower(f.content), lower(k.target_schema)))"""),
     ("prefk", "SELECT DISTINCT repo, target_catalog, target_schema, target_table FROM pref"),
-    ("cand", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, target_catalog, target_schema, target_table ORDER BY path) AS rn FROM pref) WHERE rn <= 5
+    ("cand", """SELECT * FROM pref
         UNION ALL
-        SELECT * FROM (SELECT k.*, f.path, f.content, row_number() OVER (PARTITION BY k.repo, k.target_catalog, k.target_schema, k.target_table ORDER BY f.path) AS rn
-          FROM keys k JOIN sqlf f ON f.repo = k.repo
+        SELECT k.*, f.path, f.content FROM keys k JOIN sqlf f ON f.repo = k.repo
           WHERE NOT EXISTS (SELECT 1 FROM prefk p WHERE p.repo = k.repo AND p.target_catalog = k.target_catalog
-                            AND p.target_schema = k.target_schema AND p.target_table = k.target_table)) WHERE rn <= 5"""),
+                            AND p.target_schema = k.target_schema AND p.target_table = k.target_table)"""),
     ("firstlack", """SELECT repo, target_catalog, target_schema, target_table, min(path) AS path, arg_min(content, path) AS content FROM cand
         WHERE NOT (contains(lower(content), 'create schema if not exists') AND target_schema <> '' AND contains(lower(content), lower(target_schema)))
         GROUP BY ALL"""),
@@ -216,29 +228,23 @@ ORACLE["sql_patch"] = with_views(["failure_logs", "plans", "source_files"],
 
 # ---- G9 / U5 / P5 ------------------------------------------------------------
 def q_remediation_batch(spark, sf):
-    rep = R.remediation_report(runs(spark, sf), files(spark, sf), materialize=True)
+    rep = R.remediation_report(runs(spark, sf), files(spark, sf))
     return rep.select("run_id", "report", "remediation_status", "remediation_detail")
 
 
 REPORT_CTES = SQL_CTES + [
-    ("nbc", f"SELECT repo, path, rank FROM ({NB_CAND_SQL}) WHERE NOT contains(content, '{K.NOTEBOOK_CONF_LINE}')"),
-    ("etlc", f"""SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM source_files WHERE {ETL_CAND_SQL}) WHERE rn <= 30)
-        WHERE len(list_filter(regexp_extract_all(content, '\\.mode\\(\\s*"(?:append|overwrite)"\\s*\\)\\s*(\\.\\s*option\\(\\s*"mergeSchema")?', 1),
-                              lambda g: coalesce(g, '') = '')) > 0
-        QUALIFY rank <= 3"""),
-    ("per_repo", """SELECT repo, count(*) FILTER (WHERE plugin = 'nb') AS nb_n, list(path ORDER BY rank) FILTER (WHERE plugin = 'nb') AS nb_files,
-        count(*) FILTER (WHERE plugin = 'etl') AS etl_n, list(path ORDER BY rank) FILTER (WHERE plugin = 'etl') AS etl_files
-      FROM (SELECT repo, path, rank, 'nb' AS plugin FROM nbc UNION ALL SELECT repo, path, rank, 'etl' FROM etlc) GROUP BY repo"""),
+    ("nbc", f"SELECT repo, path FROM ({NB_CAND_SQL}) WHERE NOT contains(content, '{K.NOTEBOOK_CONF_LINE}')"),
+    ("etlc", f"SELECT repo, path FROM ({ETL_SQL}) WHERE k IS NOT NULL AND k > 0"),
+    ("per_repo", """SELECT repo, count(*) FILTER (WHERE plugin = 'nb') AS nb_n, count(*) FILTER (WHERE plugin = 'etl') AS etl_n
+      FROM (SELECT repo, path, 'nb' AS plugin FROM nbc UNION ALL SELECT repo, path, 'etl' FROM etlc) GROUP BY repo"""),
     ("rep", """SELECT f.run_id, f.work_item_id, f.environment,
         f.notebook_hint AND coalesce(pr.nb_n, 0) > 0 AS nb_on, f.sql_hint AND s.sql_path IS NOT NULL AS sql_on,
-        f.etl_hint AND coalesce(pr.etl_n, 0) > 0 AS etl_on, pr.nb_n, pr.nb_files, pr.etl_n, pr.etl_files, s.sql_path
+        f.etl_hint AND coalesce(pr.etl_n, 0) > 0 AS etl_on, pr.nb_n, pr.etl_n
       FROM failed f LEFT JOIN per_repo pr USING (repo) LEFT JOIN sqlp s USING (run_id)"""),
     ("rep2", """SELECT *, list_filter([CASE WHEN nb_on THEN 'databricks_notebook:' || CAST(nb_n AS VARCHAR) || ' file(s)' END,
           CASE WHEN sql_on THEN 'sql:1 file(s)' END,
           CASE WHEN etl_on THEN 'python_etl:' || CAST(etl_n AS VARCHAR) || ' file(s)' END], lambda x: x IS NOT NULL) AS entries,
-        list_concat(CASE WHEN nb_on THEN nb_files ELSE [] END, CASE WHEN sql_on THEN [sql_path] ELSE [] END,
-                    CASE WHEN etl_on THEN etl_files ELSE [] END) AS changed
+        CASE WHEN nb_on THEN nb_n ELSE 0 END + CASE WHEN sql_on THEN 1 ELSE 0 END + CASE WHEN etl_on THEN etl_n ELSE 0 END AS changed
       FROM rep"""),
 ]
 
@@ -246,7 +252,7 @@ QUERIES["remediation_batch"] = q_remediation_batch
 ORACLE["remediation_batch"] = with_views(["failure_logs", "plans", "source_files"], f"""
 SELECT run_id, CASE WHEN len(entries) > 0 THEN array_to_string(entries, ', ') ELSE '{K.NO_PLUGIN_TEXT}' END AS report,
   'succeeded' AS remediation_status,
-  CASE WHEN len(entries) > 0 THEN 'transformers=' || array_to_string(entries, ', ') || '; changed_files=' || array_to_string(changed, ',')
+  CASE WHEN len(entries) > 0 THEN 'transformers=' || array_to_string(entries, ', ') || '; changed_files=' || CAST(changed AS VARCHAR)
        ELSE 'remediation_artifact=generated_changes/remediation_' || CAST(work_item_id AS VARCHAR) || '_' || environment || '_attempt_1.md' END
     AS remediation_detail
 FROM rep2""", extra=RUN_CTES + REPORT_CTES)

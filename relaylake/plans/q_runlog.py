@@ -60,36 +60,36 @@ def counts(spark, sf):
 
 
 def q_counts_reply(spark, sf):
-    """Pending approvals, pending clarifications, active tickets (cap 100)."""
+    """Pending approvals, pending clarifications, active tickets."""
     return counts(spark, sf)
 
 
 COUNTS_SQL = """SELECT (SELECT count(*) FROM state WHERE status = 'pending') AS pending_approvals,
   (SELECT count(*) FROM creq WHERE status = 'pending') AS pending_clarifications,
-  (SELECT count(*) FROM (SELECT 1 FROM tickets WHERE item_type IN ('Product Backlog Item', 'Bug', 'User Story')
-     AND state <> 'Closed' LIMIT 100)) AS active_items"""
+  (SELECT count(*) FROM tickets WHERE item_type IN ('Product Backlog Item', 'Bug', 'User Story')
+     AND state <> 'Closed') AS active_items"""
 
 QUERIES["counts_reply"] = q_counts_reply
 ORACLE["counts_reply"] = with_views(["approval_events", "tickets"], COUNTS_SQL,
                                     extra=q_approvals.STATE_CTES + q_clarify.PAIR_CTES)
 
 
+COUNT_COLUMNS = ("pending_approvals", "pending_clarifications", "active_items")
+
+
 def q_chat_reply(spark, sf):
     """A reply per user message with the three counts.
 
-    The counts are one aggregate row; it is read once on the driver (three
-    numbers) and bound as literals, rather than joined to every message."""
-    c = counts(spark, sf).first()
-    msgs = table(spark, sf, "conversations").where(F.col("role") == "user")
+    The counts are one aggregate row, broadcast to the messages."""
+    c = counts(spark, sf).select(*[F.col(k).cast("string").alias(k) for k in COUNT_COLUMNS])
+    msgs = table(spark, sf, "conversations").where(F.col("role") == "user").join(F.broadcast(c))
     message = T.strip(F.col("text"))
-    fb = F.concat(F.lit("I can help with workflow control. Pending approvals="), F.lit(str(c["pending_approvals"])),
-                  F.lit(", pending clarifications="), F.lit(str(c["pending_clarifications"])),
-                  F.lit(", active items="), F.lit(str(c["active_items"])), F.lit(". Request received: "), message)
+    fb = F.concat(F.lit("I can help with workflow control. Pending approvals="), F.col("pending_approvals"),
+                  F.lit(", pending clarifications="), F.col("pending_clarifications"),
+                  F.lit(", active items="), F.col("active_items"), F.lit(". Request received: "), message)
     text = TPL.render(TPL.literal("hil_chat_response"), {
         "message": message, "context": F.lit("{}"),
-        "pending_approvals": F.lit(str(c["pending_approvals"])),
-        "pending_clarifications": F.lit(str(c["pending_clarifications"])),
-        "active_items": F.lit(str(c["active_items"])),
+        **{k: F.col(k) for k in COUNT_COLUMNS},
     }, fb)
     return msgs.select("conv_id", "turn", F.sha2(text, 256).alias("reply_sha256"))
 

@@ -392,19 +392,17 @@ QUERIES["stage_messages"] = q_stage_messages
 ORACLE["stage_messages"] = _stage_messages_sql()
 
 
-# ---- P3 full cycle: feedback → history (keep 500) → source rank -------------
+# ---- P3 full cycle: feedback → history → source rank ------------------------
 def q_learning_cycle(spark, sf):
     """This cycle's learning rows are appended after the stored history
-    (in ticket order), the last 500 are kept, and the source-type rank is
-    recomputed from them. Retention is a top-k over (is_new, key): no global
-    row numbering is needed to continue the sequence."""
+    (in ticket order) and the source-type rank is recomputed from all of them.
+    The sequence goes on as (is_new, key): no global row numbering is needed."""
     s = summaries(spark, sf).select("work_item_id", "overall_status")
     p = reached_stage_loop(spark, sf).select("work_item_id", "source_types")
     new = s.join(p, "work_item_id").select(F.lit(1).alias("grp"), F.col("work_item_id").alias("k"), "source_types")
     old = views.learning_history(spark, sf).select(F.lit(0).alias("grp"), F.col("seq").alias("k"), "source_types")
-    kept = new.unionByName(old).orderBy(F.col("grp").desc(), F.col("k").desc()).limit(K.HISTORY_LIMIT)
-    ranked = kept.select((F.col("grp") * (1 << 40) + F.col("k")).alias("seq"), "source_types")
-    return learning.source_rank(ranked)
+    seq = (F.col("grp") * (1 << 40) + F.col("k")).alias("seq")
+    return learning.source_rank(learning.append_history(old.select(seq, "source_types"), new.select(seq, "source_types")))
 
 
 QUERIES["learning_cycle"] = q_learning_cycle
@@ -421,6 +419,5 @@ FROM (SELECT grp * 1099511627776 + k AS seq, unnest(source_types) AS source_type
                                       WHERE s = 'succeeded')
               GROUP BY k.work_item_id
               UNION ALL
-              SELECT 0, seq, source_types FROM learning_history)
-            ORDER BY grp DESC, k DESC LIMIT {K.HISTORY_LIMIT}))
+              SELECT 0, seq, source_types FROM learning_history)))
 GROUP BY source_type""", more_views=["plans", "run_ledger", "learning_history"])

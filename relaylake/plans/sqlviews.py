@@ -78,16 +78,16 @@ FROM (
 """
 
 VIEWS["stage_runs"] = f"""
-SELECT l_orderkey AS work_item_id, l_linenumber AS ord,
-  {STAGES_SQL}[l_linenumber] AS environment,
-  CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) AS INTEGER) AS attempt,
+SELECT l_orderkey AS work_item_id, CAST((l_linenumber - 1) % 4 + 1 AS INTEGER) AS ord,
+  {STAGES_SQL}[(l_linenumber - 1) % 4 + 1] AS environment,
+  CAST(row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) % 4 ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) AS INTEGER) AS attempt,
   CASE l_returnflag WHEN 'N' THEN 'succeeded' WHEN 'A' THEN 'failed' ELSE 'partiallySucceeded' END AS status,
   l_discount < 0.095 AS qa_passed,
   l_linestatus = 'O' AS fix_ok,
   l_quantity > 45 AS denied,
   l_shipdate AS started_at,
   CAST(l_quantity * 60 AS BIGINT) AS duration_s
-FROM lineitem WHERE l_linenumber <= 4
+FROM lineitem
 """
 
 VIEWS["approval_events"] = f"""

@@ -10,41 +10,21 @@ TABLES = (
 )
 
 
+SCAN_PARTITIONS = "relaylake.scan.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Read one table; Catalyst prunes columns and pushes filters into the scan.
 
-    ``spread=True`` is for views whose first operators are heavy per-row
-    projections (regular expressions, hashes, array lambdas): when the table
-    is stored as fewer splits than the session has cores (one small file with
-    one row group), those projections would all run in a single task, so the
-    scan is spread round-robin over the cores. A large table already scans as
-    many splits and is left alone.
+    ``spread=True`` marks views whose first operators are heavy per-row
+    projections (regular expressions, hashes, array lambdas). Where the session
+    sets ``relaylake.scan.partitions``, their scan is dealt round-robin over
+    that many tasks: for tables stored as few large row groups, which no scan
+    setting can split. Unset, as on a cluster whose tables have many files,
+    the scan's own splits are used.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread_small_input(spark, df, path) if spread else df
-
-
-def expected_splits(spark: SparkSession, df: DataFrame, path: str, enough: int | None = None) -> int:
-    """Scan splits estimated from the file index (file count and total bytes
-    over ``spark.sql.files.maxPartitionBytes``); no query planning. When the
-    file count alone reaches ``enough`` the size is not looked up (listing
-    sizes of a large table on object storage is itself costly)."""
-    n_files = len(df.inputFiles())
-    if enough is not None and n_files >= enough:
-        return n_files
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(hpath).getLength()
-    max_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    return max(n_files, -(-size // max_bytes))
-
-
-def spread_small_input(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    cores = spark.sparkContext.defaultParallelism
-    if expected_splits(spark, df, path, enough=cores) < cores:
-        return df.repartition(cores)
-    return df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    partitions = spark.conf.get(SCAN_PARTITIONS, None) if spread else None
+    return df.repartition(int(partitions)) if partitions else df

@@ -72,14 +72,15 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipeline runs per (ticket, stage, attempt) from lineitem.
 
-    ord = line number (1..4 → dev, qe, stg, prod); attempt = order of the
-    repeated (order, line) pairs by (shipdate, partkey, suppkey)."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= len(K.STAGE_SEQUENCE))
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey", "l_suppkey")
+    Line numbers go round the four stages (dev, qe, stg, prod), so every
+    line is a run; attempt = order of the runs of one (order, stage) by
+    (shipdate, partkey, suppkey, line number)."""
+    li = table(spark, sf_dir, "lineitem").withColumn("_ord", ((F.col("l_linenumber") - 1) % len(K.STAGE_SEQUENCE) + 1).cast("int"))
+    w = Window.partitionBy("l_orderkey", "_ord").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")
     return li.select(
         F.col("l_orderkey").alias("work_item_id"),
-        F.col("l_linenumber").alias("ord"),
-        F.get(T.str_array(K.STAGE_SEQUENCE), F.col("l_linenumber") - 1).alias("environment"),
+        F.col("_ord").alias("ord"),
+        F.get(T.str_array(K.STAGE_SEQUENCE), F.col("_ord") - 1).alias("environment"),
         F.row_number().over(w).alias("attempt"),
         _case(F.col("l_returnflag"), [("N", "succeeded"), ("A", "failed")], "partiallySucceeded").alias("status"),
         (F.col("l_discount") < 0.095).alias("qa_passed"),

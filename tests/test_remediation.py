@@ -80,7 +80,11 @@ def test_failure_context_and_labels(spark):
     got = {r.run_id: r for r in out}
     assert got[1].failure_context == ""
     assert got[2].failure_context == "No logs URL available for failed run_id=2."
-    assert len(got[3].failure_context) == 6000 and got[3].sql_hint and not got[3].etl_hint
+    assert len(got[3].failure_context) == 7016 and got[3].sql_hint and not got[3].etl_hint
+    late = spark.createDataFrame([(1, "failed", "u", "z" * 6500 + " schema mismatch")], df.schema)
+    cut = lambda n: R.with_labels(late.withColumn("failure_context", R.failure_context(
+        F.col("status"), F.col("logs_url"), F.col("log_body"), F.col("run_id"), n))).first()
+    assert cut(None).etl_hint and not cut(6000).etl_hint and len(cut(6000).failure_context) == 6000
 
 
 def test_sql_patch_prepends_or_generates(spark):
@@ -91,10 +95,25 @@ def test_sql_patch_prepends_or_generates(spark):
     ], "repo string, path string, content string")
     runs = spark.createDataFrame([(1, 10, "r", "main", "bronze", "t"), (2, 20, "empty", "main", "bronze", "t")],
                                  "run_id long, work_item_id long, repo string, target_catalog string, target_schema string, target_table string")
-    got = {r.run_id: r for r in R.sql_patches(runs, files).collect()}
-    assert got[1].sql_path == "sql/b.sql" and got[1].sql_content.startswith(K.SQL_MARKER)
-    assert got[1].sql_content.endswith("select * from bronze.t;")
+    patches = R.sql_patches(runs, files)
+    got = {r.run_id: r for r in patches.collect()}
+    assert got[1].sql_path == "sql/b.sql" and not got[1].sql_generated
     assert got[2].sql_path == "sql/remediation_bootstrap_wi_20.sql" and got[2].sql_generated
+    written = {r.sql_path: r.content for r in R.sql_patched_files(patches, files).collect()}
+    assert written["sql/b.sql"].startswith(K.SQL_MARKER) and written["sql/b.sql"].endswith("select * from bronze.t;")
+    assert written[got[2].sql_path].startswith(K.SQL_MARKER) and len(written) == 2
+
+
+def test_sql_target_is_the_first_of_any_number_of_files(spark):
+    has = "create schema if not exists x.bronze; -- bronze orders"
+    files = [("r", f"sql/{i:03d}.sql", has) for i in range(45)] + [("r", "sql/900.sql", "select big_orders_v2 from y")]
+    files += [("r", "sql/950.sql", "select 1 from orders"), ("q", "sql/a.sql", "z" * 100_000), ("q", "sql/b.sql", has.replace("bronze", "gold")),
+              ("e", "sql/only.sql", has), ("p", "sql/n.sql", "nothing named"), ("p", "sql/m.sql", "nothing either")]
+    table = spark.createDataFrame(files, "repo string, path string, content string")
+    keys = spark.createDataFrame([("r", "bronze", "orders"), ("q", "bronze", "orders"), ("e", "bronze", "orders"), ("p", "bronze", "or"), ("q", "zz", "t")],
+                                 "repo string, target_schema string, target_table string")
+    got = {(r.repo, r.target_schema): r.path for r in R.sql_targets(table, keys).collect()}
+    assert got == {("r", "bronze"): "sql/900.sql", ("q", "bronze"): "sql/b.sql", ("e", "bronze"): None, ("p", "bronze"): "sql/m.sql", ("q", "zz"): "sql/a.sql"}
 
 
 def test_candidate_rules(spark):
@@ -104,7 +123,7 @@ def test_candidate_rules(spark):
     got = {r.path: r.c for r in df.select("path", R.etl_candidate(F.col("path")).alias("c")).collect()}
     assert got == {"etl/a.py": True, "tests/etl/b.py": False, "jobs/c.py": True, "lib/d.py": False,
                    "Notebooks/e.py": True, "etl/f.sql": False, "x/my_notebook_1.py": False, "notebooks/g.py": True}
-    nb = [r.path for r in R.notebook_candidates(df).orderBy("rank").collect()]
+    nb = [r.path for r in R.notebook_candidates(df).orderBy("pattern_rank", "path").collect()]
     assert nb == ["notebooks/g.py", "x/my_notebook_1.py"]
 
 
@@ -118,7 +137,19 @@ def test_report_text(spark):
         "repo string, target_catalog string, target_schema string, target_table string")
     got = {r.run_id: r for r in R.remediation_report(runs, files).collect()}
     assert got[1].report == "databricks_notebook:1 file(s), sql:1 file(s), python_etl:1 file(s)"
-    assert got[1].remediation_detail.endswith("changed_files=notebooks/a.py,sql/remediation_bootstrap_wi_1.sql,etl/b.py")
+    assert got[1].remediation_detail.endswith("changed_files=3")
     assert got[2].report == K.NO_PLUGIN_TEXT
     assert got[2].remediation_detail == "remediation_artifact=generated_changes/remediation_2_qe_attempt_1.md"
     assert R.enabled_plugins(["Python_ETL", " sql "]) == ["sql", "python_etl"]
+
+
+def test_every_file_and_a_users_own_plugin(spark):
+    files = spark.createDataFrame([("r", f"etl/{i}.py", 'd.write.mode("append")\n') for i in range(40)] + [("r", "conf/a.ini", "retries = 1\n")],
+                                  "repo string, path string, content string")
+    runs = spark.createDataFrame([(1, 1, "dev", "failed", "u", "cannot resolve x; too few retries", "r", "main", "bronze", "t")],
+                                 "run_id long, work_item_id long, environment string, status string, logs_url string, log_body string, "
+                                 "repo string, target_catalog string, target_schema string, target_table string")
+    own = R.FilePlugin("more_retries", ("retries",), lambda f: f.where(F.col("path").endswith(".ini")),
+                       lambda c: F.replace(c, F.lit("retries = 1"), F.lit("retries = 3")))
+    row = R.remediation_report(runs, files, ["python_etl"], extra=[own]).first()
+    assert row.report == "python_etl:40 file(s), more_retries:1 file(s)" and row.remediation_detail.endswith("changed_files=41")

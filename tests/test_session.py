@@ -13,14 +13,13 @@ def test_cluster_settings_scale_with_input():
     assert int(big["spark.sql.adaptive.autoBroadcastJoinThreshold"]) == 64 << 20
 
 
-def test_split_estimate_and_spread(spark):
-    path = "/root/testdata/sf0.001/orders.parquet"
-    df = spark.read.parquet(path)
-    assert tables.expected_splits(spark, df, path) == 1
-    assert tables.expected_splits(spark, df, path, enough=1) == 1
+def test_scan_is_spread_only_where_the_session_says_so(spark):
+    plain = tables.table(spark, "/root/testdata/sf0.001", "orders", spread=True)
+    assert plain.rdd.getNumPartitions() == 1
+    spark.conf.set(tables.SCAN_PARTITIONS, "3")
     spread = tables.table(spark, "/root/testdata/sf0.001", "orders", spread=True)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread.count() == df.count()
+    spark.conf.unset(tables.SCAN_PARTITIONS)
+    assert spread.rdd.getNumPartitions() == 3 and spread.count() == plain.count()
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
