@@ -173,7 +173,7 @@ QUERIES["etl_patch"] = q_etl_patch
 # call; the first part after one that doesn't start with the option gets it.
 MODE_CALL = r"""\.mode\(\s*"(?:append|overwrite)"\s*\)\s*"""
 ETL_SQL = f"""SELECT repo, path, content, parts, calls, list_position(list_transform(parts[2:], lambda p:
-      NOT regexp_matches(p, '^\.\s*option\(\s*"mergeSchema"')), true) AS k
+      NOT regexp_matches(p, '^\\.\\s*option\\(\\s*"mergeSchema"')), true) AS k
   FROM (SELECT *, regexp_split_to_array(content, '{MODE_CALL}') AS parts, regexp_extract_all(content, '{MODE_CALL}') AS calls
         FROM source_files WHERE {ETL_CAND_SQL})"""
 ORACLE["etl_patch"] = with_views(["source_files"], f"""

@@ -41,7 +41,8 @@ def q_stream_intake(spark, sf):
     w.write.parquet(f"{base}/in/a")
     w.write.parquet(f"{base}/in/b")  # every ticket arrives twice: exact repeats
     stream = SI.intake_stream(_source(spark, w, f"{base}/in"))
-    sink = idempotent_sink(f"{base}/out", SI.plan_batch(lambda: views.run_ledger(spark, sf)))
+    SI.succeeded_keys(views.run_ledger(spark, sf), f"{base}/succeeded")
+    sink = idempotent_sink(f"{base}/out", SI.plan_batch(lambda: f"{base}/succeeded"))
     run_available_now(stream, sink, f"{base}/ck")
     return q_intake._plan_out(spark.read.parquet(f"{base}/out"))
 
@@ -65,22 +66,27 @@ ORACLE["stream_ledger"] = q_intake.ORACLE["run_ledger_latest"]
 
 # ---- X2 / X3 / X4 ------------------------------------------------------------
 RETENTION_S = 100 * 86400
+LATENESS = "60 days"  # the files hold the rows in no order of time
+STREAM_FILES = 6  # read in two micro-batches
+
+
+def _newer_event(events, path: str) -> None:
+    """One event of another kind, long after all others."""
+    events.agg(F.max("ts").alias("ts")).select(
+        F.lit("newer").alias("request_id"), F.lit(None).cast("string").alias("stage"), F.lit("comment").alias("event"),
+        F.lit(None).cast("string").alias("actor"), (F.col("ts") + F.make_dt_interval(days=F.lit(400))).alias("ts"),
+        F.lit(-1).cast("bigint").alias("seq")).write.parquet(path)
 
 
 def approval_stream_view(spark: SparkSession, sf: str, late_decision: str):
     base = _base(spark, "approvals")
     ev = views.approval_events(spark, sf).select("request_id", "stage", "event", "actor", "ts", "seq")
-    ev.write.parquet(f"{base}/in/events")
-    # end-of-input marker: moves the watermark past every open deadline so the
-    # last timers fire (a continuous stream gets this from newer events)
-    end = ev.agg(F.max("ts").alias("ts")).select(
-        F.lit(SA.SENTINEL).alias("request_id"), F.lit(None).cast("string").alias("stage"), F.lit("end").alias("event"),
-        F.lit(None).cast("string").alias("actor"),
-        (F.col("ts") + F.make_dt_interval(days=F.lit(2 * RETENTION_S // 86400 + 1))).alias("ts"),
-        F.lit(-1).cast("bigint").alias("seq"))
-    end.write.parquet(f"{base}/in/end")
+    ev.repartition(STREAM_FILES, "seq").write.parquet(f"{base}/in/events")
     out = SA.approval_outcomes(_source(spark, ev, f"{base}/in"), q_approvals.TIMEOUT_S, late_decision,
-                               lateness="1 hour", retention_seconds=RETENTION_S)
+                               lateness=LATENESS, retention_seconds=RETENTION_S)
+    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
+    # newer events, as a continuous stream has them, let the last timers fire
+    _newer_event(ev, f"{base}/in/newer")
     run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
     return SA.current_view(spark.read.parquet(f"{base}/out").drop("batch"))
 
@@ -120,12 +126,16 @@ def status_events(spark: SparkSession, sf: str):
 def q_stream_run_status(spark, sf):
     base = _base(spark, "status")
     ev = status_events(spark, sf)
-    ev.write.parquet(f"{base}/in")
+    ev.write.parquet(f"{base}/in/events")
     agg = SL.first_terminal_status(_source(spark, ev, f"{base}/in"))
-    run_available_now(agg, idempotent_sink(f"{base}/out"), f"{base}/ck", output_mode="update")
+    run_available_now(agg, idempotent_sink(f"{base}/out"), f"{base}/ck")
+    # a later run, whose own session stays open, moves the watermark past the others
+    later = ev.agg((F.max("ts") + F.make_dt_interval(days=F.lit(60))).alias("ts"))
+    later.select(F.lit(-1).cast("long").alias("work_item_id"), F.lit(1).cast("int").alias("ord"), F.lit(1).cast("int").alias("attempt"),
+                 F.lit("succeeded").alias("result"), F.lit("completed").alias("state"), "ts").write.parquet(f"{base}/in/later")
+    run_available_now(agg, idempotent_sink(f"{base}/out"), f"{base}/ck")
     out = spark.read.parquet(f"{base}/out")
-    latest = out.groupBy("work_item_id", "ord", "attempt").agg(F.max_by("status", "batch").alias("status"))
-    return latest
+    return out.groupBy("work_item_id", "ord", "attempt").agg(F.min_by("status", "ts").alias("status"))
 
 
 QUERIES["stream_run_status"] = q_stream_run_status
@@ -138,14 +148,11 @@ def q_stream_clarifications(spark, sf):
     from relaylake.plans import q_clarify
     base = _base(spark, "clarifications")
     ev = q_clarify.clar_events(spark, sf).select("request_id", "stage", "event", "actor", "ts", "seq")
-    ev.write.parquet(f"{base}/in/events")
-    end = ev.agg(F.max("ts").alias("ts")).select(
-        F.lit(SA.SENTINEL).alias("request_id"), F.lit(None).cast("string").alias("stage"), F.lit("end").alias("event"),
-        F.lit(None).cast("string").alias("actor"), (F.col("ts") + F.make_dt_interval(days=F.lit(30))).alias("ts"),
-        F.lit(-1).cast("bigint").alias("seq"))
-    end.write.parquet(f"{base}/in/end")
+    ev.repartition(STREAM_FILES, "seq").write.parquet(f"{base}/in/events")
     out = SA.approval_outcomes(_source(spark, ev, f"{base}/in"), q_clarify.CLARIFICATION_TIMEOUT_S, "overwrite",
-                               lateness="1 hour", retention_seconds=10 * 86400, decisions=("answered",))
+                               lateness=LATENESS, retention_seconds=RETENTION_S, decisions=("answered",))
+    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
+    _newer_event(ev, f"{base}/in/newer")
     run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
     v = SA.current_view(spark.read.parquet(f"{base}/out").drop("batch"))
     return v.select("request_id", "outcome", "outcome_actor", "final_status")

@@ -2,14 +2,16 @@
 (X2, X3, X4, X7). Clarifications use the same processor with ``answered``
 as the terminal event.
 
-``groupBy(request_id).applyInPandasWithState`` keeps a few scalars per
-request (creation time, first in-time decision, latest decision) and an
-event-time timer at ``created_at + timeout``. When the watermark passes the
-deadline without a decision the request is ``timed_out`` by
-``system-timeout``. Later decisions overwrite that status
-(``late_decision='overwrite'``) or are dropped (``'ignore'``). State is
-released ``retention_seconds`` after the deadline, so state size is bounded
-by the requests open within that horizon.
+``groupBy(request_id).applyInPandasWithState`` keeps, per request, its
+creation and the decisions seen. The result is a function of the rows seen so
+far and the watermark, not of how they were cut into micro-batches: decisions
+that come before their request wait for it, an earlier in-time decision revises
+the outcome, and a request is ``timed_out`` (by ``system-timeout``) only when
+the watermark has passed ``created_at + timeout`` without a decision, since
+before that one could still arrive. Later decisions overwrite that status
+(``late_decision='overwrite'``) or are dropped (``'ignore'``). Once no earlier
+request can arrive any more, only the earliest in-time and the latest decision
+are kept; the state is released ``retention_seconds`` after the deadline.
 
 Every change is emitted as a new version of the request's row; the current
 view is the latest version per request (W2).
@@ -17,6 +19,7 @@ view is the latest version per request (W2).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,16 +29,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = ("request_id string, stage string, created_at timestamp, outcome string, "
                  "outcome_actor string, final_status string, version int")
-STATE_SCHEMA = ("created_us long, stage string, outcome string, outcome_actor string, "
-                "last_event string, last_us long, last_seq long, phase int, version int")
-SENTINEL = "__end_of_stream__"
+STATE_SCHEMA = "created_us long, created_seq long, stage string, decisions string, emitted string, version int"
 DECISIONS = ("approved", "rejected")
 
 
-def _us(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1000)
-
-
 def make_processor(timeout_seconds: int, late_decision: str = "overwrite", retention_seconds: int | None = None,
                    decisions: tuple[str, ...] = DECISIONS):
     if late_decision not in ("overwrite", "ignore"):
@@ -43,91 +40,43 @@ def make_processor(timeout_seconds: int, late_decision: str = "overwrite", reten
     timeout_us = timeout_seconds * 1_000_000
     retention_us = (retention_seconds if retention_seconds is not None else timeout_seconds) * 1_000_000
 
-    def emit(key, st):
-        created = pd.Timestamp(st["created_us"], unit="us")
-        return pd.DataFrame({
-            "request_id": [key], "stage": [st["stage"]], "created_at": [created],
-            "outcome": [st["outcome"]], "outcome_actor": [st["outcome_actor"]],
-            "final_status": [st["final"]], "version": [st["version"]],
-        })
-
-    def final_of(st) -> str:
-        if st["outcome"] == "timed_out":
-            if late_decision == "overwrite" and st["last_event"] is not None and st["last_us"] > st["created_us"] + timeout_us:
-                return st["last_event"]
-            return "timed_out"
-        return st["last_event"] or st["outcome"]
-
     def process(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = key[0]
-        if rid == SENTINEL:
-            return
-        names = ["created_us", "stage", "outcome", "outcome_actor", "last_event", "last_us", "last_seq", "phase", "version"]
-        st = dict(zip(names, state.get)) if state.exists else {n: None for n in names}
-        st["phase"] = st["phase"] or 0
-        st["version"] = st["version"] or 0
-        changed = False
-        wm_us = state.getCurrentWatermarkMs() * 1000
-
-        def time_out(st):
-            st["outcome"], st["outcome_actor"], st["phase"] = "timed_out", "system-timeout", 1
-            st["final"] = final_of(st)
-            st["version"] += 1
-            return emit(rid, st)
-
-        def keep_or_release(st):
-            """Arm the next timer (deadline, then end of retention) or drop
-            the state when that moment already lies behind the watermark."""
-            target = st["created_us"] + timeout_us + (retention_us if st["phase"] == 1 else 0)
-            if target <= wm_us:
-                state.remove()
-            else:
-                state.update(tuple(st[n] for n in names))
-                state.setTimeoutTimestamp(target // 1000)
-
-        if state.hasTimedOut:
-            if st["phase"] == 0 and st["created_us"] is not None:
-                yield time_out(st)
-                keep_or_release(st)
-            else:
+        created, seq, stage, kept, emitted, version = state.get if state.exists else (None, None, None, "[]", None, 0)
+        seen = [tuple(x) for x in json.loads(kept)]  # (us, seq, event, actor)
+        for pdf in () if state.hasTimedOut else pdfs:  # one chunk at a time
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            asked = pdf.assign(us=us)[pdf["event"] == "requested"].nsmallest(1, ["us", "seq"])
+            for r in asked.itertuples():
+                if created is None or (r.us, r.seq) < (created, seq):
+                    created, seq, stage = int(r.us), int(r.seq), r.stage
+            told = pdf.assign(us=us)[pdf["event"].isin(list(decisions))]
+            seen += zip(told["us"].tolist(), told["seq"].tolist(), told["event"].tolist(), told["actor"].tolist())
+        watermark = state.getCurrentWatermarkMs() * 1000
+        if created is None:  # decisions wait for their request
+            release = max((x[0] for x in seen), default=watermark) + timeout_us + retention_us
+        else:
+            deadline = created + timeout_us
+            valid = [x for x in seen if x[0] >= created]
+            in_time = min((x for x in valid if x[0] <= deadline), key=lambda x: x[:2], default=None)
+            last = max(valid, key=lambda x: x[:2], default=None)
+            outcome = in_time[2:] if in_time else ("timed_out", "system-timeout") if deadline <= watermark else None
+            if outcome:
+                final = last[2] if last and (in_time or late_decision == "overwrite") else outcome[0]
+                now = json.dumps([created, stage, *outcome, final])
+                if now != emitted:
+                    emitted, version = now, version + 1
+                    yield pd.DataFrame({
+                        "request_id": [key[0]], "stage": [stage], "created_at": [pd.Timestamp(created, unit="us")], "outcome": [outcome[0]],
+                        "outcome_actor": [outcome[1]], "final_status": [final], "version": [version]})
+            if watermark > created:  # no earlier request can arrive
+                seen = [x for x in dict.fromkeys((in_time, last)) if x]
+            release = deadline if watermark < deadline else deadline + retention_us
+        if release <= watermark or not seen and created is None:
+            if state.exists:
                 state.remove()
-            return
-        frames = [p for p in pdfs if len(p)]
-        if frames:
-            rows = pd.concat(frames, ignore_index=True)
-            t = rows["ts"].astype("datetime64[us]").astype("int64")
-            # vectorised per batch: the first request, then the decisions at
-            # or after it — earliest in time and latest overall
-            req = rows.index[rows["event"] == "requested"]
-            if st["created_us"] is None and len(req):
-                i = min(req, key=lambda j: (t[j], rows.at[j, "seq"]))
-                st["created_us"], st["stage"] = int(t[i]), rows.at[i, "stage"]
-                changed = True
-            if st["created_us"] is not None:
-                dec = rows.index[rows["event"].isin(list(decisions)) & (t >= st["created_us"])]
-                if len(dec):
-                    last = max(dec, key=lambda j: (t[j], rows.at[j, "seq"]))
-                    if st["last_us"] is None or (int(t[last]), int(rows.at[last, "seq"])) > (st["last_us"], st["last_seq"]):
-                        st["last_event"], st["last_us"], st["last_seq"] = (
-                            rows.at[last, "event"], int(t[last]), int(rows.at[last, "seq"]))
-                    if st["phase"] == 0:
-                        in_time = [j for j in dec if t[j] <= st["created_us"] + timeout_us]
-                        if in_time:
-                            first = min(in_time, key=lambda j: (t[j], rows.at[j, "seq"]))
-                            st["outcome"], st["outcome_actor"] = rows.at[first, "event"], rows.at[first, "actor"]
-                        else:  # the deadline passed before the watermark caught up
-                            st["outcome"], st["outcome_actor"] = "timed_out", "system-timeout"
-                        st["phase"] = 1
-                    changed = True
-        if st["created_us"] is None:
-            return  # decisions without a request are ignored
-        if st["phase"] == 0 and st["created_us"] + timeout_us <= wm_us:
-            yield time_out(st)
-        elif changed and st["phase"] == 1:
-            st["final"] = final_of(st)
-            st["version"] += 1
-            yield emit(rid, st)
-        keep_or_release(st)
+        else:
+            state.update((created, seq, stage, json.dumps(seen), emitted, version))
+            state.setTimeoutTimestamp(release // 1000 + 1)
 
     return process
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from relaylake import constants as K
 
 
-def first_terminal_status(status_events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+def first_terminal_status(status_events: DataFrame, lateness: str = "1 hour", gap: str = "30 days") -> DataFrame:
     """Per run, the first status that is not ``inProgress`` /
-    ``notStarted`` (status = result, else state). A streaming aggregate with
-    a watermark: the per-run state is one ``min`` struct."""
+    ``notStarted`` (status = result, else state), with its time.
+
+    A run's terminal statuses form a session that ends ``gap`` after the last
+    of them; its state is one ``min`` struct and is dropped when the watermark
+    has passed that end, when the row is emitted."""
     ev = status_events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     status = F.coalesce(F.col("result"), F.col("state"))
     terminal = ev.where(~F.lower(status).isin(*K.NON_TERMINAL_STATUSES)).withColumn("status", status)
-    return terminal.groupBy("work_item_id", "ord", "attempt").agg(
-        F.min(F.struct("ts", "status")).alias("first")).select(
-        "work_item_id", "ord", "attempt", F.col("first.status").alias("status"))
+    return terminal.groupBy("work_item_id", "ord", "attempt", F.session_window("ts", gap)).agg(
+        F.min(F.struct("ts", "status")).alias("first")).select("work_item_id", "ord", "attempt", "first.ts", "first.status")

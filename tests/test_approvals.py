@@ -1,6 +1,9 @@
 """Approvals: latest state, guidance, deadlines in batch and as a stream."""
 
 import datetime as dt
+import time
+
+import pytest
 
 from relaylake.operators import approvals as A
 from relaylake.streaming import approvals as SA
@@ -46,16 +49,38 @@ def test_latest_state_and_guidance(spark):
     assert g["none"].risk_level == "medium" and g["none"].checklist[0].startswith("Validate schema")
 
 
+def streamed(spark, base, batches, files_per_trigger=1):
+    """The stream's current view with one file per list of events, in order."""
+    for i, rows in enumerate([*batches, [ev("newer", "comment", 30 * 1440, 99)]]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{base}/in/{i}")
+        time.sleep(0.05)  # files are read in the order of their times
+    src = (spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger)
+           .parquet(f"{base}/in"))
+    out = SA.approval_outcomes(src, 3600, "overwrite", lateness="1 day", retention_seconds=86400)
+    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
+    view = SA.current_view(spark.read.parquet(f"{base}/out").drop("batch")).collect()
+    return {r.request_id: (r.outcome, r.outcome_actor, r.final_status) for r in view}
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]])
+def test_result_does_not_depend_on_micro_batches(spark, tmp_dir, order):
+    parts = [
+        [ev("first", "approved", 10, 2), ev("late", "requested", 0, 1), ev("late", "approved", 90, 5)],
+        [ev("first", "requested", 0, 1), ev("late", "rejected", 30, 4), ev("revised", "requested", 0, 1), ev("revised", "approved", 30, 3)],
+        [ev("revised", "rejected", 10, 2), ev("open", "requested", 5, 8), ev("earlier", "requested", 40, 20), ev("earlier", "rejected", 20, 21)],
+        [ev("earlier", "requested", 10, 19), ev("none", "approved", 1, 30), ev("open", "comment", 6, 9)],
+    ]
+    stream = streamed(spark, tmp_dir, [parts[i] for i in order])
+    df = spark.createDataFrame([r for p in parts for r in p], SCHEMA)
+    batch = {r.request_id: (r.outcome, r.outcome_actor, r.final_status) for r in A.timeout_outcomes(df, 3600).collect()}
+    assert stream == batch
+    assert stream["first"][0] == "approved" and stream["late"] == ("rejected", "approver-1", "approved")
+    assert stream["revised"] == ("rejected", "approver-1", "approved") and stream["open"][0] == "timed_out"
+
+
 def test_stream_twin_equals_batch(spark, tmp_dir):
     df = spark.createDataFrame(EVENTS, SCHEMA)
-    df.write.parquet(f"{tmp_dir}/in/a")
-    end = spark.createDataFrame([(SA.SENTINEL, None, "end", None, None, T0 + dt.timedelta(days=30), -1, 0, None)], SCHEMA)
-    end.write.parquet(f"{tmp_dir}/in/b")
-    src = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/in")
-    out = SA.approval_outcomes(src, 3600, "overwrite", lateness="1 minute", retention_seconds=86400)
-    run_available_now(out, idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck")
-    stream = {r.request_id: (r.outcome, r.outcome_actor, r.final_status)
-              for r in SA.current_view(spark.read.parquet(f"{tmp_dir}/out").drop("batch")).collect()}
+    stream = streamed(spark, tmp_dir, [EVENTS])
     batch = {r.request_id: (r.outcome, r.outcome_actor, r.final_status) for r in A.timeout_outcomes(df, 3600).collect()}
     assert stream == batch
 

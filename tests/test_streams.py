@@ -21,8 +21,9 @@ def test_stream_intake_dedupes_and_skips(spark, tmp_dir):
     t.write.parquet(f"{tmp_dir}/in/b")  # exact repeats
     key2 = intake.with_run_key(intake.normalize_tickets(t)).where("id = 2").first().run_key
     ledger = spark.createDataFrame([(key2, "succeeded", 1)], "run_key string, status string, seq long")
+    SI.succeeded_keys(ledger, f"{tmp_dir}/done")
     src = spark.readStream.schema(t.schema).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/in")
-    run_available_now(SI.intake_stream(src), idempotent_sink(f"{tmp_dir}/out", SI.plan_batch(lambda: ledger)), f"{tmp_dir}/ck")
+    run_available_now(SI.intake_stream(src), idempotent_sink(f"{tmp_dir}/out", SI.plan_batch(lambda: f"{tmp_dir}/done")), f"{tmp_dir}/ck")
     out = spark.read.parquet(f"{tmp_dir}/out")
     assert sorted(r.work_item_id for r in out.collect()) == [1]
     batch = planning.with_plan(intake.skip_completed(intake.board_filter(intake.normalize_tickets(t.limit(3))), ledger))
@@ -36,8 +37,11 @@ def test_status_polling(spark, tmp_dir):
         (1, 1, 1, "failed", "completed", t0 + dt.timedelta(minutes=5)),
         (1, 1, 1, "succeeded", "completed", t0 + dt.timedelta(minutes=9)),     # later result, first one wins
         (2, 1, 1, None, "InProgress", t0)], "work_item_id long, ord int, attempt int, result string, state string, ts timestamp_ntz")
-    ev.write.parquet(f"{tmp_dir}/in")
-    src = spark.readStream.schema(ev.schema).parquet(f"{tmp_dir}/in")
-    run_available_now(SL.first_terminal_status(src), idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck", output_mode="update")
+    ev.write.parquet(f"{tmp_dir}/in/a")
+    src = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/in")
+    stream = SL.first_terminal_status(src, gap="1 hour")
+    run_available_now(stream, idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck")
+    spark.createDataFrame([(3, 1, 1, "succeeded", "completed", t0 + dt.timedelta(days=2))], ev.schema).write.parquet(f"{tmp_dir}/in/b")
+    run_available_now(stream, idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck")
     got = {r.work_item_id: r.status for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
     assert got == {1: "failed"}  # run 2 never reached a terminal status
