@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from relaylake import constants as K
 
-# Python's str.strip() removes these ASCII whitespace characters; Spark's
+# The characters that Python's str.strip() removes. Spark's
 # trim() removes only spaces, so btrim with an explicit set is used instead.
-WHITESPACE = " \t\n\r\f\v"
+WHITESPACE = (" \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _BIG = 2147483647
 
 

@@ -36,15 +36,15 @@ def latest_state(events: DataFrame) -> DataFrame:
     (last write wins, ordered by (ts, seq)); no decision → pending."""
     reqs = requests(events)
     dec = events.where(F.col("event").isin(*DECISIONS))
-    # only what the state needs travels through the aggregate (no comment text)
     latest = dec.groupBy("request_id").agg(
-        F.max_by(F.struct("event", "actor", "ts"), F.struct("ts", "seq")).alias("d"))
+        F.max_by(F.struct("event", "actor", "comment", "ts"), F.struct("ts", "seq")).alias("d"))
     j = reqs.join(latest, "request_id", "left")
     valid = F.col("d").isNotNull() & (F.col("d.ts") >= F.col("created_at"))
     return j.select(
         "request_id", "work_item_id", "stage", "summary", "created_at",
         F.when(valid, F.col("d.event")).otherwise(F.lit("pending")).alias("status"),
         F.when(valid, F.col("d.actor")).alias("approver"),
+        F.when(valid, F.col("d.comment")).alias("comment"),
         F.when(valid, F.col("d.ts")).otherwise(F.col("created_at")).alias("updated_at"),
     )
 
@@ -143,6 +143,17 @@ def validate_decisions(decisions: DataFrame) -> DataFrame:
         F.when(bad_actor, F.lit("approver length")).when(bad_comment, F.lit("comment length")).alias("reason"))
 
 
+def validate_messages(messages: DataFrame) -> DataFrame:
+    """a message has 1 to 4000 characters, its responder, if there is
+    one, 2 to 128 → valid flag and the first failing rule. ``messages``: key
+    columns, ``message``, ``responder``."""
+    size, name = F.length(F.coalesce(F.col("message"), F.lit(""))), F.length("responder")
+    bad_message = (size < K.MESSAGE_MIN_LEN) | (size > K.MESSAGE_MAX_LEN)
+    bad_name = F.coalesce((name < K.ACTOR_MIN_LEN) | (name > K.ACTOR_MAX_LEN), F.lit(False))
+    reason = F.when(bad_message, F.lit("message length")).when(bad_name, F.lit("responder length"))
+    return messages.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("message", "responder")
+
+
 def gate_status(plan_stages: DataFrame, state: DataFrame) -> DataFrame:
     """(ticket, stage) ⟕ the latest approval request for it; the gate
     passes only when that request is approved (missing → fails)."""

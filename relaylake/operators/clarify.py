@@ -60,7 +60,8 @@ def answers_for_plans(plans: DataFrame, pairs: DataFrame) -> DataFrame:
     is filtered before anything is collected; the collected list per plan
     holds at most five entries."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    ranked = pairs.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < MAX_QUESTIONS)
+    # the limit on the bare row number lets Spark cut each group before the sort's exchange
+    ranked = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= MAX_QUESTIONS).withColumn("idx", F.col("_rn") - 1).drop("_rn")
     qs = plans.select("work_item_id", F.posexplode("clarification_questions").alias("idx", "q"))
     j = qs.join(ranked.select(F.col("conv_id").alias("work_item_id"), "idx", F.col("answer").alias("a")),
                 ["work_item_id", "idx"])

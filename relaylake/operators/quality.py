@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relaylake import constants as K
@@ -105,24 +105,44 @@ def row_delta(previous: DataFrame, current: DataFrame, subject: str, threshold:
 
 def fingerprint_diff(a: DataFrame, b: DataFrame, key: str, subject: str) -> DataFrame:
     """Q7: two versions of a dataset compared by per-key fingerprints
-    (count and sum of a row hash): partial aggregates on each side, then one
-    join of one row per key, instead of shuffling whole rows twice."""
-    def fp(df: DataFrame) -> DataFrame:
-        h = F.xxhash64(*[F.col(c) for c in df.columns])
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("h"))
-    fa, fb = fp(a), fp(b)
-    j = fa.join(fb.withColumnRenamed("n", "n2").withColumnRenamed("h", "h2"), key, "full_outer")
-    diff = j.where(~(F.col("n").eqNullSafe(F.col("n2")) & F.col("h").eqNullSafe(F.col("h2"))))
+    (count and sums of two independent row hashes, exact): partial aggregates
+    on each side, then one join of one row per key, instead of shuffling whole
+    rows twice."""
+    def fp(df: DataFrame, name: str) -> DataFrame:
+        columns = [F.col(c) for c in df.columns]
+        total = lambda h: F.sum(h.cast("decimal(38,0)"))
+        return df.groupBy(key).agg(F.struct(F.count(F.lit(1)), total(F.xxhash64(*columns)),
+                                            total(F.xxhash64(F.lit("second"), *reversed(columns)))).alias(name))
+    diff = fp(a, "x").join(fp(b, "y"), key, "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
     return diff.agg(F.count(F.lit(1)).alias("failed")).select(
         F.lit("regression_suite_passed").alias("check"), F.lit(subject).alias("subject"), "failed",
         (F.col("failed") == 0).alias("passed"), F.lit("critical").alias("severity"))
 
 
+SPAN = 4096  # width of value spans for percentiles
+
+
 def performance_baseline(durations: DataFrame, group: str, value: str, baseline: DataFrame,
                          pct: float = 0.95) -> DataFrame:
-    """Q8: the ``pct`` percentile of durations per group against a baseline
-    table (group, max_seconds); the baseline side is one row per group."""
-    p = durations.groupBy(group).agg(F.percentile(F.col(value), pct).alias("p"))
+    """Q8: the exact (interpolated) ``pct`` percentile of durations per group
+    against a baseline table (group, max_seconds; one row per group).
+
+    Equal values are counted first, map-side; running totals over a group's
+    distinct values, summed in spans of ``SPAN`` values, give the two values
+    around the wanted place. No task holds a whole group's rows."""
+    counts = durations.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("span", F.floor(F.col("v") / SPAN))
+    spans = counts.groupBy(group, "span").agg(F.sum("c").alias("sc"))
+    before = Window.partitionBy(group).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(group, "span", F.coalesce(F.sum("sc").over(before), F.lit(0)).alias("below"),
+                         F.sum("sc").over(Window.partitionBy(group)).alias("n"))
+    inside = Window.partitionBy(group, "span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(spans, [group, "span"]).withColumn("upto", F.col("below") + F.sum("c").over(inside))
+    place = pct * (F.col("n") - 1)
+    holds = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)
+    p = placed.groupBy(group).agg(F.max(place).alias("place"), F.max(F.when(holds(F.floor(place)), F.col("v"))).alias("lo"),
+                                  F.max(F.when(holds(F.ceil(place)), F.col("v"))).alias("hi"))
+    p = p.select(group, (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("place") - F.floor("place"))).alias("p"))
     j = p.join(baseline, group, "left")
     return j.select(group, F.round("p", 3).alias("p_value"), "max_seconds",
                     (F.col("max_seconds").isNotNull() & (F.col("p") <= F.col("max_seconds"))).alias("passed"))

@@ -22,13 +22,7 @@ _MODULES = [
 def _load(attr: str) -> dict:
     merged: dict = {}
     for name in _MODULES:
-        try:
-            mod = importlib.import_module(name)
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name == name:
-                continue
-            raise
-        merged.update(getattr(mod, attr))
+        merged.update(getattr(importlib.import_module(name), attr))
     return merged
 
 

@@ -11,6 +11,7 @@ from relaylake.operators import planning, stages
 from relaylake.plans.q_intake import tickets
 from relaylake.plans.sqlviews import with_views
 from relaylake.sources import views
+from relaylake.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -41,11 +42,11 @@ def state(spark, sf):
 
 
 def q_approval_latest(spark, sf):
-    return state(spark, sf).select("request_id", "work_item_id", "stage", "status", "approver", "updated_at")
+    return state(spark, sf).select("request_id", "work_item_id", "stage", "status", "approver", "comment", "updated_at")
 
 
 QUERIES["approval_latest"] = q_approval_latest
-ORACLE["approval_latest"] = state_sql("SELECT request_id, work_item_id, stage, status, approver, updated_at FROM state")
+ORACLE["approval_latest"] = state_sql("SELECT request_id, work_item_id, stage, status, approver, comment, updated_at FROM state")
 
 
 def q_approval_pending(spark, sf):
@@ -176,6 +177,18 @@ ORACLE["payload_valid"] = with_views(["approval_events"], """SELECT seq, request
   FROM approval_events WHERE event IN ('approved', 'rejected')""")
 
 
+def q_message_valid(spark, sf):
+    """message and responder bounds over all turns."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("message"), F.col("role").alias("responder"))
+    return A.validate_messages(turns)
+
+
+QUERIES["message_valid"] = q_message_valid
+ORACLE["message_valid"] = """SELECT conv_id, turn, reason, reason IS NULL AS valid FROM (SELECT conv_id, turn,
+  CASE WHEN length(coalesce(text, '')) NOT BETWEEN 1 AND 4000 THEN 'message length'
+       WHEN length(role) NOT BETWEEN 2 AND 128 THEN 'responder length' END AS reason FROM conversations)"""
+
+
 def q_approval_gate(spark, sf):
     p = planning.with_plan(tickets(spark, sf)).select("work_item_id")
     ps = stages.stage_cross(p).where(F.col("environment").isin(*K.APPROVAL_STAGES))
