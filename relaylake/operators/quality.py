@@ -5,8 +5,7 @@ Every check returns rows of the same shape,
 union plus one aggregate. Row-level rules over one table are evaluated in a
 single scan (one ``agg`` with a ``count_if`` per rule); uniqueness is a
 grouped count; referential integrity is a left-anti join. Schema checks
-compare ``DataFrame.schema`` metadata, which is small and lives on the
-driver by nature.
+count the landed text values that don't fit their declared type.
 """
 
 from __future__ import annotations
@@ -148,49 +147,44 @@ def performance_baseline(durations: DataFrame, group: str, value: str, baseline:
                     (F.col("max_seconds").isNotNull() & (F.col("p") <= F.col("max_seconds"))).alias("passed"))
 
 
-def table_exists(spark: SparkSession, name: str, path: str | None = None) -> bool:
-    """Q1: a catalog table of that name, or a readable dataset at ``path``
-    (metadata only: the footer is read, no rows are scanned)."""
-    if spark.catalog.tableExists(name):
-        return True
-    if path is None:
-        return False
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001 - missing path → not existing
-        return False
+def table_exists(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q1: a table exists if its rows can be read: one count for each."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit("table_exists").alias("check"), F.lit(name).alias("subject"), F.when(F.col("n_rows") > 0, 0).otherwise(1).cast("long").alias("failed"),
+            (F.col("n_rows") > 0).alias("passed"), F.lit("critical").alias("severity"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-def exists_rows(spark: SparkSession, found: dict[str, bool]) -> DataFrame:
-    rows = [("table_exists", k, 0 if v else 1, v, "critical") for k, v in sorted(found.items())]
-    return spark.createDataFrame(rows, CHECK_SCHEMA)
+def misfits(df: DataFrame, contract: list[tuple[str, str]]) -> list[tuple[str, str, Column]]:
+    """Per column of a contract (name, type): the number of landed text values
+    that don't cast to it; of a missing column, all rows."""
+    return [(name, kind, F.count_if(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()) if name in df.columns else F.count(F.lit(1)))
+            for name, kind in contract]
 
 
-def schema_rows(df: DataFrame) -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+def schema_fit(landed: DataFrame, contract: list[tuple[str, str]], subject: str) -> DataFrame:
+    """Q3: landed text against its contract, by values, in one scan: subject,
+    name, expected_type, failed, passed."""
+    counted = misfits(landed, contract)
+    row = landed.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(counted)])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("expected_type"), F.col(f"c{i}").alias("failed")) for i, (n, t, _) in enumerate(counted)])
+    return row.select(F.explode(rows).alias("r")).select(
+        F.lit(subject).alias("subject"), "r.name", "r.expected_type", "r.failed", (F.col("r.failed") == 0).alias("passed"))
 
 
-def schema_diff(spark: SparkSession, expected: list[tuple[str, str]], actual: list[tuple[str, str]],
-                subject: str) -> DataFrame:
-    """Q3/Q9: full outer join of expected and actual (name, type) rows →
-    missing, unexpected and retyped columns."""
-    e = spark.createDataFrame(expected, "name string, expected_type string")
-    a = spark.createDataFrame(actual, "name string, actual_type string")
-    j = e.join(a, "name", "full_outer")
-    change = (F.when(F.col("actual_type").isNull(), F.lit("missing"))
-              .when(F.col("expected_type").isNull(), F.lit("unexpected"))
-              .when(F.col("expected_type") != F.col("actual_type"), F.lit("retyped")))
-    return j.select(F.lit(subject).alias("subject"), "name", "expected_type", "actual_type", change.alias("change")) \
-        .where(F.col("change").isNotNull())
+def schema_drift(before: DataFrame, after: DataFrame, contract: list[tuple[str, str]], subject: str) -> DataFrame:
+    """Q9: columns whose values fitted their type in the earlier landing and
+    don't all do so in the later one."""
+    a, b = schema_fit(before, contract, subject), schema_fit(after, contract, subject)
+    return (a.select("subject", "name", "expected_type", F.col("failed").alias("failed_before"))
+            .join(b.select("name", F.col("failed").alias("failed_after")), "name")
+            .where((F.col("failed_before") == 0) & (F.col("failed_after") > 0))
+            .select("subject", "name", "expected_type", "failed_before", "failed_after"))
 
 
-def schema_validation(spark: SparkSession, df: DataFrame, expected: list[tuple[str, str]], subject: str) -> DataFrame:
-    diff = schema_diff(spark, expected, schema_rows(df), subject)
-    return diff.agg(F.count(F.lit(1)).alias("failed")).select(
-        F.lit("schema_validation").alias("check"), F.lit(subject).alias("subject"), "failed",
-        (F.col("failed") == 0).alias("passed"), F.lit("critical").alias("severity"))
-
 
 def alerts_by_window(events: DataFrame, ts: str, kind: str, error_value: str, window: str = "1 day") -> DataFrame:
     """Q12: error events per time window; green when there are none.

@@ -39,10 +39,14 @@ def test_fingerprint_diff(spark):
     assert Q.fingerprint_diff(a, other, "k", "t").first().failed == 2   # key 1 differs, key 3 is new
 
 
-def test_schema_diff(spark):
-    d = Q.schema_diff(spark, [("a", "bigint"), ("b", "string")], [("a", "int"), ("c", "string")], "t")
-    got = {r.name: r.change for r in d.collect()}
-    assert got == {"a": "retyped", "b": "missing", "c": "unexpected"}
+def test_schema_fit_and_drift(spark):
+    contract = [("a", "bigint"), ("b", "date"), ("c", "string")]
+    before = spark.createDataFrame([("1", "2024-01-01"), (None, "x")], "a string, b string")
+    after = spark.createDataFrame([("1.5x", "2024-01-01"), ("7", "x")], "a string, b string")
+    fit = {r.name: (r.failed, r.passed) for r in Q.schema_fit(before, contract, "t").collect()}
+    assert fit == {"a": (0, True), "b": (1, False), "c": (2, False)}  # a missing column fails for every row
+    drift = Q.schema_drift(before, after, contract[:2], "t").collect()
+    assert [(r.name, r.failed_before, r.failed_after) for r in drift] == [("a", 0, 1)]
 
 
 def test_percentile_baseline(spark):
