@@ -13,8 +13,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Sequence
-from struct import pack
 
 import numpy as np
 
@@ -79,15 +79,20 @@ class WordEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes | None:
-        if _ODD.search(word):
-            return None
-        lower = word.lower()
-        if lower.isalpha():
-            ids = self.merge(lower.encode() + self.END)
-        else:
-            ids = [i for piece in self.pieces(lower) for i in self.merge(piece.encode() + self.END)]
-        return pack(f"<{len(ids)}I", *ids)
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, by the merges alone where the characters allow."""
+        known, merge, end = self.known, self.merge, self.END
+        if _ODD.search(" ".join(words)):
+            rest = [w for w in words if _ODD.search(w)]
+            words = [w for w in words if not _ODD.search(w)]
+            for i in range(0, len(rest), 10_000):
+                known.update(zip(rest[i:i + 10_000], self._library(rest[i:i + 10_000])))
+        for word in words:
+            lower = word.lower()
+            if lower.isalpha():
+                known[word] = array("I", merge(lower.encode() + end)).tobytes()
+            else:
+                known[word] = array("I", [i for piece in self.pieces(lower) for i in merge(piece.encode() + end)]).tobytes()
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """One ``bytes`` of ids for each whole text."""
@@ -95,16 +100,10 @@ class WordEncoder:
             self.known.clear()
         known = self.known
         cut = [[x] if _SEPARATORS.search(x) else x.split() for x in texts]
-        rest = []
-        for word in {w for words in cut for w in words if w not in known}:
-            ids = self._word(word)
-            if ids is None:
-                rest.append(word)
-            else:
-                known[word] = ids
-        for i in range(0, len(rest), 10_000):
-            known.update(zip(rest[i:i + 10_000], self._library(rest[i:i + 10_000])))
-        return [b"".join([known[w] for w in words]) for words in cut]
+        new = set().union(*cut).difference(known)
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 class ByteCounter:
