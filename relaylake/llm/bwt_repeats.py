@@ -278,7 +278,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, m
     texts = base_columns(docs).select("_id", "_h", F.col("text").cast("binary").alias("all")).join(wanted, ["_id", "_h"])
     cut = texts.select("_row", "all", F.explode("ws").alias("w")).select(
         "_row", "w.*", F.expr(f"substring(all, int(w.lo + 1), int(w.n + {length}))").alias("bytes"))
-    edges = edge_repeats(cut, length, anchor, max_contexts, bucket_bytes)
+    edges = edge_repeats(stored(cut, "context-bytes"), length, anchor, max_contexts, bucket_bytes)
     return (whole.unionByName(edges).join(table.select("_row", "_id", "_h"), "_row")
             .groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("starts")))
 
