@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from relaylake import constants as K
 from relaylake.functions import text as T
 
-REVIEWER = "reviewer"
-
-
 def promotable(status: Column, qa_passed: Column) -> Column:
     """lower(status) in {succeeded, success, completed} and QA passed."""
     return F.lower(status).isin(*K.PROMOTABLE_STATUSES) & qa_passed
@@ -58,6 +55,9 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
     hil = approval_stages if approval_stages is not None else K.APPROVAL_STAGES
     if "started_at" not in runs.columns:
         runs = runs.withColumn("started_at", F.lit(None).cast("timestamp_ntz"))
+    for name in ("approver", "comment"):  # of the gate (attempt 1) or the remediation approval
+        if name not in runs.columns:
+            runs = runs.withColumn(name, F.lit(""))
     r = runs.where(F.col("attempt") <= max_attempts + 1).withColumn(
         "_promote", promotable(F.col("status"), F.col("qa_passed")))
     first = F.col("attempt") == 1
@@ -69,6 +69,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.col("status").alias("status"),
         F.col("qa_passed").alias("qa_passed"),
         F.col("started_at").alias("started_at"),
+        F.col("approver").alias("approver"),
     )
     agg = r.groupBy("work_item_id", "ord").agg(
         F.min("environment").alias("environment"),  # one value per stage; min is deterministic
@@ -77,6 +78,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.max(F.when(first, F.col("status"))).alias("status1"),
         F.bool_or(first & F.col("qa_passed")).alias("qa1"),
         F.max(F.when(first, F.col("started_at"))).alias("start1"),
+        F.max(F.when(first, F.struct("approver", "comment"))).alias("_gate_by"),
         F.collect_list(F.when(~first, rem)).alias("_rems"),
     )
     gate_denied = F.col("environment").isin(*hil) & F.col("_first_denied")
@@ -98,6 +100,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.when(F.col("_gate_denied"), F.lit("denied"))
          .when(F.col("environment").isin(*hil), F.lit("approved"))
          .otherwise(F.lit("not_required")).alias("gate"),
+        F.col("_gate_by.approver").alias("approver"), F.col("_gate_by.comment").alias("comment"),
         F.when(succeeded, F.lit("succeeded")).otherwise(F.lit("failed")).alias("stage_status"),
         F.size("_used").alias("attempts_used"),
         F.array_join(F.transform("_used", trail_entry), " ; ").alias("trail"),
@@ -110,7 +113,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
 
 def used_type() -> str:
     return ("array<struct<j:int,denied:boolean,fix_ok:boolean,promote:boolean,"
-            "status:string,qa_passed:boolean,started_at:timestamp_ntz>>")
+            "status:string,qa_passed:boolean,started_at:timestamp_ntz,approver:string>>")
 
 
 def trail_entry(x: Column) -> Column:
@@ -122,14 +125,14 @@ def trail_entry(x: Column) -> Column:
         F.lit("; detail="), F.when(x["fix_ok"], F.lit("fix applied")).otherwise(F.lit("fix failed")),
         F.when(x["promote"], F.concat(F.lit(" ; attempt="), j, F.lit(": pipeline recovered and QA passed")))
          .otherwise(F.lit("")))
-    return F.when(x["denied"], F.concat(F.lit("attempt="), j, F.lit(": remediation approval denied by " + REVIEWER))) \
+    return F.when(x["denied"], F.concat(F.lit("attempt="), j, F.lit(": remediation approval denied by "), x["approver"])) \
         .otherwise(applied)
 
 
 def run_summaries(outcomes: DataFrame) -> DataFrame:
     """W3 + G3 + G6: per run, the stages up to and including the first failed
     one, the overall status and the nested stage list (ordered by stage)."""
-    st = F.struct("ord", "environment", "stage_status", "gate", "attempts_used", "trail",
+    st = F.struct("ord", "environment", "stage_status", "gate", "approver", "comment", "attempts_used", "trail",
                   "pipeline_status", "qa_passed", "pipeline_started_at")
     agg = outcomes.groupBy("work_item_id").agg(
         F.array_sort(F.collect_list(st)).alias("_all"),
@@ -208,8 +211,8 @@ def stage_details(kept: DataFrame, plans: DataFrame, apply_stages: list[str] | N
                               F.col("ingestion_mode"), F.col("source_types"), F.col("target_repo"),
                               F.col("branch_name"))
     approval = (F.when(F.col("gate") == "not_required", F.lit("Approval not required."))
-                .when(F.col("gate") == "approved", F.lit("approval_status=approved, approver=" + REVIEWER + ", comment="))
-                .otherwise(F.lit("approval_status=rejected, approver=" + REVIEWER + ", comment=")))
+                .otherwise(F.concat(F.lit("approval_status="), F.when(F.col("gate") == "approved", F.lit("approved")).otherwise(F.lit("rejected")),
+                                    F.lit(", approver="), F.col("approver"), F.lit(", comment="), F.col("comment"))))
     full_table = F.concat_ws(".", "target_catalog", "target_schema", "target_table")
     apply_text = F.when(env.isin(*apply), F.concat(
         F.lit("Local Databricks simulation completed. Job spec written to jobs/"), env, F.lit("_work_item_"),

@@ -27,15 +27,16 @@ STAGE_CTES = [
         max(CASE WHEN attempt = 1 THEN status END) AS status1,
         bool_or(attempt = 1 AND qa_passed) AS qa1,
         max(CASE WHEN attempt = 1 THEN started_at END) AS start1,
+        max(CASE WHEN attempt = 1 THEN approver END) AS approver, max(CASE WHEN attempt = 1 THEN comment END) AS comment,
         min(CASE WHEN attempt >= 2 AND (denied OR (fix_ok AND promote_raw)) THEN attempt - 1 END) AS stop_j
       FROM sa GROUP BY work_item_id, ord"""),
     ("used", f"""SELECT s.work_item_id, s.ord, a.attempt - 1 AS j, a.denied, a.fix_ok,
-        (NOT a.denied AND a.fix_ok AND a.promote_raw) AS promote, a.status, a.qa_passed, a.started_at
+        (NOT a.denied AND a.fix_ok AND a.promote_raw) AS promote, a.status, a.qa_passed, a.started_at, a.approver
       FROM so1 s JOIN sa a ON a.work_item_id = s.work_item_id AND a.ord = s.ord
       WHERE a.attempt >= 2 AND NOT s.gate_denied AND NOT s.promote1
         AND a.attempt - 1 <= coalesce(s.stop_j, {K.MAX_REMEDIATION_ATTEMPTS})"""),
     ("used_agg", """SELECT work_item_id, ord, count(*) AS n, bool_or(promote) AS recovered,
-        string_agg(CASE WHEN denied THEN 'attempt=' || j || ': remediation approval denied by reviewer'
+        string_agg(CASE WHEN denied THEN 'attempt=' || j || ': remediation approval denied by ' || approver
           ELSE 'attempt=' || j || ': status=' || CASE WHEN fix_ok THEN 'succeeded' ELSE 'failed' END
             || '; detail=' || CASE WHEN fix_ok THEN 'fix applied' ELSE 'fix failed' END
             || CASE WHEN promote THEN ' ; attempt=' || j || ': pipeline recovered and QA passed' ELSE '' END END,
@@ -44,7 +45,7 @@ STAGE_CTES = [
         arg_max(qa_passed, j) FILTER (WHERE NOT denied AND fix_ok) AS last_qa,
         arg_max(started_at, j) FILTER (WHERE NOT denied AND fix_ok) AS last_start
       FROM used GROUP BY work_item_id, ord"""),
-    ("stage_outcomes", f"""SELECT s.work_item_id, s.ord, s.environment,
+    ("stage_outcomes", f"""SELECT s.work_item_id, s.ord, s.environment, s.approver, s.comment,
         CASE WHEN s.gate_denied THEN 'denied' WHEN s.environment IN {HIL} THEN 'approved' ELSE 'not_required' END AS gate,
         CASE WHEN NOT s.gate_denied AND (s.promote1 OR coalesce(a.recovered, false)) THEN 'succeeded' ELSE 'failed' END AS stage_status,
         CAST(coalesce(a.n, 0) AS INTEGER) AS attempts_used,
@@ -211,8 +212,8 @@ def q_stage_details(spark, sf):
 QA_LIST_SQL = ("CASE environment " + " ".join(f"WHEN '{s}' THEN '{','.join(c)}'" for s, c in K.QA_CHECKS.items())
                + f" ELSE '{','.join(K.QA_DEFAULT_CHECKS)}' END")
 APPROVAL_SQL = ("CASE WHEN gate = 'not_required' THEN 'Approval not required.' WHEN gate = 'approved' "
-                "THEN 'approval_status=approved, approver=reviewer, comment=' "
-                "ELSE 'approval_status=rejected, approver=reviewer, comment=' END")
+                "THEN 'approval_status=approved, approver=' || approver || ', comment=' || comment "
+                "ELSE 'approval_status=rejected, approver=' || approver || ', comment=' || comment END")
 REASON_SQL = ("CASE WHEN lower(pipeline_status) IN ('succeeded', 'success', 'completed') AND qa_passed "
               "THEN 'Promotion allowed from ' || environment || '.' ELSE 'Promotion blocked at ' || environment "
               "|| ': pipeline_status=' || pipeline_status || ', qa_passed=' || CASE WHEN qa_passed THEN 'True' ELSE 'False' END || '.' END")

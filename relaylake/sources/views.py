@@ -86,6 +86,8 @@ def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") < 0.095).alias("qa_passed"),
         (F.col("l_linestatus") == "O").alias("fix_ok"),
         (F.col("l_quantity") > 45).alias("denied"),
+        F.concat(F.lit("approver-"), (F.col("l_suppkey") % 9).cast("string")).alias("approver"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("comment"),
         F.col("l_shipdate").alias("started_at"),
         (F.col("l_quantity") * 60).cast("bigint").alias("duration_s"),
     )

@@ -1,12 +1,14 @@
 """Stage evaluation: gates, promotion, remediation attempts, stop at first failure."""
 
+from pyspark.sql import functions as F
+
 from relaylake.operators import stages
 
 SCHEMA = "work_item_id long, ord int, environment string, attempt int, status string, qa_passed boolean, fix_ok boolean, denied boolean"
 
 
 def run(spark, rows):
-    out = stages.stage_outcomes(spark.createDataFrame(rows, SCHEMA))
+    out = stages.stage_outcomes(spark.createDataFrame(rows, SCHEMA).withColumn("approver", F.lit("ana")))
     summ = stages.run_summaries(out)
     return ({(r.work_item_id, r.ord): r for r in out.collect()},
             {r.work_item_id: r for r in summ.collect()})
@@ -42,7 +44,7 @@ def test_denied_remediation_ends_loop(spark):
             (3, 1, "dev", 3, "succeeded", True, True, False)]
     o = run(spark, rows)[0][(3, 1)]
     assert o.stage_status == "failed" and o.attempts_used == 1
-    assert o.trail == "attempt=1: remediation approval denied by reviewer"
+    assert o.trail == "attempt=1: remediation approval denied by ana"
 
 
 def test_failed_fix_uses_an_attempt(spark):
