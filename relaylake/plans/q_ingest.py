@@ -13,7 +13,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylake import constants as K
 from relaylake.operators import intake, learning
 from relaylake.operators import quality as Q
 from relaylake.plans.sqlviews import with_views

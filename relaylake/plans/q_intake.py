@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylake import constants as K
 from relaylake.operators import intake, learning, planning
 from relaylake.plans.sqlviews import with_views
 from relaylake.sources import views
