@@ -257,20 +257,17 @@ UNION ALL SELECT 'quarantined_records', 'customer', count(*), true, 'info' FROM
 def q_file_corpus(spark, sf):
     """Repository files read back through the binaryFile scan.
 
-    The files derived from ``part`` are written one per (repo, path)
-    partition folder; the scan reads every file recursively, keeps valid
-    UTF-8 only, and the repo and path are recovered from the folder names.
-    The text writer ends each record with a line break; exactly that one is
-    removed (``\\z`` anchors at the very end)."""
+    The files derived from ``part`` are packed into container files, one JSON
+    record a line, dealt over ``DOC_BUCKETS`` folders by repository and path;
+    the scan reads every container recursively and keeps valid UTF-8 only."""
     from relaylake.sources import views as V
     base = _scratch(spark, "corpus")
-    src = V.source_files(spark, sf)
-    src.write.partitionBy("repo", "path").text(base)
-    got = files.read_source_files(spark, base, "*.txt")
-    repo = F.regexp_extract("path", r"/repo=([^/]+)/", 1)
-    path = F.url_decode(F.regexp_extract("path", r"/path=([^/]+)/", 1))
-    return got.select(repo.alias("repo"), path.alias("path"),
-                      F.regexp_replace("content", r"\n\z", "").alias("content"))
+    src = V.source_files(spark, sf).select("repo", "path", "content")
+    src.select(F.to_json(F.struct("repo", "path", "content")).alias("value"),
+               F.pmod(F.xxhash64("repo", "path"), F.lit(DOC_BUCKETS)).alias("bucket")).write.partitionBy("bucket").text(base)
+    lines = files.read_source_files(spark, base, "*.txt").select(F.explode(F.split("content", "\n", -1)).alias("line"))
+    record = F.from_json("line", "repo string, path string, content string")
+    return lines.where(F.col("line") != "").select(record.alias("r")).select("r.repo", "r.path", "r.content")
 
 
 QUERIES["file_corpus"] = q_file_corpus
