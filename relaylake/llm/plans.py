@@ -26,4 +26,35 @@ QUERIES = {
     "op10_line_runs": op10_line_runs,
 }
 
-ORACLE: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# The results of these two are fixed by their definitions alone, whatever the
+# method. The other queries depend on a tokenizer, a model or a packing, or
+# take windows of every byte: they are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op7_odd_sketch_dedup": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i:i + 2])) END AS s FROM words),
+single AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM single x JOIN single y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (len(x.s) + len(y.s) - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)""",
+    "op8_wu_manber": rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+strings AS (SELECT DISTINCT item_id, m, w[i:i + m - 1] AS g FROM (SELECT *, least(len(w), 10) AS m,
+    unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM items WHERE len(w) > 0)),
+places AS (SELECT doc_id, m, i, w[i:i + m - 1] AS g FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+    FROM docs, (SELECT DISTINCT m FROM strings) WHERE len(w) >= m)),
+found AS (SELECT doc_id, i, p.m, item_id FROM places p JOIN strings s ON p.m = s.m AND p.g = s.g),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
