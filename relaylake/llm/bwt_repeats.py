@@ -42,8 +42,8 @@ from relaylake.llm.spans import BASE_INVERSE, mix, powers, running_hash, span_ha
 
 LENGTH = 400
 ANCHOR = 200
-MAX_CONTEXTS = 4096
-BUCKET_BYTES = 1 << 20
+MAX_CONTEXTS = 1024
+BUCKET_BYTES = 1 << 18
 PLACE_BITS = 23  # of a block's place, in the key whose minimum is the anchor
 BLOCK = 1 << 22
 
@@ -93,7 +93,7 @@ def run_table(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 data, offsets = utf8(part.column("text"))
                 found = []  # of one block after the other, in order of place
                 for b in range(0, max(len(data), 1), BLOCK):  # more than one for a very long row only
@@ -244,19 +244,33 @@ def edge_repeats(contexts: DataFrame, length: int, anchor: int, max_contexts: in
     total = small.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = -(-total // bucket_bytes) or 1
 
-    def expand(table: pa.Table) -> pa.Table:
+    def expanded(parts: list[bytes], whose: list[tuple[int, int, int]]) -> pa.RecordBatch:
         rows_, starts, ends = [], [], []
-        found = repeated_places(table.column("bytes").to_pylist(), length)
-        for places, copies, row, lo in zip(found, table.column("copies").to_pylist(), table.column("_row").to_pylist(), table.column("lo").to_pylist()):
+        for places, (copies, row, lo) in zip(repeated_places(parts, length), whose):
             if copies == 1 and len(places):
                 cuts = np.flatnonzero(np.diff(places) != 1)
                 starts += (places[np.append(0, cuts + 1)] + lo).tolist()
                 ends += (places[np.append(cuts, len(places) - 1)] + lo).tolist()
                 rows_ += [row] * (len(cuts) + 1)
-        return pa.table({"_row": pa.array(rows_, pa.int64()), "s": pa.array(starts, pa.int64()), "e": pa.array(ends, pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows_, starts, ends)], names=["_row", "s", "e"])
 
-    dealt = small.withColumn("bucket", F.pmod("core", F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(expand, "_row long, s long, e long").unionByName(done)
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, whose = None, [], []  # the rows of a bucket follow one another
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "bytes", "copies", "_row", "lo")]
+            for b, part, *who in zip(*columns):
+                if parts and b != bucket:
+                    yield expanded(parts, whose)
+                    parts, whose = [], []
+                bucket = b
+                parts.append(part)
+                whose.append(tuple(who))
+        if parts:
+            yield expanded(parts, whose)
+
+    dealt = small.withColumn("bucket", F.pmod("core", F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.select("bucket", "bytes", "copies", "_row", "lo").mapInArrow(expand, "_row long, s long, e long")
+    return found.unionByName(done)
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, max_contexts: int = MAX_CONTEXTS,
@@ -288,7 +302,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
     ``kept`` (the remaining bytes) of every row."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 kept, spans, sizes, removed = [], [], [], []
                 for text, starts in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("starts").to_pylist()):
                     flat: list[int] = []
