@@ -1,6 +1,9 @@
 """The driver contract: entry(), queries() and oracle_sql()."""
 
+import re
+
 import __spark_entry__ as E
+from relaylake.plans import all_queries
 
 
 def test_contract_shape():
@@ -8,8 +11,9 @@ def test_contract_shape():
     assert len(q) >= 90
     assert set(o) <= set(q)
     assert all(isinstance(v, str) and v.strip() for v in o.values())
-    for name in q:
-        assert not name.startswith("op") and "pipeline" not in name
+    # the training-data queries are there or not, all others always
+    others = {name for name in q if not re.fullmatch(r"op\d+_\w+|pipeline", name)}
+    assert others == set(all_queries())
 
 
 def test_entry_runs(spark):
