@@ -6,7 +6,7 @@
 3. A second MinHash sample, the least hash in each of ``BINS`` bins, is folded
    into a parity bitmap (odd sketch). The population count of two sketches'
    XOR estimates in how many bins the samples differ. Candidates that are, by
-   five standard deviations, below the wanted similarity are dropped.
+   ``SIGMAS`` standard deviations, below the wanted similarity are dropped.
 4. What remains is confirmed on the full sets.
 
 A bucket of many copies never becomes all its pairs. First every node is
@@ -41,9 +41,10 @@ from relaylake.llm.spans import LOWER, mix, running_hash, span_hash, word_spans
 SHINGLE = 3
 PERCENT = 85
 BANDS, BAND_ROWS = 27, 5
-BINS = 1024
+BINS = 4096
 WORDS = 32  # 64-bit words of a sketch
 BITS = 64 * WORDS
+SIGMAS = 4.5  # how far a sample may stray from the wanted similarity
 
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -98,7 +99,7 @@ def odd_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first))
     remixed = mix(values ^ np.uint64(0xA0761D6478BD642F))
-    slot = row * BINS + (remixed >> np.uint64(54)).astype(np.int64)
+    slot = row * BINS + (remixed >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     order = np.lexsort((remixed, slot))
     slot, least = slot[order], remixed[order]
     lead = np.ones(len(slot), dtype=bool)
@@ -169,13 +170,14 @@ def plausible(x: str, y: str, percent: int = PERCENT) -> Column:
         both = both + F.bit_count(F.col(f"{x}.sk.k{i}").bitwiseXOR(F.col(f"{y}.sk.k{i}")))
     union = (na + nb) / (1 + s)
     filled = BINS * (1 - F.exp(-union / BINS))
-    twice = 2 - F.exp(-F.greatest(na, nb) / BINS)
-    toggles = (1 - s) * filled * twice
-    spread = twice * F.sqrt(s * (1 - s) * filled * F.greatest(1 - filled / union, F.lit(0.02)) + 1)
-    most = toggles + 5 * spread
+    second = 1 - F.exp(-F.greatest(na, nb) / BINS)
+    differ = (1 - s) * filled
+    spread = F.sqrt((1 + second) * (1 + second) * s * differ * F.greatest(1 - filled / union, F.lit(0.0)) + differ * second * (1 - second) + 0.25)
+    most = differ * (1 + second) + SIGMAS * spread
+    # a toggle flips one bit, so there are never more bits than toggles
     expected = BITS / 2 * (1 - F.exp(-2 * most / BITS))
     noise = F.sqrt(BITS / 4 * (1 - F.exp(-4 * most / BITS)) * F.least(F.lit(1.0), 4 * most / BITS)) + 1
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (both <= expected + 5 * noise)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (both <= F.least(most, expected + SIGMAS * noise))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -199,18 +201,23 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def other_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components that share a bucket."""
-    placed = (buckets.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
+    """Plausible pairs of different components that share a bucket, each from
+    the first of its buckets only."""
+    placed = buckets.join(labels, "node", "left").select("band", "slot", "node", F.coalesce("comp", "node").alias("comp"))
     parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = (placed.join(mixed.select("band", F.col("top.comp").alias("major")), "band")
-            .join(nodes.select("node", "n", "sk"), "node")
-            .select("band", "comp", (F.col("comp") == F.col("major")).alias("in_major"), F.struct("node", "n", "sk").alias("x")))
-    left = rows.where("NOT in_major").select("band", F.col("comp").alias("comp_x"), "x")
+            .join(nodes.select("node", "n", "sk", "bands"), "node")
+            .select("band", "slot", "comp", (F.col("comp") == F.col("major")).alias("in_major"), F.struct("node", "n", "sk", "bands").alias("x")))
+    left = rows.where("NOT in_major").select("band", "slot", F.col("comp").alias("comp_x"), "x")
     right = rows.select("band", F.col("comp").alias("comp_y"), "in_major", F.col("x").alias("y"))
+    met_before = F.lit(False)
+    for i in range(BANDS - 1):
+        met_before = met_before | ((F.col("slot") > i) & (F.col("x.bands")[i] == F.col("y.bands")[i]))
     return (left.join(right, "band")
-            .where((F.col("comp_x") != F.col("comp_y")) & (F.col("in_major") | (F.col("x.node") < F.col("y.node"))) & plausible("x", "y", percent))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            .where((F.col("comp_x") != F.col("comp_y")) & (F.col("in_major") | (F.col("x.node") < F.col("y.node")))
+                   & ~met_before & plausible("x", "y", percent))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,9 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(
         F.min(F.struct("_id", "_h")).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    every = nodes.select("node", F.explode("bands").alias("band"))
+    every = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stored(every.join(shared, "band").select("band", "node", "size"), "buckets")
+    buckets = stored(every.join(shared, "band").select("band", "slot", "node", "size"), "buckets")
     reps = (buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
             .select("node", F.col("rep._id").alias("_id"), F.col("rep._h").alias("_h")))
     texts = base_columns(docs).select("_id", "_h", "text").join(reps, ["_id", "_h"])
