@@ -279,7 +279,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, m
     last place) at which a repeated string starts."""
     table = run_table(docs, length, anchor)
     runs = table.select("_row", F.explode("runs").alias("x")).select("_row", "x.*")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # written first: a join with the aggregate itself couldn't be split at a hot anchor
+    often = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors-often")
     shared = stored(runs.join(often, "anchor"), "anchor-shared")
     contexts = (shared.groupBy("anchor", "context", "n", "rel").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_row", "lo")).alias("at")))
     contexts = stored(contexts, "anchor-contexts")
