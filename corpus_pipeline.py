@@ -55,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-# The fit, the sketches and the tokenizer aren't SQL; tests compare with a
-# brute-force version instead.
+# The fit and the tokenizer aren't SQL; each stage's operator is tested against
+# brute force on its own.
 ORACLE_SQL = None
