@@ -48,13 +48,13 @@ def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and the row key ``_id``, ``_h`` only: extra columns
-    of the input, whatever their names, take no part."""
+def base_columns(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, ``text`` and the row key ``_id``, ``_h`` only, and the columns
+    named: others of the input, whatever their names, take no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        id_key().alias("_id"),
-                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_h"))
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_h"), *more)
 
 
 def let(value: Column, body) -> Column:

@@ -22,7 +22,9 @@ meets in no band with probability 1.3e-7 (27 bands of 5).
 
 Defined cases: texts without words are linked with nothing; a null id is never
 the smallest of a group that has another (a group without ids has a null
-``component_id`` and is kept); repeated rows share a class and are both kept.
+``component_id``). In ``near_duplicates`` every row with its group's smallest id
+counts as kept, so repeated rows and those of a group without ids all do;
+``keep_one`` leaves one row of each group.
 """
 
 from __future__ import annotations
@@ -109,9 +111,10 @@ def odd_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little").view("<u8")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, _id, _h``, set size ``n``, set digest ``s1, s2``, ``bands``
-    and sketch ``sk`` of every row."""
+def signatures(base: DataFrame) -> DataFrame:
+    """The columns of every row but its text, set size ``n``, set digest
+    ``s1, s2``, ``bands`` and sketch ``sk``."""
+    names = [c for c in base.columns if c != "text"]
     sketch = pa.struct([(f"k{i}", pa.int64()) for i in range(WORDS)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +134,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bits[some] = odd_sketches(values, bounds)
                 signed = bits.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("doc_id", "_id", "_h")] + [
+                    [part.column(c) for c in names] + [
                         pa.array(sizes, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
                         pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(signed[:, i])) for i in range(WORDS)], fields=list(sketch))],
-                    names=["doc_id", "_id", "_h", "n", "s1", "s2", "bands", "sk"])
+                    names=[*names, "n", "s1", "s2", "bands", "sk"])
 
     fields = ", ".join(f"k{i}: bigint" for i in range(WORDS))
-    return base_columns(docs).mapInArrow(
-        sign, f"doc_id long, _id long, _h long, n long, s1 long, s2 long, bands array<bigint>, sk struct<{fields}>")
+    kept = ", ".join(f"{c} long" for c in names)
+    return base.mapInArrow(sign, f"{kept}, n long, s1 long, s2 long, bands array<bigint>, sk struct<{fields}>")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -220,18 +223,21 @@ def other_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, _id, _h, n_shingles, component_id, kept`` for every row."""
-    rows = stored(signatures(docs), "signatures")
+def grouped(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``base``, and of each class of equal sets ``n, s1, s2``
+    its least row ``rep`` (by ``_id, _h`` and further key columns) and its
+    group ``comp``."""
+    key = [c for c in base.columns if c not in ("doc_id", "text")]
+    rows = stored(signatures(base), "signatures")
     nodes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min(F.struct("_id", "_h")).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
+        F.min(F.struct(*key)).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     every = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(every.join(shared, "band").select("band", "slot", "node", "size"), "buckets")
     reps = (buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
-            .select("node", F.col("rep._id").alias("_id"), F.col("rep._h").alias("_h")))
-    texts = base_columns(docs).select("_id", "_h", "text").join(reps, ["_id", "_h"])
+            .select("node", *[F.col(f"rep.{c}").alias(c) for c in key]))
+    texts = base.select(*key, "text").join(reps, key)
     sets = stored(full_sets(texts).dropDuplicates(["node"]), "sets")
 
     side = lambda c, name: nodes.select(F.col("node").alias(c), F.struct("n", "sk").alias(name))
@@ -239,9 +245,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stored(confirmed(hub, sets, percent), "links")
     others = stored(other_pairs(buckets, nodes, components(links), percent), "pairs")
     labels = components(links.unionByName(confirmed(others, sets, percent)))
+    return rows, nodes.join(labels, "node", "left").select("n", "s1", "s2", "rep", F.coalesce("comp", "node").alias("comp"))
+
 
-    comps = nodes.join(labels, "node", "left").select("n", "s1", "s2", "rep._id", F.coalesce("comp", "node").alias("comp"))
-    smallest = comps.groupBy("comp").agg(F.min("_id").alias("least"))
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, _id, _h, n_shingles, component_id, kept`` for every row."""
+    rows, comps = grouped(base_columns(docs), percent)
+    smallest = comps.groupBy("comp").agg(F.min("rep._id").alias("least"))
     classes = comps.join(smallest, "comp").select("n", "s1", "s2", "least")
     out = rows.select("doc_id", "_id", "_h", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("least", F.coalesce("least", "_id"))
     return out.select("doc_id", "_id", "_h", F.col("n").alias("n_shingles"),
@@ -249,10 +259,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents less all but the first of each group, with all columns."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("_h").alias("_gone_h")).distinct()
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["_gone_h"]), "left_anti")
+    """The documents less all rows but one of each group, with all columns: the
+    least by id (null last), text hash and row number stays. The numbers are
+    written with the rows, so that every reading finds the same."""
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "numbered")
+    rows, comps = grouped(base_columns(numbered.select("_row", "_doc.doc_id", "_doc.text"), "_row"), percent)
+    first = comps.groupBy("comp").agg(F.min("rep").alias("rep")).select("rep._row")
+    gone = rows.where("n > 0").select("_row").join(first, "_row", "left_anti")
+    return numbered.join(gone, "_row", "left_anti").select("_doc.*")
 
 
 def op7_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

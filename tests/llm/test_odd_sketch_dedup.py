@@ -76,6 +76,24 @@ def test_filter_keeps_one_and_empty_tables(spark):
     assert od.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_filter_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, far = text + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, far), (1, far), (1, far)]  # loaded twice and more
+    rows += [(2, text.replace("w", "a")), (2, near.replace("w", "a"))]  # one id, two nearly equal texts
+    rows += [(None, text), (None, near), (None, text)]  # a group without ids
+    rows += [(None, text.replace("w", "b")), (7, near.replace("w", "b")), (7, near.replace("w", "b"))]
+    rows += [(None, None), (None, ""), (5, " "), (5, " ")]  # without words
+    docs = spark.createDataFrame([(i, t, str(k), "", "") for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    kept = od.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text, int(r.n)) for r in kept.collect()]
+    assert all(rows[k] == (i, t) for i, t, k in got)
+    groups = [0 if k < 3 else 1 if k < 5 else 2 if k < 8 else 3 if k < 11 else k for _, _, k in got]
+    assert sorted(groups) == [0, 1, 2, 3, 11, 12, 13, 14]
+    assert [(i, t) for (i, t, _), g in zip(got, groups) if g == 3] == [(7, near.replace("w", "b"))]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
