@@ -1,8 +1,8 @@
 """MinHash near-duplicates, candidates verified by odd sketches, then exactly.
 
-1. Each text becomes its set of three-word shingles (64-bit hashes). Rows with
-   equal sets form one class, so exact copies are one node from here on.
-2. ``BANDS`` bands of ``BAND_ROWS`` MinHash values give candidate buckets.
+1. Each text becomes its set of shingles of ``width`` words (64-bit hashes).
+   Rows with equal sets form one class, so exact copies are one node from here on.
+2. Bands of ``BAND_ROWS`` MinHash values give candidate buckets.
 3. A second MinHash sample, the least hash in each of ``BINS`` bins, is folded
    into a parity bitmap (odd sketch). The population count of two sketches'
    XOR estimates in how many bins the samples differ. Candidates that are, by
@@ -17,8 +17,9 @@ compared, and only with nodes of other components: a link inside a component
 can't change the result. Joins on buckets are plain equi-joins with the sketch
 test as a condition, which adaptive execution splits where a bucket is hot.
 
-Similarity is ``intersection / union >= percent / 100``. A pair at exactly 85 %
-meets in no band with probability 1.3e-7 (27 bands of 5).
+Similarity is ``intersection / union >= percent / 100``. There are as many bands
+as a pair at exactly that similarity needs to meet in none with a probability
+below ``MISS``: 27 for 85 %, 40 for 80 % (1.3e-7 each).
 
 Defined cases: texts without words are linked with nothing; a null id is never
 the smallest of a group that has another (a group without ids has a null
@@ -29,6 +30,7 @@ counts as kept, so repeated rows and those of a group without ids all do;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,8 @@ from relaylake.llm.spans import LOWER, mix, running_hash, span_hash, word_spans
 
 SHINGLE = 3
 PERCENT = 85
-BANDS, BAND_ROWS = 27, 5
+BAND_ROWS = 5
+MISS = 1.4e-7
 BINS = 4096
 WORDS = 32  # 64-bit words of a sketch
 BITS = 64 * WORDS
@@ -50,9 +53,6 @@ SIGMAS = 4.5  # how far a sample may stray from the wanted similarity
 
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_rng = np.random.default_rng(77)
-FACTORS = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-ADDENDS = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,13 +84,27 @@ def shingle_sets(array: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(n + 1))
 
 
-def band_hashes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """``rows x BANDS``; rows without shingles must not be asked for."""
-    out = np.empty((len(first) - 1, BANDS), dtype=np.uint64)
-    for b in range(BANDS):
+def band_count(percent: int) -> int:
+    """Bands for which a pair at exactly ``percent`` is missed below ``MISS``."""
+    meets = (percent / 100) ** BAND_ROWS
+    return 1 if meets >= 1 else math.ceil(math.log(MISS) / math.log1p(-meets))
+
+
+def band_functions(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of the bands' hash functions."""
+    rng = np.random.default_rng(77)
+    factors = rng.integers(1, 1 << 63, bands * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+    return factors, rng.integers(1, 1 << 63, bands * BAND_ROWS, dtype=np.uint64)
+
+
+def band_hashes(values: np.ndarray, first: np.ndarray, factors: np.ndarray, addends: np.ndarray) -> np.ndarray:
+    """``rows x bands``; rows without shingles must not be asked for."""
+    bands = len(factors) // BAND_ROWS
+    out = np.empty((len(first) - 1, bands), dtype=np.uint64)
+    for b in range(bands):
         joined = np.full(len(first) - 1, b + 1, dtype=np.uint64)
         for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
-            least = np.minimum.reduceat(values * FACTORS[r] + ADDENDS[r], first[:-1])
+            least = np.minimum.reduceat(values * factors[r] + addends[r], first[:-1])
             joined = mix(joined * STEP + least)
         out[:, b] = joined
     return out
@@ -111,32 +125,34 @@ def odd_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little").view("<u8")
 
 
-def signatures(base: DataFrame) -> DataFrame:
+def signatures(base: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The columns of every row but its text, set size ``n``, set digest
     ``s1, s2``, ``bands`` and sketch ``sk``."""
     names = [c for c in base.columns if c != "text"]
+    n_bands = band_count(percent)
+    factors, addends = band_functions(n_bands)
     sketch = pa.struct([(f"k{i}", pa.int64()) for i in range(WORDS)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                values, first = shingle_sets(part.column("text"), SHINGLE)
+                values, first = shingle_sets(part.column("text"), width)
                 sizes = np.diff(first)
                 some = np.flatnonzero(sizes)
                 digest = np.zeros((2, len(sizes)), dtype=np.uint64)
-                bands = np.zeros((len(sizes), BANDS), dtype=np.uint64)
+                bands = np.zeros((len(sizes), n_bands), dtype=np.uint64)
                 bits = np.zeros((len(sizes), WORDS), dtype=np.uint64)
                 if len(some):
                     bounds = np.append(first[some], len(values))
                     digest[0, some] = np.add.reduceat(mix(values), bounds[:-1])
                     digest[1, some] = np.add.reduceat(mix(values ^ STEP), bounds[:-1])
-                    bands[some] = band_hashes(values, bounds)
+                    bands[some] = band_hashes(values, bounds, factors, addends)
                     bits[some] = odd_sketches(values, bounds)
                 signed = bits.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in names] + [
                         pa.array(sizes, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * n_bands, pa.int32()), pa.array(bands.view(np.int64).ravel())),
                         pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(signed[:, i])) for i in range(WORDS)], fields=list(sketch))],
                     names=[*names, "n", "s1", "s2", "bands", "sk"])
 
@@ -145,12 +161,12 @@ def signatures(base: DataFrame) -> DataFrame:
     return base.mapInArrow(sign, f"{kept}, n long, s1 long, s2 long, bands array<bigint>, sk struct<{fields}>")
 
 
-def full_sets(texts: DataFrame) -> DataFrame:
+def full_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``node`` and its sorted shingle hashes ``sh``."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                values, first = shingle_sets(part.column("text"), SHINGLE)
+                values, first = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(
                     pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], names=["node", "sh"])
 
@@ -215,7 +231,7 @@ def other_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent
     left = rows.where("NOT in_major").select("band", "slot", F.col("comp").alias("comp_x"), "x")
     right = rows.select("band", F.col("comp").alias("comp_y"), "in_major", F.col("x").alias("y"))
     met_before = F.lit(False)
-    for i in range(BANDS - 1):
+    for i in range(band_count(percent) - 1):
         met_before = met_before | ((F.col("slot") > i) & (F.col("x.bands")[i] == F.col("y.bands")[i]))
     return (left.join(right, "band")
             .where((F.col("comp_x") != F.col("comp_y")) & (F.col("in_major") | (F.col("x.node") < F.col("y.node")))
@@ -223,12 +239,12 @@ def other_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
-def grouped(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def grouped(base: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of ``base``, and of each class of equal sets ``n, s1, s2``
     its least row ``rep`` (by ``_id, _h`` and further key columns) and its
     group ``comp``."""
     key = [c for c in base.columns if c not in ("doc_id", "text")]
-    rows = stored(signatures(base), "signatures")
+    rows = stored(signatures(base, percent, width), "signatures")
     nodes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(
         F.min(F.struct(*key)).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -238,7 +254,7 @@ def grouped(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     reps = (buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
             .select("node", *[F.col(f"rep.{c}").alias(c) for c in key]))
     texts = base.select(*key, "text").join(reps, key)
-    sets = stored(full_sets(texts).dropDuplicates(["node"]), "sets")
+    sets = stored(full_sets(texts, width).dropDuplicates(["node"]), "sets")
 
     side = lambda c, name: nodes.select(F.col("node").alias(c), F.struct("n", "sk").alias(name))
     hub = hub_pairs(buckets).join(side("a", "x"), "a").join(side("b", "y"), "b").where(plausible("x", "y", percent)).select("a", "b")
@@ -248,9 +264,9 @@ def grouped(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return rows, nodes.join(labels, "node", "left").select("n", "s1", "s2", "rep", F.coalesce("comp", "node").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """``doc_id, _id, _h, n_shingles, component_id, kept`` for every row."""
-    rows, comps = grouped(base_columns(docs), percent)
+    rows, comps = grouped(base_columns(docs), percent, width)
     smallest = comps.groupBy("comp").agg(F.min("rep._id").alias("least"))
     classes = comps.join(smallest, "comp").select("n", "s1", "s2", "least")
     out = rows.select("doc_id", "_id", "_h", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("least", F.coalesce("least", "_id"))
@@ -258,12 +274,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                       F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"), (F.col("_id") == F.col("least")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The documents less all rows but one of each group, with all columns: the
     least by id (null last), text hash and row number stays. The numbers are
     written with the rows, so that every reading finds the same."""
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "numbered")
-    rows, comps = grouped(base_columns(numbered.select("_row", "_doc.doc_id", "_doc.text"), "_row"), percent)
+    rows, comps = grouped(base_columns(numbered.select("_row", "_doc.doc_id", "_doc.text"), "_row"), percent, width)
     first = comps.groupBy("comp").agg(F.min("rep").alias("rep")).select("rep._row")
     gone = rows.where("n > 0").select("_row").join(first, "_row", "left_anti")
     return numbered.join(gone, "_row", "left_anti").select("_doc.*")

@@ -94,6 +94,30 @@ def test_filter_keeps_one_row_of_each_group(spark):
     assert [(i, t) for (i, t, _), g in zip(got, groups) if g == 3] == [(7, near.replace("w", "b"))]
 
 
+def jaccard(x, y, width):
+    x, y = x.split(), y.split()
+    a, b = ({tuple(w[i:i + width]) for i in range(len(w) - width + 1)} for w in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_takes_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(250)]
+    block = " ".join(base + [f"n{i}" for i in range(48)])
+    spread = " ".join("x" + w if i in (30, 80, 130, 180, 220, 240) else w for i, w in enumerate(base))
+    base = " ".join(base)
+    assert 0.80 <= jaccard(base, block, 5) < 0.85 and 0.80 <= jaccard(base, block, 3) < 0.85
+    assert jaccard(base, spread, 5) < 0.80 < 0.85 <= jaccard(base, spread, 3)
+    rows = [(1, base, "", "", ""), (2, block, "", "", ""),
+            (3, base.replace("w", "z"), "", "", ""), (4, spread.replace("w", "z"), "", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
+    op7 = od.near_duplicates(docs).where("kept").collect()
+    assert sorted(r.doc_id for r in op7) == [1, 2, 3]
+    assert [od.band_count(p) for p in (80, 85, 100)] == [40, 27, 1]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
