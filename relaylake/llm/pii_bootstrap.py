@@ -5,10 +5,13 @@ the seeds. A pattern is the two words to the left of a place; an instance is a
 value: a base span's text, or a candidate token with ``MIN_DIGITS`` digits that
 no base span touches. The pattern-instance graph is scored in rounds: a
 pattern's confidence is the mean score of its distinct instances, those of
-seeds being 1; a pattern counts from ``MIN_SUPPORT`` seed values and
-``MIN_CONFIDENCE`` on; an instance's score is the chance that at least one of
+seeds being 1; a pattern counts from ``MIN_SUPPORT`` values of a score of at
+least ``MIN_CONFIDENCE``, and that confidence, on, so what one round found can
+bring forth the next one's patterns; an instance's score is the chance that at least one of
 its patterns is right. Candidates at places that a counting pattern precedes,
 and of a score of at least ``MIN_CONFIDENCE``, are new spans of kind ``id``.
+Scores only rise; rounds end when no pattern is new and no confidence rises by
+``STILL`` (once a pattern counts, its doubt shrinks to a fifth each round).
 
 The graph holds distinct pairs, and each round is two aggregates combined on
 the map side, so a pattern or value that stands everywhere is one row of them.
@@ -37,8 +40,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"  # punctuation around a token
 MIN_DIGITS = 4
-CONTEXT_CHARS = 64
-ROUNDS = 3
+CONTEXT_CHARS = (64, 512, 4096, 32768, 262144)  # widths tried, then all before
+STILL = 1e-6
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 SPAN = "array<struct<kind:int,s:int,e:int,v:string>>"
@@ -123,10 +126,24 @@ def candidates(text: Column, base: Column) -> Column:
 def left_words(text: Column, start: Column) -> Column:
     """The two words before a place, lower-cased, without the punctuation
     around them (but ``:`` and ``=``, which often announce a value); null if
-    there aren't two."""
-    near = F.when(start > 0, F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))).otherwise("")
-    words = F.filter(F.transform(F.split(F.lower(near), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}:=]+", "")), lambda w: w != "")
-    return let(words, lambda w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))))
+    there aren't two. Widths are tried until two whole words are in view: the
+    first token in view may be cut and takes no part."""
+    def words(tokens: Column) -> Column:
+        return F.filter(F.transform(tokens, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}:=]+", "")), lambda w: w != "")
+
+    def tokens(near: Column) -> Column:
+        return F.split(F.lower(near), r"[\x20\x09-\x0D]+")
+
+    def last_two(found: Column, otherwise: Column) -> Column:
+        return let(found, lambda w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))).otherwise(otherwise))
+
+    whole = last_two(words(tokens(F.substring(text, F.lit(1), start))), F.lit(None).cast("string"))
+    out = whole
+    for width in reversed(CONTEXT_CHARS):
+        near = tokens(F.substring(text, start - width + 1, F.lit(width)))
+        uncut = let(near, lambda t: F.slice(t, F.lit(2), F.size(t)))
+        out = F.when(start <= width, whole).otherwise(last_two(words(uncut), out))
+    return out
 
 
 def span_table(docs: DataFrame) -> DataFrame:
@@ -140,32 +157,37 @@ def span_table(docs: DataFrame) -> DataFrame:
     return stored(rows.select("doc_id", "_id", "_h", F.col("x.base").alias("base"), found.alias("found")), "spans")
 
 
-def scored_patterns(places: DataFrame, rounds: int, min_support: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+def scored_patterns(places: DataFrame, min_support: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
     """Counting patterns (``left, confidence``) and scores of candidate values
-    (``v, score``) after ``rounds`` rounds. ``places``: ``left, v, seed``."""
+    (``v, score``) when they no longer change. ``places``: ``left, v, seed``."""
     edges = places.where("left IS NOT NULL").groupBy("left", "v").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-edges")
     values = edges.groupBy("v").agg(F.max("seed").cast("double").alias("score"))
-    patterns = None
-    for _ in range(rounds):
+    before = None
+    while True:
         patterns = stored(edges.join(values, "v", "left").groupBy("left").agg(
-            F.sum(F.when(F.col("seed") == 1, 1).otherwise(0)).alias("support"),
+            F.sum(F.when(F.col("score") >= min_confidence, 1).otherwise(0)).alias("support"),
             F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"))
             .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)), "pii-patterns")
+        if before is not None:
+            old = before.select("left", F.col("confidence").alias("old"))
+            rise = patterns.join(old, "left", "left").agg(F.max(F.col("confidence") - F.coalesce("old", F.lit(0.0)))).first()[0]
+            if rise is None or rise < STILL:
+                return patterns.select("left", "confidence"), values
+        before = patterns
         # only values next to a counting pattern can rise; all others keep their start
         risen = (edges.join(patterns, "left").groupBy("v").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("risen")))
         start = edges.groupBy("v").agg(F.max("seed").cast("double").alias("seed"))
         values = stored(start.join(risen, "v", "left").select("v", F.greatest("seed", F.coalesce("risen", F.lit(0.0))).alias("score")), "pii-values")
-    return patterns.select("left", "confidence"), values
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def personal_data(docs: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``doc_id, base, added``: spans (kind, start, end, text) of every row."""
     rows = span_table(docs)
     places = rows.select("_id", "_h", F.explode("found").alias("x")).select("_id", "_h", "x.*")
     ids = len(KINDS) - 1
-    patterns, values = scored_patterns(places.select("left", "v", (F.col("kind") < ids).cast("int").alias("seed")), rounds, min_support, min_confidence)
+    patterns, values = scored_patterns(places.select("left", "v", (F.col("kind") < ids).cast("int").alias("seed")), min_support, min_confidence)
     new = (places.where(F.col("kind") == ids).join(patterns, "left").join(values.where(F.col("score") >= min_confidence), "v")
            .groupBy("_id", "_h").agg(F.collect_set(F.struct("s", "e", "v")).alias("new")))
     added = F.transform(F.sort_array("new"), lambda x: F.struct(F.lit(ids).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))

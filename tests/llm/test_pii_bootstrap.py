@@ -71,6 +71,20 @@ def test_contexts_find_unseen_identifiers(spark, tmp_path):
     assert all(out[i].spans.startswith("email:") and "id" not in out[i].spans for i in range(8))
 
 
+def test_found_identifiers_bring_forth_patterns(spark, tmp_path):
+    rows = [(i, f"Please write to customer contact: user{i}@mail.example today", "", "", "") for i in range(40)]
+    known = [f"EMP-7781{k}" for k in range(6)]
+    rows += [(100 + k, f"the customer contact: {v} called", "", "", "") for k, v in enumerate(known)]
+    rows += [(200 + k, f"on the form staff number: {v} stands", "", "", "") for k, v in enumerate([*known, "EMP-90001"])]
+    rows += [(300, "customer contact:" + " " * 100 + "ID-55555 stands apart", "", "", ""), (301, "customer " + " " * 70000 + "contact: ID-66666", "", "", ""),
+             (302, "an order number: 4711000", "", "", "")]
+    out = run(spark, tmp_path, rows)
+    for i, t, *_ in rows[40:-1]:
+        value = next(w for w in t.split() if w.startswith(("EMP", "ID")))
+        assert out[i].spans == f"id:{t.index(value)}:{t.index(value) + len(value)}", t[:80]
+    assert out[302].spans == ""
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert pb.personal_data(docs).count() == 0
