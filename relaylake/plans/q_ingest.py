@@ -21,9 +21,8 @@ from relaylake.sinks import bronze
 from relaylake.sources import files, views
 from relaylake.sources.tables import table
 
-# Documents that a state table is written as: set it to the table's entries over
-# the entries wanted in a document.
-DOC_BUCKETS = 64
+DOC_ENTRIES = 1000  # most entries in a document of a state table, however large the table is
+DOC_BUCKETS = 64  # folders that container files are dealt over
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -99,13 +98,23 @@ FROM work_items""")
 
 
 # ---- A4 / B9 -----------------------------------------------------------------
-def q_history_scan(spark, sf):
-    """A4: the whole history written as ``{"records": [...]}`` documents (dealt
-    by ticket id) and read back."""
-    rec = F.struct("work_item_id", "title", "status", "target_table", "source_types",
-                   F.lit(None).cast("string").alias("created_at"))
-    doc = views.learning_history(spark, sf).groupBy(
-        F.pmod(F.xxhash64("work_item_id"), F.lit(DOC_BUCKETS)).alias("b")).agg(F.collect_list(rec).alias("records")).drop("b")
+def in_documents(spark: SparkSession, rows: DataFrame, entries: int) -> DataFrame:
+    """All rows as ``entries``, a list of at most that many a document. A row's
+    number in its partition names its document; the numbers are written with
+    the rows, so that a task run again finds the same."""
+    path = _scratch(spark, "doc_entries")
+    numbered = rows.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("entry"))
+    numbered.write.parquet(path)
+    block = [F.shiftright("n", 33).alias("part"), F.expr(f"(n & {(1 << 33) - 1}) div {entries}").alias("block")]
+    return spark.read.schema(numbered.schema).parquet(path).groupBy(*block).agg(F.collect_list("entry").alias("entries")).select("entries")
+
+
+def q_history_scan(spark, sf, entries=DOC_ENTRIES):
+    """A4: the whole history written as ``{"records": [...]}`` documents (of at
+    most ``entries`` records) and read back."""
+    rec = views.learning_history(spark, sf).select("work_item_id", "title", "status", "target_table", "source_types",
+                                                   F.lit(None).cast("string").alias("created_at"))
+    doc = in_documents(spark, rec, entries).withColumnRenamed("entries", "records")
     path = _scratch(spark, "history")
     doc.write.json(path)
     h = files.read_history_doc(spark, path, multiline=False)
@@ -274,14 +283,13 @@ QUERIES["file_corpus"] = q_file_corpus
 ORACLE["file_corpus"] = with_views(["source_files"], "SELECT repo, path, content FROM source_files")
 
 
-# ---- A5 / A3: state documents, bucketed so no document grows with the data --
-def q_ledger_scan(spark, sf):
+# ---- A5 / A3: state documents, cut so no document grows with the data -------
+def q_ledger_scan(spark, sf, entries=DOC_ENTRIES):
     """A5: the run ledger's latest state written as ``{"runs": {key: {status}}}``
-    documents (hash-bucketed by run key) and read back."""
+    documents (of at most ``entries`` runs) and read back."""
     from relaylake.operators import intake as I
     latest = I.latest_run_status(views.run_ledger(spark, sf))
-    docs = latest.groupBy(F.pmod(F.xxhash64("run_key"), F.lit(DOC_BUCKETS)).alias("b")).agg(
-        F.map_from_entries(F.collect_list(F.struct("run_key", F.struct("status").alias("v")))).alias("runs")).drop("b")
+    docs = in_documents(spark, latest.select("run_key", F.struct("status").alias("v")), entries).select(F.map_from_entries("entries").alias("runs"))
     path = _scratch(spark, "ledger_docs")
     docs.write.json(path)
     return files.read_ledger_doc(spark, path, multiline=False)
@@ -291,17 +299,16 @@ QUERIES["ledger_scan"] = q_ledger_scan
 ORACLE["ledger_scan"] = with_views(["run_ledger"], "SELECT run_key, arg_max(status, seq) AS status FROM run_ledger GROUP BY run_key")
 
 
-def q_state_doc_scan(spark, sf):
+def q_state_doc_scan(spark, sf, entries=DOC_ENTRIES):
     """A3: approval state written as ``{"requests": [...], "clarifications": []}``
-    documents (hash-bucketed by request id) and read back; the empty
+    documents (of at most ``entries`` requests) and read back; the empty
     clarification list exercises the tolerant read."""
     from relaylake.operators import approvals as A
     st = A.latest_state(views.approval_events(spark, sf))
-    row = F.struct("request_id", "stage", "summary", "status", "approver", F.lit(None).cast("string").alias("comment"),
-                   F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
-                   F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
-    docs = st.groupBy(F.pmod(F.xxhash64("request_id"), F.lit(DOC_BUCKETS)).alias("b")).agg(
-        F.collect_list(row).alias("requests")).drop("b")
+    row = st.select("request_id", "stage", "summary", "status", "approver", F.lit(None).cast("string").alias("comment"),
+                    F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+                    F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
+    docs = in_documents(spark, row, entries).withColumnRenamed("entries", "requests")
     path = _scratch(spark, "approval_docs")
     docs.write.json(path)
     reqs, _ = files.read_approvals_doc(spark, path, multiline=False)

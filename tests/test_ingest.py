@@ -58,6 +58,20 @@ def test_state_documents(spark, tmp_dir):
     assert files.read_history_doc(spark, p3).first().source_types == ["jdbc"]
 
 
+def test_documents_hold_a_bounded_number_of_entries(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from relaylake.plans import q_ingest
+
+    made, scratch = {}, q_ingest._scratch
+    monkeypatch.setattr(q_ingest, "_scratch", lambda s, name: made.setdefault(name, scratch(s, name)))
+    for query, name, field in ((q_ingest.q_history_scan, "history", "records"), (q_ingest.q_ledger_scan, "ledger_docs", "runs"),
+                               (q_ingest.q_state_doc_scan, "approval_docs", "requests")):
+        made.pop("doc_entries", None)
+        rows = query(spark, SF_SMALL, entries=7).count()
+        sizes = [len(json.loads(r.value)[field]) for r in spark.read.text(made[name]).collect()]
+        assert sum(sizes) == rows > 7 and max(sizes) == 7
+
+
 def test_log_lines(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:01 | INFO | relay.x | operation_finished name=op_1 duration_seconds=1.250 max_rss_kb=10",),
                                 ("2024-01-01T00:00:02 | ERROR | relay.y | operation_retry_failed name=op_1 attempt=3/3 error=boom",)],
