@@ -153,8 +153,8 @@ def extended(rows: DataFrame, length: int) -> DataFrame:
     """Each place extended against its group's leader. ``side`` null: found
     windows, ``lo`` to ``hi`` words before ``at``, in ``src`` at ``src_at``;
     else what is left of the run, dealt anew."""
-    lead = rows.where("first").dropDuplicates(["g"]).select(
-        "g", F.struct(*KEY, F.col("at").alias("at")).alias("src"), F.col("left").alias("l_left"), F.col("right").alias("l_right"))
+    lead = stored(rows.where("first").dropDuplicates(["g"]).select(  # written first, as the groups are
+        "g", F.struct(*KEY, F.col("at").alias("at")).alias("src"), F.col("left").alias("l_left"), F.col("right").alias("l_right")), "seed-leaders")
     both = (rows.where("NOT first").join(lead, "g")
             .withColumn("L", words_alike("left", "l_left", F.col("hi")))
             .withColumn("R", words_alike("right", "l_right", F.lit(length) - F.col("lo"))))
