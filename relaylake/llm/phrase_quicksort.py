@@ -128,7 +128,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
         for langs, lang, words, code, _ in parts_of(batches):
             at, c = grouped(lang.astype(np.int64) * len(words) + code)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[k] for k in lang[at]], pa.string()), words.take(pa.array(code[at])).cast(pa.string()), pa.array(c, pa.int64())],
+                [pa.array(langs, pa.string()).take(pa.array(lang[at])), words.take(pa.array(code[at])).cast(pa.string()), pa.array(c, pa.int64())],
                 names=["lang", "phrase", "f"])
 
     counts = texts_of(docs).mapInArrow(count, "lang string, phrase string, f long")
@@ -141,27 +141,46 @@ def codes_of(strings: set, langs: list[str], words: pa.Array) -> np.ndarray:
     return np.array([[(x, w) in strings for w in have] for x in langs], dtype=bool).reshape(len(langs), len(have))
 
 
+def run_keys(lang: np.ndarray, code: np.ndarray, size: int, at: np.ndarray, m: int) -> np.ndarray:
+    """One number for each run of ``m`` words from the places ``at``, equal
+    where language and words are."""
+    key = lang[at].astype(np.int64)
+    for k in range(m):
+        if len(key) and int(key.max()) > (1 << 62) // size:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = key * size + code[at + k]
+    return key
+
+
+def run_texts(words: pa.Array, code: np.ndarray, at: np.ndarray, m: int) -> pa.Array:
+    out = words.take(pa.array(code[at]))
+    for k in range(1, m):
+        out = pc.binary_join_element_wise(out, words.take(pa.array(code[at + k])), pa.scalar(" ", words.type))
+    return out
+
+
 def is_hot(hot: list[set], langs, lang, words, code, follow) -> np.ndarray:
     """How many leading words of each suffix are a hot string."""
     depth = np.zeros(len(code), dtype=np.int8)
     single = codes_of(hot[0], langs, words)[lang, code] if hot and hot[0] else np.zeros(len(code), dtype=bool)
     depth[single] = 1
     for m in range(2, len(hot) + 1):
-        if not hot[m - 1]:
-            break
-        at = np.flatnonzero((depth == m - 1) & (follow >= m - 1))
-        at = at[np.all([single[at + k] for k in range(1, m)], axis=0)] if len(at) else at
+        at = longer_runs(depth, single, follow, m) if hot[m - 1] else np.empty(0, np.int64)
         if not len(at):
             break
-        key = lang[at].astype(np.int64)
-        ids = [key] + [code[at + k] for k in range(m)]
-        rows, back = np.unique(np.stack(ids, axis=1), axis=0, return_inverse=True)
-        have = words.to_pylist()
-        flags = np.array([(langs[r[0]], " ".join(have[c] for c in r[1:])) in hot[m - 1] for r in rows.tolist()], dtype=bool)
-        depth[at[flags[back.ravel()]]] = m
+        _, where, back = np.unique(run_keys(lang, code, len(words), at, m), return_index=True, return_inverse=True)
+        own = at[where]
+        flags = np.array([(langs[x], w) in hot[m - 1] for x, w in zip(lang[own].tolist(), run_texts(words, code, own, m).to_pylist())], dtype=bool)
+        depth[at[flags[back]]] = m
     return depth
 
 
+def longer_runs(depth: np.ndarray, single: np.ndarray, follow: np.ndarray, m: int) -> np.ndarray:
+    """Places of ``m`` hot words of which the first ``m - 1`` are a hot string."""
+    at = np.flatnonzero((depth == m - 1) & (follow >= m - 1))
+    return at[np.all([single[at + k] for k in range(1, m)], axis=0)] if len(at) else at
+
+
 def hot_strings(docs: DataFrame, singles: DataFrame, max_words: int, limit: int) -> list[set]:
     """Strings of 1, 2 … words with more than ``limit`` occurrences. As
     ``limit`` is a share of all, their number is bounded by the share."""
@@ -173,15 +192,12 @@ def hot_strings(docs: DataFrame, singles: DataFrame, max_words: int, limit: int)
         def count(batches: Iterator[pa.RecordBatch], m=m, below=below) -> Iterator[pa.RecordBatch]:
             for langs, lang, words, code, follow in parts_of(batches):
                 single = codes_of(below[0], langs, words)[lang, code]
-                at = np.flatnonzero((is_hot(below, langs, lang, words, code, follow) == m - 1) & (follow >= m - 1))
-                at = at[np.all([single[at + k] for k in range(1, m)], axis=0)] if len(at) else at
+                at = longer_runs(is_hot(below, langs, lang, words, code, follow), single, follow, m)
                 if len(at):
-                    ids = np.stack([lang[at].astype(np.int64)] + [code[at + k] for k in range(m)], axis=1)
-                    rows, c = np.unique(ids, axis=0, return_counts=True)
-                    have = words.to_pylist()
+                    where, c = grouped(run_keys(lang, code, len(words), at, m))
+                    own = at[where]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([langs[r[0]] for r in rows.tolist()], pa.string()),
-                         pa.array([" ".join(have[x] for x in r[1:]) for r in rows.tolist()], pa.string()), pa.array(c, pa.int64())],
+                        [pa.array(langs, pa.string()).take(pa.array(lang[own])), run_texts(words, code, own, m).cast(pa.string()), pa.array(c, pa.int64())],
                         names=["lang", "phrase", "f"])
 
         counts = texts_of(docs).mapInArrow(count, "lang string, phrase string, f long")
@@ -238,7 +254,7 @@ def suffixes(docs: DataFrame, hot: list[set], max_words: int) -> DataFrame:
             weights = pa.Array.from_buffers(pa.large_binary(), len(edge), [
                 None, pa.py_buffer(np.append(edge, len(at)).astype(np.int64) * 8), pa.py_buffer(count.astype(np.int64))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[x] for x in codes[edge, 0]], pa.string()), lead.cast(pa.string()), pa.array(k[edge], pa.int32()), pa.array(cut[edge]),
+                [pa.array(langs, pa.string()).take(pa.array(codes[edge, 0])), lead.cast(pa.string()), pa.array(k[edge], pa.int32()), pa.array(cut[edge]),
                  blobs.cast(pa.binary()), weights.cast(pa.binary())], names=["lang", "lead", "k", "cut", "rest", "weights"])
 
     return texts_of(docs).mapInArrow(deal, "lang string, lead string, k int, cut boolean, rest binary, weights binary")
@@ -257,105 +273,132 @@ def three_way(keys: np.ndarray, weight: np.ndarray, begin: np.ndarray, least: in
     depth = np.zeros(len(low), dtype=np.int64)
     while len(low) and deepest:
         size = high - low
+        offset = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(low)), size)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        slot = inner + low[owner]
+        slot = np.arange(len(owner)) + np.repeat(low - offset, size)
         own = order[slot]
-        key = keys[own, depth[owner]]
-        pivot = key[np.cumsum(size) - size + size // 2]
-        side = np.sign(key - pivot[owner]) + 1  # 0 less, 1 equal, 2 greater
-        box = owner * 3 + side
+        key = keys[own, np.repeat(depth, size)]
+        pivot = key[offset + size // 2]
+        of_owner = np.repeat(pivot, size)
+        box = owner * 3
+        box += key >= of_owner
+        box += key > of_owner  # 0 less, 1 equal, 2 greater
         w = np.bincount(box, weights=weight[own], minlength=3 * len(low)).astype(np.int64)  # exact below 2**53
         sizes = np.bincount(box, minlength=3 * len(low))
-        # each suffix's new slot: its box's start and its number among the box's
-        before = np.cumsum(sizes.reshape(-1, 3), axis=1) - sizes.reshape(-1, 3)
-        start = (low[:, None] + before).ravel()
-        number = np.empty(len(owner), dtype=np.int64)
-        for s in range(3):
-            mine = side == s
-            running = np.cumsum(mine) - mine
-            number[mine] = running[mine] - running[(np.cumsum(size) - size)[owner[mine]]]
-        order[start[box] + number] = own
         full = (sizes > 0) & (w >= least)  # the others are abandoned
         equal = np.zeros(3 * len(low), dtype=bool)
         equal[1::3] = pivot >= 0
-        found = np.flatnonzero(full & equal)
         at_depth = np.repeat(depth, 3)
-        for d in np.unique(at_depth[found]):
-            here = found[at_depth[found] == d]
-            yield int(d) + 1, order[start[here]], w[here]
+        found = np.flatnonzero(full & equal)
         further = full.copy()
         further[1::3] &= (pivot >= 0) & (depth + 1 < deepest)
+        # what goes on, or is given out, box after box
+        needed = full[box]
+        box, own = box[needed], own[needed]
+        own = own[np.argsort(box, kind="stable")]
+        sizes = np.where(full, sizes, 0)
+        start = np.cumsum(sizes) - sizes
+        for d in np.unique(at_depth[found]):
+            here = found[at_depth[found] == d]
+            yield int(d) + 1, own[start[here]], w[here]
         at_depth[1::3] += 1
-        low, high, depth = start[further], (start + sizes)[further], at_depth[further]
+        order, low, high, depth = own, start[further], (start + sizes)[further], at_depth[further]
+
+
+LEAD = ["lang", "lead", "k", "cut"]
+
+
+def lead_groups(table: pa.Table) -> np.ndarray:
+    """First rows of the runs of rows with one lead."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for name in LEAD:
+        column = table.column(name).combine_chunks()
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def sizes_of(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sorted_chunk(table: pa.Table, max_words: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of whole leads: ``lang, phrase, words, f, whole``."""
+    begin = lead_groups(table)
+    weights = table.column("weights").combine_chunks()
+    number = sizes_of(weights) // 8  # suffixes of each row
+    weight = utf8(weights)[0].view(np.int64)
+    before = np.cumsum(number) - number
+    total = np.add.reduceat(weight, before[begin])
+    heads = table.select(LEAD).take(pa.array(begin))
+    k, cut = heads.column("k").to_numpy(), heads.column("cut").to_numpy()
+
+    def phrases(lead: pa.Table, texts: pa.Array, words: np.ndarray, f: np.ndarray, whole: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [lead.column("lang").combine_chunks(), texts.cast(pa.string()), pa.array(words, pa.int32()), pa.array(f, pa.int64()), pa.array([whole] * len(f), pa.bool_())],
+            names=["lang", "phrase", "words", "f", "whole"])
+
+    for m in range(2, max_words):  # hot strings: in part
+        some = np.flatnonzero((k > m) | (k == m) & cut)
+        if len(some):
+            lead = heads.take(pa.array(some))
+            texts = pa.array([" ".join(x.split(" ")[:m]) for x in lead.column("lead").to_pylist()], pa.string())
+            yield phrases(lead, texts, np.full(len(some), m), total[some], False)
+    some = np.flatnonzero((k > 1) & ~cut & (total >= least))  # all suffixes of the lead are here
+    if len(some):
+        lead = heads.take(pa.array(some))
+        yield phrases(lead, lead.column("lead").combine_chunks(), k[some], total[some], True)
+    live = (total >= least) & ~cut & (k < max_words)  # the others are abandoned
+    rows = np.repeat(live, np.diff(np.append(begin, table.num_rows)))
+    if not rows.any():
+        return
+    owner = np.repeat(np.repeat(np.arange(len(begin)), np.diff(np.append(begin, table.num_rows)))[rows], number[rows])
+    weight = weight[np.repeat(rows, number)]
+    text, _ = utf8(table.column("rest").filter(pa.array(rows)).combine_chunks())
+    line_end = text == 0x0A
+    inside = ~line_end & (text != 0x20)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    starts, stops = edge[::2], edge[1::2]
+    line = np.cumsum(line_end, dtype=np.int32)[starts]
+    at = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(stops - starts, out=at[1:])
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(text[inside]))]).dictionary_encode()
+    place = np.arange(len(starts))
+    fresh = np.ones(len(starts), dtype=bool)
+    fresh[1:] = line[1:] != line[:-1]
+    keys = np.full((len(owner), max_words - 1), -1, dtype=np.int32)
+    keys[line, place - np.maximum.accumulate(np.where(fresh, place, 0))] = words.indices.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    for depth, own, count in three_way(keys, weight, first, least):
+        lead = heads.take(pa.array(owner[own]))
+        texts = lead.column("lead").combine_chunks().cast(pa.large_string())
+        for j in range(depth):
+            texts = pc.binary_join_element_wise(texts, words.dictionary.take(pa.array(keys[own, j])), pa.scalar(" ", pa.large_string()))
+        yield phrases(lead, texts, k[owner[own]] + depth, count, True)
 
 
 def phrase_counts(dealt: DataFrame, max_words: int, least: int) -> DataFrame:
     """``lang, phrase, words, f`` of the phrases of two words and more with
     ``least`` or more occurrences."""
-    schema = "lang string, phrase string, words int, f long, whole boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def sorted_chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """``rows``: (lang, lead, k, cut, rest, weights); equal leads stand together."""
-        text = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
-        weight = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.int64)
-        ends = np.flatnonzero(text == 0x0A)
-        per_row = np.array([len(r[5]) // 8 for r in rows])
-        group = np.cumsum([i == 0 or r[:4] != rows[i - 1][:4] for i, r in enumerate(rows)]) - 1
-        heads = [r[:4] for i, r in enumerate(rows) if i == 0 or r[:4] != rows[i - 1][:4]]
-        owner = np.repeat(group, per_row)
-        begin = np.searchsorted(owner, np.arange(len(heads)))
-        inside = (text != 0x0A) & (text != 0x20)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        starts, stops = edge[::2], edge[1::2]
-        line = np.searchsorted(ends, starts)
-        at = np.zeros(len(starts) + 1, dtype=np.int64)
-        np.cumsum(stops - starts, out=at[1:])
-        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(text[inside]))]).dictionary_encode()
-        number = np.arange(len(starts)) - np.searchsorted(line, line)
-        keys = np.full((len(ends), max_words - 1), -1, dtype=np.int64)
-        keys[line, number] = words.indices.to_numpy(zero_copy_only=False)
-        have = words.dictionary
-        k_of = np.array([h[2] for h in heads], dtype=np.int64)
-        out: list[tuple] = []
-        total = np.add.reduceat(weight, begin)
-        for g in np.flatnonzero(k_of > 1).tolist():
-            lang, lead, k, cut = heads[g]
-            w = lead.split(" ")
-            for m in range(2, k + cut):  # hot strings: in part
-                out.append((lang, " ".join(w[:m]), m, int(total[g]), False))
-            if not cut and total[g] >= least:  # all suffixes of the lead are here
-                out.append((lang, lead, k, int(total[g]), True))
-        live = np.flatnonzero(total >= least)
-        if len(live):
-            sizes = np.diff(np.append(begin, len(owner)))[live]
-            pick = np.arange(sizes.sum()) + np.repeat(begin[live] - (np.cumsum(sizes) - sizes), sizes)
-            lead_of = owner[pick]
-            for depth, own, count in three_way(keys[pick], weight[pick], np.cumsum(sizes) - sizes, least):
-                tails = [have.take(pa.array(keys[pick[own], j])).to_pylist() for j in range(depth)]
-                for g, c, *tail in zip(lead_of[own].tolist(), count.tolist(), *tails):
-                    lang, lead, k, _ = heads[g]
-                    out.append((lang, " ".join([lead, *tail]), k + depth, c, True))
-        for b in range(0, len(out), 1 << 16):
-            columns = zip(*out[b:b + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()))], names=names)
-
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n = [], 0
+        held, n, enough = [], 0, TASK_ROWS
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "lead", "k", "cut", "rest", "weights"))):
-                if n >= TASK_ROWS and row[:4] != rows[-1][:4]:
-                    yield from sorted_chunk(rows)
-                    rows, n = [], 0
-                rows.append(row)
-                n += len(row[5]) // 8
-        if rows:
-            yield from sorted_chunk(rows)
-
-    order = ["lang", "lead", "k", "cut"]
-    routed = dealt.repartition(*order).sortWithinPartitions(*order)
-    found = stored(routed.mapInArrow(sort, schema), "phrases-sorted")
+            held.append(batch)
+            n += int(sizes_of(batch.column("weights")).sum()) // 8
+            if n >= enough:
+                table = pa.Table.from_batches(held)
+                last = int(lead_groups(table)[-1])  # more rows of this lead may follow
+                if last:
+                    yield from sorted_chunk(table.slice(0, last), max_words, least)
+                    table = table.slice(last)
+                    n = int(sizes_of(table.column("weights").combine_chunks()).sum()) // 8
+                enough = max(TASK_ROWS, 2 * n)
+                held = table.combine_chunks().to_batches()
+        if held and n:
+            yield from sorted_chunk(pa.Table.from_batches(held), max_words, least)
+
+    routed = dealt.repartition(*LEAD).sortWithinPartitions(*LEAD)
+    found = stored(routed.mapInArrow(sort, "lang string, phrase string, words int, f long, whole boolean"), "phrases-sorted")
     partial = found.where("NOT whole").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return found.where("whole").select("lang", "phrase", "words", "f").unionByName(partial)
 
