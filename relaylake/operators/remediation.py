@@ -8,10 +8,10 @@ Scale: no step pairs every run with every file of its repository, and none
 keeps only the first files. Notebook and ETL patches depend only on file
 content, so they are computed once per file and counted per repository. SQL
 candidates depend on the run's target names; "file contains name" is answered
-by an equi-join of the names' first three characters with the character
-trigrams of the repository's distinct identifier tokens, confirmed on the token
-(exact for identifier names, intermediate rows linear in the text). Paths are
-chosen first; contents are read once for each patched file.
+by an equi-join of each name's rarest gram with the grams of the repository's
+distinct identifier tokens, confirmed on the token (exact for identifier names,
+intermediate rows linear in the text and the names). Paths are chosen first;
+contents are read once for each patched file.
 """
 
 from __future__ import annotations
@@ -169,7 +169,35 @@ def repo_patches(files: DataFrame, plugins: Sequence[FilePlugin] = FILE_PLUGINS)
 
 
 # ---- E9 / F7 / U4: SQL candidates and patch ----------------------------------
-GRAM = 3  # characters of a name that find the tokens to look at
+GRAM_SIZES = (16, 8, 4, 2, 1)  # characters; a name is looked up by grams of the largest size that fits
+
+
+def grams_of(text: Column, size: Column) -> Column:
+    """All substrings of ``size`` characters, each once; none if it is shorter."""
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))) \
+        .otherwise(T.empty_str_array())
+
+
+def name_candidates(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, name, token): the tokens that hold the name's rarest gram.
+
+    A name of 9 characters or more is at most twice as long as its grams (up to
+    32 characters), so what tells it from other names lies in one of them, and
+    few tokens hold that one, whatever prefix or suffix all names share. How many
+    tokens hold a gram is counted for the grams of names only; a name with a
+    gram that no token holds has no hit. ``vocabulary``: repo, token, distinct."""
+    size = F.coalesce(*[F.when(F.length("name") >= n, F.lit(n)) for n in GRAM_SIZES])
+    wanted = names.where(F.col("name") != "").select("repo", "name").distinct().withColumn("size", size)
+    used = wanted.agg(F.collect_set("size").alias("sizes"))  # one row of at most five numbers
+    in_names = wanted.select("repo", "name", F.explode(grams_of(F.col("name"), F.col("size"))).alias("gram"))
+    in_tokens = vocabulary.crossJoin(F.broadcast(used)).select("repo", "token", F.explode(F.flatten(F.transform(
+        "sizes", lambda n: grams_of(F.col("token"), n)))).alias("gram"))
+    counts = (in_tokens.join(in_names.select("repo", "gram").distinct(), ["repo", "gram"])
+              .groupBy("repo", "gram").agg(F.count(F.lit(1)).alias("n")))
+    rarest = (in_names.join(counts, ["repo", "gram"], "left").groupBy("repo", "name")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0"))
+    return in_tokens.join(rarest.select("repo", "name", F.col("least.gram").alias("gram")), ["repo", "gram"]).select("repo", "name", "token")
 
 
 def name_hits(sql_files: DataFrame, names: DataFrame) -> DataFrame:
@@ -177,13 +205,7 @@ def name_hits(sql_files: DataFrame, names: DataFrame) -> DataFrame:
     (identifier characters, lower case). ``names``: repo, name."""
     tokens = sql_files.select("repo", "path", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower(F.col("content")), F.lit(r"([a-z0-9_]+)"), 1))).alias("token"))
-    places = F.sequence(F.lit(1), F.length("token"))
-    grams = F.flatten(F.transform(places, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("token") - i + 1)), lambda n: F.substring(F.col("token"), i, n))))
-    vocabulary = tokens.select("repo", "token").distinct().withColumn("gram", F.explode(F.array_distinct(grams)))
-    wanted = names.where(F.col("name") != "").distinct().withColumn("gram", F.left(F.col("name"), F.lit(GRAM)))
-    in_token = (vocabulary.join(wanted, ["repo", "gram"]).where(F.col("token").contains(F.col("name")))
-                .select("repo", "name", "token"))
+    in_token = name_candidates(tokens.select("repo", "token").distinct(), names).where(F.col("token").contains(F.col("name")))
     return in_token.join(tokens, ["repo", "token"]).select("repo", "name", "path").distinct()
 
 

@@ -153,3 +153,29 @@ def test_every_file_and_a_users_own_plugin(spark):
                        lambda c: F.replace(c, F.lit("retries = 1"), F.lit("retries = 3")))
     row = R.remediation_report(runs, files, ["python_etl"], extra=[own]).first()
     assert row.report == "python_etl:40 file(s), more_retries:1 file(s)" and row.remediation_detail.endswith("changed_files=41")
+
+
+def test_name_search_is_linear_for_names_with_one_prefix(spark):
+    """10,000 names of one repository that share prefix and suffix: each
+    meets about the tokens that hold it, not all tokens."""
+    ids = spark.range(10_000).select(F.lit("r").alias("repo"), F.concat(F.lit("wi_"), F.col("id").cast("string"), F.lit("_table")).alias("token"))
+    names = ids.select("repo", F.col("token").alias("name"))
+    pairs = R.name_candidates(ids, names)
+    assert pairs.where("contains(token, name)").count() == 10_000
+    assert pairs.count() <= 12_000
+    long_ids = ids.select("repo", F.concat(F.lit("a_very_long_prefix_of_all_tables_"), "token", F.lit("_and_one_suffix")).alias("token"))
+    assert R.name_candidates(long_ids, long_ids.select("repo", F.col("token").alias("name"))).count() <= 12_000
+
+
+def test_name_search_equals_substring_test(spark):
+    import random
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab_1") for _ in range(n))
+    files = [(f"r{i % 2}", f"sql/f{i}.sql", " ".join(word(rng.randint(1, 40)).upper() for _ in range(rng.randint(0, 6))) + ";") for i in range(60)]
+    names = [(f"r{i % 2}", word(rng.choice([1, 2, 3, 4, 5, 8, 9, 17, 33]))) for i in range(80)] + [("r0", ""), ("r9", "ab")]
+    names += [(r, c.split()[0].lower().strip(";")[1:]) for r, _, c in files if c.split()]
+    got = {tuple(x) for x in R.name_hits(spark.createDataFrame(files, "repo string, path string, content string"),
+                                         spark.createDataFrame(names, "repo string, name string")).collect()}
+    assert got == {(r, n, p) for r, n in names for q, p, c in files if n and q == r and n in c.lower()}
+    none = spark.createDataFrame([], "repo string, name string")
+    assert R.name_hits(spark.createDataFrame(files, "repo string, path string, content string"), none).count() == 0
