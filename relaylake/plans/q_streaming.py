@@ -13,14 +13,15 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from relaylake.operators import intake
 from relaylake.plans import q_approvals, q_intake, q_stages
 from relaylake.session import scratch_path
+from relaylake.sinks.versioned import UpsertTable
 from relaylake.sources import views
 from relaylake.streaming import approvals as SA
 from relaylake.streaming import intake as SI
 from relaylake.streaming import ledger as SL
-from relaylake.streaming.runner import idempotent_sink, run_available_now
+from relaylake.streaming.keytable import KeyTable
+from relaylake.streaming.runner import idempotent_sink, run_available_now, upsert_sink
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -30,8 +31,13 @@ def _base(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"relaylake-stream/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _source(spark: SparkSession, df, path: str):
-    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
+STREAM_FILES = 6
+
+
+def _source(spark: SparkSession, df, path: str, files: int | None = None):
+    """A stream of the files under ``path``, all at once or so many a batch."""
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(path)
 
 
 # ---- X1 + X5 -----------------------------------------------------------------
@@ -41,8 +47,8 @@ def q_stream_intake(spark, sf):
     w.write.parquet(f"{base}/in/a")
     w.write.parquet(f"{base}/in/b")  # every ticket arrives twice: exact repeats
     stream = SI.intake_stream(_source(spark, w, f"{base}/in"))
-    SI.succeeded_keys(views.run_ledger(spark, sf), f"{base}/succeeded")
-    sink = idempotent_sink(f"{base}/out", SI.plan_batch(lambda: f"{base}/succeeded"))
+    SI.succeeded_keys(views.run_ledger(spark, sf), KeyTable(spark, f"{base}/succeeded"))
+    sink = idempotent_sink(f"{base}/out", SI.plan_batch(lambda: KeyTable(spark, f"{base}/succeeded")))
     run_available_now(stream, sink, f"{base}/ck")
     return q_intake._plan_out(spark.read.parquet(f"{base}/out"))
 
@@ -55,9 +61,10 @@ ORACLE["stream_intake"] = q_intake.ORACLE["intake_plan"]
 def q_stream_ledger(spark, sf):
     base = _base(spark, "ledger")
     led = views.run_ledger(spark, sf)
-    led.write.parquet(f"{base}/in")
-    run_available_now(_source(spark, led, f"{base}/in"), idempotent_sink(f"{base}/out"), f"{base}/ck")
-    return intake.latest_run_status(spark.read.parquet(f"{base}/out").drop("batch")).select("run_key", "status", "seq")
+    led.repartition(STREAM_FILES, "seq").write.parquet(f"{base}/in")
+    table = UpsertTable(spark, f"{base}/out", led.schema, ["run_key"], ["seq"], max_deltas=2)
+    run_available_now(_source(spark, led, f"{base}/in", files=2), upsert_sink(table), f"{base}/ck")
+    return table.latest().select("run_key", "status", "seq")
 
 
 QUERIES["stream_ledger"] = q_stream_ledger
@@ -66,48 +73,54 @@ ORACLE["stream_ledger"] = q_intake.ORACLE["run_ledger_latest"]
 
 # ---- X2 / X3 / X4 ------------------------------------------------------------
 RETENTION_S = 100 * 86400
-LATENESS = "60 days"  # the files hold the rows in no order of time
-STREAM_FILES = 6  # read in two micro-batches
+LATENESS_H = 1
 
 
-def _newer_event(events, path: str) -> None:
-    """One event of another kind, long after all others."""
-    events.agg(F.max("ts").alias("ts")).select(
-        F.lit("newer").alias("request_id"), F.lit(None).cast("string").alias("stage"), F.lit("comment").alias("event"),
-        F.lit(None).cast("string").alias("actor"), (F.col("ts") + F.make_dt_interval(days=F.lit(400))).alias("ts"),
-        F.lit(-1).cast("bigint").alias("seq")).write.parquet(path)
+def _in_time_order(events, path: str, parts: int = 4) -> None:
+    """Files in the order of their events, as a log has them."""
+    edges = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).approxQuantile("us", [k / parts for k in range(1, parts)], 0.01)
+    place = sum((F.when(F.unix_micros(F.col("ts").cast("timestamp")) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    for k in range(parts):
+        events.where(place == k).write.parquet(f"{path}/{k}")
 
 
-def approval_stream_view(spark: SparkSession, sf: str, late_decision: str):
-    base = _base(spark, "approvals")
-    ev = views.approval_events(spark, sf).select("request_id", "stage", "event", "actor", "ts", "seq")
-    ev.repartition(STREAM_FILES, "seq").write.parquet(f"{base}/in/events")
-    out = SA.approval_outcomes(_source(spark, ev, f"{base}/in"), q_approvals.TIMEOUT_S, late_decision,
-                               lateness=LATENESS, retention_seconds=RETENTION_S)
+def outcome_view(spark: SparkSession, name: str, ev, timeout_s: int, late_decision: str, decisions=SA.DECISIONS):
+    """The current view when all events are read: requests whose deadline the
+    watermark hasn't passed and that have no decision are open and not in it."""
+    base = _base(spark, name)
+    ev = ev.select("request_id", "stage", "event", "actor", "ts", "seq")
+    _in_time_order(ev, f"{base}/in")
+    stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+    out = SA.approval_outcomes(stream, timeout_s, late_decision, lateness=f"{LATENESS_H} hours", retention_seconds=RETENTION_S, decisions=decisions)
     run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
-    # newer events, as a continuous stream has them, let the last timers fire
-    _newer_event(ev, f"{base}/in/newer")
-    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
-    return SA.current_view(spark.read.parquet(f"{base}/out").drop("batch"))
+    return SA.current_view(spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{base}/out"))
+
+
+# what is settled at the last watermark
+_SETTLED = f"(SELECT max(ts) - to_hours({LATENESS_H}) FROM approval_events)"
+_OUTCOMES = f"""SELECT r.request_id, r.stage, coalesce(first_event, 'timed_out') AS outcome, coalesce(first_actor, 'system-timeout') AS outcome_actor,
+  CASE WHEN first_event IS NULL THEN {{late}} ELSE last_event END AS final_status
+FROM reqs r LEFT JOIN dagg USING (request_id)
+WHERE first_event IS NOT NULL OR r.created_at + to_seconds({q_approvals.TIMEOUT_S}) <= {_SETTLED}"""
 
 
 def q_stream_approvals(spark, sf):
-    v = approval_stream_view(spark, sf, "overwrite")
+    v = outcome_view(spark, "approvals", views.approval_events(spark, sf), q_approvals.TIMEOUT_S, "overwrite")
     return v.select("request_id", "stage", "outcome", "outcome_actor", "final_status")
 
 
 QUERIES["stream_approvals"] = q_stream_approvals
-ORACLE["stream_approvals"] = ("SELECT request_id, stage, outcome, outcome_actor, final_status FROM ("
-                              + q_approvals.ORACLE["approval_timeout"] + ")")
+ORACLE["stream_approvals"] = q_approvals.state_sql(_OUTCOMES.format(late="coalesce(last_event, 'timed_out')"), more=q_approvals.TIMEOUT_CTES)
 
 
 def q_stream_approvals_ignore_late(spark, sf):
-    v = approval_stream_view(spark, sf, "ignore")
+    v = outcome_view(spark, "approvals", views.approval_events(spark, sf), q_approvals.TIMEOUT_S, "ignore")
     return v.select("request_id", "outcome", "final_status")
 
 
 QUERIES["stream_approvals_ignore_late"] = q_stream_approvals_ignore_late
-ORACLE["stream_approvals_ignore_late"] = q_approvals.ORACLE["approval_timeout_ignore_late"]
+ORACLE["stream_approvals_ignore_late"] = ("SELECT request_id, outcome, final_status FROM ("
+    + q_approvals.state_sql(_OUTCOMES.format(late="'timed_out'"), more=q_approvals.TIMEOUT_CTES) + ")")
 
 
 # ---- X6 ----------------------------------------------------------------------
@@ -127,15 +140,8 @@ def q_stream_run_status(spark, sf):
     base = _base(spark, "status")
     ev = status_events(spark, sf)
     ev.write.parquet(f"{base}/in/events")
-    agg = SL.first_terminal_status(_source(spark, ev, f"{base}/in"))
-    run_available_now(agg, idempotent_sink(f"{base}/out"), f"{base}/ck")
-    # a later run, whose own session stays open, moves the watermark past the others
-    later = ev.agg((F.max("ts") + F.make_dt_interval(days=F.lit(60))).alias("ts"))
-    later.select(F.lit(-1).cast("long").alias("work_item_id"), F.lit(1).cast("int").alias("ord"), F.lit(1).cast("int").alias("attempt"),
-                 F.lit("succeeded").alias("result"), F.lit("completed").alias("state"), "ts").write.parquet(f"{base}/in/later")
-    run_available_now(agg, idempotent_sink(f"{base}/out"), f"{base}/ck")
-    out = spark.read.parquet(f"{base}/out")
-    return out.groupBy("work_item_id", "ord", "attempt").agg(F.min_by("status", "ts").alias("status"))
+    run_available_now(SL.first_terminal_status(_source(spark, ev, f"{base}/in")), idempotent_sink(f"{base}/out"), f"{base}/ck")
+    return spark.read.parquet(f"{base}/out").groupBy("work_item_id", "ord", "attempt").agg(F.min_by("status", "ts").alias("status"))
 
 
 QUERIES["stream_run_status"] = q_stream_run_status
@@ -146,15 +152,7 @@ ORACLE["stream_run_status"] = ("SELECT work_item_id, ord, attempt, status FROM (
 # ---- X3 ------------------------------------------------------------------------
 def q_stream_clarifications(spark, sf):
     from relaylake.plans import q_clarify
-    base = _base(spark, "clarifications")
-    ev = q_clarify.clar_events(spark, sf).select("request_id", "stage", "event", "actor", "ts", "seq")
-    ev.repartition(STREAM_FILES, "seq").write.parquet(f"{base}/in/events")
-    out = SA.approval_outcomes(_source(spark, ev, f"{base}/in"), q_clarify.CLARIFICATION_TIMEOUT_S, "overwrite",
-                               lateness=LATENESS, retention_seconds=RETENTION_S, decisions=("answered",))
-    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
-    _newer_event(ev, f"{base}/in/newer")
-    run_available_now(out, idempotent_sink(f"{base}/out"), f"{base}/ck")
-    v = SA.current_view(spark.read.parquet(f"{base}/out").drop("batch"))
+    v = outcome_view(spark, "clarifications", q_clarify.clar_events(spark, sf), q_clarify.CLARIFICATION_TIMEOUT_S, "overwrite", ("answered",))
     return v.select("request_id", "outcome", "outcome_actor", "final_status")
 
 
@@ -163,7 +161,10 @@ QUERIES["stream_clarifications"] = q_stream_clarifications
 
 def _clar_oracle():
     from relaylake.plans import q_clarify
-    return q_clarify.CLAR_SQL
+    last = "(SELECT max(greatest(base + to_minutes(10 * CAST(t0 AS INTEGER)), CASE WHEN answered THEN base + to_minutes(10 * CAST(tmax AS INTEGER)) END)) FROM c)"
+    return q_clarify.CLAR_SQL + f"""
+WHERE answered AND tmax * 10 <= t0 * 10 + 25 AND tmax >= t0
+  OR base + to_minutes(10 * CAST(t0 AS INTEGER) + 25) <= {last} - to_hours({LATENESS_H})"""
 
 
 ORACLE["stream_clarifications"] = _clar_oracle()

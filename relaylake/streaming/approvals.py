@@ -2,16 +2,22 @@
 (X2, X3, X4, X7). Clarifications use the same processor with ``answered``
 as the terminal event.
 
-``groupBy(request_id).applyInPandasWithState`` keeps, per request, its
-creation and the decisions seen. The result is a function of the rows seen so
-far and the watermark, not of how they were cut into micro-batches: decisions
-that come before their request wait for it, an earlier in-time decision revises
-the outcome, and a request is ``timed_out`` (by ``system-timeout``) only when
-the watermark has passed ``created_at + timeout`` without a decision, since
-before that one could still arrive. Later decisions overwrite that status
-(``late_decision='overwrite'``) or are dropped (``'ignore'``). Once no earlier
-request can arrive any more, only the earliest in-time and the latest decision
-are kept; the state is released ``retention_seconds`` after the deadline.
+``transformWithState`` keeps, per request, its creation, the earliest in-time
+and the latest decision, and a list of the decisions seen. The result is a
+function of the rows seen so far and the watermark, not of how they were cut
+into micro-batches: decisions that come before their request wait for it, an
+earlier in-time decision revises the outcome, and a request is ``timed_out`` (by
+``system-timeout``) only when the watermark has passed ``created_at + timeout``
+without a decision, since before that one could still arrive. Later decisions
+overwrite that status (``late_decision='overwrite'``) or are dropped
+(``'ignore'``).
+
+The list is only appended to, so a batch costs its own decisions, however many
+there were before. It is read again only if an earlier request row moves the
+creation back; once the watermark has passed the creation, none can, and the
+list is cleared. Event-time timers fire at the deadline and ``retention_seconds``
+after it, when the state is released. (Spark's own time-to-live of state counts
+processing time, on which results would depend.)
 
 Every change is emitted as a new version of the request's row; the current
 view is the latest version per request (W2).
@@ -19,78 +25,113 @@ view is the latest version per request (W2).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT_SCHEMA = ("request_id string, stage string, created_at timestamp, outcome string, "
+OUTPUT_SCHEMA = ("request_id string, stage string, created_us long, outcome string, "
                  "outcome_actor string, final_status string, version int")
-STATE_SCHEMA = "created_us long, created_seq long, stage string, decisions string, emitted string, version int"
+REQUEST = "created_us long, created_seq long, stage string, version int"
+DECISION = "us long, seq long, event string, actor string"
+EMITTED = "created_us long, stage string, outcome string, outcome_actor string, final_status string"
 DECISIONS = ("approved", "rejected")
+TIMED_OUT = ("timed_out", "system-timeout")
+
+
+class DeadlineProcessor(StatefulProcessor):
+    """See above; rows need ``us, seq, event, actor, stage``."""
+
+    def __init__(self, timeout_seconds: int, late_decision: str = "overwrite", retention_seconds: int | None = None,
+                 decisions: tuple[str, ...] = DECISIONS):
+        if late_decision not in ("overwrite", "ignore"):
+            raise ValueError("late_decision must be 'overwrite' or 'ignore'")
+        self.timeout = timeout_seconds * 1_000_000
+        self.retention = (timeout_seconds if retention_seconds is None else retention_seconds) * 1_000_000
+        self.late_decision, self.decisions = late_decision, tuple(decisions)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.request = handle.getValueState("request", REQUEST)
+        self.in_time = handle.getValueState("in_time", DECISION)
+        self.last = handle.getValueState("last", DECISION)
+        self.seen = handle.getListState("seen", DECISION)
+        self.emitted = handle.getValueState("emitted", EMITTED)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        request, watermark = self.request.get(), timerValues.getCurrentWatermarkInMs() * 1000
+        asked, told = None, []
+        for r in rows:
+            if r.event == "requested" and (asked is None or (r.us, r.seq) < asked[:2]):
+                asked = (r.us, r.seq, r.stage)
+            elif r.event in self.decisions:
+                told.append((r.us, r.seq, r.event, r.actor))
+        settled = request is not None and watermark > request[0]  # no earlier request can arrive
+        if told and not settled:
+            self.seen.appendList(told)
+        if asked is not None and (request is None or asked[:2] < tuple(request[:2])):
+            request = (*asked, 0 if request is None else request[3])
+            self.request.update(request)
+            self.in_time.clear()
+            self.last.clear()
+            told = [tuple(x) for x in self.seen.get()]  # anew, for the earlier creation
+            self.handle.registerTimer((request[0] + self.timeout) // 1000 + 1)
+            self.handle.registerTimer((request[0] + self.timeout + self.retention) // 1000 + 1)
+        if request is None:  # decisions wait for their request
+            if told:
+                self.handle.registerTimer((max(x[0] for x in told) + self.timeout + self.retention) // 1000 + 1)
+            return
+        valid = [x for x in told if x[0] >= request[0]]
+        if valid:
+            place = lambda x: tuple(x[:2])
+            early = [x for x in valid if x[0] <= request[0] + self.timeout] + [tuple(x) for x in [self.in_time.get()] if x]
+            if early:
+                self.in_time.update(min(early, key=place))
+            self.last.update(max(valid + [tuple(x) for x in [self.last.get()] if x], key=place))
+        yield from self._outcome(key, request, watermark)
+
+    def _outcome(self, key, request, watermark: int) -> Iterator[Row]:
+        """A new version of the row, if it has changed."""
+        in_time, last = self.in_time.get(), self.last.get()
+        outcome = tuple(in_time[2:]) if in_time else TIMED_OUT if request[0] + self.timeout <= watermark else None
+        if outcome is None:
+            return
+        final = last[2] if last and (in_time or self.late_decision == "overwrite") else outcome[0]
+        now = (request[0], request[2], *outcome, final)
+        before = self.emitted.get()
+        if before is None or tuple(before) != now:
+            self.emitted.update(now)
+            self.request.update((*request[:3], request[3] + 1))
+            yield Row(request_id=key[0], stage=request[2], created_us=request[0], outcome=outcome[0], outcome_actor=outcome[1],
+                      final_status=final, version=request[3] + 1)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        request, watermark = self.request.get(), timerValues.getCurrentWatermarkInMs() * 1000
+        if request is None:
+            if max((x[0] for x in self.seen.get()), default=0) + self.timeout + self.retention < watermark:
+                self.seen.clear()
+            return
+        yield from self._outcome(key, request, watermark)
+        self.seen.clear()
+        if request[0] + self.timeout + self.retention < watermark:
+            for state in (self.request, self.in_time, self.last, self.emitted):
+                state.clear()
 
-def make_processor(timeout_seconds: int, late_decision: str = "overwrite", retention_seconds: int | None = None,
-                   decisions: tuple[str, ...] = DECISIONS):
-    if late_decision not in ("overwrite", "ignore"):
-        raise ValueError("late_decision must be 'overwrite' or 'ignore'")
-    timeout_us = timeout_seconds * 1_000_000
-    retention_us = (retention_seconds if retention_seconds is not None else timeout_seconds) * 1_000_000
-
-    def process(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, seq, stage, kept, emitted, version = state.get if state.exists else (None, None, None, "[]", None, 0)
-        seen = [tuple(x) for x in json.loads(kept)]  # (us, seq, event, actor)
-        for pdf in () if state.hasTimedOut else pdfs:  # one chunk at a time
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            asked = pdf.assign(us=us)[pdf["event"] == "requested"].nsmallest(1, ["us", "seq"])
-            for r in asked.itertuples():
-                if created is None or (r.us, r.seq) < (created, seq):
-                    created, seq, stage = int(r.us), int(r.seq), r.stage
-            told = pdf.assign(us=us)[pdf["event"].isin(list(decisions))]
-            seen += zip(told["us"].tolist(), told["seq"].tolist(), told["event"].tolist(), told["actor"].tolist())
-        watermark = state.getCurrentWatermarkMs() * 1000
-        if created is None:  # decisions wait for their request
-            release = max((x[0] for x in seen), default=watermark) + timeout_us + retention_us
-        else:
-            deadline = created + timeout_us
-            valid = [x for x in seen if x[0] >= created]
-            in_time = min((x for x in valid if x[0] <= deadline), key=lambda x: x[:2], default=None)
-            last = max(valid, key=lambda x: x[:2], default=None)
-            outcome = in_time[2:] if in_time else ("timed_out", "system-timeout") if deadline <= watermark else None
-            if outcome:
-                final = last[2] if last and (in_time or late_decision == "overwrite") else outcome[0]
-                now = json.dumps([created, stage, *outcome, final])
-                if now != emitted:
-                    emitted, version = now, version + 1
-                    yield pd.DataFrame({
-                        "request_id": [key[0]], "stage": [stage], "created_at": [pd.Timestamp(created, unit="us")], "outcome": [outcome[0]],
-                        "outcome_actor": [outcome[1]], "final_status": [final], "version": [version]})
-            if watermark > created:  # no earlier request can arrive
-                seen = [x for x in dict.fromkeys((in_time, last)) if x]
-            release = deadline if watermark < deadline else deadline + retention_us
-        if release <= watermark or not seen and created is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((created, seq, stage, json.dumps(seen), emitted, version))
-            state.setTimeoutTimestamp(release // 1000 + 1)
-
-    return process
+    def close(self) -> None:
+        pass
 
 
 def approval_outcomes(events: DataFrame, timeout_seconds: int, late_decision: str = "overwrite",
                       lateness: str = "1 hour", retention_seconds: int | None = None,
                       decisions: tuple[str, ...] = DECISIONS) -> DataFrame:
-    """Streaming (or batch) approval events → versioned outcome rows.
+    """Streaming approval events → versioned outcome rows.
 
     ``events`` needs request_id, stage, event, actor, ts (timestamp), seq."""
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return ev.groupBy("request_id").applyInPandasWithState(
-        make_processor(timeout_seconds, late_decision, retention_seconds, decisions),
-        OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    out = ev.groupBy("request_id").transformWithState(
+        DeadlineProcessor(timeout_seconds, late_decision, retention_seconds, decisions), OUTPUT_SCHEMA, "Append", "EventTime")
+    return out.withColumn("created_us", F.timestamp_micros("created_us")).withColumnRenamed("created_us", "created_at")
 
 
 def current_view(versions: DataFrame) -> DataFrame:

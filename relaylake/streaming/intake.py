@@ -3,9 +3,9 @@
 Tickets arrive as files. Exact repeats are dropped with
 ``dropDuplicatesWithinWatermark`` on the run key (state bounded by the
 watermark on the ingestion time); tickets whose key already succeeded in
-the run ledger are skipped by an anti-join inside ``foreachBatch`` against a
-compacted table of succeeded keys, bucketed by key. The remaining tickets are
-planned and appended.
+the run ledger are skipped inside ``foreachBatch`` by an anti-join with a table
+of succeeded keys, of which a batch opens only the files that may hold its own.
+The remaining tickets are planned and appended.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylake.operators import intake, planning
+from relaylake.streaming.keytable import KeyTable
 
 
 def intake_stream(tickets: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -26,24 +27,16 @@ def intake_stream(tickets: DataFrame, lateness: str = "10 minutes") -> DataFrame
     return keyed.withWatermark("ingested_at", lateness).dropDuplicatesWithinWatermark(["run_key"])
 
 
-KEY_BUCKETS = 64
+def succeeded_keys(ledger: DataFrame, table: KeyTable, batch: int | None = None) -> None:
+    """Add the run keys whose latest status is ``succeeded``."""
+    done = intake.latest_run_status(ledger).where(F.col("status") == "succeeded")
+    table.add(done.select(F.col("run_key").alias("key")), batch)
 
 
-def succeeded_keys(ledger: DataFrame, path: str, buckets: int = KEY_BUCKETS) -> None:
-    """Write the run keys whose latest status is ``succeeded``, one folder for
-    each hash bucket of the key."""
-    done = intake.latest_run_status(ledger).where(F.col("status") == "succeeded").select("run_key")
-    done.withColumn("bucket", F.pmod(F.xxhash64("run_key"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def plan_batch(done_path: Callable[[], str], buckets: int = KEY_BUCKETS):
+def plan_batch(done: Callable[[], KeyTable]):
     """``foreachBatch`` transform: skip keys that already succeeded, then plan.
-    Of the compacted table that ``done_path`` names at that time, only the
-    folders of the batch's own buckets are read."""
+    Of the key table that ``done`` gives at that time, only the files that may
+    hold one of the batch's keys are opened."""
     def transform(batch: DataFrame, batch_id: int) -> DataFrame:
-        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("run_key"), F.lit(buckets)).cast("int"))
-        own = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        done = batch.sparkSession.read.schema("run_key string, bucket int").parquet(done_path()).where(F.col("bucket").isin(own))
-        remaining = keyed.join(done, ["bucket", "run_key"], "left_anti").drop("bucket")
-        return planning.with_plan(remaining.select(*batch.columns)).drop("ingested_at")
+        return planning.with_plan(done().without_known(batch, "run_key")).drop("ingested_at")
     return transform

@@ -1,22 +1,54 @@
-"""Run-ledger upserts from a stream (X7) and pipeline status polling."""
+"""Pipeline status polling as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from relaylake import constants as K
 
+RUN = ["work_item_id", "ord", "attempt"]
 
-def first_terminal_status(status_events: DataFrame, lateness: str = "1 hour", gap: str = "30 days") -> DataFrame:
-    """Per run, the first status that is not ``inProgress`` /
-    ``notStarted`` (status = result, else state), with its time.
 
-    A run's terminal statuses form a session that ends ``gap`` after the last
-    of them; its state is one ``min`` struct and is dropped when the watermark
-    has passed that end, when the row is emitted."""
+class FirstStatus(StatefulProcessor):
+    """Per run the least ``(us, status)``: emitted in the micro-batch that
+    brings it, and again only if an earlier one turns up. The state, one
+    value, goes ``retention_seconds`` after that time."""
+
+    def __init__(self, retention_seconds: int):
+        self.retention = retention_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "us long, status string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        least, before = min((r.us, r.status) for r in rows), self.first.get()
+        if before is None or least < tuple(before):
+            self.first.update(least)
+            self.handle.registerTimer((least[0] + self.retention) // 1000 + 1)
+            yield Row(**dict(zip(RUN, key)), us=least[0], status=least[1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.first.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_terminal_status(status_events: DataFrame, lateness: str = "1 hour", retention_seconds: int = 30 * 86400) -> DataFrame:
+    """Per run, the first status that is not ``inProgress`` /
+    ``notStarted`` (status = result, else state), with its time. The result's
+    latest row per run is the one with the least time; there is more than one
+    only where an earlier status came in after a later one."""
     ev = status_events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     status = F.coalesce(F.col("result"), F.col("state"))
-    terminal = ev.where(~F.lower(status).isin(*K.NON_TERMINAL_STATUSES)).withColumn("status", status)
-    return terminal.groupBy("work_item_id", "ord", "attempt", F.session_window("ts", gap)).agg(
-        F.min(F.struct("ts", "status")).alias("first")).select("work_item_id", "ord", "attempt", "first.ts", "first.status")
+    terminal = ev.where(~F.lower(status).isin(*K.NON_TERMINAL_STATUSES)).select(
+        *RUN, "ts", F.unix_micros("ts").alias("us"), status.alias("status"))
+    out = terminal.groupBy(*RUN).transformWithState(
+        FirstStatus(retention_seconds), "work_item_id long, ord int, attempt int, us long, status string", "Append", "EventTime")
+    return out.select(*RUN, F.timestamp_micros("us").alias("ts"), "status")

@@ -51,6 +51,7 @@ def test_latest_state_and_guidance(spark):
 
 def streamed(spark, base, batches, files_per_trigger=1):
     """The stream's current view with one file per list of events, in order."""
+    # the last file is a newer event, as a continuous stream has them: the timers fire
     for i, rows in enumerate([*batches, [ev("newer", "comment", 30 * 1440, 99)]]):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{base}/in/{i}")
         time.sleep(0.05)  # files are read in the order of their times
@@ -85,6 +86,23 @@ def test_stream_twin_equals_batch(spark, tmp_dir):
     assert stream == batch
 
 
+def test_many_decisions_of_one_request(spark, tmp_dir):
+    """10^5 decisions in one batch and a few in the next: the list of the
+    earlier ones isn't read or written again, the result is the batch twin's."""
+    rows = [ev("hot", "requested", 0, 1)] + [ev("hot", "approved" if i % 3 else "rejected", 1 + i % 50, 10 + i) for i in range(100_000)]
+    start = time.time()
+    first = streamed(spark, f"{tmp_dir}/a", [rows])
+    took = time.time() - start
+    more = [[ev("hot", "rejected", 55, 200_000 + k)] for k in range(3)]
+    start = time.time()
+    both = streamed(spark, f"{tmp_dir}/b", [rows, *more])
+    assert first["hot"][0] == both["hot"][0] == "rejected" and both["hot"][2] == "rejected"
+    assert time.time() - start < 4 * took + 60
+    df = spark.createDataFrame([*rows, *(r for m in more for r in m)], SCHEMA)
+    r = A.timeout_outcomes(df, 3600).first()
+    assert both["hot"] == (r.outcome, r.outcome_actor, r.final_status)
+
+
 def test_payload_rules(spark):
     df = spark.createDataFrame([(1, "r", "ab", ""), (2, "r", "x", ""), (3, "r", "ok-name", "c" * 501)],
                                "seq long, request_id string, actor string, comment string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relaylake.operators import intake, planning
 from relaylake.streaming import intake as SI
 from relaylake.streaming import ledger as SL
+from relaylake.streaming.keytable import KeyTable
 from relaylake.streaming.runner import idempotent_sink, run_available_now
 
 
@@ -21,9 +22,10 @@ def test_stream_intake_dedupes_and_skips(spark, tmp_dir):
     t.write.parquet(f"{tmp_dir}/in/b")  # exact repeats
     key2 = intake.with_run_key(intake.normalize_tickets(t)).where("id = 2").first().run_key
     ledger = spark.createDataFrame([(key2, "succeeded", 1)], "run_key string, status string, seq long")
-    SI.succeeded_keys(ledger, f"{tmp_dir}/done")
+    done = KeyTable(spark, f"{tmp_dir}/done")
+    SI.succeeded_keys(ledger, done)
     src = spark.readStream.schema(t.schema).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/in")
-    run_available_now(SI.intake_stream(src), idempotent_sink(f"{tmp_dir}/out", SI.plan_batch(lambda: f"{tmp_dir}/done")), f"{tmp_dir}/ck")
+    run_available_now(SI.intake_stream(src), idempotent_sink(f"{tmp_dir}/out", SI.plan_batch(lambda: done)), f"{tmp_dir}/ck")
     out = spark.read.parquet(f"{tmp_dir}/out")
     assert sorted(r.work_item_id for r in out.collect()) == [1]
     batch = planning.with_plan(intake.skip_completed(intake.board_filter(intake.normalize_tickets(t.limit(3))), ledger))
@@ -39,9 +41,13 @@ def test_status_polling(spark, tmp_dir):
         (2, 1, 1, None, "InProgress", t0)], "work_item_id long, ord int, attempt int, result string, state string, ts timestamp_ntz")
     ev.write.parquet(f"{tmp_dir}/in/a")
     src = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/in")
-    stream = SL.first_terminal_status(src, gap="1 hour")
+    stream = SL.first_terminal_status(src, retention_seconds=3600)
     run_available_now(stream, idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck")
+    got = {r.work_item_id: r.status for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    assert got == {1: "failed"}  # in the batch that brings the status; run 2 never reached one
     spark.createDataFrame([(3, 1, 1, "succeeded", "completed", t0 + dt.timedelta(days=2))], ev.schema).write.parquet(f"{tmp_dir}/in/b")
     run_available_now(stream, idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck")
+    state = spark.read.format("statestore").option("path", f"{tmp_dir}/ck").option("stateVarName", "first").load()
+    assert state.select("key.work_item_id").distinct().count() == 1  # run 1's state is released
     got = {r.work_item_id: r.status for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
-    assert got == {1: "failed"}  # run 2 never reached a terminal status
+    assert got == {1: "failed", 3: "succeeded"}
