@@ -20,6 +20,28 @@ from pyspark.sql import functions as F
 
 from relaylake import constants as K
 from relaylake.functions import text as T
+from relaylake.operators.asof import as_of
+
+NO_DECISION = "system-timeout"
+
+
+def with_gates(runs: DataFrame, log: DataFrame, max_attempts: int | None = K.MAX_REMEDIATION_ATTEMPTS) -> DataFrame:
+    """Each attempt with the latest decision and check result of its
+    team and stage at or before its start. ``denied``: rejected, or none there
+    is; ``qa_passed``: the checks passed; ``approver``, ``comment``: the
+    decision's. Attempts beyond ``max_attempts`` reruns (null: none) take no part.
+
+    ``runs``: team, environment, attempt, started_at …; ``log``: team,
+    environment, since, seq, decision (approved, actor, comment), checks_passed."""
+    used = runs if max_attempts is None else runs.where(F.col("attempt") <= max_attempts + 1)
+    out = as_of(used, log, ["team", "environment"], "started_at", "since", "seq", ["decision", "checks_passed"])
+    return out.withColumns({
+        "denied": ~F.coalesce("decision.approved", F.lit(False)),
+        "qa_passed": F.coalesce("checks_passed", F.lit(False)),
+        "approver": F.coalesce("decision.actor", F.lit(NO_DECISION)),
+        "comment": F.coalesce("decision.comment", F.lit("")),
+    }).drop("decision", "checks_passed")
+
 
 def promotable(status: Column, qa_passed: Column) -> Column:
     """lower(status) in {succeeded, success, completed} and QA passed."""

@@ -19,8 +19,22 @@ HIL = "('qe', 'stg', 'prod')"
 PROMOTE_SQL = "lower(status) IN ('succeeded', 'success', 'completed') AND qa_passed"
 
 # ---- SQL twins of the stage operators --------------------------------------
+GATE_CTES = [
+    ("gate_log", """SELECT user_id % 100 AS team, ['dev', 'qe', 'stg', 'prod'][event_id % 4 + 1] AS environment, event_id AS seq,
+        TIMESTAMP '1995-01-01' + to_seconds((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000 * 80) AS since,
+        event_type IN ('signup', 'purchase', 'error') AS decides, event_type IN ('view', 'click') AS checks,
+        event_type <> 'error' AS approved, 'approver-' || CAST(event_id % 9 AS VARCHAR) AS actor, coalesce(props, '') AS comment, value < 20 AS passed
+      FROM events"""),
+    ("decisions", "SELECT * FROM gate_log WHERE decides QUALIFY row_number() OVER (PARTITION BY team, environment, since ORDER BY seq DESC) = 1"),
+    ("results", "SELECT * FROM gate_log WHERE checks QUALIFY row_number() OVER (PARTITION BY team, environment, since ORDER BY seq DESC) = 1"),
+    ("gated_runs", """SELECT r.*, NOT coalesce(d.approved, false) AS denied, coalesce(c.passed, false) AS qa_passed,
+        coalesce(d.actor, 'system-timeout') AS approver, coalesce(d.comment, '') AS comment
+      FROM stage_runs r ASOF LEFT JOIN decisions d ON d.team = r.team AND d.environment = r.environment AND r.started_at >= d.since
+      ASOF LEFT JOIN results c ON c.team = r.team AND c.environment = r.environment AND r.started_at >= c.since"""),
+]
 STAGE_CTES = [
-    ("sa", f"SELECT *, {PROMOTE_SQL} AS promote_raw FROM stage_runs WHERE attempt <= {K.MAX_REMEDIATION_ATTEMPTS + 1}"),
+    *GATE_CTES,
+    ("sa", f"SELECT *, {PROMOTE_SQL} AS promote_raw FROM gated_runs WHERE attempt <= {K.MAX_REMEDIATION_ATTEMPTS + 1}"),
     ("so1", f"""SELECT work_item_id, ord, any_value(environment) AS environment,
         bool_or(attempt = 1 AND denied) AND any_value(environment) IN {HIL} AS gate_denied,
         bool_or(attempt = 1 AND promote_raw) AS promote1,
@@ -65,8 +79,12 @@ def stage_sql(body: str, more_views: list[str] | None = None, extra: list | None
     return with_views(["stage_runs"] + (more_views or []), body, extra=STAGE_CTES + (extra or []))
 
 
+def gated_runs(spark: SparkSession, sf: str, max_attempts: int | None = K.MAX_REMEDIATION_ATTEMPTS) -> DataFrame:
+    return stages.with_gates(views.stage_runs(spark, sf), views.gate_log(spark, sf), max_attempts)
+
+
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return stages.stage_outcomes(views.stage_runs(spark, sf))
+    return stages.stage_outcomes(gated_runs(spark, sf))
 
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +93,7 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- C16 / E7 ----------------------------------------------------------------
 def q_promotion_decision(spark, sf):
-    return stages.promotion_decision(views.stage_runs(spark, sf))
+    return stages.promotion_decision(gated_runs(spark, sf, None))
 
 
 QUERIES["promotion_decision"] = q_promotion_decision
@@ -84,7 +102,17 @@ SELECT work_item_id, ord, environment, attempt, {PROMOTE_SQL} AS can_promote,
   CASE WHEN {PROMOTE_SQL} THEN 'Promotion allowed from ' || environment || '.'
        ELSE 'Promotion blocked at ' || environment || ': pipeline_status=' || status || ', qa_passed='
             || CASE WHEN qa_passed THEN 'True' ELSE 'False' END || '.' END AS reason
-FROM stage_runs""")
+FROM gated_runs""", extra=GATE_CTES)
+
+
+# ---- E6 as of each attempt ----
+def q_attempt_gates(spark, sf):
+    """The decision and the check result that hold at each attempt's start."""
+    return gated_runs(spark, sf, None).select("work_item_id", "ord", "attempt", "denied", "qa_passed", "approver")
+
+
+QUERIES["attempt_gates"] = q_attempt_gates
+ORACLE["attempt_gates"] = with_views(["stage_runs"], "SELECT work_item_id, ord, attempt, denied, qa_passed, approver FROM gated_runs", extra=GATE_CTES)
 
 
 # ---- W4 ----------------------------------------------------------------------

@@ -82,11 +82,8 @@ SELECT l_orderkey AS work_item_id, CAST((l_linenumber - 1) % 4 + 1 AS INTEGER) A
   {STAGES_SQL}[(l_linenumber - 1) % 4 + 1] AS environment,
   CAST(row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) % 4 ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) AS INTEGER) AS attempt,
   CASE l_returnflag WHEN 'N' THEN 'succeeded' WHEN 'A' THEN 'failed' ELSE 'partiallySucceeded' END AS status,
-  l_discount < 0.095 AS qa_passed,
   l_linestatus = 'O' AS fix_ok,
-  l_quantity > 45 AS denied,
-  'approver-' || CAST(l_suppkey % 9 AS VARCHAR) AS approver,
-  'part ' || CAST(l_partkey AS VARCHAR) AS comment,
+  l_suppkey % 100 AS team,
   l_shipdate AS started_at,
   CAST(l_quantity * 60 AS BIGINT) AS duration_s
 FROM lineitem

@@ -69,6 +69,9 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.explode(events).alias("e")).select("run_key", "e.status", "e.seq")
 
 
+TEAMS = 100
+
+
 def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipeline runs per (ticket, stage, attempt) from lineitem.
 
@@ -83,16 +86,35 @@ def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(T.str_array(K.STAGE_SEQUENCE), F.col("_ord") - 1).alias("environment"),
         F.row_number().over(w).alias("attempt"),
         _case(F.col("l_returnflag"), [("N", "succeeded"), ("A", "failed")], "partiallySucceeded").alias("status"),
-        (F.col("l_discount") < 0.095).alias("qa_passed"),
         (F.col("l_linestatus") == "O").alias("fix_ok"),
-        (F.col("l_quantity") > 45).alias("denied"),
-        F.concat(F.lit("approver-"), (F.col("l_suppkey") % 9).cast("string")).alias("approver"),
-        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("comment"),
+        (F.col("l_suppkey") % TEAMS).alias("team"),
         F.col("l_shipdate").alias("started_at"),
         (F.col("l_quantity") * 60).cast("bigint").alias("duration_s"),
     )
 
 
+GATE_EPOCH = "1995-01-01 00:00:00"  # the runs' dates; a second of the events' month is GATE_PACE there
+GATE_PACE = 80
+
+
+def gate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions and check results by delivery team and stage, from events:
+    ``decision`` (approved, actor, comment) or ``checks_passed``, with the time
+    from which they hold until the next one."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    decides, checks = kind.isin("signup", "purchase", "error"), kind.isin("view", "click")
+    seconds = F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) * GATE_PACE
+    return e.select(
+        (F.col("user_id") % TEAMS).alias("team"),
+        F.get(T.str_array(K.STAGE_SEQUENCE), (F.col("event_id") % 4).cast("int")).alias("environment"),
+        (F.lit(GATE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("since"),
+        F.col("event_id").alias("seq"),
+        F.when(decides, F.struct((kind != "error").alias("approved"), F.concat(F.lit("approver-"), (F.col("event_id") % 9).cast("string")).alias("actor"),
+                                 F.coalesce("props", F.lit("")).alias("comment"))).alias("decision"),
+        F.when(checks, F.col("value") < 20).alias("checks_passed"))
+
+
 def approval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only approval log from events: one request per (user, day)."""
     e = table(spark, sf_dir, "events")
