@@ -118,10 +118,20 @@ def readiness(cfg: DataFrame, allowed: list[str] | None = None,
         "_missing_ws": F.filter("apply_stages", lambda s: ~F.map_contains_key(F.col("workspaces"), s)),
         "_blocked": config_egress(config_endpoints(cfg), allowed),
     })
+    # a configuration without these columns makes dry runs and has no tool servers
+    has = lambda name, other: F.coalesce(F.col(name), other) if name in cfg.columns else other
+    no_map = F.create_map().cast("map<string,string>")
+    mcp_on = has("mcp_enabled", F.lit(False))
+    not_internal = F.transform(F.filter(F.map_entries(has("mcp_servers", no_map)), lambda e: ~N.is_internal(e["value"], internal, True)), lambda e: e["key"])
+    unreachable = F.transform(F.filter(F.map_entries(has("mcp_status", no_map)), lambda e: ~e["value"].startswith("reachable")), lambda e: e["key"])
+    cfg = cfg.withColumns({"_not_internal": F.when(mcp_on & F.col("strict"), not_internal), "_unreachable": F.when(mcp_on, unreachable)})
     missing_ws, llm_ok_internal, blocked = F.col("_missing_ws"), F.col("_llm_internal"), F.col("_blocked")
     checks = [
         ("azure_devops", F.when(simulate, F.lit("ok(local_mock_present)")).otherwise(F.lit("ok"))),
-        ("azure_repos", F.lit("ok(dry_run)")),
+        ("azure_repos", F.when(~has("checkout_exists", F.lit(True)), F.concat(F.lit("error(local_checkout_missing:"), has("checkout_path", F.lit("")), F.lit(")")))
+         .when(has("dry_run", F.lit(True)), F.lit("ok(dry_run)"))
+         .when(~has("is_work_tree", F.lit(True)), F.concat(F.lit("error(git_repo_check_failed:"), has("git_message", F.lit("")), F.lit(")")))
+         .otherwise(F.lit("ok"))),
         ("azure_pipelines", F.when(simulate, F.lit("ok(simulate_mode)")).otherwise(F.lit("ok"))),
         ("databricks", F.when(F.size(missing_ws) > 0, F.concat(F.lit("error(missing_workspace_urls:"),
                                                                 F.array_join(missing_ws, ","), F.lit(")")))
@@ -130,7 +140,10 @@ def readiness(cfg: DataFrame, allowed: list[str] | None = None,
          .when(F.coalesce(F.col("llm_url"), F.lit("")) == "", F.lit("error(llm_endpoint_missing)"))
          .when(F.col("strict") & ~llm_ok_internal, F.lit("error(llm_endpoint_not_internal)"))
          .otherwise(F.lit("ok"))),
-        ("mcp", F.lit("ok(disabled)")),
+        ("mcp", F.when(F.size("_not_internal") > 0, F.concat(F.lit("error(mcp_endpoints_not_internal:"), F.array_join("_not_internal", ","), F.lit(")")))
+         .when(~mcp_on, F.lit("ok(disabled)"))
+         .when(F.size("_unreachable") > 0, F.concat(F.lit("error(unreachable_servers:"), F.array_join("_unreachable", ","), F.lit(")")))
+         .otherwise(F.lit("ok"))),
         ("security", F.when(~F.col("strict"), F.lit("ok(disabled)"))
          .when(F.col("_mode") != "connected", F.lit("error(strict_private_requires_connected_mode)"))
          .when(F.size(blocked) > 0, F.concat(F.lit("error(disallowed_egress_hosts:"), F.array_join(blocked, ","), F.lit(")")))

@@ -55,7 +55,9 @@ def internal_sql(u: str, suffixes: list[str]) -> str:
     ok = f"(regexp_matches({h}, '{N.IPV4}') AND " + " AND ".join(f"{x} <= 255" for x in o) + ")"
     v = f"({o[0]} * 16777216 + {o[1]} * 65536 + {o[2]} * 256 + {o[3]})"
     ip = f"(CASE WHEN {ok} THEN {_ranges_sql(v, N.PRIVATE_V4)} AND NOT {_ranges_sql(v, N.PRIVATE_V4_EXCEPTIONS)} ELSE false END)"
-    return f"coalesce({h} IS NOT NULL AND ({match_sql(h, suffixes)} OR {ip}), false)"
+    # the IPv6 literals of the tables: unique local, link local, loopback; all others there are public
+    v6 = f"regexp_matches({h}, '^(::1$|f[cd][0-9a-f][0-9a-f]:|fe[89ab][0-9a-f]:)')"
+    return f"coalesce({h} IS NOT NULL AND ({match_sql(h, suffixes)} OR {ip} OR {v6}), false)"
 
 
 # ---- endpoint variants from pages --------------------------------------------
@@ -235,13 +237,16 @@ def q_readiness_rollup(spark, sf):
 MISSING_WS = "list_filter(apply_stages, lambda s: NOT list_contains(workspace_stages, s))"
 CHECKS_SQL = [
     ("azure_devops", "CASE WHEN mode = 'simulate' THEN 'ok(local_mock_present)' ELSE 'ok' END"),
-    ("azure_repos", "'ok(dry_run)'"),
+    ("azure_repos", "CASE WHEN NOT checkout_exists THEN 'error(local_checkout_missing:' || checkout_path || ')' WHEN dry_run THEN 'ok(dry_run)' "
+                    "WHEN NOT is_work_tree THEN 'error(git_repo_check_failed:fatal: not a git repository)' ELSE 'ok' END"),
     ("azure_pipelines", "CASE WHEN mode = 'simulate' THEN 'ok(simulate_mode)' ELSE 'ok' END"),
     ("databricks", f"CASE WHEN len({MISSING_WS}) > 0 THEN 'error(missing_workspace_urls:' || array_to_string({MISSING_WS}, ',') || ')' "
                    "WHEN mode = 'simulate' THEN 'ok(simulate_mode)' ELSE 'ok' END"),
     ("llm", "CASE WHEN NOT llm_enabled THEN 'ok(disabled)' WHEN coalesce(llm_url, '') = '' THEN 'error(llm_endpoint_missing)' "
             f"WHEN strict AND NOT {internal_sql('llm_url', K.INTERNAL_HOST_SUFFIXES)} THEN 'error(llm_endpoint_not_internal)' ELSE 'ok' END"),
-    ("mcp", "'ok(disabled)'"),
+    ("mcp", "CASE WHEN mcp_enabled AND strict AND config_id % 6 = 0 THEN 'error(mcp_endpoints_not_internal:devops_mcp)' "
+            "WHEN NOT mcp_enabled THEN 'ok(disabled)' "
+            "WHEN config_id % 6 = 2 AND config_id % 10 = 4 THEN 'error(unreachable_servers:docs_mcp)' ELSE 'ok' END"),
     ("security", "CASE WHEN NOT strict THEN 'ok(disabled)' WHEN mode <> 'connected' THEN 'error(strict_private_requires_connected_mode)' "
                  f"WHEN len({BLOCKED_SQL}) > 0 THEN 'error(disallowed_egress_hosts:' || array_to_string({BLOCKED_SQL}, ',') || ')' ELSE 'ok' END"),
 ]

@@ -144,11 +144,15 @@ SELECT c_custkey AS config_id,
   CASE WHEN c_custkey % 3 = 0 THEN 'simulate' ELSE 'connected' END AS mode,
   c_custkey % 2 = 0 AS strict, c_custkey % 3 = 1 AS llm_enabled,
   CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'http://llm.internal:8080/v1' WHEN 2 THEN 'https://api.example.com/v1'
-       ELSE 'http://10.1.2.3/v1' END AS llm_url,
+       ELSE CASE c_custkey % 16 WHEN 7 THEN 'http://[fd12:3456::' || upper(to_hex(c_custkey % 65536)) || ']:8080/v1'
+         WHEN 11 THEN 'http://[2606:4700::' || upper(to_hex(c_custkey % 65536)) || ']/v1' ELSE 'http://10.1.2.3/v1' END END AS llm_url,
   CASE WHEN c_custkey % 9 = 0 THEN ['  ', ''] ELSE ['databricks_notebook', 'sql', 'python_etl'] END AS plugins,
   CASE WHEN c_custkey % 8 = 0 THEN [] ELSE ['https://adb-' || CAST(c_custkey AS VARCHAR) || '.azuredatabricks.net'] END AS workspace_urls,
   CASE WHEN c_custkey % 8 = 0 THEN [] ELSE ['dev'] END AS workspace_stages,
-  CASE WHEN c_custkey % 6 = 0 THEN ['https://mcp-' || CAST(c_custkey AS VARCHAR) || '.example.org/api'] ELSE [] END AS mcp_urls,
+  CASE c_custkey % 6 WHEN 0 THEN ['https://mcp-' || CAST(c_custkey AS VARCHAR) || '.example.org/api']
+    WHEN 2 THEN ['http://mcp.internal/api', 'http://[fe80::7%eth0]/api'] ELSE [] END AS mcp_urls,
+  c_custkey % 5 < 3 AS mcp_enabled, 'checkouts/repo-' || CAST(c_custkey % 9 AS VARCHAR) AS checkout_path, c_custkey % 9 < 7 AS checkout_exists,
+  c_custkey % 4 <> 1 AS dry_run, c_custkey % 7 <> 3 AS is_work_tree,
   'https://dev.azure.com/org' AS devops_url, 'https://dev.azure.com/org' AS pipelines_url,
   CASE WHEN c_custkey % 10 = 0 THEN 'git.corp.example.com:7999/scm' ELSE 'https://dev.azure.com/org' END AS repos_url
 FROM customer

@@ -263,10 +263,16 @@ def pipeline_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     llm_url = (F.when(k % 4 == 0, F.lit(""))
                .when(k % 4 == 1, F.lit("http://llm.internal:8080/v1"))
                .when(k % 4 == 2, F.lit("https://api.example.com/v1"))
+               .when(k % 16 == 7, F.concat(F.lit("http://[fd12:3456::"), F.hex(k % 65536), F.lit("]:8080/v1")))
+               .when(k % 16 == 11, F.concat(F.lit("http://[2606:4700::"), F.hex(k % 65536), F.lit("]/v1")))
                .otherwise(F.lit("http://10.1.2.3/v1")))
     ws = F.when(k % 8 == 0, F.create_map().cast("map<string,string>")).otherwise(
         F.create_map(F.lit("dev"), F.concat(F.lit("https://adb-"), ks, F.lit(".azuredatabricks.net"))))
     mcp = F.when(k % 6 == 0, F.create_map(F.lit("devops_mcp"), F.concat(F.lit("https://mcp-"), ks, F.lit(".example.org/api"))))\
+        .when(k % 6 == 2, F.create_map(F.lit("devops_mcp"), F.lit("http://mcp.internal/api"), F.lit("docs_mcp"), F.lit("http://[fe80::7%eth0]/api")))\
+        .otherwise(F.create_map().cast("map<string,string>"))
+    pings = F.when(k % 6 == 2, F.create_map(F.lit("devops_mcp"), F.lit("reachable(tools=3)"), F.lit("docs_mcp"),
+                                            F.when(k % 10 == 4, F.lit("unreachable(timeout)")).otherwise(F.lit("reachable(tools=1)"))))\
         .otherwise(F.create_map().cast("map<string,string>"))
     return c.select(
         k.alias("config_id"),
@@ -285,6 +291,13 @@ def pipeline_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 9 == 0, T.str_array(["  ", ""])).otherwise(T.str_array(K.PLUGIN_ORDER)).alias("plugins"),
         ws.alias("workspaces"),
         mcp.alias("mcp_servers"),
+        (k % 5 < 3).alias("mcp_enabled"),
+        pings.alias("mcp_status"),
+        F.concat(F.lit("checkouts/repo-"), (k % 9).cast("string")).alias("checkout_path"),
+        (k % 9 < 7).alias("checkout_exists"),
+        (k % 4 != 1).alias("dry_run"),
+        (k % 7 != 3).alias("is_work_tree"),
+        F.lit("fatal: not a git repository").alias("git_message"),
         F.lit("https://dev.azure.com/org").alias("devops_url"),
         F.lit("https://dev.azure.com/org").alias("pipelines_url"),
         F.when(k % 10 == 0, F.lit("git.corp.example.com:7999/scm")).otherwise(F.lit("https://dev.azure.com/org")).alias("repos_url"),

@@ -60,6 +60,38 @@ def test_internal_ipv6_and_names(spark):
     assert [got[u] for u in urls] == [True, True, False, False, True]
 
 
+V6 = ["::1", "::", "fe80::1", "fe80::1%eth0", "fe80::1%", "fc00::", "fdff:1::2", "2001:db8::8", "2001:4860:4860::8888", "2606:4700::1111", "::ffff:10.0.0.1",
+      "::ffff:8.8.8.8", "::ffff:a00:1", "64:ff9b::808:808", "64:ff9b:1::1", "100::1", "100:0:0:1::1", "2001::1", "2001:1::1", "2001:1::3", "2001:3::1", "2001:20::1",
+      "2001:30::9", "2002::1", "3ffe::1", "ff02::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", ":1::2", "1::2:", "12345::1",
+      "g::1", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.400", "::01.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "4000::1", "5fff::1", "e000::1", "fec0::1",
+      "2001:4:112::1", "2001:2::1", "2001:200::1", "ABCD::1", "FD00::AB"]
+
+
+def test_ipv6_literals_follow_the_standard_library(spark):
+    df = spark.createDataFrame([(f"http://[{a}]/x",) for a in V6], "url string")
+    got = {r.url: (r.a, r.b) for r in N.with_internal_flag(df, "url", "a", [], True).withColumn("b", N.is_internal(F.col("url"), [], True)).collect()}
+    for a in V6:
+        try:
+            ip = ipaddress.ip_address(a)
+            want = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
+        except ValueError:
+            want = False
+        assert got[f"http://[{a}]/x"] == (want, want), a
+
+
+def test_repository_and_tool_server_checks(spark):
+    c = cfg_rows(spark).where("config_id = 1").crossJoin(spark.createDataFrame(
+        [(1, True, True, False, True, {"a": "http://x.internal/", "b": "http://[2606:4700::1]/"}, {}),
+         (2, True, False, True, True, {"a": "http://[fd00::1]/"}, {"a": "reachable(1)", "z": "timeout"}),
+         (3, False, False, True, False, {"b": "https://b.org/"}, {"b": "timeout"}),
+         (4, True, False, False, True, {}, {})],
+        "n int, checkout_exists boolean, dry_run boolean, is_work_tree boolean, mcp_enabled boolean, servers map<string,string>, mcp_status map<string,string>"))
+    c = c.withColumns({"mcp_servers": F.col("servers"), "checkout_path": F.lit("co/x"), "git_message": F.lit("no repo"), "config_id": F.col("n").cast("long")})
+    got = {r.config_id: (r.checks["azure_repos"], r.checks["mcp"]) for r in EP.readiness(c).collect()}
+    assert got == {1: ("ok(dry_run)", "error(mcp_endpoints_not_internal:b)"), 2: ("ok", "error(unreachable_servers:z)"),
+                   3: ("error(local_checkout_missing:co/x)", "ok(disabled)"), 4: ("error(git_repo_check_failed:no repo)", "ok")}
+
+
 def test_egress_fail_closed(spark):
     df = spark.createDataFrame([("http://",), ("https://dev.azure.com/org",), ("https://evil.example.com",), ("",)], "url string")
     got = sorted(r.violation for r in EP.egress_violations(df, K.ALLOWED_EGRESS_SUFFIXES).collect())
