@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylake import constants as K
+from relaylake.operators import hashtree, profiles
 from relaylake.operators import quality as Q
 from relaylake.plans.sqlviews import with_views
+from relaylake.session import scratch_path
 from relaylake.sources import views
 from relaylake.sources.tables import table
 
@@ -134,37 +138,84 @@ ORACLE["dq_schema"] = f"""SELECT 'orders' AS subject, name, expected_type, faile
   UNION ALL SELECT 'o_comment', 'string', count(*) FROM orders)"""
 
 
+def orders_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as three landings, columns as text: from the second on prices
+    carry a currency and a channel is given; the third has no customer, and
+    keys with a prefix."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    version = sum((F.when(F.col("o_orderdate") >= F.lit(d).cast("timestamp_ntz"), 1).otherwise(0) for d in LANDINGS), F.lit(1))
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    cell = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    cells = F.array(
+        cell("o_orderkey", F.when(F.col("version") < 3, key.cast("string")).otherwise(F.concat(F.lit("O-"), key.cast("string")))),
+        F.when(F.col("version") < 3, cell("o_custkey", F.col("o_custkey").cast("string"))),
+        cell("o_totalprice", F.when((F.col("version") > 1) & (key % 13 == 0), F.concat(price, F.lit(" EUR"))).otherwise(price)),
+        cell("o_orderdate", F.when(key % 19 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))),
+        F.when(F.col("version") > 1, cell("o_channel", F.lit("web"))))
+    return o.withColumn("version", version).select("version", F.map_from_entries(F.array_compact(cells)).alias("values"))
+
+
 def q_dq_schema_drift(spark, sf):
-    """Q9: columns whose values stopped fitting between the snapshot's landing
-    and the one after it."""
-    o = orders_text(spark, sf)
-    return Q.schema_drift(o.where(~F.col("later")), o.where("later"), ORDERS_CONTRACT[:-1], "orders")
+    """Q9: columns added, removed or of another inferred type, landing by landing."""
+    return profiles.drift(profiles.column_profiles(orders_versions(spark, sf)))
 
 
+LANDINGS = ["1997-01-01", "1999-01-01"]
+_VERSION = "1 + " + " + ".join(f"CAST(o_orderdate >= TIMESTAMP '{d}' AS INTEGER)" for d in LANDINGS)
 QUERIES["dq_schema_drift"] = q_dq_schema_drift
-ORACLE["dq_schema_drift"] = f"""SELECT 'orders' AS subject, 'o_totalprice' AS name, 'decimal(12,2)' AS expected_type,
-  CAST(0 AS BIGINT) AS failed_before, failed_after FROM (SELECT count(*) FILTER (WHERE {PRICE_BAD}) AS failed_after FROM orders) WHERE failed_after > 0
-UNION ALL SELECT 'orders', 'o_orderdate', 'date', b, a FROM (SELECT
-  count(*) FILTER (WHERE o_orderkey % 19 = 0 AND o_orderdate < TIMESTAMP '{SNAPSHOT_CUTOFF}') AS b,
-  count(*) FILTER (WHERE o_orderkey % 19 = 0 AND o_orderdate >= TIMESTAMP '{SNAPSHOT_CUTOFF}') AS a FROM orders) WHERE b = 0 AND a > 0"""
+ORACLE["dq_schema_drift"] = f"""
+WITH o AS (SELECT *, {_VERSION} AS version, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM orders),
+cells AS (SELECT version, 'o_orderkey' AS name, CASE WHEN version < 3 THEN CAST(o_orderkey AS VARCHAR) ELSE 'O-' || o_orderkey END AS value FROM o
+  UNION ALL SELECT version, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM o WHERE version < 3
+  UNION ALL SELECT version, 'o_totalprice', CASE WHEN version > 1 AND o_orderkey % 13 = 0 THEN price || ' EUR' ELSE price END FROM o
+  UNION ALL SELECT version, 'o_orderdate', CASE WHEN o_orderkey % 19 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM o
+  UNION ALL SELECT version, 'o_channel', 'web' FROM o WHERE version > 1),
+typed AS (SELECT version, name, CASE WHEN count(value) = 0 THEN 'void' WHEN bool_and(TRY_CAST(value AS BIGINT) IS NOT NULL AND NOT contains(value, '.')) THEN 'bigint'
+  WHEN bool_and(TRY_CAST(value AS DECIMAL(18,2)) IS NOT NULL) THEN 'decimal' WHEN bool_and(TRY_CAST(value AS DATE) IS NOT NULL) THEN 'date' ELSE 'string' END AS type
+  FROM cells WHERE value IS NOT NULL GROUP BY ALL),
+pairs AS (SELECT coalesce(b.version, a.version + 1) AS version, coalesce(a.name, b.name) AS name, a.type AS type_before, b.type AS type_after
+  FROM (SELECT * FROM typed WHERE version < 3) a FULL JOIN (SELECT * FROM typed WHERE version > 1) b ON b.version = a.version + 1 AND a.name = b.name)
+SELECT CAST(version AS INTEGER) AS version, name, CASE WHEN type_before IS NULL THEN 'added' WHEN type_after IS NULL THEN 'removed' ELSE 'retyped' END AS change,
+  type_before, type_after FROM pairs WHERE type_before IS DISTINCT FROM type_after"""
+
+
+def later_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """A later version of the table: returned lines of small quantity were
+    written again without their discount, last lines are gone."""
+    li = table(spark, sf, "lineitem")
+    again = (F.col("l_returnflag") == "R") & (F.col("l_quantity") <= 2)
+    return li.where(F.col("l_linenumber") < 7).withColumn("l_discount", F.when(again, F.lit(0).cast(li.schema["l_discount"].dataType))
+                                                          .otherwise(F.col("l_discount")))
 
 
 def q_dq_regression(spark, sf):
-    """Q7: the table against a later version of it: returned lines of small
-    quantity were written again without their discount, last lines are gone."""
-    li = table(spark, sf, "lineitem")
-    again = (F.col("l_returnflag") == "R") & (F.col("l_quantity") <= 2)
-    later = li.where(F.col("l_linenumber") < 7).withColumn("l_discount", F.when(again, F.lit(0).cast(li.schema["l_discount"].dataType))
-                                                           .otherwise(F.col("l_discount")))
-    return Q.fingerprint_diff(li, later, "l_orderkey", "lineitem")
+    """Q7: the rows in which two versions of the table differ, found by their
+    trees of hash ranges."""
+    base = scratch_path(spark, f"relaylake-versions/lineitem-{uuid.uuid4().hex[:12]}")
+    for name, version in (("before", table(spark, sf, "lineitem")), ("after", later_lineitem(spark, sf))):
+        hashtree.write_tree(version, f"{base}/{name}", ["l_orderkey"])
+    return hashtree.changed_rows(spark, f"{base}/before", f"{base}/after", table(spark, sf, "lineitem").schema).select(
+        "l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("l_discount"), "change", F.col("copies").cast("long").alias("copies"))
+
+
+def q_dq_regression_check(spark, sf):
+    """Q7 as a check row: in how many orders the versions differ."""
+    return Q.fingerprint_diff(table(spark, sf, "lineitem"), later_lineitem(spark, sf), "l_orderkey", "lineitem")
 
 
 QUERIES["dq_regression"] = q_dq_regression
+QUERIES["dq_regression_check"] = q_dq_regression_check
 LATER_SQL = """SELECT * REPLACE (CASE WHEN l_returnflag = 'R' AND l_quantity <= 2 THEN 0 ELSE l_discount END AS l_discount)
   FROM lineitem WHERE l_linenumber < 7"""
-ORACLE["dq_regression"] = f"""WITH later AS ({LATER_SQL})
+ORACLE["dq_regression_check"] = f"""WITH later AS ({LATER_SQL})
 SELECT 'regression_suite_passed' AS "check", 'lineitem' AS subject, count(DISTINCT l_orderkey) AS failed, count(*) = 0 AS passed, 'critical' AS severity
 FROM ((SELECT * FROM lineitem EXCEPT ALL SELECT * FROM later) UNION ALL (SELECT * FROM later EXCEPT ALL SELECT * FROM lineitem))"""
+ORACLE["dq_regression"] = f"""WITH later AS ({LATER_SQL}),
+gone AS (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM later), new AS (SELECT * FROM later EXCEPT ALL SELECT * FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) AS l_discount, change, CAST(copies AS BIGINT) AS copies FROM (
+  SELECT COLUMNS(*), 'removed' AS change, count(*) AS copies FROM gone GROUP BY ALL
+  UNION ALL SELECT COLUMNS(*), 'added', count(*) FROM new GROUP BY ALL)"""
 
 
 def q_dq_perf(spark, sf):
@@ -227,7 +278,7 @@ def all_check_rows(spark: SparkSession, sf: str) -> DataFrame:
         q_dq_smoke(spark, sf),
         q_dq_row_delta(spark, sf).select("check", "subject", F.when(F.col("passed"), 0).otherwise(1).cast("bigint").alias("failed"),
                                          "passed", F.lit("major").alias("severity")),
-        q_dq_regression(spark, sf),
+        q_dq_regression_check(spark, sf),
         q_dq_perf(spark, sf).select(F.lit("performance_baseline_passed").alias("check"), F.col("environment").alias("subject"),
                                     F.when(F.col("passed"), 0).otherwise(1).cast("bigint").alias("failed"), "passed",
                                     F.lit("major").alias("severity")),
@@ -259,7 +310,7 @@ def _stage_summary_sql() -> str:
         "smoke_test_query_success": "(SELECT count(*) > 0 FROM (SELECT l_returnflag FROM lineitem GROUP BY 1))",
         "post_deploy_smoke_passed": "(SELECT count(*) > 0 FROM (SELECT l_returnflag FROM lineitem GROUP BY 1))",
         "row_delta_within_threshold": f"(SELECT passed FROM ({ORACLE['dq_row_delta']}))",
-        "regression_suite_passed": f"(SELECT passed FROM ({ORACLE['dq_regression']}))",
+        "regression_suite_passed": f"(SELECT passed FROM ({ORACLE['dq_regression_check']}))",
         "performance_baseline_passed": f"(SELECT bool_and(passed) FROM ({ORACLE['dq_perf']}))",
         "schema_drift_absent": f"(SELECT count(*) = 0 FROM ({ORACLE['dq_schema_drift']}))",
         "monitoring_alerts_green": f"(SELECT bool_and(green) FROM ({ORACLE['dq_alerts']}))",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from relaylake.operators import hashtree, profiles
 from relaylake.operators import quality as Q
 
 
@@ -42,11 +43,40 @@ def test_fingerprint_diff(spark):
 def test_schema_fit_and_drift(spark):
     contract = [("a", "bigint"), ("b", "date"), ("c", "string")]
     before = spark.createDataFrame([("1", "2024-01-01"), (None, "x")], "a string, b string")
-    after = spark.createDataFrame([("1.5x", "2024-01-01"), ("7", "x")], "a string, b string")
     fit = {r.name: (r.failed, r.passed) for r in Q.schema_fit(before, contract, "t").collect()}
     assert fit == {"a": (0, True), "b": (1, False), "c": (2, False)}  # a missing column fails for every row
-    drift = Q.schema_drift(before, after, contract[:2], "t").collect()
-    assert [(r.name, r.failed_before, r.failed_after) for r in drift] == [("a", 0, 1)]
+    assert Q.table_exists({"empty": before.limit(0)}).first().passed
+
+
+def test_profiles_and_drift(spark):
+    rows = [(1, {"a": "1", "b": "2024-01-01", "c": "x", "d": None}), (1, {"a": "-20", "b": None, "c": "7", "d": None}),
+            (2, {"a": "1.5", "b": "2024-01-01 10:00:00", "c": "true", "d": "4"}), (2, {"a": "3", "b": "2024-02-01", "c": "y", "d": "5"}),
+            (5, {"a": ".5", "c": "2024-01-01", "e": "TRUE"}), (5, {"a": "1" * 20, "c": "False", "e": "q"})]
+    df = spark.createDataFrame(rows, "version int, values map<string,string>")
+    p = {(r.version, r.name): (r.type, r.n_rows, r.n_nulls) for r in profiles.column_profiles(df).collect()}
+    assert p[1, "a"] == ("bigint", 2, 0) and p[1, "b"] == ("date", 2, 1) and p[1, "c"][0] == "string" and p[1, "d"] == ("void", 2, 2)
+    assert p[2, "a"][0] == "decimal" and p[2, "b"][0] == "timestamp" and p[5, "a"][0] == "decimal" and p[5, "c"][0] == "string"
+    got = sorted(tuple(r) for r in profiles.drift(profiles.column_profiles(df)).collect())
+    assert got == [(2, "a", "retyped", "bigint", "decimal"), (2, "b", "retyped", "date", "timestamp"),
+                   (5, "b", "removed", "timestamp", None), (5, "d", "removed", "bigint", None), (5, "e", "added", None, "string")]
+    assert profiles.drift(profiles.column_profiles(df.limit(0))).count() == 0
+
+
+def test_hash_tree_opens_what_differs(spark, tmp_dir):
+    a, schema = spark.range(4000).select("id", (F.col("id") % 7).alias("v"), F.lit("x").alias("leaf")), "id long, v long, leaf string"
+    a = a.unionByName(a.where("id < 10")).unionByName(spark.createDataFrame([(None, 1, None)], schema))  # copies and nulls
+    b = a.where("id IS NULL OR id <> 77").withColumn("v", F.when(F.col("id") == 123, 99).otherwise(F.col("v"))).unionByName(
+        spark.createDataFrame([(9999, 1, "n"), (5, 5, "x")], schema))
+    for name, df in (("a", a), ("b", b), ("c", a.repartition(3))):
+        hashtree.write_tree(df, f"{tmp_dir}/{name}", ["id"])
+    leaves = hashtree.changed_leaves(spark, f"{tmp_dir}/a", f"{tmp_dir}/b")
+    assert leaves.count() == 4  # of 65536: only these rows are read again
+    got = sorted(((r.id, r.v, r.leaf, r.change, r.copies) for r in hashtree.changed_rows(spark, f"{tmp_dir}/a", f"{tmp_dir}/b", a.schema).collect()), key=repr)
+    assert got == sorted([(77, 0, "x", "removed", 1), (123, 4, "x", "removed", 1), (123, 99, "x", "added", 1), (9999, 1, "n", "added", 1),
+                          (5, 5, "x", "added", 1)], key=repr)
+    assert hashtree.changed_rows(spark, f"{tmp_dir}/a", f"{tmp_dir}/c", a.schema).count() == 0
+    hashtree.write_tree(a.limit(0), f"{tmp_dir}/none", ["id"])
+    assert hashtree.changed_rows(spark, f"{tmp_dir}/none", f"{tmp_dir}/a", a.schema).agg(F.sum("copies")).first()[0] == a.count()
 
 
 def test_percentile_baseline(spark):
