@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from relaylake.functions import text as T
 from relaylake.operators import intake, learning, planning, stages
 from relaylake.plans.q_intake import tickets
 from relaylake.plans.sqlviews import with_views
+from relaylake.session import scratch_path
 from relaylake.sources import views
 
 QUERIES: dict = {}
@@ -343,23 +346,68 @@ WHERE NOT u.denied""", more_views=["plans"])
 
 
 # ---- B5: run summary as JSON -------------------------------------------------
-def q_run_summary_json(spark, sf):
-    """One JSON document per run with the ordered, nested stage results."""
-    s = summaries(spark, sf)
+GENERATED_AT = "2024-01-31T00:00:00Z"  # a run's own time would change the rows
+
+
+def q_run_summary_json(spark, sf, generated_at: str = GENERATED_AT):
+    """One JSON document per run: ticket, repository, questions, and the
+    ordered, nested stage results with their times."""
+    p = planning.with_plan(tickets(spark, sf)).select("work_item_id", "title", "target_repo", "clarification_questions")
+    s = summaries(spark, sf).join(p, "work_item_id")
     doc = F.struct(
-        F.col("work_item_id"), F.col("overall_status"),
+        F.col("work_item_id"), F.col("title"), F.col("target_repo").alias("repository"), F.col("overall_status"),
+        F.col("clarification_questions").alias("clarification"), F.lit(generated_at).alias("generated_at"),
         F.transform("stage_results", lambda x: F.struct(
             x["environment"].alias("environment"), x["stage_status"].alias("status"), x["gate"].alias("gate"),
-            x["attempts_used"].alias("attempts"), x["trail"].alias("trail"))).alias("stage_results"))
+            x["attempts_used"].alias("attempts"), x["trail"].alias("trail"),
+            F.date_format(x["pipeline_started_at"], "yyyy-MM-dd HH:mm:ss").alias("started_at"))).alias("stage_results"))
     return s.select("work_item_id", F.to_json(doc).alias("summary_json"))
 
 
 QUERIES["run_summary_json"] = q_run_summary_json
-ORACLE["run_summary_json"] = stage_sql("""
-SELECT work_item_id, CAST(to_json(struct_pack(work_item_id := work_item_id, overall_status := any_value(overall_status),
-  stage_results := list(struct_pack(environment := environment, status := stage_status, gate := gate,
-                                    attempts := attempts_used, trail := trail) ORDER BY ord))) AS VARCHAR) AS summary_json
-FROM kept GROUP BY work_item_id""")
+ORACLE["run_summary_json"] = stage_sql(f"""
+SELECT k.work_item_id, CAST(to_json(struct_pack(work_item_id := k.work_item_id, title := any_value(p.title), repository := any_value(p.target_repo),
+  overall_status := any_value(overall_status), clarification := any_value(p.clarification_questions), generated_at := '{GENERATED_AT}',
+  stage_results := list(struct_pack(environment := environment, status := stage_status, gate := gate, attempts := attempts_used, trail := trail,
+                                    started_at := strftime(pipeline_started_at, '%Y-%m-%d %H:%M:%S')) ORDER BY ord))) AS VARCHAR) AS summary_json
+FROM kept k JOIN plans p ON p.work_item_id = k.work_item_id GROUP BY k.work_item_id""", more_views=["plans"])
+
+
+# ---- B5, B7, B8, B9, B12: written and read back ------------------------------
+def q_artifact_store(spark, sf):
+    """Run summaries, notes, clarification comments and learning history
+    written as versions of one table, and its last version read back."""
+    from relaylake.plans import q_clarify
+    from relaylake.sinks import artifacts as AR
+    table = AR.artifact_table(spark, scratch_path(spark, f"relaylake-artifacts/{uuid.uuid4().hex[:12]}"))
+    history = views.learning_history(spark, sf)
+    parts = [
+        AR.artifact_rows(q_run_summary_json(spark, sf), "run_summary", "work_item_id", F.lit("summary.json"), F.col("summary_json")),
+        AR.artifact_rows(q_change_notes(spark, sf), "change_note", "work_item_id", F.col("path"), F.col("note")),
+        AR.artifact_rows(q_remediation_notes(spark, sf), "remediation_note", "work_item_id", F.col("path"), F.col("note")),
+        AR.artifact_rows(q_clarify.q_clarification_comments(spark, sf), "comment", None,
+                         F.concat_ws(":", "request_id", F.col("line_no").cast("string")), F.col("line")),
+        AR.artifact_rows(history, "history", "work_item_id", F.col("target_table"), F.concat_ws(",", "status", "source_types")),
+    ]
+    for batch, part in enumerate(parts):
+        table.append(part, batch)
+        table.append(part, batch)  # once more, as after a failure: left out
+    return table.read().select("kind", "work_item_id", "name", F.sha2("body", 256).alias("body_sha256"))
+
+
+def _artifact_sql() -> str:
+    from relaylake.plans import q_clarify
+    history = with_views(["learning_history"], "SELECT work_item_id, target_table, status || ',' || array_to_string(source_types, ',') AS body FROM learning_history")
+    return f"""SELECT kind, work_item_id, name, sha256(body) AS body_sha256 FROM (
+  SELECT 'run_summary' AS kind, work_item_id, 'summary.json' AS name, summary_json AS body FROM ({ORACLE['run_summary_json']})
+  UNION ALL SELECT 'change_note', work_item_id, path, note FROM ({ORACLE['change_notes']})
+  UNION ALL SELECT 'remediation_note', work_item_id, path, note FROM ({ORACLE['remediation_notes']})
+  UNION ALL SELECT 'comment', NULL, request_id || ':' || line_no, line FROM ({q_clarify.ORACLE['clarification_comments']})
+  UNION ALL SELECT 'history', work_item_id, target_table, body FROM ({history}))"""
+
+
+QUERIES["artifact_store"] = q_artifact_store
+ORACLE["artifact_store"] = _artifact_sql()
 
 
 # ---- A10: template chosen per row from the template table -------------------

@@ -1,14 +1,15 @@
-"""Text artefacts per ticket / stage / attempt (B6, B7, B8) and their sink.
+"""Text artefacts per ticket / stage / attempt (B5-B9, B12) and their sink.
 
-The texts are built as columns; ``write_text`` lays them out as one folder
-per partition value with Spark's text writer (no driver-side file loop).
+The texts are built as columns and written as rows of a versioned table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relaylake.sinks.versioned import VersionedTable
+
 
 NL = "\n"
 
@@ -74,9 +75,15 @@ def remediation_notes(outcomes: DataFrame, plans: DataFrame) -> DataFrame:
     return j.select("work_item_id", "environment", F.col("j").alias("attempt"), path.alias("path"), note.alias("note"))
 
 
-def write_text(df: DataFrame, text_col: str, out_dir: str, partition_by: list[str] | None = None,
-               mode: str = "overwrite") -> None:
-    """Write one text column, partitioned into folders (e.g. by environment)."""
-    cols = (partition_by or []) + [text_col]
-    df.select(*cols).write.mode(mode).partitionBy(*(partition_by or [])).text(out_dir)
+SCHEMA = "kind string, work_item_id long, name string, body string"
+
+
+def artifact_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Where texts are kept: one row each, by kind. A write is seen whole or
+    not at all, and a batch that is written again is left out."""
+    return VersionedTable(spark, path, SCHEMA)
+
 
+def artifact_rows(df: DataFrame, kind: str, work_item_id: str | None, name: Column, body: Column) -> DataFrame:
+    key = F.col(work_item_id).cast("long") if work_item_id else F.lit(None).cast("long")
+    return df.select(F.lit(kind).alias("kind"), key.alias("work_item_id"), name.alias("name"), body.alias("body"))
