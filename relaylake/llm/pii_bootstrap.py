@@ -40,7 +40,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"  # punctuation around a token
 MIN_DIGITS = 4
-CONTEXT_CHARS = (64, 512, 4096, 32768, 262144)  # widths tried, then all before
+PIECE_CHARS = 1024
+PIECE = rf"(?s).{{{PIECE_CHARS}}}+.*?(?:(?<=[\x20\x09-\x0D])(?=[A-Za-z])|\z)|.+"
 STILL = 1e-6
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
@@ -123,38 +124,55 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(F.transform(tokens, bare), free)
 
 
-def left_words(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-cased, without the punctuation
-    around them (but ``:`` and ``=``, which often announce a value); null if
-    there aren't two. Widths are tried until two whole words are in view: the
-    first token in view may be cut and takes no part."""
-    def words(tokens: Column) -> Column:
-        return F.filter(F.transform(tokens, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}:=]+", "")), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    """Words, lower-cased, without the punctuation around them (but ``:`` and
+    ``=``, which often announce a value)."""
+    tokens = F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}:=]+", ""))
+    return F.filter(tokens, lambda w: w != "")
 
-    def tokens(near: Column) -> Column:
-        return F.split(F.lower(near), r"[\x20\x09-\x0D]+")
 
-    def last_two(found: Column, otherwise: Column) -> Column:
-        return let(found, lambda w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))).otherwise(otherwise))
+def last_two(words: Column) -> Column:
+    return let(words, lambda w: F.when(F.size(w) > 2, F.slice(w, -2, 2)).otherwise(w))
 
-    whole = last_two(words(tokens(F.substring(text, F.lit(1), start))), F.lit(None).cast("string"))
-    out = whole
-    for width in reversed(CONTEXT_CHARS):
-        near = tokens(F.substring(text, start - width + 1, F.lit(width)))
-        uncut = let(near, lambda t: F.slice(t, F.lit(2), F.size(t)))
-        out = F.when(start <= width, whole).otherwise(last_two(words(uncut), out))
-    return out
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE_CHARS`` characters and more, with their
+    places and the two words before them. A piece ends where a letter follows a
+    blank: no match of any kind reaches over such a place, so the spans of the
+    pieces are those of the text, and the work on a text of any length is that
+    on pieces of bounded length (but for one without letters)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("before"),
+                     F.array().cast("array<struct<at:int,before:array<string>,text:string>>").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        here = F.struct(state["at"].alias("at"), state["before"].alias("before"), piece.alias("text"))
+        return F.struct((state["at"] + F.length(piece)).alias("at"), last_two(F.concat(state["before"], words_of(piece))).alias("before"),
+                        F.concat(state["out"], F.array(here)).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), start, step, lambda x: x["out"])
+
+
+def piece_spans(piece: Column) -> Column:
+    """Base spans and candidates of a piece, at their places in the text, with
+    ``left``, the two words before each; null if there aren't two."""
+    def placed(x: Column) -> Column:
+        left = last_two(F.concat(piece["before"], words_of(F.substring(piece["text"], F.lit(1), x["s"]))))
+        return F.struct(x["kind"].alias("kind"), (x["s"] + piece["at"]).alias("s"), (x["e"] + piece["at"]).alias("e"), x["v"].alias("v"),
+                        let(left, lambda w: F.when(F.size(w) == 2, F.array_join(w, " "))).alias("left"))
+
+    return let(base_spans(piece["text"]), lambda b: F.transform(F.concat(b, candidates(piece["text"], b)), placed))
 
 
 def span_table(docs: DataFrame) -> DataFrame:
     """``doc_id, _id, _h, base`` and ``found`` (base spans and candidates with
     ``left``, the words before) of every row; written once, without texts."""
     rows = base_columns(docs)
-    spans = let(base_spans(F.col("text")), lambda b: F.struct(b.alias("base"), candidates(F.col("text"), b).alias("more")))
-    rows = rows.select("doc_id", "_id", "_h", "text", spans.alias("x"))
-    found = F.transform(F.concat("x.base", "x.more"), lambda x: F.struct(
-        x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), left_words(F.col("text"), x["s"]).alias("left")))
-    return stored(rows.select("doc_id", "_id", "_h", F.col("x.base").alias("base"), found.alias("found")), "spans")
+    found = F.sort_array(F.flatten(F.transform(pieces(F.col("text")), piece_spans)))  # by kind, then place
+    rows = stored(rows.select("doc_id", "_id", "_h", found.alias("found")), "spans")
+    base = F.transform(F.filter("found", lambda x: x["kind"] < len(KINDS) - 1),
+                       lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    low = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), x["left"].alias("left")))
+    return rows.select("doc_id", "_id", "_h", base.alias("base"), low.alias("found"))
 
 
 def scored_patterns(places: DataFrame, min_support: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:

@@ -85,6 +85,46 @@ def test_found_identifiers_bring_forth_patterns(spark, tmp_path):
     assert out[302].spans == ""
 
 
+def brute_places(text):
+    """Base spans and candidates with the two words before, of the whole text at once."""
+    base = brute(text)
+    found = [(0 if k == "email" else 1 if k == "ip" else 2 if k == "card" else 3, s, e) for k, s, e in base]
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        bare = re.fullmatch(r"([\W_]*)(.*?)([\W_]*)", m[0], re.S)
+        if sum(c in "0123456789" for c in m[0]) >= pb.MIN_DIGITS:
+            s, e = m.start() + len(bare[1]), m.end() - len(bare[3])
+            if not any(s < f and b < e for _, b, f in base):
+                found.append((4, s, e))
+    out = []
+    for k, s, e in sorted(found):
+        words = [w for w in (re.sub(r"[^\w:=]|_", "", w) for w in re.split(r"[\x20\x09-\x0D]+", text[:s].lower())) if w]
+        out.append((k, s, e, text[s:e].lower(), " ".join(words[-2:]) if len(words) > 1 else None))
+    return out
+
+
+def test_pieces_give_the_spans_of_the_whole_text(spark):
+    rng = random.Random(7)
+    tokens = ["word", "Total:", "x=", "(", "-", "id", "12345", "(A-1234),", "4111 1111 1111 1111", "a.b@c.de", "+1 (555) 123-4567", "10.0.0.7", "é", "99 88", "K7", "5555-6666"]
+    seps = [" ", " ", "\n", "  ", "\t", " \r\n", "\x0b"]
+    texts = ["".join(rng.choice(tokens) + rng.choice(seps) for _ in range(n)) for n in (0, 1, 5, 60, 200, 400, 900, 1500) for _ in range(4)]
+    texts += ["12345 " * 900, "a\n" + "67890\n" * 700 + "b 4444"]
+    rows = [(i, t, "", "", "") for i, t in enumerate(texts)]
+    assert max(len(t) for t in texts) > 6 * pb.PIECE_CHARS
+    for r in pb.span_table(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert [(x.kind, x.s, x.e, x.v, x.left) for x in r.found] == brute_places(texts[r.doc_id])
+
+
+def test_long_document_in_time(spark):
+    """1 MB with 50,000 candidates in one text."""
+    import time
+    text = " ".join(f"word{k % 7} account number 1{k:06d} there" if k % 2 else f"20{k:06d}" for k in range(50_000))
+    assert len(text) > 1_000_000
+    start = time.time()
+    row = pb.span_table(spark.createDataFrame([(1, text, "", "", "")], SCHEMA)).selectExpr("size(found) n", "found[49999] x").first()
+    assert row.n == 50_000
+    assert time.time() - start < 60
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert pb.personal_data(docs).count() == 0
