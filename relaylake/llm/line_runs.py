@@ -121,29 +121,31 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` less its later copies, and ``_gone`` (their line
-    numbers) and ``_had`` (lines with a word before)."""
-    gone = later_copies(docs, min_words).select(F.col("_id").alias("_g_id"), F.col("_h").alias("_g_h"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, (id_key() == F.col("_g_id")) & (F.xxhash64(_text()) == F.col("_g_h")), "left").drop("_g_id", "_g_h")
-    joined = joined.withColumn("_had", F.size(numbered_lines(_text())).cast("long"))
+    """For every row ``_doc``, the row as it was, ``text`` less its later copies,
+    ``_gone`` (their line numbers) and ``_had`` (lines with a word before).
+    Columns of ``docs`` may have any names: they stay inside ``_doc``."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), id_key().alias("_id"), F.xxhash64(_text()).alias("_h"), F.col("text"))
+    gone = later_copies(docs.select("doc_id", "text"), min_words).withColumnRenamed("gone", "_gone")
+    joined = whole.join(gone, KEY, "left").withColumn("_had", F.size(numbered_lines(_text())).cast("long"))
     removed = let(F.transform(numbered_lines(_text()), lambda x: x["at"]),
                   lambda at: F.transform("_gone", lambda i: F.get(at, i.cast("int"))))
     rest = let(F.split(_text(), "\n", -1), lambda lines: let(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed),
         lambda kept: F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
+    return joined.select("_doc", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text"), "_gone", "_had")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later copies of repeated runs; ``n_chars``, where
-    there is one, follows the text. Documents left without a word are dropped
-    if they had one."""
+    """The documents without later copies of repeated runs, with all their
+    columns, whatever their names; ``n_chars``, where there is one, follows the
+    text. Documents left without a word are dropped if they had one."""
     out = without_copies(docs, min_words)
     out = out.where(F.col("_gone").isNull() | (F.size("_gone") < F.col("_had")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_doc.n_chars")).otherwise(F.length("text")).cast(kind)
+    return out.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,5 +154,5 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.coalesce("_gone", F.array().cast("array<bigint>"))
     runs = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) != x - 1))
     return without_copies(docs).select(
-        "doc_id", F.col("_had").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.size(runs).cast("long").alias("n_runs"),
+        F.col("_doc.doc_id").alias("doc_id"), F.col("_had").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.size(runs).cast("long").alias("n_runs"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -46,7 +46,7 @@ def test_equals_brute_force(spark, seed, min_words):
              (None, rows[13][1], 0, "", "")]
     want = brute(rows, min_words)
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r for r in lr.without_copies(docs, min_words).collect()}
+    got = {r._doc.doc_id: r for r in lr.without_copies(docs, min_words).collect()}
     for i, row in enumerate(rows):
         assert set(got[row[0]]._gone or []) == want[i], (row[0], row[1])
         assert got[row[0]].text == (row[1] if row[1] is None else rest_of(row[1], want[i]))
@@ -66,6 +66,15 @@ def test_repeated_rows_and_empty_tables(spark):
     assert lr.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_clashing_column_names(spark):
+    text = "\n".join(f"line {i} of a long text" for i in range(30))
+    names = ["_g_id", "_g_h", "_gone", "_had", "_doc", "_id", "_h", "i", "gone", "piece.x"]
+    docs = spark.createDataFrame([(1, text, *names), (2, text + "\nend", *names), (None, None, *[None] * len(names)), (3, text, *names)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = sorted((tuple(r) for r in lr.dedup_lines(docs).collect()), key=repr)
+    assert got == sorted([(1, text, *names), (2, "end", *names), (None, None, *[None] * len(names))], key=repr)
+
+
 def test_query_digest(spark, tmp_path):
     text = "\n".join(f"line {i} of a long text" for i in range(30))
     spark.createDataFrame([(1, text, 0, "", ""), (2, "own\n" + text + "\nend", 0, "", ""), (3, None, 0, "", "")], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
