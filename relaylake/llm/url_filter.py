@@ -68,7 +68,7 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest fitting rule as ``(rule, verdict)``, else null. Equally long
     ones: the first in the table."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in sorted(rules, key=lambda r: len(r[0])):
+    for rule, verdict in sorted(reversed(list(rules)), key=lambda r: len(r[0])):  # later ones are tried first
         site, _, tail = rule.partition("/")
         fits = ((host == site) | host.endswith("." + site)) & path.startswith("/" + tail)
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)

@@ -55,3 +55,10 @@ def test_own_labels_and_bound(spark):
     pages = spark.createDataFrame([(1, "http://foo.org/", "", "", ""), (2, "http://bar.org/", "", "", "")], SCHEMA)
     out = {r.page_id: r.verdict for r in uf.judge(pages, labelled, ()).collect()}
     assert out == {1: "block", 2: "allow"}
+
+
+def test_equally_long_rules_go_by_the_table(spark):
+    from pyspark.sql import functions as F
+    row = spark.createDataFrame([("a.b", "/x/")], "host string, path string")
+    for rules, want in (([("a.b/", "allow"), ("b/x/", "block")], "allow"), ([("b/x/", "block"), ("a.b/", "allow")], "block")):
+        assert row.select(uf.matched_rule(F.col("host"), F.col("path"), rules)["verdict"]).first()[0] == want
