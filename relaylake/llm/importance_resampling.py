@@ -152,7 +152,8 @@ def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
 
 def frequent_words(docs: DataFrame, words: int = WORDS) -> tuple[str, ...]:
     """The most frequent distinct words, ``words`` at most, none longer than
-    ``WORD_BYTES`` bytes."""
+    ``WORD_BYTES`` bytes. Counts are ranked by level (eight to a doubling), so
+    that no task sends more than its share of the words."""
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -167,8 +168,19 @@ def frequent_words(docs: DataFrame, words: int = WORDS) -> tuple[str, ...]:
                 yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["word", "n"])
 
     counts = texts_of(docs).mapInArrow(distinct, "word string, n long").where(F.octet_length("word") <= WORD_BYTES)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return tuple(r.word for r in top.collect())
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stored(counts.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "resampling-words")
+    levels = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}  # a few hundred at most
+    room, least = words, None
+    for level in sorted(levels, reverse=True):
+        if levels[level] > room:
+            break
+        room, least = room - levels[level], level
+    top = [] if least is None else [r.word for r in counts.where(F.col("level") >= least).select("word").collect()]
+    next_level = max((x for x in levels if least is None or x < least), default=None)
+    if room and next_level is not None:  # any of the next level will do
+        top += [r.word for r in counts.where(F.col("level") == next_level).select("word").limit(room).collect()]
+    return tuple(sorted(top))
 
 
 def bucket_counts(docs: DataFrame, words: tuple[str, ...]) -> DataFrame:
