@@ -3,17 +3,20 @@
 Statistics of every whole text are transformed into a vector: log mean word
 length, and square roots of symbols per word, of repeated lines, of words in
 repeated three-word windows and of capitals per character. For each language
-and source the minimum covariance determinant is approached by concentration
-steps: start from medians and quartiles, then again and again fit mean and
-covariance to the closest three quarters of the group. A document whose
+and source the minimum covariance determinant is sought from three starts:
+medians and quartile ranges alone, and with the correlations of hyperbolic
+tangents or of spatial signs of the scores. From each, mean and covariance are
+fitted again and again to the closest three quarters of the group until the
+determinant stops falling; the fit with the least one is kept. A document whose
 squared Mahalanobis distance from the fit exceeds ``CUTOFF`` is rejected.
 
-The vectors are fixed-point integers and all sums exact decimals, so the fit
-doesn't depend on the order of rows. A step is one aggregate per group and
+The vectors are fixed-point integers and all sums exact, so the fit doesn't
+depend on the order of rows. A step is one aggregate per group, start and
 distance bin (map-side combined; a hot source is only more rows of it) and a
-running total over the bins of a group, whose number is bounded. ``FLOOR`` is
-the least standard deviation assumed of each statistic: it keeps the matrix
-regular where a group has one value only, and tiny groups from rejecting.
+running total over the bins of a group, whose number is bounded; starts that
+have come to rest take no further part. ``FLOOR`` is the least standard
+deviation assumed of each statistic: it holds where a group varies less, keeps
+the matrix regular where it has one value only, and tiny groups from rejecting.
 
 Defined cases: null text has no words and fails the base rules; null languages
 and sources form groups of their own with the empty ones; groups with equal
@@ -30,7 +33,7 @@ from relaylake.llm.common import let, read_table, stored
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SHARE = 0.75  # of a group that the fit describes
-STEPS = 4
+TOLERANCE = 0.001  # least fall of the determinant's logarithm that counts
 SCALE = 1000  # fixed point of the statistics
 FLOOR = (0.06, 0.10, 0.12, 0.12, 0.06)
 CUTOFF = 35.9  # chi-square, 5 degrees of freedom: beyond 1 - 1e-6
@@ -90,6 +93,7 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 GROUP = ["lang", "source"]
+START = [*GROUP, "start"]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
@@ -102,27 +106,58 @@ def starting_fit(rows: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("z")))
     per = counts.groupBy(*GROUP).pivot("k", list(range(P))).agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("b"))
     cols = {f"m{k}": F.col(f"{k}_m").cast("double") for k in range(P)}
-    cols |= {f"v{i}{j}": (F.pow((F.col(f"{i}_b") - F.col(f"{i}_a")) / 1.349, 2) + (FLOOR[i] * SCALE) ** 2) if i == j else F.lit(0.0)
-             for i, j in PAIRS}
+    cols |= {f"v{i}{j}": floored(F.pow((F.col(f"{i}_b") - F.col(f"{i}_a")) / 1.349, 2), i) if i == j else F.lit(0.0) for i, j in PAIRS}
     return per.select(*GROUP, *[v.alias(k) for k, v in cols.items()])
 
 
+def floored(variance: Column, k: int) -> Column:
+    return F.greatest(variance, F.lit((FLOOR[k] * SCALE) ** 2))
+
+
+def starting_fits(rows: DataFrame) -> DataFrame:
+    """Three fits of each group: start 0 has the variances only; 1 adds the
+    correlations of the scores' hyperbolic tangents, 2 those of their signs in
+    space (the scores' directions from the median)."""
+    plain = stored(starting_fit(rows), "mcd-start")
+    score = [(F.col(f"z{k}") - F.col(f"m{k}")) / F.sqrt(f"v{k}{k}") for k in range(P)]
+    away = F.greatest(F.sqrt(sum((u * u for u in score), F.lit(0.0))), F.lit(1e-9))
+    fixed = lambda us: F.struct(*[F.round(u * SCALE).cast("long").alias(f"t{k}") for k, u in enumerate(us)])
+    bounded = (rows.join(plain, GROUP)
+               .select(*GROUP, F.posexplode(F.array(fixed([F.tanh(u) for u in score]), fixed([u / away for u in score]))).alias("at", "t"))
+               .groupBy(*GROUP, (F.col("at") + 1).alias("start"))
+               .agg(*[F.sum(F.col(f"t.t{i}") * F.col(f"t.t{j}")).cast("double").alias(f"q{i}{j}") for i, j in PAIRS]))
+    spread = lambda k: F.sqrt(F.greatest(F.col(f"q{k}{k}"), F.lit(1.0)))
+    turned = bounded.join(plain, GROUP).select(*START, *[f"m{k}" for k in range(P)], *[
+        F.col(f"v{i}{i}") if i == j else
+        (F.col(f"q{i}{j}") / (spread(i) * spread(j)) * F.sqrt(F.col(f"v{i}{i}") * F.col(f"v{j}{j}"))).alias(f"v{i}{j}") for i, j in PAIRS])
+    return plain.withColumn("start", F.lit(0)).unionByName(turned)
+
+
+def fit_keys(fit: DataFrame) -> list[str]:
+    return START if "start" in fit.columns else GROUP
+
+
 def whitened(fit: DataFrame) -> DataFrame:
-    """Adds ``w**``: the inverse of the covariance's Cholesky factor."""
+    """Adds ``w**``, the inverse of the covariance's Cholesky factor, and
+    ``logdet``, the logarithm of its determinant. A statistic that others give
+    exactly keeps one unit of the fixed point as its spread."""
+    keys = fit_keys(fit)
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"v{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            fit = fit.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+            fit = fit.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
     for j in range(P):
         for i in range(j, P):
             fit = fit.withColumn(f"w{i}{j}", 1 / F.col(f"l{i}{i}") if i == j else
                                  -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
-    return fit.select(*GROUP, *[f"m{k}" for k in range(P)], *[f"w{i}{j}" for i, j in PAIRS])
+    logdet = sum((2 * F.log(F.col(f"l{k}{k}")) for k in range(P)), F.lit(0.0))
+    return fit.select(*keys, *[f"m{k}" for k in range(P)], *[f"w{i}{j}" for i, j in PAIRS], logdet.alias("logdet"))
 
 
 def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance under the group's fit."""
-    keep = rows.columns
+    """Adds ``d2``, the squared Mahalanobis distance under the group's fit (one
+    row per start, if the fit has several)."""
+    keep = [*rows.columns, *[k for k in fit_keys(fit) if k not in rows.columns]]
     joined = rows.join(fit, GROUP)
     parts = [sum((F.col(f"w{i}{j}") * (F.col(f"z{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(P)]
     return joined.select(*keep, sum((y * y for y in parts), F.lit(0.0)).alias("d2"))
@@ -130,30 +165,48 @@ def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 def concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of the closest ``SHARE``."""
+    keys = fit_keys(fit)
     exact = lambda c: F.sum(c.cast("decimal(24,0)"))
     bins = (with_distance(rows, fit).withColumn("bin", F.floor(64 * F.log2(1 + F.col("d2"))).cast("int"))
-            .groupBy(*GROUP, "bin").agg(
+            .groupBy(*keys, "bin").agg(
                 F.count(F.lit(1)).alias("c"), *[exact(F.col(f"z{k}")).alias(f"s{k}") for k in range(P)],
                 *[exact(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in PAIRS]))
     sums = ["c", *[f"s{k}" for k in range(P)], *[f"q{i}{j}" for i, j in PAIRS]]
-    below = Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inside = (bins.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)))
-              .withColumn("all", F.sum("c").over(Window.partitionBy(*GROUP)))
+              .withColumn("all", F.sum("c").over(Window.partitionBy(*keys)))
               .where(F.col("below") < SHARE * F.col("all"))
-              .groupBy(*GROUP).agg(*[F.sum(x).alias(x) for x in sums]))
+              .groupBy(*keys).agg(*[F.sum(x).alias(x) for x in sums]))
     n = F.col("c").cast("double")
     mean = lambda k: F.col(f"s{k}").cast("double") / n
-    return inside.select(*GROUP, *[mean(k).alias(f"m{k}") for k in range(P)], *[
-        (F.greatest(F.col(f"q{i}{j}").cast("double") / n - mean(i) * mean(j), F.lit(0.0)) + (FLOOR[i] * SCALE) ** 2 if i == j
-         else F.col(f"q{i}{j}").cast("double") / n - mean(i) * mean(j)).alias(f"v{i}{j}") for i, j in PAIRS])
-
-
-def fitted(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    cross = lambda i, j: F.col(f"q{i}{j}").cast("double") / n - mean(i) * mean(j)
+    return inside.select(*keys, *[mean(k).alias(f"m{k}") for k in range(P)], *[
+        (floored(cross(i, i), i) if i == j else cross(i, j)).alias(f"v{i}{j}") for i, j in PAIRS])
+
+
+def least_determinant(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Concentrates every start of every group until its determinant falls no
+    more, and keeps the group's fit with the least determinant. The floors bound
+    the determinant from below, so the steps end."""
+    steps, live = [], stored(whitened(starting_fits(rows)), "mcd-fit").withColumn("logdet", F.lit(float("inf")))
+    while True:  # one row per group and start that still moves
+        steps.append(stored(whitened(concentrated(rows, live)), "mcd-fit"))
+        before = live.select(*START, F.col("logdet").alias("_before"))
+        live = steps[-1].join(before, START).where(F.col("logdet") < F.col("_before") - tolerance).drop("_before")
+        if live.isEmpty():
+            break
+    every = steps[0].withColumn("step", F.lit(0))
+    for k, fit in enumerate(steps[1:], 1):
+        every = every.unionByName(fit.withColumn("step", F.lit(k)))
+    values = [c for c in steps[0].columns if c not in START]
+    return (every.groupBy(*GROUP).agg(F.min_by(F.struct(*values), F.struct("logdet", "start", "step")).alias("_fit"))
+            .select(*GROUP, "_fit.*"))
+
+
+def fitted(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """The fit of each group (``m*``, ``w**``) and ``grow``, the factor that
     brings the median distance to that of a normal sample (1 at least)."""
-    fit = stored(whitened(starting_fit(rows)), "mcd-fit")
-    for _ in range(steps):
-        fit = stored(whitened(concentrated(rows, fit)), "mcd-fit")
+    fit = stored(least_determinant(rows, tolerance), "mcd-fit")
     bins = (with_distance(rows, fit).groupBy(*GROUP, F.floor(64 * F.log2(1 + F.col("d2"))).cast("int").alias("bin"))
             .agg(F.count(F.lit(1)).alias("c")))
     up = Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -163,12 +216,12 @@ def fitted(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return stored(fit.join(median.select(*GROUP, grow.alias("grow")), GROUP), "mcd-fit")
 
 
-def quality_verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+def quality_verdicts(docs: DataFrame, tolerance: float = TOLERANCE, cutoff: float = CUTOFF) -> DataFrame:
     """Every row's statistics, ``base_failed``, ``distance`` (null where the
     base rules failed) and ``kept``."""
     rows = stored(vectors(statistics(docs)), "quality")
     good = rows.where(~F.col("base_failed"))
-    fit = fitted(good, steps)
+    fit = fitted(good, tolerance)
     judged = (with_distance(good, fit.drop("grow")).join(fit.select(*GROUP, "grow"), GROUP)
               .withColumn("distance", F.col("d2") / F.col("grow")).drop("d2", "grow"))
     bad = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
