@@ -62,3 +62,20 @@ def test_equally_long_rules_go_by_the_table(spark):
     row = spark.createDataFrame([("a.b", "/x/")], "host string, path string")
     for rules, want in (([("a.b/", "allow"), ("b/x/", "block")], "allow"), ([("b/x/", "block"), ("a.b/", "allow")], "block")):
         assert row.select(uf.matched_rule(F.col("host"), F.col("path"), rules)["verdict"]).first()[0] == want
+
+
+def test_held_out_hosts(spark):
+    from pyspark.sql import functions as F
+    labelled = uf.labelled_urls(spark)
+    host = F.regexp_replace(uf.host_and_path(F.col("url"))[0], r"^(www|m|blog)\.|\.example\.(com|net|org)$", "")
+    counts = uf.held_out_counts(labelled.withColumn("host", host), "host").collect()
+    tb, fb, fa, ta = (sum(r[c] for r in counts) for c in ("true_block", "false_block", "false_allow", "true_allow"))
+    assert len(counts) == 5 and tb + fb + fa + ta == labelled.count()
+    print("held-out hosts: precision", tb / (tb + fb), "recall", tb / (tb + fa))
+    assert tb / (tb + fb) >= 0.9 and tb / (tb + fa) >= 0.7
+
+
+def test_labels_are_not_the_given_hosts(spark):
+    hosts = {parts(r.url)[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url").collect()}
+    given = {re.sub(r"^(www|m|blog)\.|\.example\.(com|net|org)$", "", h) for h in hosts}
+    assert not given & {name for words in (uf.BLOCK_WORDS, uf.ALLOW_WORDS) for name, _ in uf.site_names(words, uf.ALLOW_WORDS, 4)}
