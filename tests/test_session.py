@@ -26,3 +26,15 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     d = session.checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir()
     assert session.scratch_path(spark, "x").startswith(d)
+
+
+def test_unset_folder_raises_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from relaylake.session import checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
