@@ -26,9 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, as named by ``spark.checkpoint.dir``; a
-    scratch folder is set only where the session names none (local tests)."""
+    scratch folder is set only where a local session names none (tests), and
+    elsewhere its lack raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="relaylake-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
