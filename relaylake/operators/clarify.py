@@ -39,6 +39,30 @@ def requests(pairs: DataFrame) -> DataFrame:
                 F.when(F.col("_all"), F.lit("answered")).otherwise(F.lit("pending")).alias("status"))
 
 
+ENTRY_QUESTIONS = 32  # questions in one entry of a state document
+
+
+def answered_questions(pairs: DataFrame) -> DataFrame:
+    """Each question of a conversation once, with its latest answer if any."""
+    latest = F.max(F.when(F.col("answer").isNotNull(), F.struct("turn", "answer")))
+    return pairs.where(F.col("question").isNotNull()).groupBy("conv_id", "question").agg(F.min("turn").alias("turn"), latest["answer"].alias("answer"))
+
+
+def clarification_entries(questions: DataFrame, requests: DataFrame, size: int = ENTRY_QUESTIONS) -> DataFrame:
+    """A3: clarification entries as a state document holds them: questions and
+    the answers by question. An entry takes the questions of ``size`` turns; a
+    request with more has several, so none grows with its conversation."""
+    ids = requests.select(F.col("work_item_id").alias("conv_id"), "request_id", "work_item_id", "status")
+    q = F.struct("turn", "question", "answer")
+    grouped = (questions.withColumn("part", F.expr(f"turn div {size}")).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(q)).alias("qs"))
+               .join(ids, "conv_id"))
+    answered = F.filter("qs", lambda x: x["answer"].isNotNull())
+    return grouped.select(
+        "request_id", "work_item_id", F.transform("qs", lambda x: x["question"]).alias("questions"), "status",
+        F.map_from_arrays(F.transform(answered, lambda x: x["question"]), F.transform(answered, lambda x: x["answer"])).alias("answers"),
+        F.lit("agent").alias("requester"), F.when(F.col("status") == "answered", F.lit("conversation")).alias("responder"))
+
+
 def comment_lines(pairs: DataFrame, answered: DataFrame) -> DataFrame:
     """The discussion comment as ordered lines (header, then Q:/A:
     per answered question), one row per line; joining them with newlines is

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaylake import constants as K
@@ -83,13 +83,25 @@ def notebook_pattern_rank(path: Column) -> Column:
             .when(name.like("%notebook%.py"), F.lit(1)))
 
 
-def notebook_candidates(files: DataFrame) -> DataFrame:
-    """Notebook files, each once, with the pattern that found it first."""
-    return files.withColumn("pattern_rank", notebook_pattern_rank(F.col("path"))).where(F.col("pattern_rank").isNotNull())
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of each key, all of them without a limit.
+    Spark keeps at most ``limit`` rows a key and task before the shuffle."""
+    if limit is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
-def etl_candidates(files: DataFrame) -> DataFrame:
-    return files.where(etl_candidate(F.col("path")))
+def notebook_candidates(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Notebook files, each once, with the pattern that found it first; with
+    ``limit`` so many of each repository, by pattern, then path."""
+    found = files.withColumn("pattern_rank", notebook_pattern_rank(F.col("path"))).where(F.col("pattern_rank").isNotNull())
+    return first_of_each(found, ["repo"], ["pattern_rank", "path"], limit)
+
+
+def etl_candidates(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """ETL files; with ``limit`` so many of each repository, by path."""
+    return first_of_each(files.where(etl_candidate(F.col("path"))), ["repo"], ["path"], limit)
 
 
 # ---- U2: notebook patch --------------------------------------------------------
@@ -209,14 +221,17 @@ def name_hits(sql_files: DataFrame, names: DataFrame) -> DataFrame:
     return in_token.join(tokens, ["repo", "token"]).select("repo", "name", "path").distinct()
 
 
-def sql_targets(sql_files: DataFrame, keys: DataFrame) -> DataFrame:
+def sql_targets(sql_files: DataFrame, keys: DataFrame, limit: int | None = None) -> DataFrame:
     """U4: for each (repo, target_schema, target_table) the file to patch: the
     first by path, of those that contain the table or schema name (of all if
     none does), that lacks the namespace bootstrap; null ``path`` if none lacks.
+    With ``limit`` only so many of them, by path, are looked at (W5).
 
     A file has the bootstrap if it creates a schema and names this one, so it
     is settled by the same hits; contents take no part.
     """
+    if limit is not None:
+        return limited_sql_targets(sql_files, keys, limit)
     keys = keys.select("repo", "target_schema", "target_table").distinct().withColumns(
         {"schema_name": F.lower("target_schema"), "table_name": F.lower("target_table")})
     names = keys.select("repo", F.explode(F.array("schema_name", "table_name")).alias("name"))
@@ -238,6 +253,27 @@ def sql_targets(sql_files: DataFrame, keys: DataFrame) -> DataFrame:
                          F.when(hit, F.least("schema_bare", "table_bare", "other_bare")).otherwise(F.col("first_path")).alias("path"))
 
 
+def limited_sql_targets(sql_files: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    """``sql_targets`` over the first ``limit`` files of each key. The first of
+    a key are among the first of its two names, so a key meets 2 x ``limit``
+    files at most."""
+    keys = keys.select("repo", "target_schema", "target_table").distinct().withColumns(
+        {"schema_name": F.lower("target_schema"), "table_name": F.lower("target_table")})
+    by = ["repo", "target_schema", "target_table"]
+    files = sql_files.select("repo", "path", F.lower("content").contains(SQL_NAMESPACE_CHECK).alias("creates"))
+    hits = name_hits(sql_files, keys.select("repo", F.explode(F.array("schema_name", "table_name")).alias("name"))).join(files, ["repo", "path"])
+    top = first_of_each(hits, ["repo", "name"], ["path"], limit)
+    found = [keys.join(top.withColumnRenamed("name", column), ["repo", column]).select(*by, "schema_name", "path", "creates")
+             for column in ("schema_name", "table_name")]
+    looked = first_of_each(found[0].unionByName(found[1]).distinct(), by, ["path"], limit)
+    naming = hits.select("repo", F.col("name").alias("schema_name"), "path", F.lit(True).alias("names"))
+    looked = looked.join(naming, ["repo", "schema_name", "path"], "left")
+    bare = looked.groupBy(*by).agg(F.lit(True).alias("hit"), F.min(F.when(~(F.col("creates") & F.coalesce("names", F.lit(False))), F.col("path"))).alias("bare"))
+    first = files.groupBy("repo").agg(F.min("path").alias("first_path"))
+    joined = keys.select(*by).join(bare, by, "left").join(first, "repo", "left")
+    return joined.select(*by, F.when(F.col("hit"), F.col("bare")).otherwise(F.col("first_path")).alias("path"))
+
+
 def sql_block(catalog: Column, schema: Column) -> Column:
     return F.concat(F.lit(K.SQL_MARKER + "\n"), F.lit("CREATE CATALOG IF NOT EXISTS "), catalog, F.lit(";\n"),
                     F.lit("CREATE SCHEMA IF NOT EXISTS "), catalog, F.lit("."), schema, F.lit(";\n\n"))

@@ -151,21 +151,39 @@ def trail_entry(x: Column) -> Column:
         .otherwise(applied)
 
 
-def run_summaries(outcomes: DataFrame) -> DataFrame:
+def failed_repositories(steps: DataFrame) -> DataFrame:
+    """The runs whose repository step failed, with the first failing step:
+    ``work_item_id, repository_details``."""
+    failed = steps.where(F.lower("status") == "failed")
+    first = F.min_by(F.concat(F.col("step"), F.lit(" failed: "), F.coalesce("detail", F.lit(""))), "seq")
+    return failed.groupBy("work_item_id").agg(first.alias("repository_details"))
+
+
+def run_summaries(outcomes: DataFrame, failed_repos: DataFrame | None = None) -> DataFrame:
     """W3 + G3 + G6: per run, the stages up to and including the first failed
-    one, the overall status and the nested stage list (ordered by stage)."""
+    one, the overall status and the nested stage list (ordered by stage).
+
+    A run in ``failed_repos`` fails before its first stage: it has a summary,
+    and no stages, whether or not stage rows of it are known."""
     st = F.struct("ord", "environment", "stage_status", "gate", "approver", "comment", "attempts_used", "trail",
                   "pipeline_status", "qa_passed", "pipeline_started_at")
     agg = outcomes.groupBy("work_item_id").agg(
         F.array_sort(F.collect_list(st)).alias("_all"),
         F.min(F.when(F.col("stage_status") == "failed", F.col("ord"))).alias("first_failed_ord"),
     )
-    kept = F.filter("_all", lambda s: s["ord"] <= F.coalesce(F.col("first_failed_ord"), F.lit(1 << 20)))
+    if failed_repos is None:
+        agg = agg.withColumn("repository_details", F.lit(None).cast("string"))
+    else:
+        agg = agg.join(failed_repos, "work_item_id", "full")
+    bad = F.col("repository_details").isNotNull()
+    kept = F.filter("_all", lambda s: ~bad & (s["ord"] <= F.coalesce(F.col("first_failed_ord"), F.lit(1 << 20))))
+    none = F.array().cast(agg.schema["_all"].dataType)
     return agg.select(
         "work_item_id",
-        F.when(F.col("first_failed_ord").isNull(), F.lit("succeeded")).otherwise(F.lit("failed")).alias("overall_status"),
-        kept.alias("stage_results"),
-        "first_failed_ord",
+        F.when(F.col("first_failed_ord").isNull() & ~bad, F.lit("succeeded")).otherwise(F.lit("failed")).alias("overall_status"),
+        F.coalesce(kept, none).alias("stage_results"),
+        F.when(~bad, F.col("first_failed_ord")).alias("first_failed_ord"),
+        "repository_details",
     )
 
 

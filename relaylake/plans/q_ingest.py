@@ -299,22 +299,40 @@ QUERIES["ledger_scan"] = q_ledger_scan
 ORACLE["ledger_scan"] = with_views(["run_ledger"], "SELECT run_key, arg_max(status, seq) AS status FROM run_ledger GROUP BY run_key")
 
 
-def q_state_doc_scan(spark, sf, entries=DOC_ENTRIES):
-    """A3: approval state written as ``{"requests": [...], "clarifications": []}``
-    documents (of at most ``entries`` requests) and read back; the empty
-    clarification list exercises the tolerant read."""
+def state_documents(spark, sf, entries):
+    """Approval requests and clarifications written as state documents of at
+    most ``entries`` of either, each with one of the two lists only (a missing
+    list reads as empty), and read back. A clarification with many questions
+    goes on in further entries of its request."""
     from relaylake.operators import approvals as A
+    from relaylake.operators import clarify as C
+    from relaylake.plans.q_clarify import pairs
     st = A.latest_state(views.approval_events(spark, sf))
     row = st.select("request_id", "stage", "summary", "status", "approver", F.lit(None).cast("string").alias("comment"),
                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
                     F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
     docs = in_documents(spark, row, entries).withColumnRenamed("entries", "requests")
     path = _scratch(spark, "approval_docs")
-    docs.write.json(path)
-    reqs, _ = files.read_approvals_doc(spark, path, multiline=False)
+    docs.write.json(f"{path}/requests")
+    pr = pairs(spark, sf)
+    clr = C.clarification_entries(C.answered_questions(pr), C.requests(pr))
+    in_documents(spark, clr, entries).withColumnRenamed("entries", "clarifications").write.json(f"{path}/clarifications")
+    return files.read_approvals_doc(spark, f"{path}/*", multiline=False)
+
+
+def q_state_doc_scan(spark, sf, entries=DOC_ENTRIES):
+    """A3: the approval requests of the state documents."""
+    reqs, _ = state_documents(spark, sf, entries)
     return reqs.select("request_id", "stage", "status", "approver", "created_at")
 
 
+def q_clarification_doc_scan(spark, sf, entries=DOC_ENTRIES):
+    """A3: the clarifications of the state documents, one row per question."""
+    _, clrs = state_documents(spark, sf, entries)
+    rows = clrs.select("request_id", "work_item_id", "status", "requester", "responder", "answers", F.explode("questions").alias("question"))
+    return rows.select("request_id", "work_item_id", "status", "requester", "responder", "question", F.try_element_at("answers", F.col("question")).alias("answer"))
+
+
 QUERIES["state_doc_scan"] = q_state_doc_scan
 
 
@@ -325,3 +343,18 @@ def _state_doc_sql():
 
 
 ORACLE["state_doc_scan"] = _state_doc_sql()
+
+
+QUERIES["clarification_doc_scan"] = q_clarification_doc_scan
+
+
+def _clarification_doc_sql():
+    from relaylake.plans.q_clarify import PAIR_CTES
+    return with_views([], """SELECT c.request_id, c.work_item_id, c.status, 'agent' AS requester,
+  CASE WHEN c.status = 'answered' THEN 'conversation' END AS responder, p.question,
+  arg_max(p.answer, p.turn) FILTER (WHERE p.answer IS NOT NULL) AS answer
+FROM pairs p JOIN creq c ON c.work_item_id = p.conv_id WHERE p.question IS NOT NULL
+GROUP BY c.request_id, c.work_item_id, c.status, p.question""", extra=PAIR_CTES)
+
+
+ORACLE["clarification_doc_scan"] = _clarification_doc_sql()

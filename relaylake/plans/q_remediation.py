@@ -130,6 +130,47 @@ QUERIES["file_union_dedupe"] = q_file_union_dedupe
 ORACLE["file_union_dedupe"] = with_views(["source_files"], f"SELECT repo, path, pattern_rank FROM ({NB_CAND_SQL})")
 
 
+# ---- W5 ----------------------------------------------------------------------
+NOTEBOOK_LIMIT, ETL_LIMIT, SQL_LIMIT = 10, 30, 5  # fixed values: files of a repository that a remediation looks at
+
+
+def q_candidate_limits(spark, sf):
+    """The files that a remediation with limits looks at, by repository and
+    kind, and the SQL file it would patch for each target."""
+    f = files(spark, sf)
+    notebooks = R.notebook_candidates(f, NOTEBOOK_LIMIT).select("repo", F.lit("notebook").alias("kind"), F.lit("").alias("target"), "path")
+    etl = R.etl_candidates(f, ETL_LIMIT).select("repo", F.lit("etl").alias("kind"), F.lit("").alias("target"), "path")
+    sql_files = f.where(F.col("path").endswith(".sql"))
+    plans = planning.with_plan(tickets(spark, sf)).select(F.col("target_repo").alias("repo"), "target_schema", "target_table")
+    targets = R.sql_targets(sql_files, plans, SQL_LIMIT)
+    named = F.concat_ws(".", "target_schema", "target_table")
+    return notebooks.unionByName(etl).unionByName(targets.select("repo", F.lit("sql").alias("kind"), named.alias("target"), "path"))
+
+
+QUERIES["candidate_limits"] = q_candidate_limits
+ORACLE["candidate_limits"] = with_views(["source_files", "plans"], f"""
+SELECT repo, 'notebook' AS kind, '' AS target, path FROM ({NB_CAND_SQL})
+  QUALIFY row_number() OVER (PARTITION BY repo ORDER BY pattern_rank, path) <= 10
+UNION ALL
+SELECT repo, 'etl', '', path FROM source_files WHERE ends_with(path, '.py')
+    AND len(list_intersect(string_split(lower(path), '/'), ['tests', 'generated_changes', 'transformers'])) = 0
+    AND len(list_intersect(string_split(lower(path), '/'), ['etl', 'pipelines', 'jobs', 'notebooks'])) > 0
+  QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 30
+UNION ALL
+SELECT k.repo, 'sql', k.target_schema || '.' || k.target_table,
+  CASE WHEN bool_or(looked.path IS NOT NULL) THEN min(CASE WHEN NOT (looked.creates AND looked.names) THEN looked.path END) ELSE any_value(f.first_path) END
+FROM (SELECT DISTINCT target_repo AS repo, target_schema, target_table FROM plans) k
+LEFT JOIN (SELECT repo, min(path) AS first_path FROM source_files WHERE ends_with(path, '.sql') GROUP BY repo) f USING (repo)
+LEFT JOIN (
+  SELECT p.repo, p.target_schema, p.target_table, s.path, contains(lower(s.content), 'create schema if not exists') AS creates,
+    contains(lower(s.content), lower(p.target_schema)) AS names
+  FROM (SELECT DISTINCT target_repo AS repo, target_schema, target_table FROM plans) p
+  JOIN source_files s ON s.repo = p.repo AND ends_with(s.path, '.sql')
+    AND (contains(lower(s.content), lower(p.target_table)) OR contains(lower(s.content), lower(p.target_schema)))
+  QUALIFY row_number() OVER (PARTITION BY p.repo, p.target_schema, p.target_table ORDER BY s.path) <= 5) looked USING (repo, target_schema, target_table)
+GROUP BY k.repo, k.target_schema, k.target_table""")
+
+
 # ---- U2 ----------------------------------------------------------------------
 def q_notebook_patch(spark, sf):
     c = R.notebook_candidates(files(spark, sf))

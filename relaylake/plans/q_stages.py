@@ -73,8 +73,14 @@ STAGE_CTES = [
       FROM so1 s LEFT JOIN used_agg a USING (work_item_id, ord)"""),
     ("rs", """SELECT work_item_id, min(CASE WHEN stage_status = 'failed' THEN ord END) AS first_failed_ord
       FROM stage_outcomes GROUP BY work_item_id"""),
-    ("kept", """SELECT o.*, CASE WHEN rs.first_failed_ord IS NULL THEN 'succeeded' ELSE 'failed' END AS overall_status
-      FROM stage_outcomes o JOIN rs USING (work_item_id) WHERE o.ord <= coalesce(rs.first_failed_ord, 1048576)"""),
+    ("failed_repos", """SELECT event_id // 4 AS work_item_id,
+        arg_min(['checkout', 'change', 'tests', 'pull request'][event_id % 4 + 1] || ' failed: ' || coalesce(props, ''), event_id) AS repository_details
+      FROM events WHERE event_type = 'error' AND value >= 100 GROUP BY event_id // 4"""),
+    ("run_status", """SELECT coalesce(rs.work_item_id, f.work_item_id) AS work_item_id, f.repository_details,
+        CASE WHEN rs.first_failed_ord IS NULL AND f.work_item_id IS NULL THEN 'succeeded' ELSE 'failed' END AS overall_status
+      FROM rs FULL JOIN failed_repos f ON f.work_item_id = rs.work_item_id"""),
+    ("kept", """SELECT o.*, r.overall_status FROM stage_outcomes o JOIN rs USING (work_item_id) JOIN run_status r USING (work_item_id)
+      WHERE o.ord <= coalesce(rs.first_failed_ord, 1048576) AND r.repository_details IS NULL"""),
 ]
 
 
@@ -91,7 +97,7 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return stages.run_summaries(outcomes(spark, sf))
+    return stages.run_summaries(outcomes(spark, sf), stages.failed_repositories(views.repo_steps(spark, sf)))
 
 
 # ---- C16 / E7 ----------------------------------------------------------------
@@ -151,10 +157,10 @@ def q_stage_summary(spark, sf):
 
 
 QUERIES["stage_summary"] = q_stage_summary
-ORACLE["stage_summary"] = stage_sql("""SELECT work_item_id, any_value(overall_status) AS overall_status,
-  CAST(count(*) AS INTEGER) AS n_stages, string_agg(environment || ':' || stage_status, ',' ORDER BY ord) AS stages,
-  CAST(sum(attempts_used) AS INTEGER) AS remediation_attempts
-  FROM kept GROUP BY work_item_id""")
+ORACLE["stage_summary"] = stage_sql("""SELECT r.work_item_id, any_value(r.overall_status) AS overall_status,
+  CAST(count(k.ord) AS INTEGER) AS n_stages, coalesce(string_agg(environment || ':' || stage_status, ',' ORDER BY ord), '') AS stages,
+  CAST(coalesce(sum(attempts_used), 0) AS INTEGER) AS remediation_attempts
+  FROM run_status r LEFT JOIN kept k ON k.work_item_id = r.work_item_id GROUP BY r.work_item_id""")
 
 
 def q_stage_status_counts(spark, sf):
@@ -164,7 +170,18 @@ def q_stage_status_counts(spark, sf):
 
 QUERIES["stage_status_counts"] = q_stage_status_counts
 ORACLE["stage_status_counts"] = stage_sql(
-    "SELECT overall_status, count(*) AS n_runs FROM (SELECT DISTINCT work_item_id, overall_status FROM kept) GROUP BY overall_status")
+    "SELECT overall_status, count(*) AS n_runs FROM run_status GROUP BY overall_status")
+
+
+def q_repository_step(spark, sf):
+    """Runs that failed before their first stage, with the step that failed."""
+    return summaries(spark, sf).where(F.col("repository_details").isNotNull()).select(
+        "work_item_id", "overall_status", F.size("stage_results").alias("n_stages"), "repository_details")
+
+
+QUERIES["repository_step"] = q_repository_step
+ORACLE["repository_step"] = stage_sql("""SELECT work_item_id, 'failed' AS overall_status, CAST(0 AS INTEGER) AS n_stages, repository_details
+  FROM run_status WHERE repository_details IS NOT NULL""")
 
 
 # ---- G8 ----------------------------------------------------------------------
@@ -287,7 +304,7 @@ def q_learning_feedback(spark, sf):
 QUERIES["learning_feedback"] = q_learning_feedback
 ORACLE["learning_feedback"] = stage_sql(f"""
 SELECT DISTINCT k.work_item_id, k.overall_status AS status, p.target_table, array_to_string(p.source_types, ',') AS source_types
-FROM kept k JOIN plans p ON p.work_item_id = k.work_item_id
+FROM run_status k JOIN plans p ON p.work_item_id = k.work_item_id
 WHERE NOT list_contains(p.clarification_questions, '{K.Q_TABLE}')
   AND p.run_key NOT IN (SELECT run_key FROM (SELECT run_key, arg_max(status, seq) AS s FROM run_ledger GROUP BY run_key) WHERE s = 'succeeded')
 """, more_views=["plans", "run_ledger"])
@@ -357,6 +374,7 @@ def q_run_summary_json(spark, sf, generated_at: str = GENERATED_AT):
     doc = F.struct(
         F.col("work_item_id"), F.col("title"), F.col("target_repo").alias("repository"), F.col("overall_status"),
         F.col("clarification_questions").alias("clarification"), F.lit(generated_at).alias("generated_at"),
+        F.coalesce("repository_details", F.lit("")).alias("repository_failure"),
         F.transform("stage_results", lambda x: F.struct(
             x["environment"].alias("environment"), x["stage_status"].alias("status"), x["gate"].alias("gate"),
             x["attempts_used"].alias("attempts"), x["trail"].alias("trail"),
@@ -367,10 +385,10 @@ def q_run_summary_json(spark, sf, generated_at: str = GENERATED_AT):
 QUERIES["run_summary_json"] = q_run_summary_json
 ORACLE["run_summary_json"] = stage_sql(f"""
 SELECT k.work_item_id, CAST(to_json(struct_pack(work_item_id := k.work_item_id, title := any_value(p.title), repository := any_value(p.target_repo),
-  overall_status := any_value(overall_status), clarification := any_value(p.clarification_questions), generated_at := '{GENERATED_AT}',
-  stage_results := list(struct_pack(environment := environment, status := stage_status, gate := gate, attempts := attempts_used, trail := trail,
-                                    started_at := strftime(pipeline_started_at, '%Y-%m-%d %H:%M:%S')) ORDER BY ord))) AS VARCHAR) AS summary_json
-FROM kept k JOIN plans p ON p.work_item_id = k.work_item_id GROUP BY k.work_item_id""", more_views=["plans"])
+  overall_status := any_value(k.overall_status), clarification := any_value(p.clarification_questions), generated_at := '{GENERATED_AT}',
+  repository_failure := any_value(coalesce(k.repository_details, '')), stage_results := coalesce(list(struct_pack(environment := environment, status := stage_status, gate := gate, attempts := attempts_used, trail := trail,
+                                    started_at := strftime(pipeline_started_at, '%Y-%m-%d %H:%M:%S')) ORDER BY ord) FILTER (WHERE s.ord IS NOT NULL), []))) AS VARCHAR) AS summary_json
+FROM run_status k JOIN plans p ON p.work_item_id = k.work_item_id LEFT JOIN kept s ON s.work_item_id = k.work_item_id GROUP BY k.work_item_id""", more_views=["plans"])
 
 
 # ---- B5, B7, B8, B9, B12: written and read back ------------------------------
@@ -490,7 +508,7 @@ FROM (SELECT grp * 1099511627776 + k AS seq, unnest(source_types) AS source_type
              unnest(generate_series(0, len(source_types) - 1)) AS pos
       FROM (SELECT * FROM (
               SELECT 1 AS grp, k.work_item_id AS k, any_value(p.source_types) AS source_types
-              FROM kept k JOIN plans p ON p.work_item_id = k.work_item_id
+              FROM run_status k JOIN plans p ON p.work_item_id = k.work_item_id
               WHERE NOT list_contains(p.clarification_questions, '{K.Q_TABLE}')
                 AND p.run_key NOT IN (SELECT run_key FROM (SELECT run_key, arg_max(status, seq) AS s FROM run_ledger GROUP BY run_key)
                                       WHERE s = 'succeeded')

@@ -115,6 +115,20 @@ def gate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(checks, F.col("value") < 20).alias("checks_passed"))
 
 
+REPO_STEPS = ["checkout", "change", "tests", "pull request"]
+
+
+def repo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log of the developer steps before a ticket's stages (work_item_id, step,
+    status, detail, seq), from events: four events a ticket."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    return e.select(
+        F.expr("event_id div 4").alias("work_item_id"), F.get(T.str_array(REPO_STEPS), (k % 4).cast("int")).alias("step"),
+        F.when((F.col("event_type") == "error") & (F.col("value") >= 100), F.lit("failed")).otherwise(F.lit("succeeded")).alias("status"),
+        F.coalesce("props", F.lit("")).alias("detail"), k.alias("seq"))
+
+
 def approval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only approval log from events: one request per (user, day)."""
     e = table(spark, sf_dir, "events")

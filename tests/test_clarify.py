@@ -42,3 +42,19 @@ def test_artifact_texts(spark):
     note = artifacts.change_notes(p).first()
     assert note.path == "generated_changes/work_item_7.md"
     assert note.note.splitlines()[-1] == "Source Types: jdbc, flat_file"
+
+
+def test_document_entries_hold_every_question(spark):
+    from relaylake.operators import clarify as C
+
+    turns = [(1, 2 * i, f"q{i % 70}", f"a{i}" if i != 75 else None) for i in range(80)] + [(2, 0, "only", None), (3, 0, None, "x")]
+    pairs = spark.createDataFrame(turns, "conv_id long, turn long, question string, answer string")
+    rows = C.clarification_entries(C.answered_questions(pairs), C.requests(pairs)).collect()
+    one = [r for r in rows if r.work_item_id == 1]
+    assert len(one) == 5 and max(len(r.questions) for r in one) <= C.ENTRY_QUESTIONS
+    answers = {q: r.answers.get(q) for r in one for q in r.questions}
+    # a repeated question keeps its latest answer
+    assert answers == {f"q{i}": f"a{i + 70}" if i < 10 and i != 5 else f"a{i}" for i in range(70)}
+    two = [r for r in rows if r.work_item_id == 2]
+    assert [(r.questions, r.answers, r.status, r.responder) for r in two] == [(["only"], {}, "pending", None)]
+    assert not [r for r in rows if r.work_item_id == 3]

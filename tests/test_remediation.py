@@ -179,3 +179,25 @@ def test_name_search_equals_substring_test(spark):
     assert got == {(r, n, p) for r, n in names for q, p, c in files if n and q == r and n in c.lower()}
     none = spark.createDataFrame([], "repo string, name string")
     assert R.name_hits(spark.createDataFrame(files, "repo string, path string, content string"), none).count() == 0
+
+
+def test_limits_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["create schema if not exists x;", "gold", "silver", "orders", "items", "other"]
+    files = sorted({(rng.choice("pqr"), f"sql/{rng.randint(0, 60):02d}.sql"): " ".join(rng.sample(words, rng.randint(0, 4))) for _ in range(120)}.items())
+    table = spark.createDataFrame([(*k, v) for k, v in files], "repo string, path string, content string")
+    keys = [(r, s, t) for r in "pqrz" for s in ("gold", "silver", "none") for t in ("orders", "items", "absent")] + [(None, "gold", "orders")]
+    frame = spark.createDataFrame(keys, "repo string, target_schema string, target_table string")
+    for limit in (1, 3, None):
+        want = {}
+        for repo, schema, name in keys:
+            own = [(p, c) for (r, p), c in files if r == repo]
+            looked = ([x for x in own if schema in x[1] or name in x[1]] or own)[:limit]
+            want[repo, schema, name] = next((p for p, c in looked if not ("create schema if not exists" in c and schema in c)), None)
+        assert {tuple(r)[:3]: r.path for r in R.sql_targets(table, frame, limit).collect()} == want
+    code = spark.createDataFrame([(r, p, "") for r in "ab" for p in ("etl/c.py", "etl/a.py", "jobs/b.py", "notebooks/z.py", "a/notebook.py")],
+                                 "repo string, path string, content string")
+    assert sorted((r.repo, r.path) for r in R.etl_candidates(code, 2).collect()) == [(r, p) for r in "ab" for p in ("etl/a.py", "etl/c.py")]
+    assert sorted((r.repo, r.path) for r in R.notebook_candidates(code, 1).collect()) == [("a", "notebooks/z.py"), ("b", "notebooks/z.py")]

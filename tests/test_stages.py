@@ -77,3 +77,17 @@ def test_stage_cross_is_ordered(spark):
     p = spark.createDataFrame([(1,)], "work_item_id long")
     got = [(r.ord, r.environment) for r in stages.stage_cross(p).orderBy("ord").collect()]
     assert got == [(1, "dev"), (2, "qe"), (3, "stg"), (4, "prod")]
+
+
+def test_failed_repository_step_ends_the_run_before_its_stages(spark):
+    rows = [(1, 1, "dev", 1, "succeeded", True, False, False), (2, 1, "dev", 1, "succeeded", True, False, False)]
+    out = stages.stage_outcomes(spark.createDataFrame(rows, SCHEMA).withColumn("approver", F.lit("ana")))
+    steps = spark.createDataFrame([(1, "checkout", "succeeded", "x", 1), (1, "tests", "failed", "2 of 9", 3), (1, "change", "Failed", None, 2),
+                                   (2, "checkout", "succeeded", "x", 4), (3, "checkout", "failed", "no access", 5)],
+                                  "work_item_id long, step string, status string, detail string, seq long")
+    got = {r.work_item_id: r for r in stages.run_summaries(out, stages.failed_repositories(steps)).collect()}
+    assert (got[1].overall_status, got[1].stage_results, got[1].repository_details) == ("failed", [], "change failed: ")
+    assert got[2].overall_status == "succeeded" and got[2].repository_details is None and len(got[2].stage_results) == 1
+    assert (got[3].overall_status, got[3].stage_results, got[3].first_failed_ord) == ("failed", [], None)  # no stage row at all
+    plain = {r.work_item_id: r.overall_status for r in stages.run_summaries(out, stages.failed_repositories(steps.limit(0))).collect()}
+    assert plain == {1: "succeeded", 2: "succeeded"}
