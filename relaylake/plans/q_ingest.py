@@ -66,7 +66,9 @@ FROM work_items""")
 
 
 # ---- A2 ----------------------------------------------------------------------
-def q_board_payload_scan(spark, sf):
+def board_payloads(spark, sf, *by):
+    """Board payloads of the tickets, one per 100 ids (and value of ``by``):
+    each holds at most 100 items."""
     w = views.work_items(spark, sf)
     i = F.col("id")
     fields = F.map_filter(F.create_map(
@@ -79,11 +81,14 @@ def q_board_payload_scan(spark, sf):
         F.lit("Microsoft.VSTS.Common.AcceptanceCriteria"), F.col("acceptance_criteria"),
         F.lit("Microsoft.VSTS.Common.Priority"), F.when(i % 11 == 0, None).otherwise(F.col("priority").cast("string")),
     ), lambda k, v: v.isNotNull())
-    # one payload per 100 ids: each document holds at most 100 items
-    docs = w.select((i / 100).cast("bigint").alias("batch"), F.struct(i.alias("id"), fields.alias("fields")).alias("item")) \
-        .groupBy("batch").agg(F.count(F.lit(1)).alias("count"), F.collect_list("item").alias("value")).drop("batch")
+    keys = [c.alias(f"by{n}") for n, c in enumerate(by)]
+    return w.select((i / 100).cast("bigint").alias("batch"), *keys, F.struct(i.alias("id"), fields.alias("fields")).alias("item")) \
+        .groupBy("batch", *[f"by{n}" for n in range(len(by))]).agg(F.count(F.lit(1)).alias("count"), F.collect_list("item").alias("value")).drop("batch")
+
+
+def q_board_payload_scan(spark, sf):
     path = _scratch(spark, "board")
-    docs.write.json(path)
+    board_payloads(spark, sf).write.json(path)
     t = intake.normalize_tickets(files.read_board_payload(spark, path, multiline=False), strict_types=False)
     return t.select("id", "title", "item_type", F.array_join("tags", ",").alias("tags"), "priority", "repo_name")
 

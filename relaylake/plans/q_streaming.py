@@ -57,6 +57,33 @@ QUERIES["stream_intake"] = q_stream_intake
 ORACLE["stream_intake"] = q_intake.ORACLE["intake_plan"]
 
 
+# ---- A2 as a stream ------------------------------------------------------------
+def q_stream_board_feed(spark, sf):
+    """Payloads landed by the year of change, polled by a data source
+    whose offset is that year; the feed is polled twice, the second time from
+    the offset of the first."""
+    from relaylake.operators import intake
+    from relaylake.plans.q_ingest import board_payloads
+    from relaylake.sources.board import board_feed
+    base = _base(spark, "board")
+    docs = board_payloads(spark, sf, F.date_format("changed_date", "yyyy"))
+    landed = docs.select(F.to_json(F.struct("count", "value")).alias("value"), F.col("by0").alias("changed"))
+    for part in (F.col("changed") < "1995", F.col("changed") >= "1995"):
+        landed.where(part).write.mode("append").partitionBy("changed").text(f"{base}/in")
+        run_available_now(board_feed(spark, f"{base}/in"), idempotent_sink(f"{base}/out"), f"{base}/ck")
+    t = intake.normalize_tickets(spark.read.parquet(f"{base}/out"), strict_types=False)
+    return t.select("id", "title", "item_type", F.array_join("tags", ",").alias("tags"), "priority", "repo_name")
+
+
+def _board_oracle():
+    from relaylake.plans import q_ingest
+    return q_ingest.ORACLE["board_payload_scan"]
+
+
+QUERIES["stream_board_feed"] = q_stream_board_feed
+ORACLE["stream_board_feed"] = _board_oracle()
+
+
 # ---- X7 ----------------------------------------------------------------------
 def q_stream_ledger(spark, sf):
     base = _base(spark, "ledger")

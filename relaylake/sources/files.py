@@ -60,11 +60,16 @@ def read_board_payload(spark: SparkSession, path: str, multiline: bool = True) -
     """A2: nested board payloads ``{"value": [{"fields": {...}}]}`` →
     ticket rows; tags split on ';', trimmed, blanks dropped; unknown type →
     default type; missing priority → 9999."""
-    raw = spark.read.schema(BOARD_SCHEMA).option("multiLine", multiline).json(path)
+    return board_items(spark.read.schema(BOARD_SCHEMA).option("multiLine", multiline).json(path))
+
+
+def board_items(payloads: DataFrame, *more: str) -> DataFrame:
+    """The tickets of parsed payloads (``value``), and the columns named."""
     f = F.col("v.fields")
     tags = F.filter(F.transform(F.split(F.coalesce(f[BOARD_FIELDS["tags"]], F.lit("")), ";"), lambda t: X.strip(t)),
                     lambda t: t != "")
-    rows = raw.select(F.explode("value").alias("v")).select(
+    return payloads.select(*more, F.explode("value").alias("v")).select(
+        *more,
         f[BOARD_FIELDS["id"]].cast("bigint").alias("id"),
         F.coalesce(f[BOARD_FIELDS["title"]], F.lit("")).alias("title"),
         F.coalesce(f[BOARD_FIELDS["description"]], F.lit("")).alias("description"),
@@ -74,7 +79,6 @@ def read_board_payload(spark: SparkSession, path: str, multiline: bool = True) -
         F.coalesce(f[BOARD_FIELDS["priority"]].cast("int"), F.lit(K.DEFAULT_PRIORITY)).alias("priority"),
         F.coalesce(f[BOARD_FIELDS["state"]], F.lit(K.DEFAULT_STATE)).alias("state"),
     )
-    return rows
 
 
 def read_history_doc(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

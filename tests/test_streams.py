@@ -51,3 +51,31 @@ def test_status_polling(spark, tmp_dir):
     assert state.select("key.work_item_id").distinct().count() == 1  # run 1's state is released
     got = {r.work_item_id: r.status for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
     assert got == {1: "failed", 3: "succeeded"}
+
+
+def test_board_feed_goes_on_behind_its_offset(spark, tmp_dir):
+    import json
+    import os
+
+    from relaylake.sources.board import board_feed
+
+    def land(date, *ids, more=""):
+        os.makedirs(f"{tmp_dir}/in/changed={date}")
+        for i in ids:
+            with open(f"{tmp_dir}/in/changed={date}/p{i}.json", "w") as out:
+                item = {"id": i, "fields": {"System.Id": str(i), "System.Title": f"t{i}", "System.Tags": "a; repo:r ;"}}
+                out.write(json.dumps({"count": 1, "value": [item]}) + "\n" + more)
+
+    def poll():
+        run_available_now(board_feed(spark, f"{tmp_dir}/in", files_per_task="2"), idempotent_sink(f"{tmp_dir}/out"), f"{tmp_dir}/ck")
+        return sorted((r.id, r.changed) for r in spark.read.parquet(f"{tmp_dir}/out").collect())
+
+    land("2024-01-01", 1, 2, 3)
+    land("2024-01-02", 4, more="\nnot json\n" + json.dumps({"count": 0}))
+    first = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01"), (4, "2024-01-02")]
+    assert poll() == first
+    with open(f"{tmp_dir}/in/changed=2024-01-01/p1.json", "w") as out:
+        out.write("[")  # behind the offset: not opened again
+    land("2024-01-03", 1, 9)
+    assert poll() == sorted(first + [(1, "2024-01-03"), (9, "2024-01-03")])
+    assert poll() == sorted(first + [(1, "2024-01-03"), (9, "2024-01-03")])
