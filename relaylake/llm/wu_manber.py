@@ -5,17 +5,20 @@ all its words if it has fewer. Strings of one length form a search group. A
 table over blocks of ``BLOCK`` words says how far the search place may move
 on: a block that stands in no string moves it past the block, one that stands
 nearest to a string's end at distance ``d`` moves it by ``d``. Where the move
-is 0 the block may end a string; the strings of that suffix bucket are compared
-directly, word for word. All rows of a slice are searched in lockstep, each
-from its own place, so most words are never looked at.
+is 0 the block may end a string. All rows of a slice are searched in lockstep,
+each from its own place, so most words are never looked at.
 
-The benchmark is cut into parts of at most ``PART_BYTES`` text, each searched
-in a pass of its own: a task never holds more than one part, however large the
-benchmark is. With one part there is no shuffle.
+The strings are cut out of the items by a Spark job and stored with the key of
+their suffix block. A task holds the shift tables and a bitmap of the strings'
+hashes only, both of fixed size however large the benchmark is; documents are
+scanned once. Places the bitmap lets pass meet the strings of their suffix
+bucket in a join that compares the words themselves. A larger benchmark makes
+the moves shorter and more places pass; results don't depend on it.
 
 Defined cases: null texts and items have no words; repeated items and rows
 count each (an item id counts once); null item ids are left out of the item
-list but their occurrences are hit; an empty benchmark hits nothing.
+list but their occurrences are hit; an empty benchmark hits nothing; other
+columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -24,16 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relaylake.llm.common import base_columns, read_table, slices, utf8
+from relaylake.llm.common import base_columns, id_key, read_table, slices, stored, utf8
 from relaylake.llm.spans import LOWER, running_hash, span_hash, word_spans
 
 WINDOW = 10
 BLOCK = 2
-PART_BYTES = 8 << 20
-TABLE_BITS = 18
+TABLE_BITS = 18  # entries of a shift table, of which a length has one (a byte each)
+FILTER_BITS = 24  # places of the bitmap of all strings' hashes (2 MB)
 LANE = 512  # places that one lane of the lockstep search covers
 
 IN_WORD = np.zeros(256, dtype=bool)
@@ -50,190 +53,165 @@ def words_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, starts, ends, span_hash(running_hash(data), starts, ends), first
 
 
-class Strings:
-    """Test strings of one length ``m`` with their shift and suffix tables.
-
-    ``hashes`` holds a row of word hashes for each string, ``data``, ``begin``
-    and ``end`` the bytes and spans of its words."""
-
-    def __init__(self, m: int, items: list[list[str]], hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
-        self.m, self.items, self.data, self.begin, self.end = m, items, data, begin, end
-        self.block = min(BLOCK, m)
-        self.mask = np.uint64((1 << TABLE_BITS) - 1)
-        self.shift = np.full(1 << TABLE_BITS, m - self.block + 1, dtype=np.int64)
-        every = np.arange(len(hashes))
-        for j in range(self.block, m + 1):  # blocks that end after word j of a string
-            np.minimum.at(self.shift, self.block_key(hashes, every, np.full(len(hashes), j - self.block)), m - j)
-        suffix = self.block_key(hashes, every, np.full(len(hashes), m - self.block))
-        whole = self.whole(hashes, every)
-        self.order = np.lexsort((whole, suffix))
-        self.whole_sorted = whole[self.order]
-        self.low = np.searchsorted(suffix[self.order], np.arange((1 << TABLE_BITS) + 1))
-
-    def block_key(self, table: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-        key = table[row, col].copy()
-        for k in range(1, self.block):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + table[row, col + k]
-        return ((key >> np.uint64(29)) & self.mask).astype(np.int64)
-
-    def whole(self, table: np.ndarray, row: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(row), dtype=np.uint64)
-        for k in range(self.m):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + table[row, k]
-        return out
-
-    def search(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate (first word, string) places over the words of all rows:
-        the suffix bucket's strings whose words' hashes agree."""
-        m, b = self.m, self.block
-        place, stop = first[:-1] + m, first[1:]  # a place is the end of a window
-        lanes = np.maximum(0, -(-(stop - place + 1) // LANE))  # long rows are searched from several places
-        row = np.repeat(np.arange(len(place)), lanes)
-        place = place[row] + LANE * (np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-        stop = np.minimum(stop[row], place + LANE - 1)
-        found_at, found_string = [], []
-        factor = np.uint64(0x9E3779B97F4A7C15)
-        while len(place):
-            key = hashes[place - b].copy()
-            for k in range(1, b):
-                key = key * factor + hashes[place - b + k]
-            key = ((key >> np.uint64(29)) & self.mask).astype(np.int64)
-            move = self.shift[key]
-            zero = np.flatnonzero(move == 0)
-            if len(zero):
-                at, bucket = place[zero], key[zero]
-                whole = np.zeros(len(at), dtype=np.uint64)
-                for k in range(m):
-                    whole = whole * np.uint64(0xD6E8FEB86659FD93) + hashes[at - m + k]
-                # the bucket is sorted by the hash of its whole strings
-                lo, hi = self.low[bucket], self.low[bucket + 1]
-                while len(at):
-                    some = lo < hi
-                    at, whole, lo, hi = at[some], whole[some], lo[some], hi[some]
-                    if not len(at):
-                        break
-                    same = self.whole_sorted[lo] == whole
-                    found_at.append(at[same] - m)
-                    found_string.append(self.order[lo[same]])
-                    lo = lo + 1
-                move = np.maximum(move, 1)
-            place = place + move
-            keep = place <= stop
-            place, stop = place[keep], stop[keep]
-        if not found_at:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(found_at), np.concatenate(found_string)
-
-    def confirmed(self, at: np.ndarray, which: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Direct comparison: are the words from ``at`` the bytes of the string?"""
-        out = np.empty(len(at), dtype=bool)
-        for i in range(0, len(at), 1 << 14):
-            words = at[i:i + (1 << 14), None] + np.arange(self.m)
-            here, there = starts[words], self.begin[which[i:i + (1 << 14)]]
-            size = ends[words] - here
-            good = (size == self.end[which[i:i + (1 << 14)]] - there).all(axis=1)
-            rows = np.flatnonzero(good)
-            n = size[rows].ravel()
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            equal = data[np.repeat(here[rows].ravel(), n) + step] == self.data[np.repeat(there[rows].ravel(), n) + step]
-            if len(rows):
-                good[rows] = np.logical_and.reduceat(equal, np.cumsum(size[rows].sum(axis=1)) - size[rows].sum(axis=1))
-            out[i:i + (1 << 14)] = good
-        return out
-
-
-def strings_of(rows: list, window: int = WINDOW) -> list[Strings]:
-    """Search groups of ``(item_id, text)`` rows, one for each length."""
-    texts = pa.array([r[1] or "" for r in rows], pa.string())
-    data, starts, ends, hashes, first = words_of(texts)
-    raw = data.tobytes()
-    by_length: dict[int, dict[bytes, tuple[set, int]]] = {}
-    for i, row in enumerate(rows):
-        n = int(first[i + 1] - first[i])
-        m = min(n, window)
-        for w in range(int(first[i]), int(first[i]) + (n - m + 1 if m else 0)):
-            text = b" ".join(raw[starts[k]:ends[k]] for k in range(w, w + m))
-            ids, _ = by_length.setdefault(m, {}).setdefault(text, (set(), w))
-            if row[0] is not None:
-                ids.add(str(row[0]))
-    out = []
-    for m, strings in sorted(by_length.items()):
-        words = np.array([w for _, w in strings.values()])[:, None] + np.arange(m)
-        out.append(Strings(m, [sorted(ids) for ids, _ in strings.values()], hashes[words], data, starts[words], ends[words]))
+def block_key(hashes: np.ndarray, at: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """Table entry of the ``block`` words from ``at``."""
+    key = hashes[at].copy()
+    for k in range(1, block):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k]
+    return ((key >> np.uint64(29)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def whole_hash(hashes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the ``m`` words from ``at``."""
+    out = np.full(len(at), m, dtype=np.uint64)
+    for k in range(m):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[at + k]
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list]:
-    """The benchmark's rows in parts of bounded size, one at a time."""
-    part, used = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        size = len((row[1] or "").encode())
-        if part and used + size > part_bytes:
-            yield part
-            part, used = [], 0
-        part.append((row[0], row[1]))
-        used += size
-    yield part
+def filter_place(whole: np.ndarray, bits: int) -> np.ndarray:
+    return (whole >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def words_from(raw: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, m: int) -> list[bytes]:
+    """The ``m`` words from each place, joined by blanks."""
+    places = at[:, None] + np.arange(m)
+    return [b" ".join([raw[i:j] for i, j in zip(x, y)]) for x, y in zip(starts[places].tolist(), ends[places].tolist())]
 
 
-def found(docs: DataFrame, part: list, window: int) -> DataFrame:
-    """Adds ``n_words``, ``hits`` (``[first word, end)`` of maximal hit runs,
-    flat) and ``items`` found with this part's strings."""
+# ---- the strings -------------------------------------------------------------
+STRING_SCHEMA = "item string, m long, suffix long, whole long, place long, words binary, blocks array<long>"
+
+
+def strings_of(benchmark: DataFrame, window: int, table_bits: int, filter_bits: int) -> DataFrame:
+    """One row for each item window: its words, hash and bitmap place, the key
+    of its suffix block, and ``blocks``, the keys of its blocks from the last."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 18):
+                data, starts, ends, hashes, first = words_of(part.column("text"))
+                raw, items = data.tobytes(), part.column("item")
+                for row in range(part.num_rows):
+                    n = int(first[row + 1] - first[row])
+                    m = min(n, window)
+                    for low in range(0, n - m + 1 if m else 0, 4096):
+                        at = int(first[row]) + np.arange(low, min(low + 4096, n - m + 1))
+                        block = min(BLOCK, m)
+                        keys = np.stack([block_key(hashes, at + j, block, table_bits) for j in range(m - block, -1, -1)], axis=1)
+                        whole = whole_hash(hashes, at, m)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(items[row], len(at)), pa.array(np.full(len(at), m)), pa.array(keys[:, 0]), pa.array(whole.view(np.int64)),
+                             pa.array(filter_place(whole, filter_bits)), pa.array(words_from(raw, starts, ends, at, m), pa.binary()),
+                             pa.array(keys.tolist(), pa.list_(pa.int64()))],
+                            names=["item", "m", "suffix", "whole", "place", "words", "blocks"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return items.mapInArrow(cut, STRING_SCHEMA)
+
+
+def search_tables(strings: DataFrame, table_bits: int, filter_bits: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The shift table of each length, and the bitmap. At most as many rows come
+    to the driver as the tables have entries, whatever the benchmark's size."""
+    near = strings.select("m", F.posexplode("blocks").alias("move", "key")).groupBy("m", "key").agg(F.min("move").alias("move")).toArrow()
+    lengths, keys, moves = (near.column(c).to_numpy() for c in ("m", "key", "move"))
+    shifts = {}
+    for m in np.unique(lengths).tolist():
+        own = lengths == m
+        shifts[m] = np.full(1 << table_bits, m - min(BLOCK, m) + 1, dtype=np.uint8 if m < 255 else np.int64)
+        shifts[m][keys[own]] = moves[own]
+    bits = strings.select((F.expr("place div 32")).alias("word"), F.expr("shiftleft(1L, int(place % 32))").alias("bit"))
+    bits = bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    bitmap = np.zeros(max(1, (1 << filter_bits) // 32), dtype=np.uint32)
+    bitmap[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
+    return shifts, bitmap
+
+
+# ---- the scan ----------------------------------------------------------------
+def passing(hashes: np.ndarray, first: np.ndarray, m: int, shift: np.ndarray, bitmap: np.ndarray, table_bits: int, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the windows of ``m`` words at which a string
+    may stand, over the words of all rows."""
+    b = min(BLOCK, m)
+    place, stop = first[:-1] + m, first[1:]  # a place is the end of a window
+    lanes = np.maximum(0, -(-(stop - place + 1) // LANE))  # long rows are searched from several places
+    row = np.repeat(np.arange(len(place)), lanes)
+    place = place[row] + LANE * (np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    stop = np.minimum(stop[row], place + LANE - 1)
+    found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    while len(place):
+        move = shift[block_key(hashes, place - b, b, table_bits)].astype(np.int64)
+        at = place[move == 0] - m
+        whole = whole_hash(hashes, at, m)
+        bit = filter_place(whole, filter_bits)
+        some = (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+        found.append((at[some], whole[some]))
+        place = place + np.maximum(move, 1)
+        keep = place <= stop
+        place, stop = place[keep], stop[keep]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+SCAN_SCHEMA = "doc_id long, _id long, _h long, n_words long, at long, m long, suffix long, whole long, words binary"
+PLACES = 8192  # places in one batch
+
+
+def scanned(docs: DataFrame, shifts: dict[int, np.ndarray], bitmap: np.ndarray, table_bits: int, filter_bits: int) -> DataFrame:
+    """A row for each document (``n_words``) and for each place that passes."""
+    kinds = [pa.int64()] * 8 + [pa.binary()]
+    names = ["doc_id", "_id", "_h", "n_words", "at", "m", "suffix", "whole", "words"]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = strings_of(part, window)
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
-                data, starts, ends, hashes, first = words_of(piece.column("text"))
-                n = piece.num_rows
-                covered = np.zeros(len(starts) + 1, dtype=np.int64)
-                items: dict[int, set] = {}
-                for g in groups:
-                    at, which = g.search(hashes, first)
-                    real = g.confirmed(at, which, data, starts, ends)
-                    at, which = at[real], which[real]
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, at + g.m, -1)
-                    owner = np.searchsorted(first, at, side="right") - 1
-                    for row, s in np.unique(np.stack([owner, which], axis=1), axis=0).tolist():
-                        items.setdefault(row, set()).update(g.items[s])
-                hit = np.cumsum(covered[:-1]) > 0
-                hits = [[] for _ in range(n)]
-                for row in items:
-                    own = np.concatenate([[False], hit[first[row]:first[row + 1]], [False]]).astype(np.int8)
-                    edge = np.flatnonzero(np.diff(own))
-                    hits[row] = edge.tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(c) for c in ("doc_id", "_id", "_h")] + [
-                        pa.array(np.diff(first), pa.int64()), pa.array(hits, pa.list_(pa.int64())),
-                        pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string()))],
-                    names=["doc_id", "_id", "_h", "n_words", "hits", "items"])
-
-    return base_columns(docs).mapInArrow(scan, "doc_id long, _id long, _h long, n_words long, hits array<long>, items array<string>")
-
-
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+            for part in slices(batch, "text", 2 << 20):
+                data, starts, ends, hashes, first = words_of(part.column("text"))
+                raw, n = data.tobytes(), part.num_rows
+                own = [part.column(c) for c in ("doc_id", "_id", "_h")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first), pa.int64()), *[pa.nulls(n, k) for k in kinds[4:]]], names=names)
+                for m, shift in shifts.items():
+                    every, wholes = passing(hashes, first, m, shift, bitmap, table_bits, filter_bits)
+                    for low in range(0, len(every), PLACES):
+                        at, whole = every[low:low + PLACES], wholes[low:low + PLACES]
+                        row = np.searchsorted(first, at, side="right") - 1
+                        block = min(BLOCK, m)
+                        yield pa.RecordBatch.from_arrays(
+                            [*[c.take(pa.array(row)) for c in own], pa.nulls(len(at), pa.int64()), pa.array(at - first[row], pa.int64()),
+                             pa.array(np.full(len(at), m), pa.int64()), pa.array(block_key(hashes, at + m - block, block, table_bits)),
+                             pa.array(whole.view(np.int64)), pa.array(words_from(raw, starts, ends, at, m), pa.binary())], names=names)
+
+    return base_columns(docs).mapInArrow(scan, SCAN_SCHEMA)
+
+
+KEY = ["_id", "_h"]
+STRING = ["m", "suffix", "whole", "words"]
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, table_bits: int = TABLE_BITS,
+                filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (``doc_id, _id, _h, n_words``), the confirmed places
+    (``_id, _h, at`` and the string), and the strings with their items."""
+    strings = stored(strings_of(benchmark, window, table_bits, filter_bits), "wm-strings")
+    shifts, bitmap = search_tables(strings, table_bits, filter_bits)
+    rows = stored(scanned(docs, shifts, bitmap, table_bits, filter_bits), "wm-scan")
+    known = strings.select(*STRING).distinct()
+    places = rows.where(F.col("m").isNotNull()).join(known, STRING).select(*KEY, "at", *STRING)
+    return rows.where(F.col("m").isNull()).select("doc_id", *KEY, "n_words"), places, strings.select("item", *STRING)
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: the keys, ``n_words``, ``hits`` (flat list of word
     runs, ascending) and the sorted ``items``."""
-    parts = [found(docs, part, window) for part in benchmark_parts(benchmark, part_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    # several passes: a row's results meet by its key and its number among equal rows
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("_id", "_h").orderBy("n_words")
-    out = None
-    for p in parts:
-        p = p.withColumn("_same", F.row_number().over(same))
-        out = p if out is None else out.unionByName(p)
-    runs = F.flatten(F.collect_list("hits"))
-    places = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits") - 1, F.lit(2)), lambda i: F.sequence(
-        F.get(F.col("hits"), i), F.get(F.col("hits"), i + 1) - 1))))
-    merged = (out.groupBy("_id", "_h", "_same").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-                                                    runs.alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-              .withColumn("places", F.when(F.size("hits") > 0, F.array_sort(places)).otherwise(F.array().cast("array<bigint>"))))
-    edges = F.flatten(F.transform("places", lambda x: F.filter(
-        F.array(F.when(~F.array_contains("places", x - 1), x), F.when(~F.array_contains("places", x + 1), x + 1)), lambda y: y.isNotNull())))
-    return merged.select("doc_id", "_id", "_h", "n_words", edges.alias("hits"), F.array_sort("items").alias("items"))
+    rows, places, strings = occurrences(docs, benchmark, **options)
+    places = stored(places, "wm-places")
+    ends = places.groupBy(*KEY, "at").agg(F.max(F.col("at") + F.col("m")).alias("end"))  # equal rows meet here
+    before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    opens = ends.withColumn("opens", (F.col("at") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("long"))
+    upto = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = (opens.withColumn("run", F.sum("opens").over(upto)).groupBy(*KEY, "run").agg(F.min("at").alias("s"), F.max("end").alias("e"))
+            .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs")))
+    items = (places.select(*KEY, *STRING).distinct().join(strings.where("item IS NOT NULL").distinct(), STRING)
+             .groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items")))
+    flat = F.flatten(F.transform("runs", lambda x: F.array(x["s"], x["e"])))
+    return rows.join(runs, KEY, "left").join(items, KEY, "left").select(
+        "doc_id", *KEY, "n_words", F.coalesce(flat, F.array().cast("array<bigint>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def n_hit():
@@ -250,9 +228,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = benchmark_hits(docs, benchmark, **options).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad"), F.col("_h").alias("_bad_h")).distinct()
+    bad = occurrences(docs, benchmark, **options)[1].select(F.col("_id").alias("_bad"), F.col("_h").alias("_bad_h")).distinct()
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (text_hash == bad["_bad_h"]), "left_anti")
+    return docs.join(bad, (id_key() == bad["_bad"]) & (text_hash == bad["_bad_h"]), "left_anti")
 
 
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ def brute(docs, bench, window=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 200])
-def test_equals_brute_force(spark, part_bytes):
+@pytest.mark.parametrize("table_bits,filter_bits", [(18, 24), (3, 5)])
+def test_equals_brute_force(spark, table_bits, filter_bits):
     rng = random.Random(7)
     vocab = ["alpha", "Beta", "gamma", "délta", "x1", "the", "Of"]
     text = lambda n: "".join(rng.choice(vocab) + rng.choice([" ", ", ", "\n", " -- "]) for _ in range(n))
@@ -47,7 +47,7 @@ def test_equals_brute_force(spark, part_bytes):
     docs += [(100 + i, text(20) + bench[i][1] + text(30), "en", "", "") for i in range(14)]
     docs += [(200, None, None, None, None), (None, "alpha beta gamma", "en", "", ""), (201, text(4000), "en", "", ""), docs[0], (202, "", "", "", "")]
     bench = [b for b in bench if len(words(b[1])) != 1]
-    got = wm.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(bench, "item_id long, text string"), part_bytes=part_bytes)
+    got = wm.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(bench, "item_id long, text string"), table_bits=table_bits, filter_bits=filter_bits)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, bench)
 
 
