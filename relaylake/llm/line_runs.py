@@ -62,7 +62,7 @@ def repeated_pieces(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("range").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (classes.join(bucket_sums(classes, [], "range", "c"), "range")
               .select("k1", "k2", (F.col("_before") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("r0")))
-    places = lines.join(ranked, ["k1", "k2"]).select(*KEY, "i", "words", "r0").repartition(*KEY).dropDuplicates([*KEY, "i"])
+    places = lines.join(ranked, ["k1", "k2"]).select(*KEY, "i", "words", "r0").dropDuplicates([*KEY, "i"])  # a repeated row's lines are merged in each task first
     in_doc = Window.partitionBy(*KEY).orderBy("i")
     places = places.withColumn("piece", F.col("i") - F.row_number().over(in_doc))
     before = Window.partitionBy(*KEY, "piece").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,6 +115,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = stored(named, "runs-named")
     place = F.struct(*KEY, "start")
     first = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    first = stored(first, "runs-first")  # a join with the aggregate itself couldn't be split at a hot name
     copies = named.join(first, ["m", "head", "tail"]).where(place > F.col("first"))
     return (copies.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("i"))
             .groupBy(*KEY).agg(F.sort_array(F.collect_set("i")).alias("gone")))
