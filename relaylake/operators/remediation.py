@@ -118,29 +118,35 @@ def notebook_patch(content: Column) -> Column:
     shebang / encoding line and the leading import run (blank lines are
     skipped; any other line ends the run). Files already carrying the
     setting are returned unchanged."""
-    lines = split_lines(content)
+    patched = T.let(split_lines(content), lambda lines: _bootstrapped(content, lines))
+    return F.when(content.contains(K.NOTEBOOK_CONF_LINE), content).otherwise(patched)
+
+
+def _bootstrapped(content: Column, lines: Column) -> Column:
     n = F.size(lines)
     shebang = F.when((n > 0) & F.get(lines, 0).startswith("#!"), F.lit(1)).otherwise(F.lit(0))
     cookie = F.coalesce(F.get(lines, shebang).rlike(ENCODING_COOKIE), F.lit(False))
-    header_end = shebang + F.when((n > shebang) & cookie, F.lit(1)).otherwise(F.lit(0))
-    idx = F.sequence(header_end, F.greatest(n - 1, header_end))
+    header = shebang + F.when((n > shebang) & cookie, F.lit(1)).otherwise(F.lit(0))
+
+    def insert_at(header_end: Column) -> Column:
+        body = F.slice(lines, header_end + 1, F.greatest(n - header_end, F.lit(0)))
+        init = F.struct(header_end.alias("at"), header_end.alias("i"), F.lit(False).alias("stop"))
+        return F.aggregate(body, init, lambda acc, line: T.let(T.strip(line), lambda x: step(acc, x)))["at"]
 
-    def step(acc, i):
-        line = T.strip(F.get(lines, i))
+    def step(acc: Column, line: Column) -> Column:
         is_import = line.startswith("import ") | line.startswith("from ")
-        stop = acc["stop"] | (~is_import & (line != ""))
-        return F.struct(
-            F.when(~acc["stop"] & is_import, i + 1).otherwise(acc["at"]).alias("at"),
-            stop.alias("stop"))
-
-    init = F.struct(header_end.alias("at"), F.lit(False).alias("stop"))
-    insert_at = F.when(n > header_end, F.aggregate(idx, init, step)["at"]).otherwise(header_end)
-    snippet = F.concat(T.str_array(["", K.NOTEBOOK_MARKER] + K.NOTEBOOK_BOOTSTRAP + [K.NOTEBOOK_CONF_LINE]),
-                       F.when((n > 0) & (T.strip(F.get(lines, n - 1)) != ""), T.str_array([""]))
-                       .otherwise(T.empty_str_array()))
-    merged = F.concat(F.slice(lines, 1, insert_at), snippet, F.slice(lines, insert_at + 1, F.greatest(n - insert_at, F.lit(0))))
-    body = F.concat(F.array_join(merged, "\n"), F.when(content.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))
-    return F.when(content.contains(K.NOTEBOOK_CONF_LINE), content).otherwise(body)
+        after = acc["i"] + 1
+        return F.struct(F.when(~acc["stop"] & is_import, after).otherwise(acc["at"]).alias("at"), after.alias("i"),
+                        (acc["stop"] | (~is_import & (line != ""))).alias("stop"))
+
+    def merged(at: Column) -> Column:
+        snippet = F.concat(T.str_array(["", K.NOTEBOOK_MARKER] + K.NOTEBOOK_BOOTSTRAP + [K.NOTEBOOK_CONF_LINE]),
+                           F.when((n > 0) & (T.strip(F.get(lines, n - 1)) != ""), T.str_array([""]))
+                           .otherwise(T.empty_str_array()))
+        return F.concat(F.slice(lines, 1, at), snippet, F.slice(lines, at + 1, F.greatest(n - at, F.lit(0))))
+
+    text = F.array_join(T.let(T.let(header, insert_at), merged), "\n")
+    return F.concat(text, F.when(content.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))
 
 
 # ---- U3: ETL patch -------------------------------------------------------------
