@@ -2,20 +2,23 @@
 (X2, X3, X4, X7). Clarifications use the same processor with ``answered``
 as the terminal event.
 
-``transformWithState`` keeps, per request, its creation, the earliest in-time
-and the latest decision, and a list of the decisions seen. The result is a
-function of the rows seen so far and the watermark, not of how they were cut
-into micro-batches: decisions that come before their request wait for it, an
-earlier in-time decision revises the outcome, and a request is ``timed_out`` (by
-``system-timeout``) only when the watermark has passed ``created_at + timeout``
-without a decision, since before that one could still arrive. Later decisions
-overwrite that status (``late_decision='overwrite'``) or are dropped
-(``'ignore'``).
-
-The list is only appended to, so a batch costs its own decisions, however many
-there were before. It is read again only if an earlier request row moves the
-creation back; once the watermark has passed the creation, none can, and the
-list is cleared. Event-time timers fire at the deadline and ``retention_seconds``
+``transformWithState`` keeps, per request, one value (its creation, the earliest
+in-time and the latest decision, the row last emitted) and a list of the
+decisions seen. The result is a function of the rows seen so far and the
+watermark, not of how they were cut into micro-batches: decisions that come
+before their request wait for it, an earlier in-time decision revises the
+outcome, and a request is ``timed_out`` (by ``system-timeout``) only when the
+watermark has passed ``created_at + timeout`` without a decision, since before
+that one could still arrive. Later decisions overwrite that status
+(``late_decision='overwrite'``) or are dropped (``'ignore'``).
+
+A state call costs far more than a row, so a key reads and writes its value once
+a batch, has one timer at a time, and events of other kinds, which only move the
+watermark, don't come to the processor. The list is only appended to, so a batch
+costs its own decisions, however many there were before. It is read again only
+if a request row comes after decisions, or an earlier one moves the creation
+back; once the watermark has passed the creation, none can, and the list is
+cleared. Event-time timers fire at the deadline and then ``retention_seconds``
 after it, when the state is released. (Spark's own time-to-live of state counts
 processing time, on which results would depend.)
 
@@ -33,11 +36,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT_SCHEMA = ("request_id string, stage string, created_us long, outcome string, "
                  "outcome_actor string, final_status string, version int")
-REQUEST = "created_us long, created_seq long, stage string, version int"
 DECISION = "us long, seq long, event string, actor string"
-EMITTED = "created_us long, stage string, outcome string, outcome_actor string, final_status string"
+STATE = ("created_us long, created_seq long, stage string, version int, in_us long, in_seq long, in_event string, in_actor string, "
+         "last_us long, last_seq long, last_event string, out_us long, out_stage string, out_outcome string, out_actor string, "
+         "out_final string, listed boolean")
 DECISIONS = ("approved", "rejected")
 TIMED_OUT = ("timed_out", "system-timeout")
+NAMES = [x.split()[0] for x in STATE.split(", ")]
 
 
 class DeadlineProcessor(StatefulProcessor):
@@ -53,70 +58,89 @@ class DeadlineProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request = handle.getValueState("request", REQUEST)
-        self.in_time = handle.getValueState("in_time", DECISION)
-        self.last = handle.getValueState("last", DECISION)
+        self.value = handle.getValueState("request", STATE)
         self.seen = handle.getListState("seen", DECISION)
-        self.emitted = handle.getValueState("emitted", EMITTED)
+
+    def _get(self) -> dict:
+        found = self.value.get()
+        return dict.fromkeys(NAMES) | {"version": 0, "listed": False} if found is None else dict(zip(NAMES, found))
+
+    def _put(self, s: dict) -> None:
+        self.value.update(tuple(s.values()))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        request, watermark = self.request.get(), timerValues.getCurrentWatermarkInMs() * 1000
+        s, watermark = self._get(), timerValues.getCurrentWatermarkInMs() * 1000
+        before = dict(s)
         asked, told = None, []
         for r in rows:
             if r.event == "requested" and (asked is None or (r.us, r.seq) < asked[:2]):
                 asked = (r.us, r.seq, r.stage)
             elif r.event in self.decisions:
                 told.append((r.us, r.seq, r.event, r.actor))
-        settled = request is not None and watermark > request[0]  # no earlier request can arrive
-        if told and not settled:
+        created = s["created_us"]
+        if told and (created is None or watermark <= created):  # an earlier request can still arrive
             self.seen.appendList(told)
-        if asked is not None and (request is None or asked[:2] < tuple(request[:2])):
-            request = (*asked, 0 if request is None else request[3])
-            self.request.update(request)
-            self.in_time.clear()
-            self.last.clear()
-            told = [tuple(x) for x in self.seen.get()]  # anew, for the earlier creation
-            self.handle.registerTimer((request[0] + self.timeout) // 1000 + 1)
-            self.handle.registerTimer((request[0] + self.timeout + self.retention) // 1000 + 1)
-        if request is None:  # decisions wait for their request
-            if told:
-                self.handle.registerTimer((max(x[0] for x in told) + self.timeout + self.retention) // 1000 + 1)
+            s["listed"] = True
+        if asked is not None and (created is None or asked[:2] < (created, s["created_seq"])):
+            created, s["created_seq"], s["stage"] = asked
+            s |= dict.fromkeys(("in_us", "in_seq", "in_event", "in_actor", "last_us", "last_seq", "last_event"))
+            s["created_us"] = created
+            if before["listed"]:
+                told = [tuple(x) for x in self.seen.get()]  # anew, for the earlier creation
+            self.handle.registerTimer((created + self.timeout) // 1000 + 1)
+        if created is None:  # decisions wait for their request
+            latest = max((x[0] for x in told), default=None)
+            if latest is not None and (s["last_us"] is None or latest > s["last_us"]):
+                s["last_us"] = latest
+                self.handle.registerTimer((latest + self.timeout + self.retention) // 1000 + 1)
+            if s != before:
+                self._put(s)
             return
-        valid = [x for x in told if x[0] >= request[0]]
+        valid = [x for x in told if x[0] >= created]
         if valid:
             place = lambda x: tuple(x[:2])
-            early = [x for x in valid if x[0] <= request[0] + self.timeout] + [tuple(x) for x in [self.in_time.get()] if x]
+            early = [x for x in valid if x[0] <= created + self.timeout]
             if early:
-                self.in_time.update(min(early, key=place))
-            self.last.update(max(valid + [tuple(x) for x in [self.last.get()] if x], key=place))
-        yield from self._outcome(key, request, watermark)
-
-    def _outcome(self, key, request, watermark: int) -> Iterator[Row]:
+                first = min(early, key=place)
+                if s["in_us"] is None or place(first) < (s["in_us"], s["in_seq"]):
+                    s["in_us"], s["in_seq"], s["in_event"], s["in_actor"] = first
+            last = max(valid, key=place)
+            if s["last_us"] is None or place(last) > (s["last_us"], s["last_seq"]):
+                s["last_us"], s["last_seq"], s["last_event"] = last[:3]
+        yield from self._outcome(key, s, watermark)
+        if s != before:
+            self._put(s)
+
+    def _outcome(self, key, s: dict, watermark: int) -> Iterator[Row]:
         """A new version of the row, if it has changed."""
-        in_time, last = self.in_time.get(), self.last.get()
-        outcome = tuple(in_time[2:]) if in_time else TIMED_OUT if request[0] + self.timeout <= watermark else None
+        in_time, created = s["in_us"] is not None, s["created_us"]
+        outcome = (s["in_event"], s["in_actor"]) if in_time else TIMED_OUT if created + self.timeout <= watermark else None
         if outcome is None:
             return
-        final = last[2] if last and (in_time or self.late_decision == "overwrite") else outcome[0]
-        now = (request[0], request[2], *outcome, final)
-        before = self.emitted.get()
-        if before is None or tuple(before) != now:
-            self.emitted.update(now)
-            self.request.update((*request[:3], request[3] + 1))
-            yield Row(request_id=key[0], stage=request[2], created_us=request[0], outcome=outcome[0], outcome_actor=outcome[1],
-                      final_status=final, version=request[3] + 1)
+        final = s["last_event"] if s["last_us"] is not None and (in_time or self.late_decision == "overwrite") else outcome[0]
+        now = {"out_us": created, "out_stage": s["stage"], "out_outcome": outcome[0], "out_actor": outcome[1], "out_final": final}
+        if not s["version"] or any(s[k] != v for k, v in now.items()):
+            s |= now | {"version": s["version"] + 1}
+            yield Row(request_id=key[0], stage=s["stage"], created_us=created, outcome=outcome[0], outcome_actor=outcome[1],
+                      final_status=final, version=s["version"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        request, watermark = self.request.get(), timerValues.getCurrentWatermarkInMs() * 1000
-        if request is None:
-            if max((x[0] for x in self.seen.get()), default=0) + self.timeout + self.retention < watermark:
-                self.seen.clear()
+        s, watermark = self._get(), timerValues.getCurrentWatermarkInMs() * 1000
+        before, created = dict(s), s["created_us"]
+        if created is None and s["last_us"] is None:
             return
-        yield from self._outcome(key, request, watermark)
-        self.seen.clear()
-        if request[0] + self.timeout + self.retention < watermark:
-            for state in (self.request, self.in_time, self.last, self.emitted):
-                state.clear()
+        release = (s["last_us"] if created is None else created) + self.timeout + self.retention
+        if created is not None:
+            yield from self._outcome(key, s, watermark)
+            if release >= watermark:
+                self.handle.registerTimer(release // 1000 + 1)
+        if s["listed"] and (created is not None or release < watermark):
+            self.seen.clear()
+            s["listed"] = False
+        if release < watermark:
+            self.value.clear()
+        elif s != before:
+            self._put(s)
 
     def close(self) -> None:
         pass
@@ -129,6 +153,8 @@ def approval_outcomes(events: DataFrame, timeout_seconds: int, late_decision: st
 
     ``events`` needs request_id, stage, event, actor, ts (timestamp), seq."""
     ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    # the watermark is that of all events: a filter that names ``ts`` stays behind it
+    ev = ev.where(F.when(F.col("ts").isNotNull(), F.col("event")).isin("requested", *decisions))
     out = ev.groupBy("request_id").transformWithState(
         DeadlineProcessor(timeout_seconds, late_decision, retention_seconds, decisions), OUTPUT_SCHEMA, "Append", "EventTime")
     return out.withColumn("created_us", F.timestamp_micros("created_us")).withColumnRenamed("created_us", "created_at")
