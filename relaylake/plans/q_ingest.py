@@ -103,11 +103,11 @@ FROM work_items""")
 
 
 # ---- A4 / B9 -----------------------------------------------------------------
-def in_documents(spark: SparkSession, rows: DataFrame, entries: int) -> DataFrame:
+def in_documents(spark: SparkSession, rows: DataFrame, entries: int, name: str = "doc_entries") -> DataFrame:
     """All rows as ``entries``, a list of at most that many a document. A row's
     number in its partition names its document; the numbers are written with
     the rows, so that a task run again finds the same."""
-    path = _scratch(spark, "doc_entries")
+    path = _scratch(spark, name)
     numbered = rows.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("entry"))
     numbered.write.parquet(path)
     block = [F.shiftright("n", 33).alias("part"), F.expr(f"(n & {(1 << 33) - 1}) div {entries}").alias("block")]
@@ -318,11 +318,12 @@ def state_documents(spark, sf, entries):
                     F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
     docs = in_documents(spark, row, entries).withColumnRenamed("entries", "requests")
     path = _scratch(spark, "approval_docs")
-    docs.write.json(f"{path}/requests")
+    docs.write.json(path)
     pr = pairs(spark, sf)
     clr = C.clarification_entries(C.answered_questions(pr), C.requests(pr))
-    in_documents(spark, clr, entries).withColumnRenamed("entries", "clarifications").write.json(f"{path}/clarifications")
-    return files.read_approvals_doc(spark, f"{path}/*", multiline=False)
+    more = _scratch(spark, "clarification_docs")
+    in_documents(spark, clr, entries, "clarification_entries").withColumnRenamed("entries", "clarifications").write.json(more)
+    return files.read_approvals_doc(spark, [path, more], multiline=False)
 
 
 def q_state_doc_scan(spark, sf, entries=DOC_ENTRIES):

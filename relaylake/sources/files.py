@@ -96,7 +96,7 @@ def read_ledger_doc(spark: SparkSession, path: str, multiline: bool = True) -> D
                       .alias("run_key", "v")).select("run_key", F.col("v.status").alias("status"))
 
 
-def read_approvals_doc(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_approvals_doc(spark: SparkSession, path: str | list[str], multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """A3: approval/clarification state documents, tolerant of missing keys
     (an absent list reads as empty)."""
     doc = spark.read.schema(APPROVALS_DOC_SCHEMA).option("multiLine", multiline).json(path)
