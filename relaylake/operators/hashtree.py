@@ -7,6 +7,8 @@ versions only the branches whose fingerprints differ are followed down, and
 only the leaves that differ are read again, row by row. A version's tree is
 written once, with its rows beside it in folders by the upper hash bits, so
 comparing it with many later versions reads little more than what changed.
+Rows are written by the tasks that read them: they aren't shuffled, so a hot
+key is cut as the input is. Their hashes aren't kept, only the tree's sums.
 """
 
 from __future__ import annotations
@@ -26,24 +28,21 @@ def _range(h: Column, bits: int) -> Column:
 
 def _rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A version's rows (with its schema, as an empty one has no file to tell it)."""
-    kind = StructType([StructField("row", schema), StructField("leaf", LongType()), StructField("x", LongType()), StructField("y", LongType()),
-                       StructField("folder", IntegerType())])
+    kind = StructType([StructField("row", schema), StructField("leaf", LongType()), StructField("folder", IntegerType())])
     return spark.read.schema(kind).parquet(f"{path}/rows")
 
 
 def write_tree(df: DataFrame, path: str, keys: list[str], bits: int = 16) -> None:
-    """Write the rows and the tree of one version. Rows of a hot key are
-    sorted by their own hash too, so that they are cut over tasks."""
+    """Write the rows and the tree of one version."""
     if bits % FAN_BITS or bits < FOLDER_BITS:
         raise ValueError(f"bits must be a multiple of {FAN_BITS} and at least {FOLDER_BITS}")
-    columns = [F.col(f"`{c}`") for c in df.columns]
     key = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
-    rows = df.select(F.struct(*columns).alias("row"), _range(key, bits).alias("leaf"), F.xxhash64(*columns).alias("x"),
-                     F.xxhash64(F.lit("second"), *reversed(columns)).alias("y"))
-    rows = rows.withColumn("folder", F.shiftright("leaf", bits - FOLDER_BITS).cast("int"))
-    rows.repartitionByRange("leaf", "x").sortWithinPartitions("leaf").write.partitionBy("folder").parquet(f"{path}/rows")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _range(key, bits).alias("leaf"))
+    rows.withColumn("folder", F.shiftright("leaf", bits - FOLDER_BITS).cast("int")).write.partitionBy("folder").parquet(f"{path}/rows")
     spark = df.sparkSession
-    level = (_rows(spark, path, df.schema).groupBy(F.col("leaf").alias("node"))
+    columns = [F.col("row")[c] for c in df.columns]
+    marked = _rows(spark, path, df.schema).select("leaf", F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit("second"), *reversed(columns)).alias("y"))
+    level = (marked.groupBy(F.col("leaf").alias("node"))
              .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("x", "y")]))
     for depth in range(bits, -1, -FAN_BITS):
         level.write.parquet(f"{path}/tree/{depth}")

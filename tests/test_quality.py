@@ -102,3 +102,11 @@ def test_stage_summary(spark):
     got = {r.stage: (r.passed, r.message) for r in Q.stage_summary(spark, checks, "main.bronze.t").collect()}
     assert got["dev"] == (False, "QA checks failed in dev for main.bronze.t: dq_rules_passed")
     assert got["prod"][0] is False  # its checks are missing, so they do not pass
+
+
+def test_versions_keep_rows_without_their_hashes(spark, tmp_dir):
+    a = spark.createDataFrame([(k, k % 3) for k in range(50)], "id long, v long")
+    hashtree.write_tree(a, f"{tmp_dir}/a", ["id"])
+    hashtree.write_tree(a.where("id <> 7"), f"{tmp_dir}/b", ["id"])
+    assert spark.read.parquet(f"{tmp_dir}/a/rows").columns == ["row", "leaf", "folder"]
+    assert [tuple(r) for r in hashtree.changed_rows(spark, f"{tmp_dir}/a", f"{tmp_dir}/b", a.schema).collect()] == [(7, 1, "removed", 1)]
