@@ -2,20 +2,20 @@
 
 Operators C16, C28, C30, E7, E8, E12, E13, W3, W4, G3, G6, G7, G8, P2.
 
-Scale notes. Everything is two grouped aggregates:
+Scale notes. Rows are dealt by run and sorted once; two windows follow there:
   1. per (run, stage) over its attempt rows → the stage outcome; the list
      collected there holds at most ``max_attempts`` entries (attempts beyond
-     the configured maximum are filtered out before the aggregate);
+     the configured maximum are filtered out before);
   2. per run over its stage outcomes → stop-at-first-failure and the run
      summary; the list holds at most one entry per configured stage.
-Both aggregates are partial on the map side, so a run or stage key holding a
-third of all rows is combined before the shuffle instead of landing whole in
-one task (no ranking window over the raw rows).
+Grouped aggregates would sort every row again before and after the shuffle, as
+few rows share a stage. Attempts are numbered within their stage, so at most
+``max_attempts`` + 1 rows of a stage get that far, however hot a run is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaylake import constants as K
@@ -23,6 +23,7 @@ from relaylake.functions import text as T
 from relaylake.operators.asof import as_of
 
 NO_DECISION = "system-timeout"
+WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def with_gates(runs: DataFrame, log: DataFrame, max_attempts: int | None = K.MAX_REMEDIATION_ATTEMPTS) -> DataFrame:
@@ -34,7 +35,7 @@ def with_gates(runs: DataFrame, log: DataFrame, max_attempts: int | None = K.MAX
     ``runs``: team, environment, attempt, started_at …; ``log``: team,
     environment, since, seq, decision (approved, actor, comment), checks_passed."""
     used = runs if max_attempts is None else runs.where(F.col("attempt") <= max_attempts + 1)
-    out = as_of(used, log, ["team", "environment"], "started_at", "since", "seq", ["decision", "checks_passed"])
+    out = as_of(used, log, ["team", "environment"], "started_at", "since", "seq", ["decision", "checks_passed"], spans_of=runs)
     return out.withColumns({
         "denied": ~F.coalesce("decision.approved", F.lit(False)),
         "qa_passed": F.coalesce("checks_passed", F.lit(False)),
@@ -81,7 +82,7 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         if name not in runs.columns:
             runs = runs.withColumn(name, F.lit(""))
     r = runs.where(F.col("attempt") <= max_attempts + 1).withColumn(
-        "_promote", promotable(F.col("status"), F.col("qa_passed")))
+        "_promote", promotable(F.col("status"), F.col("qa_passed"))).repartition("work_item_id")
     first = F.col("attempt") == 1
     rem = F.struct(
         (F.col("attempt") - 1).alias("j"),
@@ -93,19 +94,22 @@ def stage_outcomes(runs: DataFrame, approval_stages: list[str] | None = None,
         F.col("started_at").alias("started_at"),
         F.col("approver").alias("approver"),
     )
-    agg = r.groupBy("work_item_id", "ord").agg(
-        F.min("environment").alias("environment"),  # one value per stage; min is deterministic
-        F.bool_or(first & F.col("denied")).alias("_first_denied"),
-        F.bool_or(first & F.col("_promote")).alias("promote1"),
-        F.max(F.when(first, F.col("status"))).alias("status1"),
-        F.bool_or(first & F.col("qa_passed")).alias("qa1"),
-        F.max(F.when(first, F.col("started_at"))).alias("start1"),
-        F.max(F.when(first, F.struct("approver", "comment"))).alias("_gate_by"),
-        F.collect_list(F.when(~first, rem)).alias("_rems"),
-    )
+    stage = Window.partitionBy("work_item_id", "ord").orderBy("attempt")
+    each = {
+        "environment": F.min("environment"),  # one value per stage; min is deterministic
+        "_first_denied": F.bool_or(first & F.col("denied")),
+        "promote1": F.bool_or(first & F.col("_promote")),
+        "status1": F.max(F.when(first, F.col("status"))),
+        "qa1": F.bool_or(first & F.col("qa_passed")),
+        "start1": F.max(F.when(first, F.col("started_at"))),
+        "_gate_by": F.max(F.when(first, F.struct("approver", "comment"))),
+        "_rems": F.collect_list(F.when(~first, rem)),
+    }
+    agg = r.select("work_item_id", "ord", F.row_number().over(stage).alias("_row"),
+                   *[c.over(stage.rowsBetween(*WHOLE)).alias(name) for name, c in each.items()]).where("_row = 1")
     gate_denied = F.col("environment").isin(*hil) & F.col("_first_denied")
     remediate = ~gate_denied & ~F.col("promote1")
-    rems = F.array_sort(F.col("_rems"))  # structs sort by j first
+    rems = F.sort_array(F.col("_rems"))  # structs sort by j first
     stop_j = F.array_min(F.transform(F.filter(rems, lambda x: x["denied"] | x["promote"]), lambda x: x["j"]))
     used = F.filter(rems, lambda x: x["j"] <= F.coalesce(F.col("_stop"), F.lit(max_attempts)))
     out = agg.withColumns({"_gate_denied": gate_denied, "_remediate": remediate})
@@ -167,10 +171,13 @@ def run_summaries(outcomes: DataFrame, failed_repos: DataFrame | None = None) ->
     and no stages, whether or not stage rows of it are known."""
     st = F.struct("ord", "environment", "stage_status", "gate", "approver", "comment", "attempts_used", "trail",
                   "pipeline_status", "qa_passed", "pipeline_started_at")
-    agg = outcomes.groupBy("work_item_id").agg(
-        F.array_sort(F.collect_list(st)).alias("_all"),
-        F.min(F.when(F.col("stage_status") == "failed", F.col("ord"))).alias("first_failed_ord"),
-    )
+    run = Window.partitionBy("work_item_id").orderBy("ord")
+    whole = run.rowsBetween(*WHOLE)
+    agg = outcomes.select(
+        "work_item_id", F.row_number().over(run).alias("_row"),
+        F.sort_array(F.collect_list(st).over(whole)).alias("_all"),
+        F.min(F.when(F.col("stage_status") == "failed", F.col("ord"))).over(whole).alias("first_failed_ord"),
+    ).where("_row = 1").drop("_row")
     if failed_repos is None:
         agg = agg.withColumn("repository_details", F.lit(None).cast("string"))
     else:

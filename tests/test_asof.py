@@ -40,3 +40,16 @@ def test_gates_hold_from_their_time(spark):
                                 "team long, environment string, since timestamp_ntz, seq long, decision struct<approved:boolean,actor:string,comment:string>, checks_passed boolean")
     got = {r.attempt: (r.denied, r.qa_passed, r.approver, r.comment) for r in stages.with_gates(runs, log).collect()}
     assert got == {1: (True, False, "system-timeout", ""), 2: (False, True, "ana", "go"), 3: (True, True, "bo", "no")}
+
+
+def test_attempts_are_numbered_once(spark, tmp_path):
+    """The spans of the runs are found without the runs' own sort."""
+    from relaylake.plans import q_stages
+
+    spark.createDataFrame([(1, 1, 1, 1, 5.0, 9.0, 0.0, 0.0, "N", "O", T0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, T0, 1, "signup", 1.0, "p")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    plan = q_stages.gated_runs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
+    assert "l_quantity" not in q_stages.outcomes(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
