@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylake import constants as K
+from relaylake.functions import text as T
 
 FIELD = r"\{[A-Za-z0-9_]+\}"
 FIELD_NAME = r"\{([A-Za-z0-9_]+)\}"
@@ -24,29 +25,38 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return spark.createDataFrame(sorted(t.items()), "name string, template string")
 
 
-def render(template: Column, context: dict[str, Column], fallback: Column) -> Column:
-    """C20: ``template.format(**context)`` or ``fallback``."""
+def split_template(template: Column) -> tuple[Column, Column]:
+    """The ``{field}`` names of a template and the literal parts around them."""
+    return F.regexp_extract_all(template, F.lit(FIELD_NAME), 1), F.split(template, FIELD, -1)
+
+
+def filled(template: Column, keys: Column, parts: Column, context: dict[str, Column], fallback: Column) -> Column:
+    """C20 with the template's ``keys`` and ``parts`` given. The values are put
+    into a map once a row, not at each field."""
     ctx = F.create_map(*[x for k, v in context.items() for x in (F.lit(k), v.cast("string"))])
-    keys = F.regexp_extract_all(template, F.lit(FIELD_NAME), 1)
-    parts = F.split(template, FIELD, -1)
-    missing = F.exists(keys, lambda k: ~F.map_contains_key(ctx, k))
-    body = F.concat(
-        F.array_join(F.transform(keys, lambda k, i: F.concat(F.get(parts, i), F.try_element_at(ctx, k))), ""),
-        F.get(parts, F.size(keys)),
-    )
+    missing = F.exists(keys, lambda k: ~F.array_contains(T.str_array(list(context)), k)) if context else F.size(keys) > 0
+    texts = T.let(ctx, lambda c: F.array_join(F.transform(keys, lambda k, i: F.concat(F.get(parts, i), F.try_element_at(c, k))), ""))
+    body = F.concat(texts, F.get(parts, F.size(keys)))
     return F.when(template.isNull() | (template == "") | missing, fallback).otherwise(body)
 
 
+def render(template: Column, context: dict[str, Column], fallback: Column) -> Column:
+    """C20: ``template.format(**context)`` or ``fallback``."""
+    return filled(template, *split_template(template), context, fallback)
+
+
 def render_by_name(df: DataFrame, templates: DataFrame, name_col: str, context: dict[str, Column],
                    fallback: Column, out: str) -> DataFrame:
     """Render, for every row, the template named in ``name_col``.
 
     Equi-join on the template name; the template table is a fixed handful of
-    rows, so it is broadcast. A name with no template renders the fallback.
+    rows, so it is broadcast, split into fields and parts already. A name with
+    no template renders the fallback.
     """
-    t = templates.select(F.col("name").alias("_tname"), F.col("template").alias("_tpl"))
+    keys, parts = split_template(F.col("template"))
+    t = templates.select(F.col("name").alias("_tname"), F.col("template").alias("_tpl"), keys.alias("_keys"), parts.alias("_parts"))
     joined = df.join(F.broadcast(t), df[name_col] == t["_tname"], "left")
-    return joined.withColumn(out, render(F.col("_tpl"), context, fallback)).drop("_tname", "_tpl")
+    return joined.withColumn(out, filled(F.col("_tpl"), F.col("_keys"), F.col("_parts"), context, fallback)).drop("_tname", "_tpl", "_keys", "_parts")
 
 
 def literal(name: str) -> Column:

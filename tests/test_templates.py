@@ -35,3 +35,11 @@ def test_render_by_name(spark):
     assert got["nope"] == "fb"
     assert got["hil_chat_response"] == K.TEMPLATES["hil_chat_response"].format(
         message="m", context="{}", pending_approvals=1, pending_clarifications=2, active_items=3)
+
+
+def test_values_are_put_into_a_map_once(spark):
+    df = spark.createDataFrame([("a", "x")], "tname string, v string")
+    t = spark.createDataFrame([("a", "{v}-{v}-{v}")], "name string, template string")
+    out = TPL.render_by_name(df, t, "tname", {"v": F.col("v")}, F.lit("fb"), "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("map(v") == 1
+    assert out.first().text == "x-x-x"
