@@ -12,7 +12,7 @@ from relaylake.functions import text as T
 from relaylake.operators import intake, learning, planning, stages
 from relaylake.plans.q_intake import tickets
 from relaylake.plans.sqlviews import with_views
-from relaylake.session import scratch_path
+from relaylake.session import scratch_path, stored
 from relaylake.sources import views
 
 QUERIES: dict = {}
@@ -96,8 +96,13 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return stages.stage_outcomes(gated_runs(spark, sf))
 
 
-def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return stages.run_summaries(outcomes(spark, sf), stages.failed_repositories(views.repo_steps(spark, sf)))
+def plans(spark: SparkSession, sf: str) -> DataFrame:
+    return planning.with_plan(tickets(spark, sf))
+
+
+def summaries(spark: SparkSession, sf: str, stage_outcomes: DataFrame | None = None) -> DataFrame:
+    o = outcomes(spark, sf) if stage_outcomes is None else stage_outcomes
+    return stages.run_summaries(o, stages.failed_repositories(views.repo_steps(spark, sf)))
 
 
 # ---- C16 / E7 ----------------------------------------------------------------
@@ -327,9 +332,9 @@ SELECT 'dev' AS environment, work_item_id,
 FROM plans""")
 
 
-def q_change_notes(spark, sf):
+def q_change_notes(spark, sf, plan_rows=None):
     from relaylake.sinks import artifacts
-    return artifacts.change_notes(planning.with_plan(tickets(spark, sf)))
+    return artifacts.change_notes(plans(spark, sf) if plan_rows is None else plan_rows)
 
 
 QUERIES["change_notes"] = q_change_notes
@@ -342,10 +347,10 @@ SELECT work_item_id, 'generated_changes/work_item_' || CAST(work_item_id AS VARC
 FROM plans""")
 
 
-def q_remediation_notes(spark, sf):
+def q_remediation_notes(spark, sf, plan_rows=None, stage_outcomes=None):
     from relaylake.sinks import artifacts
-    p = planning.with_plan(tickets(spark, sf))
-    o = outcomes(spark, sf)
+    p = plans(spark, sf) if plan_rows is None else plan_rows
+    o = outcomes(spark, sf) if stage_outcomes is None else stage_outcomes
     return artifacts.remediation_notes(o, p)
 
 
@@ -366,11 +371,12 @@ WHERE NOT u.denied""", more_views=["plans"])
 GENERATED_AT = "2024-01-31T00:00:00Z"  # a run's own time would change the rows
 
 
-def q_run_summary_json(spark, sf, generated_at: str = GENERATED_AT):
+def q_run_summary_json(spark, sf, generated_at: str = GENERATED_AT, plan_rows=None, stage_outcomes=None):
     """One JSON document per run: ticket, repository, questions, and the
     ordered, nested stage results with their times."""
-    p = planning.with_plan(tickets(spark, sf)).select("work_item_id", "title", "target_repo", "clarification_questions")
-    s = summaries(spark, sf).join(p, "work_item_id")
+    p = plans(spark, sf) if plan_rows is None else plan_rows
+    p = p.select("work_item_id", "title", "target_repo", "clarification_questions")
+    s = summaries(spark, sf, stage_outcomes).join(p, "work_item_id")
     doc = F.struct(
         F.col("work_item_id"), F.col("title"), F.col("target_repo").alias("repository"), F.col("overall_status"),
         F.col("clarification_questions").alias("clarification"), F.lit(generated_at).alias("generated_at"),
@@ -394,15 +400,20 @@ FROM run_status k JOIN plans p ON p.work_item_id = k.work_item_id LEFT JOIN kept
 # ---- B5, B7, B8, B9, B12: written and read back ------------------------------
 def q_artifact_store(spark, sf):
     """Run summaries, notes, clarification comments and learning history
-    written as versions of one table, and its last version read back."""
+    written as versions of one table, and its last version read back. The plans
+    and stage outcomes that several of the texts tell of are worked out once."""
     from relaylake.plans import q_clarify
     from relaylake.sinks import artifacts as AR
     table = AR.artifact_table(spark, scratch_path(spark, f"relaylake-artifacts/{uuid.uuid4().hex[:12]}"))
     history = views.learning_history(spark, sf)
+    p = stored(plans(spark, sf).select(
+        "work_item_id", "title", "priority", "target_repo", "branch_name", "target_catalog", "target_schema", "target_table", "ingestion_mode",
+        "source_types", "clarification_questions"), "plans")
+    o = stored(outcomes(spark, sf), "outcomes")
     parts = [
-        AR.artifact_rows(q_run_summary_json(spark, sf), "run_summary", "work_item_id", F.lit("summary.json"), F.col("summary_json")),
-        AR.artifact_rows(q_change_notes(spark, sf), "change_note", "work_item_id", F.col("path"), F.col("note")),
-        AR.artifact_rows(q_remediation_notes(spark, sf), "remediation_note", "work_item_id", F.col("path"), F.col("note")),
+        AR.artifact_rows(q_run_summary_json(spark, sf, plan_rows=p, stage_outcomes=o), "run_summary", "work_item_id", F.lit("summary.json"), F.col("summary_json")),
+        AR.artifact_rows(q_change_notes(spark, sf, p), "change_note", "work_item_id", F.col("path"), F.col("note")),
+        AR.artifact_rows(q_remediation_notes(spark, sf, p, o), "remediation_note", "work_item_id", F.col("path"), F.col("note")),
         AR.artifact_rows(q_clarify.q_clarification_comments(spark, sf), "comment", None,
                          F.concat_ws(":", "request_id", F.col("line_no").cast("string")), F.col("line")),
         AR.artifact_rows(history, "history", "work_item_id", F.col("target_table"), F.concat_ws(",", "status", "source_types")),

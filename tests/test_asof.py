@@ -51,5 +51,5 @@ def test_attempts_are_numbered_once(spark, tmp_path):
     spark.createDataFrame([(1, T0, 1, "signup", 1.0, "p")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
         .write.parquet(f"{tmp_path}/events.parquet")
     plan = q_stages.gated_runs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("row_number()") == 1
+    assert plan.count("row_number() windowspecdefinition") == 1
     assert "l_quantity" not in q_stages.outcomes(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]

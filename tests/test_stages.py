@@ -91,3 +91,22 @@ def test_failed_repository_step_ends_the_run_before_its_stages(spark):
     assert (got[3].overall_status, got[3].stage_results, got[3].first_failed_ord) == ("failed", [], None)  # no stage row at all
     plain = {r.work_item_id: r.overall_status for r in stages.run_summaries(out, stages.failed_repositories(steps.limit(0))).collect()}
     assert plain == {1: "succeeded", 2: "succeeded"}
+
+
+def test_rows_of_a_run_are_dealt_once(spark):
+    runs = spark.createDataFrame([(1, 1, "dev", a, "failed", False, True, True) for a in (1, 2, 3)] + [(None, 2, "qe", 1, "succeeded", False, True, True)],
+                                 "work_item_id long, ord int, environment string, attempt int, status string, denied boolean, fix_ok boolean, qa_passed boolean")
+    s = stages.run_summaries(stages.stage_outcomes(runs))
+    assert s._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.work_item_id: (r.overall_status, r.first_failed_ord, [x.attempts_used for x in r.stage_results]) for r in s.collect()}
+    assert got == {1: ("failed", 1, [2]), None: ("succeeded", None, [0])}
+
+
+def test_artifacts_share_plans_and_outcomes(spark, monkeypatch):
+    from relaylake.plans import q_stages
+
+    calls = []
+    real = q_stages.outcomes
+    monkeypatch.setattr(q_stages, "outcomes", lambda *a: calls.append(1) or real(*a))
+    assert q_stages.q_artifact_store(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
