@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from relaylake import constants as K
 from relaylake.functions import text as T
+from relaylake.session import stored
 
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 ENCODING_COOKIE = r"^[ \t]*#.*coding[:=][ \t]*[-\w.]+"
@@ -234,15 +235,16 @@ def sql_targets(sql_files: DataFrame, keys: DataFrame, limit: int | None = None)
     With ``limit`` only so many of them, by path, are looked at (W5).
 
     A file has the bootstrap if it creates a schema and names this one, so it
-    is settled by the same hits; contents take no part.
+    is settled by the same hits; contents take no part. The keys, one for many
+    tickets, and their hits are written once, as several branches start from them.
     """
     if limit is not None:
         return limited_sql_targets(sql_files, keys, limit)
-    keys = keys.select("repo", "target_schema", "target_table").distinct().withColumns(
+    keys = stored(keys.select("repo", "target_schema", "target_table").distinct(), "sql-keys").withColumns(
         {"schema_name": F.lower("target_schema"), "table_name": F.lower("target_table")})
     names = keys.select("repo", F.explode(F.array("schema_name", "table_name")).alias("name"))
     files = sql_files.select("repo", "path", F.lower("content").contains(SQL_NAMESPACE_CHECK).alias("creates"))
-    hits = name_hits(sql_files, names).join(files, ["repo", "path"])
+    hits = stored(name_hits(sql_files, names).join(files, ["repo", "path"]), "sql-hits")
     per_name = hits.groupBy("repo", "name").agg(F.min(F.when(~F.col("creates"), F.col("path"))).alias("bare"))
     schema = per_name.select("repo", F.col("name").alias("schema_name"), F.lit(True).alias("schema_hit"), F.col("bare").alias("schema_bare"))
     table = per_name.select("repo", F.col("name").alias("table_name"), F.lit(True).alias("table_hit"), F.col("bare").alias("table_bare"))
@@ -263,11 +265,12 @@ def limited_sql_targets(sql_files: DataFrame, keys: DataFrame, limit: int) -> Da
     """``sql_targets`` over the first ``limit`` files of each key. The first of
     a key are among the first of its two names, so a key meets 2 x ``limit``
     files at most."""
-    keys = keys.select("repo", "target_schema", "target_table").distinct().withColumns(
+    keys = stored(keys.select("repo", "target_schema", "target_table").distinct(), "sql-keys").withColumns(
         {"schema_name": F.lower("target_schema"), "table_name": F.lower("target_table")})
     by = ["repo", "target_schema", "target_table"]
     files = sql_files.select("repo", "path", F.lower("content").contains(SQL_NAMESPACE_CHECK).alias("creates"))
-    hits = name_hits(sql_files, keys.select("repo", F.explode(F.array("schema_name", "table_name")).alias("name"))).join(files, ["repo", "path"])
+    names = keys.select("repo", F.explode(F.array("schema_name", "table_name")).alias("name"))
+    hits = stored(name_hits(sql_files, names).join(files, ["repo", "path"]), "sql-hits")
     top = first_of_each(hits, ["repo", "name"], ["path"], limit)
     found = [keys.join(top.withColumnRenamed("name", column), ["repo", column]).select(*by, "schema_name", "path", "creates")
              for column in ("schema_name", "table_name")]
