@@ -46,8 +46,8 @@ LEAST = 10
 CONTAINED = 50
 TOP = 2000
 SPLIT = 8
-SLICE_BYTES = 8 << 20
-TASK_ROWS = 1 << 20  # suffixes that a task sorts at once, or one leading string's
+SLICE_BYTES = 3 << 20  # of texts that a task holds as words at once, about 40 times that in arrays
+TASK_ROWS = 1 << 19  # suffixes that a task sorts at once, or one leading string's
 NO_LANG = "und"
 
 ENDS_PIECE = np.zeros(256, dtype=bool)
@@ -80,14 +80,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     piece follow."""
     starts, ends, first = word_spans(data, offsets, IN_WORD)
     n = len(starts)
-    sizes = ends - starts
-    inside = np.zeros(len(data) + 1, dtype=np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    packed = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    packed = data[IN_WORD[data]]
     at = np.zeros(n + 1, dtype=np.int64)
-    np.cumsum(sizes, out=at[1:])
-    words = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(packed))])
+    np.cumsum(ends - starts, out=at[1:])
+    words = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(at), pa.py_buffer(packed)])
     coded = words.dictionary_encode()
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     marks = np.zeros(len(data) + 1, dtype=np.int32)
@@ -96,7 +92,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     last = np.ones(n, dtype=bool)
     last[:-1] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
     stops = np.flatnonzero(last)
-    follow = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
+    follow = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(n)
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, follow
 
 
@@ -137,6 +133,10 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 def codes_of(strings: set, langs: list[str], words: pa.Array) -> np.ndarray:
     """For each language and distinct word whether it is in ``strings``."""
+    if len(strings) < len(words):
+        names = list({w for _, w in strings})
+        at = pc.index_in(words, value_set=pa.array(names, words.type)).fill_null(len(names)).to_numpy()
+        return np.array([[(x, w) in strings for w in names] + [False] for x in langs], dtype=bool)[:, at]
     have = words.to_pylist()
     return np.array([[(x, w) in strings for w in have] for x in langs], dtype=bool).reshape(len(langs), len(have))
 

@@ -101,6 +101,43 @@ def test_long_text_in_parts(spark, tmp_path, monkeypatch):
     assert got == brute(rows, 3, 10, 50, 2000)
 
 
+def test_dealing_holds_little_memory(monkeypatch):
+    """12 MB of texts in one Arrow batch: a task's arrays stay under 160 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:
+        def mapInArrow(self, deal, schema):
+            return deal
+
+    monkeypatch.setattr(pq, "texts_of", lambda docs: docs)
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"word{k}" for k in range(50_000)])
+    texts = [" ".join(vocab[rng.integers(0, 50_000, 600)]) + "." for _ in range(2200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    hot = [{("en", f"word{k}") for k in range(30)}]
+    tracemalloc.start()
+    pool = pa.total_allocated_bytes()
+    n = most = 0
+    for part in pq.suffixes(Docs(), hot, 3)(iter([batch])):
+        n += int(pq.utf8(part.column("weights"))[0].view(np.int64).sum())
+        most = max(most, pa.total_allocated_bytes() - pool)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2200 * 600
+    assert peak + most < 160 << 20
+
+
+@pytest.mark.parametrize("extra", [0, 50])
+def test_hot_words_by_either_way(extra):
+    import pyarrow as pa
+
+    words = pa.array(["a", "b", "é", "c"], pa.large_string())
+    strings = {("en", "a"), ("de", "é"), ("fr", "b")} | {("en", f"x{k}") for k in range(extra)}
+    assert pq.codes_of(strings, ["en", "de"], words).tolist() == [[True, False, False, False], [False, False, True, False]]
+
+
 def test_empty_table(spark):
     assert pq.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
 
