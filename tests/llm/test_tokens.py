@@ -22,6 +22,30 @@ def test_words_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+PARTS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "l", "S", "É", "ÿ", "ß", "é", "12", "½", "²", "ª", "µ", "×", ".", ",", "-", " ", "\t", "\n",
+         "\u00a0", "\x85", "\x1c", "\x00", "İ", "Ⱥ", "ŉ", "ǅ", "word", "The", "it", "qxzzv", "<", "|"]
+
+
+@pytest.mark.parametrize("more", [[], ["日", "<|endoftext|>", "\u0301", "\x01", "\x02", "“"]])
+def test_mixed_texts_equal_the_library(more):
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder, library = WordEncoder(path, max_words=2000), load_tokenizer(path)
+    rng = random.Random(11)
+    for _ in range(40):
+        texts = ["".join(rng.choices(PARTS + more, k=rng.randint(0, 60))) for _ in range(50)]
+        for text, ids in zip(texts, encoder.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert encoder.ids([]) == []
+
+
+def test_pieces_are_encoded_once():
+    """A word next to other punctuation is no new piece."""
+    encoder = WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    encoder.ids([f"qxzzv{a}{b} {a}qxzzv{b}" for a in ".,;:!?-" for b in ".,;:!?-"])
+    assert not encoder.known and len(encoder.met) < 60
+    assert sum(x.isalpha() for x in encoder.met) == 1
+
+
 def test_counts_equal_the_library():
     path = tokenizer_path("byte_bpe_50k.json")
     library = load_tokenizer(path)
