@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relaylake.llm.common import bucket_sums, id_key, let, read_table, stored
+from relaylake.llm.common import bucket_sums, id_key, let, read_table, stored, unbroadcast
 
 MIN_WORDS = 50
 RANGE = 1 << 16  # ranks in one range
@@ -62,7 +62,7 @@ def repeated_pieces(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("range").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (classes.join(bucket_sums(classes, [], "range", "c"), "range")
               .select("k1", "k2", (F.col("_before") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("r0")))
-    places = lines.join(ranked, ["k1", "k2"]).select(*KEY, "i", "words", "r0").repartition(*KEY).dropDuplicates([*KEY, "i"])
+    places = lines.join(unbroadcast(ranked), ["k1", "k2"]).select(*KEY, "i", "words", "r0").repartition(*KEY).dropDuplicates([*KEY, "i"])
     in_doc = Window.partitionBy(*KEY).orderBy("i")
     places = places.withColumn("piece", F.col("i") - F.row_number().over(in_doc))
     before = Window.partitionBy(*KEY, "piece").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,12 +110,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     level = sum((F.when(F.col("m") >= (1 << j), 1).otherwise(0) for j in range(1, levels + 1)), F.lit(0))
     runs = runs.withColumn("k", level).withColumn("i", F.col("start")).withColumn("second", F.col("start") + F.col("m") - F.expr("shiftleft(1L, k)"))
     ranks = places.select(*KEY, F.col("i").cast("long").alias("i"), F.struct(*[f"r{j}" for j in range(levels + 1)]).alias("t"))
-    named = (runs.join(ranks, [*KEY, "i"]).select(*KEY, "start", "m", "k", F.col("second").alias("i"), rank_of("t", F.col("k")).alias("head"))
-             .join(ranks, [*KEY, "i"]).select(*KEY, "start", "m", "head", rank_of("t", F.col("k")).alias("tail")))
+    named = (runs.join(unbroadcast(ranks), [*KEY, "i"]).select(*KEY, "start", "m", "k", F.col("second").alias("i"), rank_of("t", F.col("k")).alias("head"))
+             .join(unbroadcast(ranks), [*KEY, "i"]).select(*KEY, "start", "m", "head", rank_of("t", F.col("k")).alias("tail")))
     named = stored(named, "runs-named")
     place = F.struct(*KEY, "start")
     first = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    copies = named.join(first, ["m", "head", "tail"]).where(place > F.col("first"))
+    copies = named.join(unbroadcast(first), ["m", "head", "tail"]).where(place > F.col("first"))
     return (copies.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("i"))
             .groupBy(*KEY).agg(F.sort_array(F.collect_set("i")).alias("gone")))
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylake.llm.common import NULL_ID, base_columns, read_table, slices, stored, utf8
+from relaylake.llm.common import NULL_ID, base_columns, read_table, slices, stored, unbroadcast, utf8
 from relaylake.llm.components import components
 from relaylake.llm.spans import LOWER, mix, running_hash, span_hash, word_spans
 
@@ -250,7 +250,7 @@ def grouped(base: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     every = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stored(every.join(shared, "band").select("band", "slot", "node", "size"), "buckets")
+    buckets = stored(every.join(unbroadcast(shared), "band").select("band", "slot", "node", "size"), "buckets")
     reps = (buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
             .select("node", *[F.col(f"rep.{c}").alias(c) for c in key]))
     texts = base.select(*key, "text").join(reps, key)

@@ -192,7 +192,8 @@ def least_determinant(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFram
     while True:  # one row per group and start that still moves
         steps.append(stored(whitened(concentrated(rows, live)), "mcd-fit"))
         before = live.select(*START, F.col("logdet").alias("_before"))
-        live = steps[-1].join(before, START).where(F.col("logdet") < F.col("_before") - tolerance).drop("_before")
+        # stored, for Spark takes a join for as large as the product of its sides, and would broadcast the rows
+        live = stored(steps[-1].join(before, START).where(F.col("logdet") < F.col("_before") - tolerance).drop("_before"), "mcd-live")
         if live.isEmpty():
             break
     every = steps[0].withColumn("step", F.lit(0))
